@@ -13,12 +13,13 @@ FIAT_TICKERS = ["USD", "EUR", "GBP", "JPY", "CHF", "TRY", "BRL"]
 
 @dataclass(frozen=True)
 class Exclusions:
-    """The default prefixes and tolerance. Symbols and names are the caller's lists."""
+    """The default prefixes, tolerance and tickers. Symbols and names are the caller's lists."""
 
     symbols: list[str] = field(default_factory=list)
     name_contains: list[str] = field(default_factory=list)
     wrapper_prefixes: list[str] = field(default_factory=lambda: ["W", "ST", "WST", "B", "R", "CB", "M", "J", "BN"])
     peg_tolerance: float = 0.03
+    fiat_tickers: list[str] = field(default_factory=lambda: list(FIAT_TICKERS))
 
 
 def category_reasons(members: DataFrame) -> DataFrame:
@@ -51,8 +52,9 @@ def wrapper_matches(markets: DataFrame, prefixes: list[str]) -> DataFrame:
     return split.join(bases, "rest", "left_semi").groupBy("sym").agg(F.min_by("prefix", "rank").alias("prefix"))
 
 
-def peg_rule(sym: Column, price: Column, tolerance: float) -> Column:
-    return (price != 0) & sym.rlike("|".join(FIAT_TICKERS)) & (F.abs(price - 1.0) <= tolerance)
+def peg_rule(sym: Column, price: Column, rules: Exclusions) -> Column:
+    """The symbol names a fiat currency and the price sits on the peg; no price or 0 never matches."""
+    return (price != 0) & sym.rlike("|".join(rules.fiat_tickers)) & (F.abs(price - 1.0) <= rules.peg_tolerance)
 
 
 def classify(markets: DataFrame, rules: Exclusions, categories: DataFrame | None = None) -> DataFrame:
@@ -72,7 +74,7 @@ def classify(markets: DataFrame, rules: Exclusions, categories: DataFrame | None
         F.when(F.col("sym").isin([s.upper() for s in rules.symbols]), F.lit("symbol_blocklist")),
         F.when(named, F.lit("name_blocklist")),
         F.concat(F.lit("wrapper_prefix:"), F.col("prefix")),
-        F.when(peg_rule(F.col("sym"), F.col("price"), rules.peg_tolerance), F.lit("peg_price")),
+        F.when(peg_rule(F.col("sym"), F.col("price"), rules), F.lit("peg_price")),
     )
     return (
         out.withColumn("exclusion_reason", reason)

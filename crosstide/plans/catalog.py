@@ -1,6 +1,6 @@
 """All named queries."""
 
-from crosstide.plans import catalog_scoring  # noqa: F401
+from crosstide.plans import catalog_scoring, catalog_universe  # noqa: F401
 from crosstide.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstide.functions.scalar import METRIC_KEYS, momentum, score_change, change_pct, text_contains, volume_at_least
+from crosstide.functions.scalar import (
+    METRIC_KEYS,
+    WEIGHTS,
+    change_pct,
+    iso_z,
+    momentum,
+    score_change,
+    spread_factor,
+    text_contains,
+    volume_at_least,
+)
 from crosstide.operators.mapping import kept_universe, kept_universe_any
 from crosstide.operators.scoring import (
     composite,
     metric_rows,
-    prior_from_history,
     previous_score,
+    prior_from_history,
+    relative_to_benchmark,
     run_summary,
 )
-from crosstide.operators.universe import listing  # noqa: F401
 from crosstide.plans import sql as Q
 from crosstide.plans.leaderboard import (
     entity_rows,
@@ -40,7 +50,6 @@ from crosstide.plans.scoring_run import (
     snapshot_table,
 )
 from crosstide.plans.views import monthly
-from crosstide.operators.scoring import relative_to_benchmark
 from crosstide.session import fresh_path, settle
 from crosstide.sources.tables import append_run
 
@@ -90,8 +99,6 @@ def change_query(spark, sf):
 )
 def spread_query(spark, sf):
     m = metric_rows(_pairs(spark, sf))
-    from crosstide.functions.scalar import WEIGHTS, spread_factor
-
     weight = F.coalesce(*[F.when(F.col("metric_key") == k, F.lit(w)) for k, w in WEIGHTS.items()])
     has = F.col("rank_score").isNotNull()
     g = m.groupBy("run_id", "entity").agg(F.sum(F.when(has, weight)).alias("w"), F.sum(F.when(has, weight * weight)).alias("w2"))
@@ -250,8 +257,6 @@ def missing_query(spark, sf):
     ),
 )
 def iso_query(spark, sf):
-    from crosstide.functions.scalar import iso_z
-
     panel, axis, n = monthly(spark, sf)
     return run_table(axis, n).withColumns({"started_at": iso_z("started_at"), "finished_at": iso_z("finished_at")})
 
@@ -339,10 +344,10 @@ def min_volume_query(spark, sf):
 @query(
     "p06_text_filter",
     "run_id:i entity:i symbol:s",
-    (Q.SNAP, "(SELECT * FROM snap WHERE contains(lower(name), 's00') OR contains(lower(symbol), 's00'))"),
+    (Q.SNAP, "(SELECT * FROM snap WHERE contains(lower(name), 's003') OR contains(lower(symbol), 's003'))"),
 )
 def text_query(spark, sf):
-    return snapshot_table(spark, sf, monthly(spark, sf)[0]).where(text_contains("S00", "name", "symbol"))
+    return snapshot_table(spark, sf, monthly(spark, sf)[0]).where(text_contains("S003", "name", "symbol"))
 
 
 @query(

@@ -184,3 +184,13 @@ def timeline(fired: DataFrame, panel: DataFrame, axis: DataFrame, entity, time:
         fired.where(mine).join(span, "t").join(panel.where(mine).select("t", "price"), "t", "left")
         .select("signal", time, "price")
     )
+
+
+def regime(panel: DataFrame) -> DataFrame:
+    """What the sample did: return from the first to the last known price per entity, then its median, mean and share up."""
+    known = panel.where("price is not null")
+    ends = known.groupBy("entity").agg(F.min_by("price", "t").alias("a"), F.max_by("price", "t").alias("b"))
+    rets = settle(ends.where("a != 0 and b != 0").select("entity", (F.col("b") / F.col("a") - 1.0).alias("ret")), "regime")
+    mid = order_statistics(rets, [], "ret", ["entity"], stored=True)
+    total = rets.agg(F.count("ret").alias("entities"), F.avg("ret").alias("mean_ret"), F.avg((F.col("ret") > 0).cast("int")).alias("share_up"))
+    return total.withColumn("median_ret", mid.select("median").scalar())

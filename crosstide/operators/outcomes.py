@@ -20,7 +20,7 @@ FIXED_SLIPS = {"30bp": 0.003, "100bp": 0.01, "300bp": 0.03}
 EVENT = ["entity", "signal", "t"]
 
 
-def _path(events: DataFrame, panel: DataFrame, n: int, hold: int, entry: str) -> DataFrame:
+def forwardforward_path(events: DataFrame, panel: DataFrame, n: int, hold: int, entry: str) -> DataFrame:
     """Event rows times held bars d = e+1 … min(n-1, e+hold), with `ref` = the entry price at e = t+1."""
     enter = panel.where(F.col(entry) > 0).select(
         "entity", F.col("t").alias("e"), F.col(entry).alias("ref"), F.col("adv").alias("adv_in")
@@ -72,7 +72,7 @@ def close_only(events: DataFrame, panel: DataFrame, n: int, hold: int) -> DataFr
     `panel`: entity, t, price, adv.
     """
     bars = panel.select("entity", F.col("t").alias("d"), F.col("price"), F.col("adv"))
-    path = _path(events, panel, n, hold, "price").join(bars, ["entity", "d"])
+    path = forward_path(events, panel, n, hold, "price").join(bars, ["entity", "d"])
     stop, target = F.col("ref") * (1 - STOP), F.col("ref") * (1 + TARGET)
     p = F.col("price")
     why = F.when(p <= stop, F.lit("stop")).when(p >= target, F.lit("tp")).otherwise(F.lit("none"))
@@ -88,7 +88,7 @@ def on_bars(events: DataFrame, panel: DataFrame, n: int, hold: int) -> DataFrame
     `panel`: entity, t, open, high, low, close, adv.
     """
     bars = panel.select("entity", F.col("t").alias("d"), "open", "high", "low", "close", "adv")
-    path = _path(events, panel, n, hold, "open").join(bars, ["entity", "d"])
+    path = forward_path(events, panel, n, hold, "open").join(bars, ["entity", "d"])
     stop, target = F.col("ref") * (1 - STOP), F.col("ref") * (1 + TARGET)
     seen = F.col("low").isNotNull()
     hit_stop, hit_target = seen & (F.col("low") <= stop), seen & (F.col("high") >= target)

@@ -11,7 +11,7 @@ from crosstide.operators.factors import Grid, on_grid
 from crosstide.operators.panel import back, complete, fill_gaps, fresh, long_enough, nan_to_null, nonzero
 from crosstide.operators.scoring import window_means, window_returns, window_sums
 from crosstide.plans import sql as Q
-from crosstide.plans.event_study import HOURLY, MONTHLY, valid_range
+from crosstide.plans.event_study import HOURLY, MONTHLY, hourly_study, monthly_study
 from crosstide.plans.registry import query
 from crosstide.plans.views import (
     M2D,
@@ -247,8 +247,6 @@ def _range_sql(panel: str, spec) -> tuple[str, str]:
     (TOP_M + Q.fires(MONTHLY.thresholds, MONTHLY.signals, *_range_sql("m1", MONTHLY)), "(SELECT * FROM fires WHERE entity <> 0)"),
 )
 def fires_query(spark, sf):
-    from crosstide.plans.event_study import monthly_study
-
     return monthly_study(spark, sf).fires
 
 
@@ -261,8 +259,6 @@ def fires_query(spark, sf):
     ),
 )
 def fires_hourly_query(spark, sf):
-    from crosstide.plans.event_study import hourly_study
-
     return hourly_study(spark, sf).fires
 
 

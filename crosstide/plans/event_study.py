@@ -64,11 +64,16 @@ class Study:
     hi: int
     cache: dict = field(default_factory=dict)
 
+    @property
+    def tested(self) -> DataFrame:
+        """The panel without the benchmark."""
+        mark = self.spec.benchmark
+        return self.panel if mark is None else self.panel.where(F.col("entity") != F.lit(mark))
+
     @property
     def labels(self) -> DataFrame:
         if "labels" not in self.cache:
-            tested = self.panel if self.spec.benchmark is None else self.panel.where(F.col("entity") != F.lit(self.spec.benchmark))
-            self.cache["labels"] = settle(labels(tested, self.n, self.spec.thresh, self.spec.horizon), "labels")
+            self.cache["labels"] = settle(labels(self.tested, self.n, self.spec.thresh, self.spec.horizon), "labels")
         return self.cache["labels"]
 
     @property
@@ -107,11 +112,11 @@ def hourly_study(spark: SparkSession, sf: str, spec: Spec = HOURLY) -> Study:
 
 
 def monthly_adv(study: Study) -> DataFrame:
-    return study.panel.withColumn("adv", trailing_median("volume", 6))
+    return study.tested.withColumn("adv", trailing_median("volume", 6))
 
 
 def hourly_adv(study: Study) -> DataFrame:
-    return blocked_adv(study.panel)
+    return blocked_adv(study.tested)
 
 
 def tiered(study: Study, trades: DataFrame, panel: DataFrame) -> DataFrame:

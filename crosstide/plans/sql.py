@@ -201,8 +201,8 @@ top AS (
 """
 
 
-def fires(th, names: list[str], lo: str, hi: str) -> str:
-    """`fires` (entity, t, signal); needs `feats` and `top`."""
+def fires(th, names: list[str], lo: str, hi: str, tested: str = "true") -> str:
+    """`fires` (entity, t, signal) of the tested entities; needs `feats` and `top`."""
     s1 = f"coalesce(price_ratio >= {th.price_ratio}e0 AND vol_ratio >= {th.vol_ratio}e0, false)"
     s2 = f"coalesce(z >= {th.z}e0, false)"
     calm = f"coalesce(ext <= {th.ext}e0, false)"
@@ -219,7 +219,7 @@ def fires(th, names: list[str], lo: str, hi: str) -> str:
     parts = [f"SELECT entity, t, '{n}' AS signal FROM fj WHERE {flags[n].replace('top.entity', 'top_entity')}" for n in names]
     return f"""
 fj AS (SELECT feats.*, top.entity AS top_entity FROM feats LEFT JOIN top ON top.entity = feats.entity AND top.t = feats.t
-       WHERE feats.t BETWEEN {lo} AND {hi}),
+       WHERE {tested} AND feats.t BETWEEN {lo} AND {hi}),
 fires AS ({' UNION ALL '.join(parts)}),
 """
 
@@ -256,3 +256,148 @@ cool AS (
   SELECT c.entity, c.signal, (SELECT min(f.t) FROM fires f WHERE f.entity = c.entity AND f.signal = c.signal AND f.t >= c.t + {bars}) AS t
   FROM cool c WHERE EXISTS (SELECT 1 FROM fires f WHERE f.entity = c.entity AND f.signal = c.signal AND f.t >= c.t + {bars})),
 """
+
+
+def close_trades(panel: str, hold: int, adv: str, tested: str = "true") -> str:
+    """`tr`: close-only outcomes of `cool`."""
+    return f"""
+advp AS (SELECT * FROM (SELECT entity, t, price, {adv} AS adv FROM {panel}) WHERE {tested}),
+mx AS (SELECT max(t) AS m FROM {panel}),
+en AS (SELECT c.entity, c.signal, c.t, c.t + 1 AS e, p.price AS ref, p.adv AS adv_in, least((SELECT m FROM mx), c.t + 1 + {hold}) AS fin
+       FROM cool c JOIN advp p ON p.entity = c.entity AND p.t = c.t + 1 WHERE p.price > 0 AND c.t + 2 <= (SELECT m FROM mx)),
+pa AS (SELECT en.*, p.t AS d, p.price, p.adv FROM en JOIN advp p ON p.entity = en.entity AND p.t BETWEEN en.e + 1 AND en.fin),
+tc AS (SELECT *, coalesce(least(ds, dt), fin) AS x FROM (
+         SELECT entity, signal, t, e, ref, adv_in, fin, min(d) FILTER (price <= ref * 0.8e0) AS ds, min(d) FILTER (price >= ref * 1.4e0) AS dt
+         FROM pa GROUP BY ALL)),
+tr AS (
+  SELECT tc.entity, tc.signal, tc.t, tc.e AS entry_t, tc.x AS exit_t,
+         CASE WHEN x = ds THEN 'stop' WHEN x = dt THEN 'tp' ELSE 'time' END AS why,
+         (CASE WHEN x = ds THEN p.price WHEN x = dt THEN ref * 1.4e0 ELSE p.price END) / ref - 1 AS gross,
+         CASE WHEN x = ds THEN ref * 0.8e0 / p.price - 1 ELSE 0 END AS gap,
+         least(ref, (SELECT min(q.price) FROM advp q WHERE q.entity = tc.entity AND q.t BETWEEN tc.e + 1 AND tc.x)) / ref - 1 AS mdd,
+         (tc.x - tc.e)::DOUBLE AS bars_held, adv_in, p.adv AS adv_out
+  FROM tc JOIN advp p ON p.entity = tc.entity AND p.t = tc.x WHERE p.price IS NOT NULL),
+"""
+
+
+def bar_trades(hold: int) -> str:
+    """`tr`: outcomes of `cool` on the bars of `pan`; needs `adv`."""
+    return f"""
+advp AS (SELECT pan.entity, pan.t, open, high, low, close, adv FROM pan JOIN adv ON adv.entity = pan.entity AND adv.t = pan.t),
+mx AS (SELECT max(t) AS m FROM pan),
+en AS (SELECT c.entity, c.signal, c.t, c.t + 1 AS e, p.open AS ref, p.adv AS adv_in, least((SELECT m FROM mx), c.t + 1 + {hold}) AS fin
+       FROM cool c JOIN advp p ON p.entity = c.entity AND p.t = c.t + 1 WHERE p.open > 0 AND c.t + 2 <= (SELECT m FROM mx)),
+pa AS (SELECT en.*, p.t AS d, p.low, p.high FROM en JOIN advp p ON p.entity = en.entity AND p.t BETWEEN en.e + 1 AND en.fin),
+tc AS (SELECT *, coalesce(least(ds, dt), fin) AS x FROM (
+         SELECT entity, signal, t, e, ref, adv_in, fin, min(d) FILTER (low <= ref * 0.8e0) AS ds,
+                min(d) FILTER (low IS NOT NULL AND high >= ref * 1.4e0) AS dt FROM pa GROUP BY ALL)),
+tr AS (
+  SELECT tc.entity, tc.signal, tc.t, tc.e AS entry_t, tc.x AS exit_t,
+         CASE WHEN x = ds THEN 'stop' WHEN x = dt THEN 'tp' ELSE 'time' END AS why,
+         (CASE WHEN x = ds THEN least(p.open, ref * 0.8e0) WHEN x = dt THEN greatest(p.open, ref * 1.4e0) ELSE p.close END) / ref - 1 AS gross,
+         CASE WHEN x = ds THEN ref * 0.8e0 / least(p.open, ref * 0.8e0) - 1 ELSE 0 END AS gap,
+         least(ref, (SELECT min(q.low) FROM advp q WHERE q.entity = tc.entity AND q.t BETWEEN tc.e + 1 AND tc.x)) / ref - 1 AS mdd,
+         (tc.x - tc.e)::DOUBLE AS bars_held, (coalesce(x = ds AND x = dt, false))::INT AS both_, adv_in, p.adv AS adv_out
+  FROM tc JOIN advp p ON p.entity = tc.entity AND p.t = tc.x WHERE p.close IS NOT NULL OR x = ds OR x = dt),
+"""
+
+
+COSTS = """
+tw AS (
+  SELECT *, CASE WHEN adv_in <> 0 THEN 10000 / adv_in END AS part,
+         CASE WHEN adv_in > 0 THEN 0.0015e0 + 0.1e0 * sqrt(10000e0 / adv_in) ELSE 0.05e0 END AS slip_in,
+         CASE WHEN adv_out > 0 THEN 0.0015e0 + 0.1e0 * sqrt(10000e0 / adv_out) ELSE 0.05e0 END AS slip_out FROM tr),
+tn AS (
+  SELECT *, (1 + gross) * (1 - 0.003e0) / (1 + 0.003e0) - 1 - 2 * 0.001e0 AS n30, (1 + gross) * (1 - 0.01e0) / (1 + 0.01e0) - 1 - 2 * 0.001e0 AS n100,
+         (1 + gross) * (1 - 0.03e0) / (1 + 0.03e0) - 1 - 2 * 0.001e0 AS n300, (1 + gross) * (1 - slip_out) / (1 + slip_in) - 1 - 2 * 0.001e0 AS nvol FROM tw),
+"""
+
+
+def tiered(lo: str, hi: str, top: int, step: int) -> str:
+    """`tt`: trades as all / liquid / illiquid; needs `tn` and `advp`."""
+    return f"""
+lq AS (SELECT entity, t AS mark FROM (
+         SELECT entity, t, row_number() OVER (PARTITION BY t ORDER BY adv DESC, entity) AS r FROM advp
+         WHERE t BETWEEN {lo} AND {hi} AND (t - {lo}) % {step} = 0 AND adv IS NOT NULL AND adv <> 0) WHERE r <= {top}),
+tm AS (SELECT tn.*, CASE WHEN lq.entity IS NULL THEN 'illiquid' ELSE 'liquid' END AS side
+       FROM tn LEFT JOIN lq ON lq.entity = tn.entity AND lq.mark = {lo} + ((tn.t - {lo}) // {step}) * {step}),
+tt AS (SELECT *, 'all' AS tier FROM tm UNION ALL SELECT *, side FROM tm),
+"""
+
+
+def _p10(x: str) -> str:
+    return f"list_sort(list({x}))[greatest(0, floor(0.1e0 * count(*))::INT - 1) + 1]"
+
+
+SUMMARY = """
+sm AS (
+  SELECT signal, tier, count(*) AS n, median(bars_held) AS median_bars, avg((why = 'stop')::INT) AS pct_stop, avg((why = 'tp')::INT) AS pct_tp,
+         avg((gap > 0.02e0)::INT) AS pct_gap_2pct, coalesce(median(gap) FILTER (why = 'stop'), 0) AS median_gap_on_stops,
+         median(mdd) AS median_mdd, min(mdd) AS worst_mdd, avg(gross) AS gross_mean, ((1 + avg(gross)) - 1.002e0) / ((1 + avg(gross)) + 1.002e0) AS breakeven_slip,
+         median(part) AS median_part, count(*) FILTER (part > 0.01e0)::DOUBLE / nullif(count(part), 0) AS pct_not_exitable,
+""" + ",\n".join(
+    f"         avg({c}) AS exp_{k}, median({c}) AS med_{k}, {_p10(c)} AS p10_{k}, avg(({c} > 0)::INT) AS win_{k}"
+    for k, c in (("30bp", "n30"), ("100bp", "n100"), ("300bp", "n300"), ("vol", "nvol"))
+) + """
+  FROM tt GROUP BY 1, 2),
+"""
+
+
+def study(names: list[str], lo: str, hi: str, before: int, after: int) -> str:
+    """`st`: the event-study rows; needs `fires`, `cool`, `lab` and `mv`."""
+    values = ", ".join(f"('{n}')" for n in names)
+    return f"""
+nm AS (SELECT * FROM (VALUES {values}) v(signal)),
+br AS (SELECT coalesce(avg(hit::INT), 0) AS base_rate FROM lab WHERE t BETWEEN {lo} AND {hi} AND hit IS NOT NULL),
+ev AS (SELECT c.entity, c.signal, c.t, l.hit, l.peak, l.term, CASE WHEN l.hit THEN mv.liftoff - c.t END AS lead
+       FROM cool c JOIN lab l ON l.entity = c.entity AND l.t = c.t LEFT JOIN mv ON mv.entity = c.entity AND c.t BETWEEN mv.start AND mv.fin),
+rec AS (SELECT nm.signal, count(*) AS moves, count(*) FILTER (EXISTS (SELECT 1 FROM fires f WHERE f.entity = mv.entity AND f.signal = nm.signal
+          AND f.t BETWEEN mv.start - {before} AND mv.start + {after})) AS caught FROM nm CROSS JOIN mv GROUP BY 1),
+raw_ AS (SELECT signal, count(*) AS raw_fires, count(DISTINCT entity) AS entities FROM fires GROUP BY 1),
+agg AS (SELECT signal, count(*) AS events, count(*) FILTER (hit) AS hits, median(lead) AS median_lead, median(peak) AS median_peak_fwd,
+               median(term) AS median_term_fwd, count(*) FILTER (lead >= 0)::DOUBLE / nullif(count(lead), 0) AS pct_lead_ge0 FROM ev GROUP BY 1),
+sj AS (SELECT nm.signal, coalesce(raw_fires, 0) AS raw_fires, coalesce(entities, 0) AS entities, coalesce(events, 0) AS events, coalesce(hits, 0) AS hits,
+              moves, caught, median_lead, median_peak_fwd, median_term_fwd, pct_lead_ge0, base_rate,
+              coalesce(hits, 0)::DOUBLE / nullif(coalesce(events, 0), 0) AS precision
+       FROM nm LEFT JOIN raw_ USING (signal) LEFT JOIN agg USING (signal) LEFT JOIN rec USING (signal) CROSS JOIN br),
+st AS (SELECT * REPLACE (CASE WHEN events > 0 THEN ci_low END AS ci_low, CASE WHEN events > 0 THEN ci_high END AS ci_high) FROM (
+  SELECT *, sqrt(precision * (1 - precision) / nullif(events, 0)) AS se, precision / nullif(base_rate, 0) AS lift, caught::DOUBLE / nullif(moves, 0) AS recall,
+              greatest(0, (precision + 1.96e0 * 1.96e0 / (2 * events)) / (1 + 1.96e0 * 1.96e0 / events)
+                - 1.96e0 * sqrt(precision * (1 - precision) / events + 1.96e0 * 1.96e0 / (4 * events * events)) / (1 + 1.96e0 * 1.96e0 / events)) AS ci_low,
+              least(1, (precision + 1.96e0 * 1.96e0 / (2 * events)) / (1 + 1.96e0 * 1.96e0 / events)
+                + 1.96e0 * sqrt(precision * (1 - precision) / events + 1.96e0 * 1.96e0 / (4 * events * events)) / (1 + 1.96e0 * 1.96e0 / events)) AS ci_high FROM sj)),
+"""
+
+
+EDGES = """
+eg AS (SELECT signal, tier, count(*) AS n, avg(n100) AS m, var_samp(n100) AS v FROM tt GROUP BY 1, 2 HAVING count(*) >= 2),
+ed AS (SELECT a.signal, a.tier, a.n, a.m AS mean, b.m AS base, a.m - b.m AS edge, coalesce((a.m - b.m) / nullif(sqrt(a.v / a.n + b.v / b.n), 0), 0) AS t
+       FROM eg a JOIN eg b ON b.tier = a.tier AND b.signal = 'BASELINE_always' WHERE a.signal <> 'BASELINE_always'),
+"""
+
+_MIX = "(({h} * 1103515245 + 12345) % 2147483648)"
+
+
+def bootstrap(draws: int, seed: int, bars_per_day: int = 24) -> str:
+    """`bt`: interval of the edge over redrawn entry days; needs `tt`."""
+    steps = "SELECT signal, tier, days, draw, i, (draw * 7919 + i * 104729 + {s}) % 2147483648 AS h FROM tries".format(s=seed * 15485863)
+    for _ in range(3):
+        steps = f"SELECT signal, tier, days, draw, i, h + (h // 65536) * 2531011 AS h FROM (SELECT * REPLACE ({_MIX.format(h='h')} AS h) FROM ({steps}))"
+        steps = f"SELECT * REPLACE (h % 2147483648 AS h) FROM ({steps})"
+    return f"""
+dy AS (SELECT signal, tier, (entry_t // {bars_per_day})::BIGINT AS day, sum(n100) AS s, count(*) AS c FROM tt GROUP BY 1, 2, 3),
+sg AS (SELECT DISTINCT signal, tier FROM dy WHERE signal <> 'BASELINE_always'),
+ad AS (SELECT DISTINCT sg.signal, sg.tier, dy.day FROM sg JOIN dy ON dy.tier = sg.tier AND dy.signal IN (sg.signal, 'BASELINE_always')),
+pd AS (SELECT ad.signal, ad.tier, ad.day, a.s, a.c, b.s AS bs, b.c AS bc, row_number() OVER (PARTITION BY ad.signal, ad.tier ORDER BY ad.day) - 1 AS slot,
+              count(*) OVER (PARTITION BY ad.signal, ad.tier) AS days
+       FROM ad LEFT JOIN dy a ON a.signal = ad.signal AND a.tier = ad.tier AND a.day = ad.day
+       LEFT JOIN dy b ON b.signal = 'BASELINE_always' AND b.tier = ad.tier AND b.day = ad.day),
+sz AS (SELECT signal, tier, max(days) AS days FROM pd GROUP BY 1, 2),
+tries AS (SELECT signal, tier, days, d.range AS draw, s.range AS i FROM sz CROSS JOIN range({draws}) d CROSS JOIN range(400) s WHERE days >= 3 AND s.range < days),
+pk AS (SELECT signal, tier, draw, (h // 16) % days AS slot FROM ({steps})),
+dr AS (SELECT pk.signal, pk.tier, draw, sum(s) / nullif(sum(c), 0) - sum(bs) / nullif(sum(bc), 0) AS edge
+       FROM pk JOIN pd ON pd.signal = pk.signal AND pd.tier = pk.tier AND pd.slot = pk.slot GROUP BY 1, 2, 3),
+bs_ AS (SELECT signal, tier, list_sort(list(edge)) AS l FROM dr WHERE edge IS NOT NULL GROUP BY 1, 2),
+bt AS (SELECT sz.signal, sz.tier, sz.days, l[floor(0.025e0 * len(l))::INT + 1] AS boot_lo, l[floor(0.975e0 * len(l))::INT] AS boot_hi
+       FROM sz LEFT JOIN bs_ USING (signal, tier)),
+"""

@@ -20,7 +20,7 @@ FIXED_SLIPS = {"30bp": 0.003, "100bp": 0.01, "300bp": 0.03}
 EVENT = ["entity", "signal", "t"]
 
 
-def forwardforward_path(events: DataFrame, panel: DataFrame, n: int, hold: int, entry: str) -> DataFrame:
+def forward_path(events: DataFrame, panel: DataFrame, n: int, hold: int, entry: str) -> DataFrame:
     """Event rows times held bars d = e+1 … min(n-1, e+hold), with `ref` = the entry price at e = t+1."""
     enter = panel.where(F.col(entry) > 0).select(
         "entity", F.col("t").alias("e"), F.col(entry).alias("ref"), F.col("adv").alias("adv_in")

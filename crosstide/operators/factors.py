@@ -94,8 +94,8 @@ def unmeasured(rows: DataFrame) -> DataFrame:
 def calendar(axis: DataFrame, time: str) -> DataFrame:
     """(day, t): every calendar day with the axis point it follows, the last point covering its own day."""
     nxt = F.lead(time).over(Window.partitionBy(F.lit(0)).orderBy("t"))
-    days = F.sequence(F.col(time).cast("date"), F.coalesce(F.date_sub(nxt, 1), F.col(time).cast("date")))
-    return axis.select("t", F.explode(days).alias("day"))
+    spans = axis.select("t", F.col(time).cast("date").alias("_from"), F.date_sub(nxt, 1).alias("_to"))
+    return spans.select("t", F.explode(F.sequence("_from", F.coalesce("_to", "_from"))).alias("day"))
 
 
 def rates_per_period(rates: DataFrame, cal: DataFrame, lo: int, step: int) -> DataFrame:

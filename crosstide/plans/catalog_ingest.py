@@ -42,7 +42,7 @@ from crosstide.streaming.bars import closed_bars, ingest_stream, run_available
 from crosstide.streaming.cooldown import online_cooldown
 
 HOUR = 3_600_000
-TOLERANCE = 1.03
+TOLERANCE = 1.01  # of the fixture, where it yields every status; the default is 2.0
 BAR = "open:2 high:2 low:2 close:2 quote_volume:2 trades:i"
 
 # ---- raw rows
@@ -466,10 +466,10 @@ def ledger_query(spark, sf):
 
 @query("i07_online_cooldown", "entity:s signal:s t:i")
 def online_query(spark, sf):
-    """Hourly fires as a stream of files in time order; equals the batch cooldown (see tests)."""
+    """Hourly fires as a stream; one batch, ordered per key inside it, equals the batch cooldown (see tests)."""
     fired = hourly_study(spark, sf).fires.select("entity", "signal", F.col("t").cast("bigint").alias("t"))
     src, out = fresh_path(spark, "fires"), fresh_path(spark, "kept")
-    fired.repartition(1).sortWithinPartitions("t").write.parquet(src)
+    fired.write.parquet(src)
     stream = spark.readStream.schema(fired.schema).parquet(src)
     run_available(online_cooldown(stream, 24), out)
     return spark.read.parquet(out)

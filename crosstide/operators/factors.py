@@ -279,11 +279,8 @@ def series_stats(series: DataFrame, keys: list[str]) -> DataFrame:
 def beta_to_benchmark(series: DataFrame, bench: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
     """OLS slope and correlation of each series on the benchmark (`on` + t + b); null when either is constant."""
     both = series.join(bench, [*on, "t"])
-    sxx, syy = F.var_pop("b"), F.var_pop("x")
-    return both.groupBy(*keys).agg(
-        F.when(sxx > 0, F.regr_slope("x", "b")).alias("beta"),
-        F.when((sxx > 0) & (syy > 0), F.corr("x", "b")).alias("corr"),
-    )
+    sxx, syy, sxy = F.var_pop("b"), F.var_pop("x"), F.covar_pop("x", "b")
+    return both.groupBy(*keys).agg(ratio(sxy, sxx).alias("beta"), ratio(sxy, F.sqrt(sxx * syy)).alias("corr"))
 
 
 def gross_benchmark(series: DataFrame) -> DataFrame:

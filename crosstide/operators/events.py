@@ -133,7 +133,7 @@ def study(
     measures = events.select(
         "entity", "t", "signal", F.expr("stack(3, 'lead', lead, 'peak', peak, 'term', term) as (measure, value)")
     )
-    mids = order_statistics(measures, ["signal", "measure"], "value", ["entity", "t"])
+    mids = order_statistics(measures, ["signal", "measure"], "value", ["entity", "t"], stored=True)
     mids = (
         mids.groupBy("signal").pivot("measure", ["lead", "peak", "term"]).agg(F.first("median"))
         .toDF("signal", "median_lead", "median_peak_fwd", "median_term_fwd")

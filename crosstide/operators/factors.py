@@ -135,8 +135,9 @@ def with_carry_inputs(uni: DataFrame, rates: DataFrame, axis: DataFrame, time: s
 
 
 def rate_coverage(uni: DataFrame) -> DataFrame:
-    """Share of entity-periods with a rate series, covered periods, their upper-middle median and mean."""
-    mid = order_statistics(uni.select("entity", "t", "rate_sum"), [], "rate_sum", ["entity", "t"])
+    """Share of entity-periods with a rate series, covered periods, their upper-middle median and mean.
+    `uni` reads from a written table."""
+    mid = order_statistics(uni.select("entity", "t", "rate_sum"), [], "rate_sum", ["entity", "t"], stored=True)
     return uni.agg(
         F.avg(F.col("has_rate").cast("int")).alias("perp_share"),
         F.count("rate_sum").alias("covered"),

@@ -10,10 +10,16 @@ from crosstide.functions.scalar import HOUR_MS, epoch_ms, floor_hour
 BAR_KEYS = ["symbol", "market", "open_time"]
 
 
-def bar_aggregates(order: Column, value: str = "value") -> list[Column]:
-    """open, high, low, close, quote_volume, trades; every part combines map-side, so a hot symbol
-    reaches its reducer as one partial bar per task. Money adds up in whole cents."""
-    v = F.col(value)
+def tick_order(ts: str = "ts", event_id: str = "event_id") -> Column:
+    """Time, then id, as one decimal: a struct here would make Spark sort all ticks before it combines them."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(18,0)")
+    return micros * F.lit(str(10**19)).cast("decimal(20,0)") + F.col(event_id).cast("decimal(19,0)")
+
+
+def bar_aggregates(value: str = "value") -> list[Column]:
+    """open, high, low, close, quote_volume, trades; every part combines map-side in a hash aggregate,
+    so a hot symbol reaches its reducer as one partial bar per task. Money adds up in whole cents."""
+    v, order = F.col(value), tick_order()
     return [
         F.min_by(value, order).alias("open"),
         F.max(v).alias("high"),
@@ -27,7 +33,7 @@ def bar_aggregates(order: Column, value: str = "value") -> list[Column]:
 def bars_from_ticks(ticks: DataFrame, keys: list[str]) -> DataFrame:
     """One bar per key and hour from ticks (ts, event_id, value): open_time (ms), OHLC, quote_volume, trades."""
     hour = floor_hour(epoch_ms("ts")).alias("open_time")
-    return ticks.groupBy(*keys, hour).agg(*bar_aggregates(F.struct("ts", "event_id")))
+    return ticks.groupBy(*keys, hour).agg(*bar_aggregates())
 
 
 def due_bars(keys: DataFrame, bars: DataFrame, floor_ms: int, now_ms: int, by: list[str]) -> DataFrame:

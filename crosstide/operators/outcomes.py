@@ -136,7 +136,7 @@ def summarise(trades: DataFrame) -> DataFrame:
     measures |= {k: F.col(f"net_{k}") for k in nets}
     pairs = [x for k, c in measures.items() for x in (F.lit(k), c)]
     longer = wide.select("entity", "t", *keys, F.stack(F.lit(len(measures)), *pairs).alias("measure", "value"))
-    stats = order_statistics(longer, [*keys, "measure"], "value", ["entity", "t"])
+    stats = order_statistics(longer, [*keys, "measure"], "value", ["entity", "t"], stored=True)
     wanted = {"median_bars": "bars", "median_gap_on_stops": "gap", "median_mdd": "mdd", "median_part": "part"}
     cells = [F.max(F.when(F.col("measure") == m, F.col("median"))).alias(k) for k, m in wanted.items()]
     cells += [F.max(F.when(F.col("measure") == k, F.col("median"))).alias(f"med_{k}") for k in nets]

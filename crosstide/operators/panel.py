@@ -64,9 +64,12 @@ def fill_gaps(df: DataFrame, n: int) -> DataFrame:
     )
 
 
-def aligned(df: DataFrame, time: str) -> tuple[DataFrame, DataFrame, int]:
-    """(panel, axis, axis length) of a frame with `entity`, `time` and measures."""
-    axis, n = time_axis(df, time)
+def aligned(df: DataFrame, time: str, times: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(panel, axis, axis length) of a frame with `entity`, `time` and measures.
+
+    `times` may hold the same times more cheaply, such as one column of the raw table.
+    """
+    axis, n = time_axis(df if times is None else times, time)
     indexed = df.join(axis, time).drop(time)
     return fill_gaps(indexed, n), axis, n
 

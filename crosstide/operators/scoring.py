@@ -17,7 +17,6 @@ from crosstide.functions.scalar import (
     spread_factor,
 )
 from crosstide.operators.positions import rank_scores
-from crosstide.session import settle
 
 
 def _ends(series: DataFrame, time: str, last_of: Column | None = None) -> DataFrame:
@@ -49,8 +48,8 @@ def window_means(series: DataFrame, window: int, time: str = "ts_s", unit: int =
 def nearest(value: str, time: str, target: Column, first: Column) -> Column:
     """Aggregate: value of the point nearest to `target` (the earlier one on a tie), null when the
     series starts more than a day after the target."""
-    near = F.min_by(value, F.struct(F.abs(F.col(time) - target), F.col(time)))
-    return F.when(target >= first - DAY_MS, near)
+    distance = 2 * F.abs(F.col(time) - target) + (F.col(time) > target).cast("int")
+    return F.when(target >= first - DAY_MS, F.min_by(value, distance))
 
 
 def window_returns(series: DataFrame, window: int, time: str = "ts_ms") -> DataFrame:
@@ -113,6 +112,18 @@ def prior_from_history(runs: DataFrame, history: DataFrame, keys: list[str], val
     return as_of_values(runs, history, keys, values, window_days - 1)
 
 
+def own_history(df: DataFrame, keys: list[str], values: dict[str, str], lag_days: int) -> DataFrame:
+    """as_of_values where the runs asking are themselves the history: one window and no join.
+
+    Dates up to run_date - lag_days are visible; within a date the highest run id that has a value counts.
+    """
+    day = F.datediff("run_date", F.lit("1970-01-01").cast("date"))
+    seen = Window.partitionBy(*keys).orderBy(day).rangeBetween(Window.unboundedPreceding, -lag_days)
+    place = day.cast("bigint") * (1 << 40) + F.col("run_id").cast("bigint")
+    newest = lambda v: F.max_by(v, F.when(F.col(v).isNotNull(), place)).over(seen)
+    return df.withColumns({out: newest(v) for v, out in values.items()})
+
+
 def previous_score(runs: DataFrame, scores: DataFrame, out: str = "score_prev") -> DataFrame:
     """Latest score of a strictly earlier date; re-runs of one day are not history."""
     return as_of_values(runs, scores, ["entity"], {"score": out}, 1)
@@ -160,8 +171,8 @@ def composite(metrics: DataFrame, weights: dict[str, float] = WEIGHTS, shrink: b
 
 def scores_with_change(scores: DataFrame, runs: DataFrame) -> DataFrame:
     """Composite rows with score_prev and score_change against the last strictly earlier run."""
-    dated = settle(scores.join(runs.select("run_id", "run_date"), "run_id"), "scores")
-    before = previous_score(dated, dated)
+    dated = scores.join(runs.select("run_id", "run_date"), "run_id")
+    before = own_history(dated, ["entity"], {"score": "score_prev"}, 1)
     return before.withColumn("score_change", score_change("score", "score_prev"))
 
 

@@ -19,7 +19,7 @@ def with_trust(tickers: DataFrame, trust: DataFrame) -> DataFrame:
 
 def _share() -> Column:
     traded = F.col("volume") > 0
-    green = F.sum(F.when(traded & F.col("green"), F.col("volume")).when(traded, F.lit(0.0)))
+    green = F.sum(F.when(traded & F.col("green"), F.col("volume")).when(traded, F.lit(0)))
     return ratio(green, F.sum(F.when(traded, F.col("volume"))))
 
 

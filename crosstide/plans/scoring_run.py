@@ -12,7 +12,7 @@ from crosstide.operators.panel import back, nonzero, rows
 from crosstide.operators.scoring import (
     composite,
     metric_rows,
-    prior_from_history,
+    own_history,
     relative_to_benchmark,
     reputable_volume,
     scores_with_change,
@@ -91,22 +91,21 @@ def metric_pairs(snapshots: DataFrame, panel: DataFrame) -> tuple[DataFrame, Dat
     """(long metric pairs of included entities, the stored shares of every run)."""
     w = relative_to_benchmark(paired_windows(panel), BENCHMARK, ["t"])
     kept = snapshots.where("included").select("run_id", "entity", "has_protocol")
-    base = settle(w.withColumn("run_id", F.col("t") + 1).join(kept, ["run_id", "entity"]), "pairs")
-    history = base.select("run_id", "run_date", "entity", "share", F.col("lines").cast("double").alias("lines"))
-    full = prior_from_history(base, history, ["entity"], {"share": "share_pri", "lines": "lines_pri"}, WINDOW_DAYS)
+    base = w.withColumns({"run_id": F.col("t") + 1, "lines": F.col("lines").cast("double")}).join(kept, ["run_id", "entity"])
+    full = own_history(base, ["entity"], {"share": "share_pri", "lines": "lines_pri"}, WINDOW_DAYS - 1)
     v_cur, v_pri = reputable_volume(F.col("v_cur"), F.col("v_pri"), F.col("share"), F.col("share_pri"))
     protocol = F.col("has_protocol")
     cells = {
         "volume_reputable": (v_cur, v_pri),
         "tvl": (F.when(protocol, F.col("cap_cur")), F.when(protocol, F.col("cap_pri"))),
-        "exchange_count": (F.col("lines").cast("double"), F.col("lines_pri")),
+        "exchange_count": (F.col("lines"), F.col("lines_pri")),
         "rel_btc": (F.col("current"), F.col("prior")),
     }
     parts = [x for k, (c, p) in cells.items() for x in (F.lit(k), c, p)]
     pairs = full.select(
         "run_id", "run_date", "entity", F.stack(F.lit(len(cells)), *parts).alias("metric_key", "current", "prior")
     )
-    return pairs, history.select("run_id", "entity", F.lit("_reputable_share").alias("metric_key"), F.col("share").alias("current"))
+    return pairs, base.select("run_id", "entity", F.lit("_reputable_share").alias("metric_key"), F.col("share").alias("current"))
 
 
 def scoring_run(spark: SparkSession, sf: str, shrink: bool = True) -> RunTables:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstide.functions.scalar import epoch_ms
+from crosstide.functions.scalar import epoch_ms, floor_hour
 from crosstide.operators.ingest import bars_from_ticks
 from crosstide.operators.panel import aligned, fill_gaps, rows, time_axis
 from crosstide.session import settle
@@ -23,11 +23,14 @@ def cents(column: str) -> Column:
 # ---- M1: supplier x month, the main panel
 
 
+def month_number(date: str) -> Column:
+    return (F.year(date) * 12 + F.month(date) - 1).cast("int")
+
+
 def monthly_cells(spark: SparkSession, sf: str) -> DataFrame:
-    month = (F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1).cast("int")
     return (
         table(spark, sf, "lineitem")
-        .groupBy(F.col("l_suppkey").alias("entity"), month.alias("mno"))
+        .groupBy(F.col("l_suppkey").alias("entity"), month_number("l_shipdate").alias("mno"))
         .agg(
             F.sum(cents("l_extendedprice")).alias("cents"),
             F.sum(F.col("l_quantity").cast("bigint")).alias("qty"),
@@ -42,11 +45,14 @@ def month_start(mno: str = "mno") -> Column:
 
 
 def monthly(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
-    """(panel, axis, n): entity, t, run_date, cents, qty, gcents, lines, volume, price, cap."""
-    cells = settle(monthly_cells(spark, sf), "cells")
-    axis, n = time_axis(cells, "mno")
-    axis = axis.withColumn("run_date", month_start())
-    spine = fill_gaps(cells.join(axis.select("mno", "t"), "mno").drop("mno"), n)
+    """(panel, axis, n): entity, t, run_date, cents, qty, gcents, lines, volume, price, cap.
+
+    The axis comes from the date column alone, so the cells are aggregated once, straight into the panel.
+    """
+    months = table(spark, sf, "lineitem").select(month_number("l_shipdate").alias("mno"))
+    axis, n = time_axis(months, "mno")
+    axis = settle(axis.withColumn("run_date", month_start()), "axis")
+    spine = fill_gaps(monthly_cells(spark, sf).join(axis.select("mno", "t"), "mno").drop("mno"), n)
     panel = spine.withColumns(
         {
             "volume": F.col("cents") / 100.0,
@@ -71,7 +77,8 @@ def daily_series(spark: SparkSession, sf: str, entity: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf: str, entity: str) -> tuple[DataFrame, DataFrame, int]:
-    panel, axis, n = aligned(settle(daily_series(spark, sf, entity), "days"), "day")
+    days = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("day"))
+    panel, axis, n = aligned(daily_series(spark, sf, entity), "day", days)
     return settle(panel, "m2"), axis, n
 
 
@@ -95,9 +102,10 @@ def market_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 def hourly(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
     """Dense hourly panel over user parity; price = close and volume = quote_volume for the signals."""
-    bars = settle(bars_from_ticks(ticks(spark, sf), ["entity"]), "bars")
-    panel, axis, n = aligned(bars.drop("trades").withColumn("ts_ms", F.col("open_time")), "open_time")
-    panel = panel.drop("ts_ms").join(axis.select("t", F.col("open_time").alias("ts_ms")), "t")
+    bars = bars_from_ticks(ticks(spark, sf), ["entity"]).drop("trades")
+    hours = table(spark, sf, "events").select(floor_hour(epoch_ms("ts")).alias("open_time"))
+    panel, axis, n = aligned(bars, "open_time", hours)
+    panel = panel.join(axis.select("t", F.col("open_time").alias("ts_ms")), "t")
     panel = panel.withColumns({"price": F.col("close"), "volume": F.col("quote_volume")})
     return settle(panel, "m3"), axis, n
 

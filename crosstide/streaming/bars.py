@@ -15,11 +15,10 @@ from crosstide.sources.tables import upsert_partitions
 
 def closed_bars(ticks: DataFrame, keys: list[str], delay: str = "0 seconds") -> DataFrame:
     """Hourly bars in append mode: a bar leaves once the watermark has passed its end, and only once."""
-    order = F.struct("ts", "event_id")
     bars = (
         ticks.withWatermark("ts", delay)
         .groupBy(F.window("ts", "1 hour").alias("w"), *keys)
-        .agg(*bar_aggregates(order))
+        .agg(*bar_aggregates())
     )
     open_time = F.unix_millis(F.col("w.start").cast("timestamp"))
     return bars.select(*keys, open_time.alias("open_time"), "open", "high", "low", "close", "quote_volume", "trades")

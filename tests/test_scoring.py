@@ -152,3 +152,17 @@ def test_strip_multiplier(spark):
     s = lambda b: tuple(spark.range(1).select(*strip_multiplier(F.lit(b))).first())
     assert s("1000PEPE") == ("PEPE", 1000) and s("1000000MOG") == ("MOG", 1000000)
     assert s("1000") == ("1000", 1) and s("1INCH") == ("1INCH", 1)
+
+
+def test_own_history_equals_the_general_lookup(spark):
+    import random
+
+    from crosstide.operators.scoring import as_of_values, own_history
+
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), i, f"2026-0{rng.randrange(1, 5)}-{rng.randrange(1, 28):02d}", rng.choice([None, rng.random()])) for i in range(120)]
+    df = history(spark, rows)
+    for lag in (1, 29):
+        general = {r.run_id: r.p for r in as_of_values(df.drop("v"), df, ["entity"], {"v": "p"}, lag).collect()}
+        assert {r.run_id: r.p for r in own_history(df, ["entity"], {"v": "p"}, lag).collect()} == general
+        assert any(v is not None for v in general.values())

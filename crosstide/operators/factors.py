@@ -36,21 +36,23 @@ class Grid:
     size: int = 300
 
 
-def trailing(g: Grid, periods: int, skip: int = 0) -> Column:
-    a, b = back("price", periods * g.step), back("price", skip * g.step)
+def trailing(periods: int, skip: int = 0) -> Column:
+    """Return over the `periods` before the date, leaving out the last `skip`; reads the look-backs `p0`, `p1`, …"""
+    a, b = F.col(f"p{periods}"), F.col(f"p{skip}")
     return F.when(a > 0, b / a - 1.0)
 
 
-FACTORS: dict[str, Callable[[Grid], Column]] = {
-    "mom_1w": lambda g: trailing(g, 1),
-    "mom_2w": lambda g: trailing(g, 2),
-    "mom_4w": lambda g: trailing(g, 4),
-    "mom_8w": lambda g: trailing(g, 8),
-    "mom_12w": lambda g: trailing(g, 12),
-    "mom_4w_skip1w": lambda g: trailing(g, 4, 1),
-    "mom_12w_skip1w": lambda g: trailing(g, 12, 1),
-    "rev_1w": lambda g: -trailing(g, 1),
-    "size_smb": lambda g: -F.col("cap"),
+# name -> what the top slice holds; more factors can be registered the same way
+FACTORS: dict[str, Callable[[], Column]] = {
+    "mom_1w": lambda: trailing(1),
+    "mom_2w": lambda: trailing(2),
+    "mom_4w": lambda: trailing(4),
+    "mom_8w": lambda: trailing(8),
+    "mom_12w": lambda: trailing(12),
+    "mom_4w_skip1w": lambda: trailing(4, 1),
+    "mom_12w_skip1w": lambda: trailing(12, 1),
+    "rev_1w": lambda: -trailing(1),
+    "size_smb": lambda: -F.col("cap"),
 }
 
 
@@ -65,14 +67,13 @@ def candidates(panel: DataFrame, n: int, g: Grid) -> DataFrame:
     `ret` is the return of the period ahead, null when that period cannot be measured; it is a
     measurement, never an input of a factor.
     """
-    ahead = F.lead("price", g.step).over(by_entity())
-    ok = F.col("cap").isNotNull()
+    lags = [back("price", o * g.step).alias(f"p{o}") for o in OFFSETS]
+    ahead = F.lead("price", g.step).over(by_entity()).alias("_ahead")
+    seen = panel.select("entity", "t", "cap", ahead, *lags).where(on_grid(F.col("t"), n, g) & F.col("cap").isNotNull())
     for o in OFFSETS:
-        p = back("price", o * g.step)
-        ok = ok & p.isNotNull() & (p > 0)
-    ret = F.when(ahead > 0, ahead / F.col("price") - 1.0)
-    out = panel.select("entity", "t", "cap", ok.alias("_ok"), ret.alias("ret"), *[f(g).alias(k) for k, f in FACTORS.items()])
-    return out.where(F.col("_ok") & on_grid(F.col("t"), n, g)).drop("_ok")
+        seen = seen.where(F.col(f"p{o}") > 0)
+    ret = F.when(F.col("_ahead") > 0, F.col("_ahead") / F.col("p0") - 1.0)
+    return seen.select("entity", "t", "cap", ret.alias("ret"), *[f().alias(k) for k, f in FACTORS.items()])
 
 
 def universe(rows: DataFrame, g: Grid) -> DataFrame:

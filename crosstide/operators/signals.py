@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosstide.functions.scalar import half_even_count, ratio
-from crosstide.operators.panel import by_entity, back, complete, nonzero, rows
+from crosstide.operators.panel import back, by_entity, complete, complete_median, frame_median, nonzero, rows
 from crosstide.operators.positions import rank_scores, with_positions
 from crosstide.session import settle
 
@@ -48,6 +48,7 @@ WINDOW_SETS = {
 # Signal names, and the weights of the two composite inputs.
 DAILY_SIGNALS = ["S0_prod", "S1_short_v_long", "S2_volsurge", "S3_accel", "S4_S2_notext", "S4b_S1S2_notext"]
 HOURLY_SIGNALS = ["BASELINE_always", *DAILY_SIGNALS, "S5_vol10x"]
+DAILY_PARTS = ["s0", "s1", "s2", "s3", "ext"]
 TOP_SHARE = 0.10
 W_VOL, W_REL = 0.20, 0.15
 
@@ -57,69 +58,107 @@ def warmup(w: Windows) -> int:
     return max(longest) + 1
 
 
-def s0_columns(w: int, volume: str = "volume") -> dict[str, Column]:
-    now_v, old_v = complete(F.sum, volume, w), complete(F.sum, volume, w, w)
-    mid, old = nonzero(back("price", w)), nonzero(back("price", 2 * w))
-    ok = now_v.isNotNull() & old_v.isNotNull() & F.col("price").isNotNull() & mid.isNotNull() & old.isNotNull()
+# Each signal has raw windows, computed once under a name, and columns derived from those names. Written as
+# one expression, a window mentioned three times would be computed three times.
+
+
+def _s0_raw(w: Windows, volume: str) -> dict[str, Column]:
+    return {
+        "_v_now": complete(F.sum, volume, w.s0_w),
+        "_v_old": complete(F.sum, volume, w.s0_w, w.s0_w),
+        "_p_mid": nonzero(back("price", w.s0_w)),
+        "_p_old": nonzero(back("price", 2 * w.s0_w)),
+    }
+
+
+def _s0() -> dict[str, Column]:
+    c = F.col
+    ok = c("price").isNotNull()
+    for name in ("_v_now", "_v_old", "_p_mid", "_p_old"):
+        ok = ok & c(name).isNotNull()
     return {
-        "vol_mom": F.when(ok, F.log((now_v + 1.0) / (old_v + 1.0))),
-        "ret_cur": F.when(ok, ratio(F.col("price"), mid) - 1.0),
-        "ret_prior": F.when(ok, ratio(mid, old) - 1.0),
+        "vol_mom": F.when(ok, F.log((c("_v_now") + 1.0) / (c("_v_old") + 1.0))),
+        "ret_cur": F.when(ok, ratio("price", "_p_mid") - 1.0),
+        "ret_prior": F.when(ok, ratio("_p_mid", "_p_old") - 1.0),
     }
 
 
-def s1_columns(short: int, long: int) -> dict[str, Column]:
-    ps, pl = complete(F.avg, "price", short), complete(F.avg, "price", long)
-    vs, vl = complete(F.avg, "volume", short), complete(F.avg, "volume", long)
-    ok = ps.isNotNull() & vs.isNotNull() & (pl > 0) & (vl > 0)
-    return {"price_ratio": F.when(ok, ratio(ps, pl)), "vol_ratio": F.when(ok, ratio(vs, vl))}
+def _s1_raw(w: Windows, volume: str) -> dict[str, Column]:
+    return {
+        "_ps": complete(F.avg, "price", w.s1_short),
+        "_pl": complete(F.avg, "price", w.s1_long),
+        "_vs": complete(F.avg, volume, w.s1_short),
+        "_vl": complete(F.avg, volume, w.s1_long),
+    }
+
 
+def _s1() -> dict[str, Column]:
+    ok = F.col("_ps").isNotNull() & F.col("_vs").isNotNull() & (F.col("_pl") > 0) & (F.col("_vl") > 0)
+    return {"price_ratio": F.when(ok, ratio("_ps", "_pl")), "vol_ratio": F.when(ok, ratio("_vs", "_vl"))}
 
-def s2_columns(recent: int, base: int, gap: int) -> dict[str, Column]:
-    sd = complete(F.stddev_pop, "volume", base, gap)
-    lift = complete(F.avg, "volume", recent) - complete(F.avg, "volume", base, gap)
-    return {"z": F.when(sd > 0, ratio(lift, sd))}
+
+def _s2_raw(w: Windows, volume: str) -> dict[str, Column]:
+    return {
+        "_recent": complete(F.avg, volume, w.s2_recent),
+        "_base": complete(F.avg, volume, w.s2_base, w.s2_gap),
+        "_sd": complete(F.stddev_pop, volume, w.s2_base, w.s2_gap),
+    }
 
 
-def s3_columns(k: int) -> dict[str, Column]:
-    mid, old = nonzero(back("price", k)), nonzero(back("price", 2 * k))
-    now, then = ratio(F.col("price"), mid) - 1.0, ratio(mid, old) - 1.0
+def _s2() -> dict[str, Column]:
+    return {"z": F.when(F.col("_sd") > 0, ratio(F.col("_recent") - F.col("_base"), "_sd"))}
+
+
+def _s3_raw(w: Windows, volume: str) -> dict[str, Column]:
+    return {"_k_mid": nonzero(back("price", w.s3_k)), "_k_old": nonzero(back("price", 2 * w.s3_k))}
+
+
+def _s3() -> dict[str, Column]:
+    now, then = ratio("price", "_k_mid") - 1.0, ratio("_k_mid", "_k_old") - 1.0
     return {"accel": now - then, "ret": F.when(then.isNotNull(), now)}
 
 
-def median_of(column: str):
-    return lambda c: F.percentile(c, F.lit(0.5))
+def _ext_raw(w: Windows, volume: str) -> dict[str, Column]:
+    return {"_p_med": complete_median("price", w.ext_look)}
 
 
-def extension_columns(look: int) -> dict[str, Column]:
-    return {"ext": ratio(F.col("price"), complete(median_of("price"), "price", look))}
+def _ext() -> dict[str, Column]:
+    return {"ext": ratio("price", "_p_med")}
 
 
-def multiple_columns(look: int) -> dict[str, Column]:
-    mid = complete(median_of("volume"), "volume", look, 1)
-    return {"mult": F.when(mid > 0, ratio(F.col("volume"), mid))}
+def _mult_raw(w: Windows, volume: str) -> dict[str, Column]:
+    return {"_v_med": complete_median(volume, w.mult_look, 1), "_v": F.col(volume)}
 
 
-def feature_columns(w: Windows) -> dict[str, Column]:
-    return {
-        **s0_columns(w.s0_w),
-        **s1_columns(w.s1_short, w.s1_long),
-        **s2_columns(w.s2_recent, w.s2_base, w.s2_gap),
-        **s3_columns(w.s3_k),
-        **extension_columns(w.ext_look),
-        **multiple_columns(w.mult_look),
-    }
+def _mult() -> dict[str, Column]:
+    return {"mult": F.when(F.col("_v_med") > 0, ratio("_v", "_v_med"))}
+
+
+PARTS = {
+    "s0": (_s0_raw, _s0),
+    "s1": (_s1_raw, _s1),
+    "s2": (_s2_raw, _s2),
+    "s3": (_s3_raw, _s3),
+    "ext": (_ext_raw, _ext),
+    "mult": (_mult_raw, _mult),
+}
+
+
+def with_features(panel: DataFrame, w: Windows, parts: list[str] | None = None, volume: str = "volume") -> DataFrame:
+    """The panel's columns and the inputs of the named signals. All windows share one exchange and sort."""
+    chosen = [PARTS[p] for p in parts or PARTS]
+    raw = {k: c for make, _ in chosen for k, c in make(w, volume).items()}
+    staged = panel.select("*", *[c.alias(k) for k, c in raw.items()])
+    return staged.select(*panel.columns, *[c.alias(k) for _, derive in chosen for k, c in derive().items()])
 
 
-def features(panel: DataFrame, w: Windows) -> DataFrame:
-    """entity, t, price, volume and every signal input. All windows share one exchange and sort."""
-    exprs = feature_columns(w)
-    return panel.select("entity", "t", "price", "volume", *[c.alias(k) for k, c in exprs.items()])
+def features(panel: DataFrame, w: Windows, parts: list[str] | None = None) -> DataFrame:
+    return with_features(panel.select("entity", "t", "price", "volume"), w, parts)
 
 
 def trailing_median(column: str, look: int = 30) -> Column:
     """Median of the samples in the last `look` rows; partial windows count."""
-    return F.percentile(column, F.lit(0.5)).over(rows(-(look - 1), 0))
+    return frame_median(column, rows(-(look - 1), 0))
 
 
 def blocked_adv(panel: DataFrame, days: int = 30, block: int = 24, out: str = "adv") -> DataFrame:
@@ -140,10 +179,9 @@ def composite_top(feats: DataFrame, panel: DataFrame, benchmark, w: int, top_sha
     Ranks run over every entity but the benchmark; both inputs must exist, and so must the
     benchmark's own windows, read on its price.
     """
+    mark = panel.where(F.col("entity") == F.lit(benchmark)).select("entity", "t", "price")
     bench = (
-        panel.where(F.col("entity") == F.lit(benchmark))
-        .select("entity", "t", "price")
-        .select("t", *[c.alias(k) for k, c in s0_columns(w, "price").items()])
+        with_features(mark, Windows(s0_w=w), ["s0"], "price")
         .where("ret_cur is not null")
         .select("t", F.col("ret_cur").alias("b_cur"), F.col("ret_prior").alias("b_prior"))
     )
@@ -172,7 +210,7 @@ def top_of_composite(inputs: DataFrame, top_share: float = TOP_SHARE) -> DataFra
     return placed.where(F.col("pos") < half_even_count(F.col("n"), top_share)).select("entity", "t", "composite")
 
 
-def fire_flags(th: Thresholds = Thresholds()) -> dict[str, Column]:
+def fire_flags(th: Thresholds = Thresholds(), with_multiple: bool = True) -> dict[str, Column]:
     """Boolean per signal; a missing feature never fires."""
     on = lambda c: F.coalesce(c, F.lit(False))
     s1 = on((F.col("price_ratio") >= th.price_ratio) & (F.col("vol_ratio") >= th.vol_ratio))
@@ -187,7 +225,7 @@ def fire_flags(th: Thresholds = Thresholds()) -> dict[str, Column]:
         "S3_accel": s3,
         "S4_S2_notext": s2 & calm,
         "S4b_S1S2_notext": s1 & s2 & calm,
-        "S5_vol10x": on(F.col("mult") >= th.mult),
+        "S5_vol10x": on(F.col("mult") >= th.mult) if with_multiple else F.lit(False),
     }
 
 
@@ -198,7 +236,7 @@ def fires(feats: DataFrame, top: DataFrame | None, names: list[str], th: Thresho
         marked = in_range.withColumn("s0_fire", F.lit(False))
     else:
         marked = in_range.join(top.select("entity", "t", F.lit(True).alias("s0_fire")), ["entity", "t"], "left")
-    flags = fire_flags(th)
+    flags = fire_flags(th, "S5_vol10x" in names)
     fired = F.array_compact(F.array(*[F.when(flags[n], F.lit(n)) for n in names]))
     return marked.select("entity", "t", F.explode(fired).alias("signal"))
 
@@ -231,10 +269,10 @@ def latest_firings(
     last = present.groupBy("entity").agg(F.max("t").alias("t"))
     day = last.where(F.col("entity") == F.lit(benchmark)).select("t")
     alive = last.join(day, "t", "left_semi")
-    feats = settle(features(panel, w).join(alive, ["entity", "t"], "left_semi"), "latest")
+    feats = settle(features(panel, w, DAILY_PARTS).join(alive, ["entity", "t"], "left_semi"), "latest")
     top = composite_top(feats, panel, benchmark, w.s0_w)
     marked = feats.join(top.select("entity", "t", F.lit(True).alias("s0_fire")), ["entity", "t"], "left")
-    flags = fire_flags(th)
+    flags = fire_flags(th, with_multiple=False)
     names = F.array_compact(F.array(*[F.when(flags[n], F.lit(n)) for n in DAILY_SIGNALS]))
     return (
         marked.where(F.col("entity") != F.lit(benchmark))

@@ -164,20 +164,19 @@ def return_query(spark, sf):
 FEATS_D = Q.M2D + Q.features("pan", W)
 
 
-def _feature_query(name: str, spec: str, pick):
+def _feature_query(name: str, spec: str, part: str):
     @query(name, f"entity:s t:i {spec}", (FEATS_D, "feats"))
     def run(spark, sf):
-        p = daily(spark, sf, M2D)[0]
-        return p.select("entity", "t", *[c.alias(k) for k, c in pick().items()])
+        return S.with_features(daily(spark, sf, M2D)[0], W, [part])
 
     return run
 
 
-_feature_query("w05_s0_inputs", "vol_mom:6 ret_cur:6 ret_prior:6", lambda: S.s0_columns(W.s0_w))
-_feature_query("w06_s1_ratios", "price_ratio:6 vol_ratio:6", lambda: S.s1_columns(W.s1_short, W.s1_long))
-_feature_query("w07_s2_surge", "z:6", lambda: S.s2_columns(W.s2_recent, W.s2_base, W.s2_gap))
-_feature_query("w08_s3_acceleration", "accel:6 ret:6", lambda: S.s3_columns(W.s3_k))
-_feature_query("w09_extension", "ext:6", lambda: S.extension_columns(W.ext_look))
+_feature_query("w05_s0_inputs", "vol_mom:6 ret_cur:6 ret_prior:6", "s0")
+_feature_query("w06_s1_ratios", "price_ratio:6 vol_ratio:6", "s1")
+_feature_query("w07_s2_surge", "z:6", "s2")
+_feature_query("w08_s3_acceleration", "accel:6 ret:6", "s3")
+_feature_query("w09_extension", "ext:6", "ext")
 
 FEATS_H = Q.M3R + Q.features("pan", HOURLY.windows)
 FEATS_M = Q.M1 + Q.features("m1", MONTHLY.windows)
@@ -185,8 +184,7 @@ FEATS_M = Q.M1 + Q.features("m1", MONTHLY.windows)
 
 @query("w10_volume_multiple", "entity:s t:i mult:6", (FEATS_H, "feats"))
 def multiple_query(spark, sf):
-    p = hourly(spark, sf)[0]
-    return p.select("entity", "t", *[c.alias(k) for k, c in S.multiple_columns(168).items()])
+    return S.with_features(hourly(spark, sf)[0], HOURLY.windows, ["mult"])
 
 
 @query(
@@ -234,7 +232,7 @@ TOP_M = FEATS_M + Q.top_composite("m1", "0", MONTHLY.windows.s0_w)
 @query("w16_composite_top_share", "entity:i t:i composite:6", (TOP_M, "top"))
 def top_query(spark, sf):
     p = monthly(spark, sf)[0]
-    return S.composite_top(S.features(p, MONTHLY.windows), p, 0, MONTHLY.windows.s0_w)
+    return S.composite_top(S.features(p, MONTHLY.windows, ["s0"]), p, 0, MONTHLY.windows.s0_w)
 
 
 def _range_sql(panel: str, spec) -> tuple[str, str]:
@@ -358,8 +356,7 @@ def log_query(spark, sf):
     ),
 )
 def top_multiples_query(spark, sf):
-    p = hourly(spark, sf)[0]
-    m = p.select("entity", "ts_ms", "price", *[c.alias(k) for k, c in S.multiple_columns(168).items()])
+    m = S.with_features(hourly(spark, sf)[0], HOURLY.windows, ["mult"])
     span = F.col("ts_ms").between(1705276800000, 1706140800000)
     return m.where((F.col("entity") == "1") & span & F.col("mult").isNotNull()).orderBy(F.col("mult").desc(), "ts_ms").limit(5)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from crosstide.operators.events import cooldown, labels, moves
 from crosstide.operators.outcomes import by_tier, close_only, on_bars
 from crosstide.operators.signals import (
+    DAILY_PARTS,
     DAILY_SIGNALS,
     HOURLY_SIGNALS,
     Thresholds,
@@ -96,7 +97,7 @@ def valid_range(n: int, w: Windows, horizon: int) -> tuple[int, int]:
 def monthly_study(spark: SparkSession, sf: str, spec: Spec = MONTHLY) -> Study:
     panel, axis, n = monthly(spark, sf)
     lo, hi = valid_range(n, spec.windows, spec.horizon)
-    feats = settle(features(panel, spec.windows), "features")
+    feats = settle(features(panel, spec.windows, DAILY_PARTS), "features")
     top = composite_top(feats, panel, spec.benchmark, spec.windows.s0_w)
     tested = feats.where(F.col("entity") != F.lit(spec.benchmark))
     fired = settle(fires(tested, top, spec.signals, spec.thresholds, lo, hi), "fires")

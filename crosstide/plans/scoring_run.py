@@ -70,8 +70,8 @@ def snapshot_table(spark: SparkSession, sf: str, panel: DataFrame) -> DataFrame:
 def paired_windows(panel: DataFrame) -> DataFrame:
     """Per present row: the window that ends there and the one before, for volume, cap and price."""
     now, old = rows(-(WINDOW - 1), 0), rows(-(2 * WINDOW - 1), -WINDOW)
-    mid, start = nonzero(back("price", WINDOW)), nonzero(back("price", 2 * WINDOW))
-    return panel.select(
+    staged = panel.withColumns({"_mid": nonzero(back("price", WINDOW)), "_start": nonzero(back("price", 2 * WINDOW))})
+    return staged.select(
         "entity",
         "t",
         "run_date",
@@ -81,8 +81,8 @@ def paired_windows(panel: DataFrame) -> DataFrame:
         (F.sum("cents").over(old) / 100.0).alias("v_pri"),
         F.avg("cap").over(now).alias("cap_cur"),
         F.avg("cap").over(old).alias("cap_pri"),
-        (ratio(F.col("price"), mid) - 1.0).alias("current"),
-        (ratio(mid, start) - 1.0).alias("prior"),
+        (ratio("price", "_mid") - 1.0).alias("current"),
+        (ratio("_mid", "_start") - 1.0).alias("prior"),
         ratio("gcents", "cents").alias("share"),
     ).where("cents is not null")
 

@@ -334,7 +334,7 @@ def multiplicity(table: DataFrame, slip: float = 0.0010) -> DataFrame:
     name = F.concat_ws(" ", F.col("frac").cast("string"), "factor", "mode")
     best = cells.agg(F.max_by(name, F.struct(F.abs("t"), name)).alias("best"), F.max_by("t", F.struct(F.abs("t"), name)).alias("t"))
     bound = F.lit(bonferroni_t(tests))
-    return best.select(F.lit(tests).alias("tests"), "best", "t", bound.alias("threshold"), (F.abs("t") > bound).alias("passes"))
+    return best.where("best is not null").select(F.lit(tests).alias("tests"), "best", "t", bound.alias("threshold"), (F.abs("t") > bound).alias("passes"))
 
 
 def power(table: DataFrame, slip: float = 0.0010) -> DataFrame:

@@ -154,10 +154,11 @@ def resolution_pairs(
     or after it, which must not be the first of the sample.
     """
     hourly = on_bars(fired, bars, n, hold)
-    grid = days.select("bar_t", F.col("t").alias("k")).distinct()
-    # every fire waits fewer bars than lie between two midnights, so the wait is spelled out
-    nxt = fired.select(*EVENT, F.explode(F.sequence(F.col("t"), F.col("t") + 23)).alias("bar_t")).join(grid, "bar_t")
-    nxt = nxt.groupBy(*EVENT).agg(F.min("k").alias("k")).where("k > 0")
+    grid = days.select(F.col("bar_t").alias("t"), F.col("t").alias("k")).distinct()
+    # one row per bar of the calendar: the number of the first midnight bar at or after it
+    ahead = Window.partitionBy(F.lit(0)).orderBy("t").rowsBetween(0, Window.unboundedFollowing)
+    points = bars.select("t").distinct().join(grid, "t", "left")
+    nxt = fired.join(points.select("t", F.min("k").over(ahead).alias("k")), "t").where("k > 0")
     shifted = nxt.select("entity", "signal", F.col("t").alias("fire_t"), (F.col("k") - 1).alias("t"))
     # several fires may share one day: price each (entity, signal, day) once, then hand it back
     priced = close_only(shifted.select("entity", "signal", "t").distinct(), days.drop("bar_t"), n_days, day_hold)

@@ -31,29 +31,37 @@ def forward_path(events: DataFrame, panel: DataFrame, n: int, hold: int, entry:
     return opened.select("*", last.alias("last"), F.explode(held).alias("d"))
 
 
-def _finish(touched: DataFrame, price: Column, gap: Column, low: str, why: Column) -> DataFrame:
-    """Cut each path at its first touch (or its last bar) and price the exit there."""
+# how a held bar ends an event; numbers keep the aggregate below a hash aggregate
+NONE, STOPPED, REACHED = 0, 1, 2
+
+
+def _finish(touched: DataFrame, price: Column, gap: Column, low: str) -> DataFrame:
+    """Cut each path at its first touch (or its last bar) and price the exit there. `touched` has `why`
+    as one of the codes above; an event's rows share e, ref and adv_in."""
     per_event = Window.partitionBy(*EVENT)
-    cut = F.coalesce(F.min(F.when(F.col("why") != "none", F.col("d"))).over(per_event), F.col("last"))
-    walked = touched.withColumn("why", why).withColumn("x", cut).where(F.col("d") <= F.col("x"))
+    cut = F.coalesce(F.min(F.when(F.col("why") != NONE, F.col("d"))).over(per_event), F.col("last"))
+    walked = touched.withColumn("x", cut).where(F.col("d") <= F.col("x"))
     at_exit = F.col("d") == F.col("x")
     pick = lambda c: F.max(F.when(at_exit, c))
-    out = walked.groupBy(*EVENT, "e", "ref", "adv_in").agg(
+    out = walked.groupBy(*EVENT).agg(
+        F.max("e").alias("e"),
+        F.max("ref").alias("ref"),
+        F.max("adv_in").alias("adv_in"),
         F.max("x").alias("exit_t"),
-        pick(F.when(F.col("why") == "none", F.lit("time")).otherwise(F.col("why"))).alias("why"),
+        pick(F.col("why")).alias("why"),
         pick(price).alias("px"),
         pick(gap).alias("gap"),
         pick(F.col("adv")).alias("adv_out"),
         pick(F.col("both").cast("int")).alias("both"),
         F.min(low).alias("_low"),
     )
-    gross = ratio("px", "ref") - 1.0
+    why = F.when(F.col("why") == STOPPED, F.lit("stop")).when(F.col("why") == REACHED, F.lit("tp")).otherwise(F.lit("time"))
     return out.where("px is not null").select(
         *EVENT,
         F.col("e").alias("entry_t"),
         "exit_t",
-        "why",
-        gross.alias("gross"),
+        why.alias("why"),
+        (ratio("px", "ref") - 1.0).alias("gross"),
         F.coalesce("gap", F.lit(0.0)).alias("gap"),
         (F.least(F.col("ref"), F.col("_low")) / F.col("ref") - 1.0).alias("mdd"),
         (F.col("exit_t") - F.col("e")).cast("double").alias("bars_held"),
@@ -71,14 +79,14 @@ def close_only(events: DataFrame, panel: DataFrame, n: int, hold: int) -> DataFr
 
     `panel`: entity, t, price, adv.
     """
-    bars = panel.select("entity", F.col("t").alias("d"), F.col("price"), F.col("adv"))
+    bars = panel.select("entity", F.col("t").alias("d"), "price", "adv")
     path = forward_path(events, panel, n, hold, "price").join(bars, ["entity", "d"])
     stop, target = F.col("ref") * (1 - STOP), F.col("ref") * (1 + TARGET)
-    p = F.col("price")
-    why = F.when(p <= stop, F.lit("stop")).when(p >= target, F.lit("tp")).otherwise(F.lit("none"))
-    price = F.when(F.col("why") == "tp", target).otherwise(p)
-    gap = F.when(F.col("why") == "stop", ratio(stop, p) - 1.0)
-    return _finish(path.withColumn("why", why).withColumn("both", F.lit(0)), price, gap, "price", F.col("why")).drop("both")
+    p, why = F.col("price"), F.col("why")
+    code = F.when(p <= stop, F.lit(STOPPED)).when(p >= target, F.lit(REACHED)).otherwise(F.lit(NONE))
+    price = F.when(why == REACHED, target).otherwise(p)
+    gap = F.when(why == STOPPED, ratio(stop, p) - 1.0)
+    return _finish(path.withColumns({"why": code, "both": F.lit(0)}), price, gap, "price").drop("both")
 
 
 def on_bars(events: DataFrame, panel: DataFrame, n: int, hold: int) -> DataFrame:
@@ -90,18 +98,14 @@ def on_bars(events: DataFrame, panel: DataFrame, n: int, hold: int) -> DataFrame
     bars = panel.select("entity", F.col("t").alias("d"), "open", "high", "low", "close", "adv")
     path = forward_path(events, panel, n, hold, "open").join(bars, ["entity", "d"])
     stop, target = F.col("ref") * (1 - STOP), F.col("ref") * (1 + TARGET)
-    seen = F.col("low").isNotNull()
+    seen, why = F.col("low").isNotNull(), F.col("why")
     hit_stop, hit_target = seen & (F.col("low") <= stop), seen & (F.col("high") >= target)
-    why = F.when(hit_stop, F.lit("stop")).when(hit_target, F.lit("tp")).otherwise(F.lit("none"))
+    code = F.when(hit_stop, F.lit(STOPPED)).when(hit_target, F.lit(REACHED)).otherwise(F.lit(NONE))
     fill = F.least(F.col("open"), stop)
-    price = (
-        F.when(F.col("why") == "stop", fill)
-        .when(F.col("why") == "tp", F.greatest(F.col("open"), target))
-        .otherwise(F.col("close"))
-    )
-    gap = F.when(F.col("why") == "stop", ratio(stop, fill) - 1.0)
+    price = F.when(why == STOPPED, fill).when(why == REACHED, F.greatest(F.col("open"), target)).otherwise(F.col("close"))
+    gap = F.when(why == STOPPED, ratio(stop, fill) - 1.0)
     both = F.coalesce(hit_stop & hit_target, F.lit(False))
-    return _finish(path.withColumn("why", why).withColumn("both", both), price, gap, "low", F.col("why"))
+    return _finish(path.withColumns({"why": code, "both": both}), price, gap, "low")
 
 
 def by_tier(trades: DataFrame, tiers: DataFrame, mark: Column) -> DataFrame:

@@ -262,10 +262,14 @@ def mark_of(t: Column, lo: int, step: int) -> Column:
 
 
 def latest_firings(
-    panel: DataFrame, axis: DataFrame, benchmark, w: Windows, th: Thresholds, time: str
+    panel: DataFrame, axis: DataFrame, benchmark, w: Windows, th: Thresholds, time: str, close_gaps: bool = False
 ) -> DataFrame:
-    """Everything that fires on the last day of the benchmark, for entities still trading that day."""
+    """Everything that fires on the last day of the benchmark, for entities still trading that day.
+
+    A gap voids the windows that cross it; with `close_gaps` windows run over the days present instead.
+    """
     present = panel.where("price is not null")
+    panel = present if close_gaps else panel
     last = present.groupBy("entity").agg(F.max("t").alias("t"))
     day = last.where(F.col("entity") == F.lit(benchmark)).select("t")
     alive = last.join(day, "t", "left_semi")

@@ -31,7 +31,7 @@ def reputable_share(marked: DataFrame) -> DataFrame:
 
 def exchange_count(marked: DataFrame, green_only: bool = True) -> DataFrame:
     """Distinct venues, 0 as null. Distinct pairs are formed first, so the count per entity is over pairs."""
-    wanted = marked.where(F.col("exchange").isNotNull())
+    wanted = marked.where(F.col("exchange").cast("string") != "")
     flag = F.col("green") if green_only else F.lit(True)
     pairs = wanted.groupBy("entity", "exchange").agg(F.max(flag.cast("int")).alias("ok"))
     return pairs.groupBy("entity").agg(F.nullif(F.sum("ok"), F.lit(0).cast("bigint")).alias("exchanges"))

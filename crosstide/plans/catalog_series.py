@@ -309,22 +309,23 @@ def range_query(spark, sf):
     return row(days, "daily", 30).unionByName(row(hours, "P1_bar_for_bar", 48)).unionByName(row(hours, "P3_intraday_14d", 48))
 
 
-LATEST = f"""
+LATEST = """
 lst AS (SELECT entity, max(t) AS t FROM m1 WHERE price IS NOT NULL GROUP BY 1),
 liv AS (SELECT entity, t FROM lst WHERE t = (SELECT t FROM lst WHERE entity = 0)),
 feats AS (SELECT f.* FROM feats_all f JOIN liv USING (entity, t)),
 """
-LATEST_SQL = (
-    FEATS_M.replace("\nfeats AS (", "\nfeats_all AS (")
-    + LATEST
-    + Q.top_composite("m1", "0", MONTHLY.windows.s0_w)
-    + Q.fires(MONTHLY.thresholds, MONTHLY.signals, "0", "100000")
-    + """
+
+
+def latest_sql(panel: str) -> tuple[str, str]:
+    every = Q.features(panel, MONTHLY.windows).replace("\nfeats AS (", "\nfeats_all AS (")
+    tail = """
 fl AS (SELECT entity, t, string_agg(signal, ',' ORDER BY signal) AS signals FROM fires WHERE entity <> 0 GROUP BY 1, 2),
 lf AS (SELECT run_date AS as_of, entity, price, signals, round(z, 2) AS z, round(ext, 3) AS ext FROM fl JOIN feats USING (entity, t) JOIN ax USING (t)),
-""",
-    "lf",
-)
+"""
+    top = Q.top_composite(panel, "0", MONTHLY.windows.s0_w)
+    fired = Q.fires(MONTHLY.thresholds, MONTHLY.signals, "0", "100000")
+    present = "m1p AS (SELECT * FROM m1 WHERE price IS NOT NULL),\n"
+    return Q.M1 + present + every + LATEST + top + fired + tail, "lf"
 
 
 def _latest(spark: SparkSession, sf: str) -> DataFrame:
@@ -332,12 +333,20 @@ def _latest(spark: SparkSession, sf: str) -> DataFrame:
     return S.latest_firings(p, axis, 0, MONTHLY.windows, MONTHLY.thresholds, "run_date")
 
 
-@query("e06_latest_firings", "as_of:d entity:i price:6 signals:s z:2 ext:3", LATEST_SQL)
+@query("e06_latest_firings", "as_of:d entity:i price:6 signals:s z:2 ext:3", latest_sql("m1"))
 def latest_query(spark, sf):
     return _latest(spark, sf).withColumn("signals", F.array_join(F.array_sort("signals"), ","))
 
 
-@query("s16_firing_log", "as_of:d entity:i price:6 signals:s", LATEST_SQL)
+@query("e06b_latest_firings_closed_gaps", "as_of:d entity:i price:6 signals:s z:2 ext:3", latest_sql("m1p"))
+def latest_closed_query(spark, sf):
+    """The same with windows over the months present."""
+    p, axis, n = monthly(spark, sf)
+    out = S.latest_firings(p, axis, 0, MONTHLY.windows, MONTHLY.thresholds, "run_date", close_gaps=True)
+    return out.withColumn("signals", F.array_join(F.array_sort("signals"), ","))
+
+
+@query("s16_firing_log", "as_of:d entity:i price:6 signals:s", latest_sql("m1"))
 def log_query(spark, sf):
     """Appended as JSON lines and read back."""
     path = fresh_path(spark, "log")

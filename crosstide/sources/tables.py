@@ -27,12 +27,13 @@ def keyed_upsert(base: DataFrame, delta: DataFrame, keys: list[str], revision: s
     return kept.unionByName(new.select(base.columns))
 
 
-def upsert_partitions(spark: SparkSession, path: str, delta: DataFrame, keys: list[str], partition: str) -> dict[str, int]:
+def upsert_partitions(spark: SparkSession, path: str, delta: DataFrame, keys: list[str], partition: str, stored: bool = False) -> dict[str, int]:
     """Upsert into a Parquet table, rewriting only the partitions the delta touches.
 
     Returns how many keys came in and how many were not stored before. Replaying a delta changes nothing.
+    `stored` says that the delta already reads from a written table.
     """
-    new = settle(delta, "delta")
+    new = delta if stored else settle(delta, "delta")
     fetched = new.count()
     if fetched == 0:
         return {"fetched": 0, "new": 0}

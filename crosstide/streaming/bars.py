@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from crosstide.operators.ingest import BAR_KEYS, bar_aggregates
-from crosstide.session import fresh_path
+from crosstide.session import fresh_path, settle
 from crosstide.sources.tables import upsert_partitions
 
 
@@ -43,10 +43,11 @@ def upsert_batch(spark: SparkSession, table: str, ledger: str, kind: str) -> Cal
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        day = F.to_date(F.timestamp_millis("open_time"))
-        good = batch.where(F.col("open").isNotNull() & F.col("close").isNotNull())
-        failed = batch.count() - good.count()
-        done = upsert_partitions(spark, table, good.withColumn("day", day.cast("string")), BAR_KEYS, "day")
+        day = F.to_date(F.timestamp_millis("open_time")).cast("string")
+        rows = settle(batch.withColumn("day", day), "batch")  # the micro-batch itself is computed once
+        whole = F.col("open").isNotNull() & F.col("close").isNotNull()
+        failed = rows.where(~whole).count()
+        done = upsert_partitions(spark, table, rows.where(whole), BAR_KEYS, "day", stored=True)
         row = [(kind, batch_id, done["fetched"], done["new"], failed)]
         spark.createDataFrame(row, "kind string, batch_id bigint, fetched bigint, added bigint, failures bigint").write.mode(
             "append"

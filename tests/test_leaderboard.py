@@ -88,3 +88,12 @@ def test_history_stops_at_the_date(tables):
     assert [r.score for r in L.history(sc, runs, m, "solana").collect()] == [40.0, 55.0]
     early = L.history(sc, runs, m, "solana", "2026-09-21").collect()
     assert [str(r.run_date) for r in early] == ["2026-09-20"] and early[0].tvl_current == 100.0
+
+
+def test_entity_detail(spark, tables):
+    runs, _, m, sc, rows = tables
+    dim = spark.createDataFrame([("solana", "SOL", '["L1"]', None), ("aave", "AAVE", "", None)], "entity string, symbol string, categories string, github_repos string")
+    about, latest, past = L.entity_detail(dim, runs, rows, sc, m, "solana", "2026-09-20")
+    assert about.first().categories == ["L1"] and about.first().github_repos == []
+    assert latest.first().run_id == 1 and past.count() == 1
+    assert L.entity_detail(dim, runs, rows, sc, m, "nobody")[0].count() == 0

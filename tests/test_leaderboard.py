@@ -1,4 +1,7 @@
-"""Read surface over two runs, three entities and four metrics."""
+"""Read surface over random stored runs, against plain Python over the same rows."""
+
+import random
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,94 +9,113 @@ from pyspark.sql import functions as F
 from crosstide.functions.scalar import METRIC_KEYS
 from crosstide.plans import leaderboard as L
 
-ENTITIES = [("solana", "SOL", "Solana", 6), ("cardano", "ADA", "Cardano", 12), ("aave", "AAVE", "Aave", 40)]
-MISSING = {"cardano": ["tvl"], "aave": ["exchange_count"]}
+DAYS = [date(2024, 3, 1), date(2024, 3, 2), date(2024, 3, 2), date(2024, 3, 5), date(2024, 3, 6)]
+FINISHED = [True, True, True, True, False]
+CELL = ["current", "prior", "change_pct", "rank_score"]
 
 
 @pytest.fixture(scope="module")
-def tables(spark):
-    runs, snaps, mets, scs = [], [], [], []
-    for run, (day, base) in enumerate([("2026-09-20", 40.0), ("2026-09-22", 55.0)], 1):
-        runs.append((run, day, f"{day}T00:00:00+00:00", f"{day}T00:30:00+00:00"))
-        for j, (e, sym, name, rank) in enumerate(ENTITIES):
-            snaps.append((run, day, e, sym, name, 1e10 / (j + 1), rank, 1e8 * (j + 1), True))
-            for k in METRIC_KEYS:
-                null = k == "tvl" and e == "cardano"
-                wait = k == "exchange_count" and e == "aave"
-                gone = null or wait
-                mets.append((run, e, k, None if null else 100.0 + j, None if gone else 90.0, None if gone else 11.1, None if gone else 100.0 - 25 * j))
-            prev = None if run == 1 else 40.0 - j
-            s = base - j
-            scs.append((run, e, s, s + 2.0, prev, None if prev is None else s - prev, MISSING.get(e, [])))
-        mets.append((run, "solana", "_reputable_share", 0.8, None, None, None))
-    snaps.append((2, "2026-09-22", "usdc", "USDC", "USD Coin", 9e9, 7, 5e9, False))
-    snaps.append((2, "2026-09-22", "fresh", "NEW", "Unscored", 1e6, 90, None, True))
-    runs.append((3, "2026-09-23", "2026-09-23T00:00:00+00:00", None))
-    day = lambda d: d.withColumn("run_date", F.to_date("run_date"))
-    r = day(spark.createDataFrame(runs, "run_id int, run_date string, started_at string, finished_at string"))
-    sn = day(spark.createDataFrame(snaps, "run_id int, run_date string, entity string, symbol string, name string, cap double, cap_rank int, volume double, included boolean"))
-    m = spark.createDataFrame(mets, "run_id int, entity string, metric_key string, current double, prior double, change_pct double, rank_score double")
-    sc = spark.createDataFrame(scs, "run_id int, entity string, score double, score_raw double, score_prev double, score_change double, missing array<string>")
-    return r, sn, m, sc, L.entity_rows(sn, sc, m).cache()
-
-
-def ids(df):
+def stored(spark):
+    rng = random.Random(21)
+    maybe = lambda v, share=0.25: None if rng.random() < share else v
+    runs = [(i, d, f"{d}T08:00:00+00:00", f"{d}T09:00:00" if f else None) for i, (d, f) in enumerate(zip(DAYS, FINISHED), 1)]
+    snaps, scores, metrics = [], [], []
+    for run, day, *_ in runs:
+        for e in range(25):
+            snaps.append((run, day, f"n{e:02d}", f"T{e}", maybe(f"Name {e}"), maybe(float(rng.randrange(90)), 0.1), e, maybe(rng.uniform(0, 9)), rng.random() < 0.85))
+            for k in [*METRIC_KEYS, "_hidden"]:
+                if rng.random() < 0.9:
+                    metrics.append((run, f"n{e:02d}", k, maybe(rng.random()), maybe(rng.random()), maybe(rng.random()), maybe(float(rng.randrange(20)))))
+            if rng.random() < 0.8:
+                scores.append((run, f"n{e:02d}", maybe(float(rng.randrange(60))), None, None, maybe(float(rng.randrange(-9, 9))), rng.sample(METRIC_KEYS, rng.randrange(3))))
+    r = spark.createDataFrame(runs, "run_id int, run_date date, started_at string, finished_at string")
+    sn = spark.createDataFrame(snaps, "run_id int, run_date date, entity string, symbol string, name string, cap double, cap_rank int, volume double, included boolean")
+    sc = spark.createDataFrame(scores, "run_id int, entity string, score double, score_raw double, score_prev double, score_change double, missing array<string>")
+    m = spark.createDataFrame(metrics, "run_id int, entity string, metric_key string, current double, prior double, change_pct double, rank_score double")
+    frames = (r, sn, sc, m, L.entity_rows(sn, sc, m).cache())
+    want = []
+    for s in snaps:
+        if not s[8]:
+            continue
+        mm = {x[2]: dict(zip(CELL, x[3:])) for x in metrics if x[:2] == (s[0], s[2])}
+        score = next((x for x in scores if x[:2] == (s[0], s[2])), None)
+        cell = lambda k, c: mm.get(k, {}).get(c)
+        missing = score[6] if score else [k for k in METRIC_KEYS if cell(k, "current") is None]
+        want.append(
+            {
+                "run": s[0], "entity": s[2], "symbol": s[3], "name": s[4], "cap": s[5], "cap_rank": s[6], "volume": s[7],
+                "score": score and score[2], "score_change": score and score[5], "missing": missing,
+                "pending": [k for k in missing if cell(k, "current") is not None and cell(k, "prior") is None],
+                **{k: cell(k, "rank_score") for k in METRIC_KEYS},
+            }
+        )
+    return frames, want
+
+
+def names(df):
     return [r.entity for r in df.collect()]
 
 
-def test_runs(tables):
-    runs = tables[0]
-    assert [str(r.run_date) for r in L.run_list(runs).collect()] == ["2026-09-22", "2026-09-20"]
-    assert L.run_list(runs).first().finished_at == "2026-09-22T00:30:00Z"
-    run = L.resolve_run(runs).first()
-    assert (run.run_id, str(run.run_date), str(run.prev_run_date)) == (2, "2026-09-22", "2026-09-20")
-    first = L.resolve_run(runs, "2026-09-20").first()
-    assert (first.run_id, first.prev_run_date) == (1, None)
-    assert L.resolve_run(runs, "2020-01-01").count() == 0 and L.resolve_run(runs, "2026-09-23").count() == 0
-
-
-def test_rows(tables):
-    rows = {r.entity: r for r in tables[4].where("run_id = 2").collect()}
-    assert set(rows) == {"solana", "cardano", "aave", "fresh"}
-    assert rows["cardano"].missing == ["tvl"] and rows["cardano"].pending == []
-    assert rows["aave"].missing == rows["aave"].pending == ["exchange_count"]
-    assert rows["fresh"].missing == METRIC_KEYS and rows["fresh"].pending == [] and rows["fresh"].score is None
-    assert not any("reputable_share" in c for c in tables[4].columns)
-
-
-def test_sorting_puts_nulls_last_both_ways(tables):
-    rows = L.of_run(tables[4], L.resolve_run(tables[0]))
-    page = lambda **kw: ids(L.leaderboard(rows, **kw)[0])
-    assert page() == ["solana", "cardano", "aave", "fresh"] and page(order="asc") == ["aave", "cardano", "solana", "fresh"]
-    assert page(sort="tvl") == ["solana", "aave", "cardano", "fresh"] and page(sort="tvl", order="asc") == ["aave", "solana", "cardano", "fresh"]
-    assert page(sort="cap_rank", order="asc") == ["solana", "cardano", "aave", "fresh"]
-    assert page(limit=2, offset=1) == ["cardano", "aave"]
-    assert page(min_volume=1.5e8) == ["cardano", "aave"] and page(q="AD") == ["cardano"] and page(q="%") == []
-    assert L.leaderboard(rows, limit=1)[1].first().total == 4
-    for bad in ({"sort": "commits"}, {"order": "up"}):
-        with pytest.raises(ValueError):
-            L.leaderboard(rows, **bad)
-
-
-def test_risers(tables):
-    runs, rows = tables[0], tables[4]
-    run = L.resolve_run(runs)
-    assert ids(L.risers(L.of_run(rows, run), run)) == ["aave", "cardano", "solana"] and ids(L.risers(rows, run, 1)) == ["aave"]
-    first = L.resolve_run(runs, "2026-09-20")
-    assert ids(L.risers(L.of_run(rows, first), first)) == []
-
-
-def test_history_stops_at_the_date(tables):
-    runs, _, m, sc, _ = tables
-    assert [r.score for r in L.history(sc, runs, m, "solana").collect()] == [40.0, 55.0]
-    early = L.history(sc, runs, m, "solana", "2026-09-21").collect()
-    assert [str(r.run_date) for r in early] == ["2026-09-20"] and early[0].tvl_current == 100.0
-
-
-def test_entity_detail(spark, tables):
-    runs, _, m, sc, rows = tables
-    dim = spark.createDataFrame([("solana", "SOL", '["L1"]', None), ("aave", "AAVE", "", None)], "entity string, symbol string, categories string, github_repos string")
-    about, latest, past = L.entity_detail(dim, runs, rows, sc, m, "solana", "2026-09-20")
-    assert about.first().categories == ["L1"] and about.first().github_repos == []
-    assert latest.first().run_id == 1 and past.count() == 1
-    assert L.entity_detail(dim, runs, rows, sc, m, "nobody")[0].count() == 0
+def test_runs(stored):
+    runs = stored[0][0]
+    assert [(r.run_date, r.run_id) for r in L.run_list(runs).collect()] == [(DAYS[3], 4), (DAYS[2], 3), (DAYS[0], 1)]
+    first = L.run_list(runs).first()
+    assert (first.started_at, first.finished_at) == ("2024-03-05T08:00:00Z", "2024-03-05T09:00:00Z")
+    pick = lambda d=None: [tuple(r) for r in L.resolve_run(runs, d).collect()]
+    assert pick() == [(4, DAYS[3], DAYS[2])] and pick("2024-03-02") == [(3, DAYS[2], DAYS[0])]
+    assert pick("2024-03-01") == [(1, DAYS[0], None)] and pick("2024-03-06") == pick("2023-01-01") == []
+
+
+def test_rows(stored):
+    frames, want = stored
+    got = {(r.run_id, r.entity): r for r in frames[4].collect()}
+    assert set(got) == {(w["run"], w["entity"]) for w in want}
+    for w in want:
+        r = got[w["run"], w["entity"]]
+        assert r.missing == w["missing"] and r.pending == w["pending"] and r.score == w["score"]
+    assert any(w["pending"] for w in want) and not any("_hidden" in c for c in frames[4].columns)
+
+
+def page(want, sort="score", order="desc", limit=300, offset=0, min_volume=None, q=None):
+    rows = [w for w in want if min_volume is None or (w["volume"] or 0) >= min_volume]
+    rows = [w for w in rows if not q or q.lower() in (w["name"] or "").lower() or q.lower() in (w["symbol"] or "").lower()]
+    sign = -1 if order == "desc" else 1
+    rows.sort(key=lambda w: (w[sort] is None, sign * (w[sort] or 0), w["entity"]))
+    return [w["entity"] for w in rows[offset : offset + limit]], len(rows)
+
+
+@pytest.mark.parametrize(
+    "args",
+    [{}, {"order": "asc"}, {"sort": "tvl"}, {"sort": "rel_btc", "order": "asc"}, {"sort": "cap"}, {"sort": "score_change", "limit": 5, "offset": 3}, {"min_volume": 4.0, "sort": "cap_rank", "order": "asc"}, {"q": "NAME 1"}, {"q": "%"}],
+)
+def test_leaderboard(stored, args):
+    frames, want = stored
+    rows = L.of_run(frames[4], L.resolve_run(frames[0]))
+    got, total = L.leaderboard(rows, **args)
+    assert (names(got), total.first().total) == page([w for w in want if w["run"] == 4], **args)
+
+
+@pytest.mark.parametrize("bad", [{"sort": "name"}, {"sort": "_hidden"}, {"order": "down"}])
+def test_unknown_sorts_are_refused(stored, bad):
+    with pytest.raises(ValueError):
+        L.leaderboard(stored[0][4], **bad)
+
+
+def test_risers(stored):
+    frames, want = stored
+    run = L.resolve_run(frames[0])
+    up = sorted((-w["score_change"], w["entity"]) for w in want if w["run"] == 4 and (w["score_change"] or 0) > 0)
+    assert names(L.risers(L.of_run(frames[4], run), run, 4)) == [e for _, e in up[:4]]
+    first = L.resolve_run(frames[0], "2024-03-01")
+    assert names(L.risers(L.of_run(frames[4], first), first)) == []
+
+
+def test_history_and_detail(spark, stored):
+    runs, _, scores, metrics, rows = stored[0]
+    ids = lambda e: [r.run_id for r in scores.where((F.col("entity") == e) & (F.col("run_id") < 5)).orderBy("run_id").collect()]
+    assert [r.run_id for r in L.history(scores, runs, metrics, "n03").collect()] == ids("n03")
+    assert [r.run_id for r in L.history(scores, runs, metrics, "n03", "2024-03-02").collect()] == [i for i in ids("n03") if i <= 3]
+    dim = spark.createDataFrame([("n03", '["x","y"]', "")], "entity string, categories string, github_repos string")
+    about, latest, past = L.entity_detail(dim, runs, rows, scores, metrics, "n03", "2024-03-02")
+    assert (about.first().categories, about.first().github_repos) == (["x", "y"], [])
+    assert [r.run_id for r in latest.collect()] in ([3], []) and past.count() == len([i for i in ids("n03") if i <= 3])

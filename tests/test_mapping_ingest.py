@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,36 +10,56 @@ from crosstide.sources.landed import parse_bars, parse_rates, tradable_pairs
 from crosstide.sources.tables import additive_upsert, dimension_upsert, keyed_upsert, upsert_partitions
 
 HOUR = 3_600_000
-NOW = 1_700_000_000_000 // HOUR * HOUR
-COINS = [("bitcoin", "BTC", 86000.0), ("pepe", "PEPE", 7.5e-6), ("cross-2", "ONE", 0.6)]
-
-
-def mapped(spark, pairs, coins=COINS):
+NOW = 480_000 * HOUR
+
+
+def judged(coins, pair, tol):
+    """Plain restatement of one pair: (coin, status, kind of note)."""
+    sym, market, base, px = pair
+    lot = next((p for p in (1_000_000, 1000) if base.startswith(str(p)) and len(base) > len(str(p))), None)
+    unit_sym = base[len(str(lot)) :] if lot else base
+    cands = [c for c in coins if c[1] and c[1].upper() == unit_sym]
+    if not cands:
+        return None, "unmapped", "no coin"
+    if not px:
+        return None, "ambiguous", "no pair price"
+    agree = [c for c in cands if c[2] and 1 / tol <= px / (lot or 1) / c[2] <= tol]
+    if len(agree) == 1:
+        return agree[0][0], "mapped", "disambiguated" if len(cands) > 1 else None
+    return None, "ambiguous", "several" if agree else "price disagrees"
+
+
+@pytest.mark.parametrize("tol", [1.2, 2.0])
+def test_mapping_matches_a_plain_restatement(spark, tol):
+    rng = random.Random(8)
+    coins = [(f"c{i:02d}", rng.choice(["AA", "bb", "CC", "DD", "EE", "FF", "GG", None]), rng.choice([None, 0.0] + [rng.uniform(1, 9) for _ in range(9)])) for i in range(24)]
+    bases = [p + s for p in ("", "1000", "1000000") for s in ("AA", "BB", "CC", "DD", "EE", "FF", "GG", "ZZ")]
+    pairs = [(f"{b}-{m}-{k}", m, b, rng.choice([None, 0.0] + [rng.uniform(0.5, 12) * float(b[: len(b) - 2] or 1) for _ in range(8)])) for b in bases for m in ("spot", "perp") for k in range(2)]
+    coins.append(("solo", "HH", 4.0))
+    pairs += [("HH-spot-0", "spot", "HH", 4.1), ("HH-perp-0", "perp", "HH", 4.1), ("HH-perp-1", "perp", "HH", 3.9)]
     c = spark.createDataFrame(coins, "coin_id string, symbol string, price double")
     p = spark.createDataFrame(pairs, "symbol string, market string, base string, px double")
-    return {r.symbol: r for r in veto_duplicates(resolve(c, p)).collect()}
-
-
-def test_mapping_rules(spark):
-    r = mapped(spark, [("BTCUSDT", "spot", "BTC", 85900.0), ("ONEUSDT", "spot", "ONE", 0.0095), ("1000PEPEUSDT", "perp", "1000PEPE", 0.00745), ("ZZZUSDT", "spot", "ZZZ", 1.0), ("NOPX", "perp", "BTC", None)])
-    assert (r["BTCUSDT"].coin_id, r["BTCUSDT"].status, r["BTCUSDT"].price_ratio) == ("bitcoin", "mapped", round(85900 / 86000, 4))
-    assert r["ONEUSDT"].coin_id is None and r["ONEUSDT"].status == "ambiguous" and r["ONEUSDT"].note == "price disagrees with cross-2 (ratio 0.0158)"
-    assert (r["1000PEPEUSDT"].multiplier, r["1000PEPEUSDT"].coin_id) == (1000, "pepe")
-    assert r["ZZZUSDT"].status == "unmapped" and r["NOPX"].status == "ambiguous" and "verify" in r["NOPX"].note
-    assert mapped(spark, [("1000PEPEUSDT", "perp", "1000PEPE", 7.45)])["1000PEPEUSDT"].status == "ambiguous"
-
-
-def test_colliding_symbols(spark):
-    decoy = mapped(spark, [("ONEUSDT", "spot", "ONE", 0.0095)], [*COINS, ("one-decoy", "ONE", 0.0096)])["ONEUSDT"]
-    assert decoy.coin_id == "one-decoy" and "disambiguated from 2" in decoy.note
-    clone = mapped(spark, [("BTCUSDT", "spot", "BTC", 86000.0)], [*COINS, ("btc-clone", "BTC", 86001.0)])["BTCUSDT"]
-    assert clone.status == "ambiguous" and clone.note == "several universe coins agree: bitcoin,btc-clone"
-
-
-def test_duplicate_claims_flag_each_other(spark):
-    r = mapped(spark, [("PEPEUSDT", "spot", "PEPE", 7.5e-6), ("1000PEPEUSDT", "spot", "1000PEPE", 0.0075), ("PEPEPERP", "perp", "PEPE", 7.5e-6)])
-    assert r["PEPEUSDT"].status == r["1000PEPEUSDT"].status == "ambiguous" and r["PEPEPERP"].status == "mapped"
-    assert r["PEPEUSDT"].note == "pepe also claimed by 1000PEPEUSDT,PEPEUSDT"
+    resolved = resolve(c, p, tol)
+    want = {x[0]: judged(coins, x, tol) for x in pairs}
+    rows = {r.symbol: r for r in resolved.collect()}
+    for sym, (coin, status, note) in want.items():
+        r = rows[sym]
+        assert (r.coin_id, r.status) == (coin, status) and (r.note is None if note is None else r.note.startswith(note))
+        assert (r.price_ratio is not None) == (status == "mapped" or (note == "price disagrees" and "ratio" in r.note))
+    assert {n for _, _, n in want.values()} >= {None, "no coin", "no pair price", "price disagrees", "disambiguated"}
+    claims = {}
+    for sym, (coin, status, _) in want.items():
+        if status == "mapped":
+            claims.setdefault((sym.split("-")[1], coin), []).append(sym)
+    after = {r.symbol: r for r in veto_duplicates(resolved).collect()}
+    for (market, coin), syms in claims.items():
+        for sym in syms:
+            if len(syms) == 1:
+                assert after[sym].coin_id == coin
+            else:
+                assert (after[sym].coin_id, after[sym].status) == (None, "ambiguous")
+                assert after[sym].note == f"{coin} also claimed by {','.join(sorted(syms))}"
+    assert any(len(s) > 1 for s in claims.values()) and any(len(s) == 1 for s in claims.values())
 
 
 def test_three_digits_reads_like_printf(spark):
@@ -50,15 +72,17 @@ MAP = "symbol string, market string, base_asset string, multiplier bigint, coin_
 
 
 def test_rebuild_keeps_manual_rows(spark):
-    old = spark.createDataFrame([("ONEUSDT", "spot", "ONE", 1, "harmony", "mapped", None, None, True, True), ("OLD", "spot", "OLD", 1, None, "unmapped", None, None, False, False)], MAP)
-    c = spark.createDataFrame(COINS, "coin_id string, symbol string, price double")
-    p = spark.createDataFrame([("ONEUSDT", "spot", "ONE", 0.0095), ("BTCUSDT", "spot", "BTC", 86000.0), ("BTCPERP", "perp", "BTC", 86000.0)], "symbol string, market string, base string, px double")
-    out = store_map(old, veto_duplicates(resolve(c, p)))
-    assert [tuple(r) for r in tracked(out).collect()] == [("BTCPERP", "perp", "bitcoin"), ("BTCUSDT", "spot", "bitcoin"), ("ONEUSDT", "spot", "harmony")]
-    assert ambiguous(out).count() == 0 and out.count() == 4
+    row = lambda sym, coin, status, manual: (sym, "spot", sym, 1, coin, status, None, None, status == "mapped", manual)
+    old = spark.createDataFrame([row("hand", "h", "mapped", True), row("gone", None, "unmapped", False), row("turned", "t", "mapped", False)], MAP)
+    new = spark.createDataFrame([row("hand", None, "ambiguous", False), row("turned", None, "unmapped", False), row("added", "a", "mapped", False)], MAP).drop("tracked", "manual")
+    out = store_map(old, new).cache()
+    assert [tuple(r) for r in tracked(out).collect()] == [("added", "spot", "a"), ("hand", "spot", "h")]
+    assert {(r.symbol, r.status) for r in out.collect()} == {("hand", "mapped"), ("gone", "unmapped"), ("turned", "unmapped"), ("added", "mapped")}
+    assert ambiguous(out).count() == 0
     assert {(r.kind, r.name): r.n for r in map_summary(out).collect()} == {
-        ("status", "mapped"): 3, ("status", "unmapped"): 1, ("mapped_per_market", "spot"): 2, ("mapped_per_market", "perp"): 1, ("coins_covered", "all"): 2}
-    assert {(r.coin_id, r.market) for r in preferred_venue(out).collect()} == {("bitcoin", "spot"), ("harmony", "spot")}
+        ("status", "mapped"): 2, ("status", "unmapped"): 2, ("mapped_per_market", "spot"): 2, ("coins_covered", "all"): 2}
+    both = out.unionByName(out.where("coin_id = 'a'").withColumn("market", F.lit("perp"))).unionByName(out.where("coin_id = 'h'").withColumns({"market": F.lit("perp"), "coin_id": F.lit("only")}))
+    assert {(r.coin_id, r.market) for r in preferred_venue(both).collect()} == {("a", "spot"), ("h", "spot"), ("only", "perp")}
 
 
 def test_tradable_pairs(spark):
@@ -68,28 +92,25 @@ def test_tradable_pairs(spark):
 
 
 def test_parsing(spark):
-    row = [str(NOW), "99.0", "101.0", "98.0", "100.0", "5.0", str(NOW + HOUR - 1), "500.0", "42", "2.5", "250.0", "0"]
-    bad = ["x", *row[1:]]
-    df = spark.createDataFrame([("a", row), ("b", bad)], "symbol string, row array<string>")
-    got = {r.symbol: r for r in parse_bars(df).collect()}
-    assert tuple(got["a"])[1:] == (NOW, 99.0, 101.0, 98.0, 100.0, 5.0, 500.0, 42, NOW + HOUR - 1) and got["b"].open_time is None
+    """Cell i holds 10 + i, so a swapped column shows; one row has a cell that is no number."""
+    cells = [str(10 + i) for i in range(12)]
+    df = spark.createDataFrame([("good", cells), ("bad", ["?", *cells[1:]]), ("short", cells[:6])], "symbol string, row array<string>")
+    got = {r.symbol: r.asDict() for r in parse_bars(df).collect()}
+    assert got["good"] == {"symbol": "good", "open_time": 10, "open": 11.0, "high": 12.0, "low": 13.0, "close": 14.0, "volume": 15.0, "close_time": 16, "quote_volume": 17.0, "trades": 18}
+    assert got["bad"]["open_time"] is None and got["bad"]["close"] == 14.0 and got["short"]["trades"] is None
     rates = spark.createDataFrame([("a", "5", "0.1", "0"), ("a", "6", "0.2", None), ("a", "7", "oops", "3.5")], "symbol string, funding_time string, funding_rate string, mark_price string")
     assert [(r.ts_ms, r.rate, r.mark_price) for r in parse_rates(rates).collect()] == [(5, 0.1, None), (6, 0.2, None), (7, None, 3.5)]
 
 
-def due(spark, last, floor, now):
-    keys = spark.createDataFrame([("a",)], "symbol string")
-    bars = spark.createDataFrame([("a", t) for t in ([last] if last is not None else [])], "symbol string, open_time bigint")
-    row = due_bars(keys, bars, floor, now, ["symbol"]).first()
-    return row.start_ms if row else None
-
-
-def test_due_bars(spark):
-    assert due(spark, None, NOW - 48 * HOUR, NOW) == NOW - 48 * HOUR
-    assert due(spark, None, NOW - 48 * HOUR + 1234, NOW) == NOW - 48 * HOUR
-    assert due(spark, NOW - 2 * HOUR, 0, NOW) == NOW - HOUR
-    assert due(spark, NOW - HOUR, 0, NOW) is None and due(spark, NOW - HOUR, 0, NOW + HOUR - 1) is None
-    assert due(spark, NOW - 300 * HOUR, NOW - 48 * HOUR, NOW) == NOW - 299 * HOUR
+@pytest.mark.parametrize("late", [0, 1, HOUR - 1])
+def test_due_bars(spark, late):
+    """Keys whose last bar is any number of hours old, and one that has none."""
+    ages, floor, now = [0, 1, 2, 3, 50, 400], NOW - 5 * HOUR + 77, NOW + late
+    bars = spark.createDataFrame([(f"k{a}", NOW - k * HOUR) for a in ages for k in (a, a + 1)], "symbol string, open_time bigint")
+    keys = spark.createDataFrame([(f"k{a}",) for a in ages] + [("cold",)], "symbol string")
+    got = {r.symbol: r.start_ms for r in due_bars(keys, bars, floor, now, ["symbol"]).collect()}
+    starts = {f"k{a}": NOW - (a - 1) * HOUR for a in ages} | {"cold": NOW - 5 * HOUR}
+    assert got == {k: s for k, s in starts.items() if s + HOUR <= now} and "k0" not in got and "k400" in got
 
 
 def test_missing_bars(spark):

@@ -67,15 +67,16 @@ def test_positions_without_keys(rows):
     assert tuple(out) == (0, len(data) - 1, len(data), len(data))
 
 
-def scores(spark, values, limit=10**9):
-    df = spark.createDataFrame([("r", k, v) for k, v in values.items()], "run string, id string, v double")
-    return {r.id: r.rank_score for r in rank_scores(df, ["run"], "v", ["id"], limit=limit).collect()}
-
-
-@pytest.mark.parametrize("limit", [10**9, 1])
-def test_rank_scores_vectors(spark, limit):
-    assert scores(spark, {"a": 1.0, "b": 2.0, "c": 1000.0}, limit) == {"a": 0.0, "b": 50.0, "c": 100.0}
-    assert scores(spark, {"a": 1.0, "b": 2.0, "c": None, "d": float("nan")}, limit) == {"a": 0.0, "b": 100.0, "c": None, "d": None}
-    assert scores(spark, {"a": 5.0, "b": 5.0, "c": 9.0}, limit) == {"a": 25.0, "b": 25.0, "c": 100.0}
-    assert scores(spark, {"a": 3.0}, limit) == {"a": 50.0}
-    assert scores(spark, {"a": None}, limit) == {"a": None}
+@pytest.mark.parametrize("limit", [10**9, 30])
+def test_rank_scores(spark, rows, limit):
+    """Mean place of equal values on 0..100; null and NaN keep their row and get no rank."""
+    data, df = rows
+    odd = spark.createDataFrame([("small", -1, None), ("small", -2, float("nan")), ("void", 0, None)], df.schema)
+    got = {(r.g, r.id): r.rank_score for r in rank_scores(df.unionByName(odd), ["g"], "v", ["id"], limit=limit).collect()}
+    groups = brute(data)
+    for g, i, v in data:
+        values = [x for x, _ in groups[g]]
+        first, count = values.index(v), values.count(v)
+        want = 50.0 if len(values) == 1 else 100 * (first + (count - 1) / 2) / (len(values) - 1)
+        assert got[g, i] == pytest.approx(want, abs=5.1e-5)
+    assert got["small", -1] is got["small", -2] is got["void", 0] is None and len(got) == len(data) + 3

@@ -1,86 +1,104 @@
+"""Universe rules, venue measures and metadata helpers against plain restatements on random input."""
+
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from crosstide.functions.scalar import json_list, needs_refresh, repo_slugs, text_contains
+from crosstide.functions.scalar import drop_empty, first_non_empty, json_list, needs_refresh, repo_slugs, text_contains
 from crosstide.operators.universe import Exclusions, build, category_reasons, classify, over_fetch
 from crosstide.operators.venues import best_slug, exchange_count, reputable_share, with_trust
 
-RULES = Exclusions(["USDT", "XAUT"], ["wrapped", "binance-peg"], ["W", "ST", "CB"], 0.03)
-
-
-def run(spark, rows, cats=None):
-    df = spark.createDataFrame([(i, s, n, float(p) if p is not None else None) for i, s, n, p in rows], "id string, symbol string, name string, price double")
-    members = category_reasons(spark.createDataFrame(cats, "id string, category string, position int")) if cats else None
-    return {r.id: r.exclusion_reason for r in classify(df, RULES, members).collect()}
-
-
-def test_rules_in_order(spark):
-    out = run(
-        spark,
-        [
-            ("usd-coin", "usdc", "USDC", 1), ("tether", "usdt", "Tether", 1), ("wbtc", "xyz", "Wrapped Bitcoin", 100),
-            ("ethereum", "eth", "Ethereum", 100), ("weth", "weth", "W-Ether", 100), ("waves", "waves", "Waves", 100),
-            ("some-usd", "xusd", "Some Dollar", 1.004), ("far", "yusd", "Off Peg", 0.55), ("free", "zusd", "No Price", None), ("nil", "qusd", "Zero", 0),
-            ("wusdt", "wusdt", "wrapped tether", 1), ("none", None, None, 3),
-        ],
-        [("usd-coin", "stablecoins", 0), ("usd-coin", "bridged", 1)],
-    )
-    assert out["usd-coin"] == "category:stablecoins" and out["tether"] == "symbol_blocklist" and out["wbtc"] == "name_blocklist"
-    assert out["weth"] == "wrapper_prefix:W" and out["waves"] is None and out["ethereum"] is None
-    assert out["some-usd"] == "peg_price" and out["far"] is None and out["free"] is None and out["nil"] is None
-    assert out["wusdt"] == "name_blocklist" and out["none"] is None
+RULES = Exclusions(["Q7"], ["synthetic", "old "], ["K", "KZ", "V"], 0.05, ["EUR", "CHF"])
 
 
-def test_longest_prefix_wins(spark):
-    df = spark.createDataFrame([("a", "WSTX", "a", 5.0), ("b", "X", "b", 5.0), ("c", "STX", "c", 5.0)], "id string, symbol string, name string, price double")
-    out = {r.id: r.exclusion_reason for r in classify(df, Exclusions(wrapper_prefixes=["W", "WST"])).collect()}
-    assert out == {"a": "wrapper_prefix:WST", "b": None, "c": None}
-
-
-def test_cap_keeps_reasons(spark):
-    rows = [(f"c{i}", f"S{i}", "wrapped" if i == 1 else "n", 5.0, float(100 - i)) for i in range(40)]
-    df = spark.createDataFrame(rows, "id string, symbol string, name string, price double, cap double")
-    out = {r.id: (r.included, r.exclusion_reason) for r in build(df, RULES, 3).collect()}
-    assert over_fetch(3) == 24 and over_fetch(5000) == 1000 and len(out) == 24
-    assert [k for k, v in out.items() if v[0]] and {k for k, v in out.items() if v[0]} == {"c0", "c2", "c3"}
-    assert out["c1"] == (False, "name_blocklist") and out["c4"] == (False, "beyond_universe_size")
+def reason(row, symbols, categories):
+    key, sym, name, price = row
+    sym, name = (sym or "").upper(), (name or "").lower()
+    if key in categories:
+        return f"category:{categories[key]}"
+    if sym in ("Q7",):
+        return "symbol_blocklist"
+    if "synthetic" in name or "old " in name:
+        return "name_blocklist"
+    for p in ("KZ", "K", "V"):
+        if sym.startswith(p) and len(sym) > len(p) and sym[len(p) :] in symbols:
+            return f"wrapper_prefix:{p}"
+    if price and any(t in sym for t in ("EUR", "CHF")) and abs(price - 1) <= 0.05:
+        return "peg_price"
+    return None
 
 
 @pytest.fixture(scope="module")
-def marked(spark):
-    trust = spark.createDataFrame([("gdax", 10), ("binance", 10), ("shadyex", 1), ("noscore", None)], "exchange string, trust int")
-    rows = [("a", "gdax", 100.0, None), ("a", "shadyex", 300.0, None), ("b", "gdax", 0.0, None), ("c", "noscore", 100.0, "green"),
-            ("d", "gdax", 5.0, None), ("d", "gdax", 5.0, None), ("d", "binance", 5.0, None), ("d", "shadyex", 5.0, None),
-            ("e", "unknown", 5.0, None), ("e", None, 5.0, "green"), ("f", "gdax", -4.0, None)]
-    return with_trust(spark.createDataFrame(rows, "entity string, exchange string, volume double, flag string"), trust)
-
-
-def test_share(marked):
-    got = {r.entity: r.share for r in reputable_share(marked).collect()}
-    assert got == {"a": 0.25, "b": None, "c": 1.0, "d": 0.75, "e": 0.5, "f": None}
-
-
-def test_exchange_count(marked):
-    green = {r.entity: r.exchanges for r in exchange_count(marked).collect()}
+def listed(spark):
+    rng = random.Random(11)
+    bases = ["Q7", "AB", "ZAB", "KZAB", "EURX", "KEURX", "VCHF", "CHF", "K", "kab", "", None]
+    rows = [(i, rng.choice(bases), rng.choice(["Plain", "Synthetic One", "Old Two", "older", None]), rng.choice([None, 0.0, 1.0, 1.04, 0.94, 30.0])) for i in range(400)]
+    members = [(i, c, p) for i in range(0, 400, 9) for p, c in enumerate(rng.sample(["c1", "c2", "c3"], 2))]
+    symbols = {(r[1] or "").upper() for r in rows}
+    first = {i: c for i, c, p in members if p == 0}
+    cats = category_reasons(spark.createDataFrame(members, "id int, category string, position int"))
+    df = spark.createDataFrame(rows, "id int, symbol string, name string, price double").withColumn("cap", (1000 - F.col("id")).cast("double"))
+    return rows, symbols, first, cats, df
+
+
+def test_rules_in_order(listed):
+    rows, symbols, first, cats, df = listed
+    got = {r.id: (r.included, r.exclusion_reason) for r in classify(df, RULES, cats).collect()}
+    want = {r[0]: reason(r, symbols, first) for r in rows}
+    assert got == {k: (w is None, w) for k, w in want.items()}
+    assert len({(w or "").split(":")[0] for w in want.values()}) == 6
+
+
+def test_cap_keeps_earlier_reasons(listed):
+    rows, _, first, cats, df = listed
+    assert (over_fetch(3), over_fetch(100), over_fetch(5000)) == (24, 180, 1000)
+    snapshot = rows[:180]  # caps fall with the id
+    symbols = {(r[1] or "").upper() for r in snapshot}
+    kept, want = 0, {}
+    for r in snapshot:
+        why = reason(r, symbols, first)
+        free = why is None and kept < 60
+        kept += free
+        want[r[0]] = (free, None if free else why or "beyond_universe_size")
+    got = {r.id: (r.included, r.exclusion_reason) for r in build(df, RULES, 60, cats).collect()}
+    assert over_fetch(60) == 116 and got == {k: v for k, v in want.items() if k < 116}
+
+
+def test_venue_measures(spark):
+    rng = random.Random(5)
+    trust = {f"x{i}": rng.choice([None, 3, 7, 10]) for i in range(8)}
+    rows = [(rng.randrange(30), rng.choice([*trust, "unknown", None, ""]), rng.choice([0.0, -2.0, 1.0, 5.5]), rng.choice([None, "green", "red"])) for _ in range(200)]
+    marked = with_trust(
+        spark.createDataFrame(rows, "entity int, exchange string, volume double, flag string"),
+        spark.createDataFrame(list(trust.items()), "exchange string, trust int"),
+    ).cache()
+    share = {r.entity: r.share for r in reputable_share(marked).collect()}
+    some = {r.entity: r.exchanges for r in exchange_count(marked).collect()}
     every = {r.entity: r.exchanges for r in exchange_count(marked, green_only=False).collect()}
-    assert green == {"a": 1, "b": 1, "c": 1, "d": 2, "e": None, "f": 1} and every["d"] == 3 and every["e"] == 1
+    good = lambda r: (trust.get(r[1]) or 0) >= 7 or r[3] == "green"
+    for e in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == e]
+        total = sum(r[2] for r in mine if r[2] > 0)
+        assert share[e] == (sum(r[2] for r in mine if r[2] > 0 and good(r)) / total if total else None)
+        assert some.get(e) == (len({r[1] for r in mine if r[1] and good(r)}) or None)
+        assert every.get(e) == (len({r[1] for r in mine if r[1]}) or None)
 
 
 def test_best_slug(spark):
-    rows = [("aave", "aave-v2", 100.0, 0), ("aave", "aave-v3", 900.0, 1), ("ethereum", "foundation", None, 2), (None, "orphan", 5.0, 3), ("x", None, 5.0, 4),
-            ("t", "first", 0.0, 5), ("t", "second", None, 6)]
+    rows = [("p", "one", 3.0, 0), ("p", "two", 4.0, 1), ("p", "three", 4.0, 2), ("q", "low", None, 3), ("q", "zero", 0.0, 4), ("r", None, 9.0, 5), (None, "lost", 9.0, 6)]
     df = spark.createDataFrame(rows, "id string, slug string, tvl double, position int")
-    assert {r.id: r.slug for r in best_slug(df).collect()} == {"aave": "aave-v3", "ethereum": "foundation", "t": "first"}
+    assert {r.id: r.slug for r in best_slug(df).collect()} == {"p": "two", "q": "low"}
 
 
 def test_metadata_helpers(spark):
-    urls = ["https://github.com/a/b.git", "https://github.com/a/b", None, "https://x.com/q/r", "https://github.com/only", "https://github.com/c/d/tree", "https://github.com/e/f", "https://github.com/g/h"]
-    df = spark.createDataFrame([(urls,)], "u array<string>")
-    assert df.select(repo_slugs("u", "github.com").alias("x")).first().x == ["a/b", "c/d", "e/f"]
-    texts = spark.createDataFrame([(None,), ("",), ("[bad",), ('["a","b"]',)], "t string")
-    assert [r.x for r in texts.select(json_list("t").alias("x")).collect()] == [[], [], [], ["a", "b"]]
-    now = F.lit("2026-09-30").cast("timestamp")
-    seen = spark.createDataFrame([(None,), ("2026-08-01",), ("2026-09-15",)], "t string").select(F.col("t").cast("timestamp").alias("t"))
-    assert [r.x for r in seen.select(needs_refresh("t", now, 30).alias("x")).collect()] == [True, True, False]
-    names = spark.createDataFrame([("50% Off", None), (None, "ABC"), ("plain", "x")], "name string, symbol string")
-    assert names.where(text_contains("%", "name", "symbol")).count() == 1 and names.where(text_contains("b", "name", "symbol")).count() == 1
+    urls = [None, "https://git.test/me/tool.git", "https://git.test/me/tool", "https://other.test/a/b", "https://git.test/me", "https://git.test//you/lib/tree/main", "https://git.test/u/v", "https://git.test/w/x"]
+    df = spark.createDataFrame([(urls, ["", None, "home", "away"])], "u array<string>, h array<string>")
+    r = df.select(repo_slugs("u", "git.test").alias("slugs"), first_non_empty("h").alias("home"), drop_empty("h").alias("kept")).first()
+    assert (r.slugs, r.home, r.kept) == (["me/tool", "you/lib", "u/v"], "home", ["home", "away"])
+    texts = spark.createDataFrame([(None,), ("",), ("{oops",), ('["p", "q"]',)], "t string")
+    assert [x.l for x in texts.select(json_list("t").alias("l")).collect()] == [[], [], [], ["p", "q"]]
+    seen = spark.createDataFrame([(None,), ("2024-01-30",), ("2024-01-31",)], "t string").select(F.col("t").cast("timestamp").alias("t"))
+    assert [x.s for x in seen.select(needs_refresh("t", F.lit("2024-03-01").cast("timestamp"), 30).alias("s")).collect()] == [True, True, False]
+    names = spark.createDataFrame([("a_b", None), (None, "A%B"), ("AB", "x")], "n string, s string")
+    assert [names.where(text_contains(q, "n", "s")).count() for q in ("%", "_", "a", "AB", "zz")] == [1, 1, 3, 1, 0]

@@ -7,23 +7,39 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fiat tickers of the peg rule.
+# The standing exclusion lists. Categories come first and in this order.
+CATEGORIES = [
+    "stablecoins", "yield-bearing-stablecoins", "bridged-tokens", "wrapped-tokens", "binance-peg-tokens",
+    "tokenized-btc", "tokenized-gold", "tokenized-treasuries", "tokenized-t-bills",
+    "tokenized-money-market-fund-mmfs", "liquid-staking-tokens", "liquid-staked-eth", "liquid-staked-btc",
+    "liquid-staked-sol",
+]
+SYMBOLS = [
+    "USDT", "USDC", "DAI", "BUSD", "TUSD", "USDE", "USDS", "USD1", "FDUSD", "PYUSD", "USDD", "USDP", "GUSD", "LUSD",
+    "FRAX", "EURC", "EURS", "EURT", "XAUT", "PAXG", "WBTC", "WETH", "WBETH", "WEETH", "WSTETH", "STETH", "RETH",
+    "CBBTC", "CBETH", "SOLVBTC", "LBTC", "BSC-USD", "JITOSOL", "MSOL", "RSETH", "EZETH", "SUSDE", "SUSDS", "BNSOL",
+    "WBNB", "WSOL",
+]
+NAME_PARTS = ["wrapped", "bridged", "staked ", "peg-", "binance-peg", "tether", "usd coin"]
+WRAPPER_PREFIXES = ["W", "ST", "WST", "B", "R", "CB", "M", "J", "BN"]
 FIAT_TICKERS = ["USD", "EUR", "GBP", "JPY", "CHF", "TRY", "BRL"]
+PEG_TOLERANCE = 0.03
 
 
 @dataclass(frozen=True)
 class Exclusions:
-    """The default prefixes, tolerance and tickers. Symbols and names are the caller's lists."""
+    """Rules of one universe; the standing lists unless others are given."""
 
-    symbols: list[str] = field(default_factory=list)
-    name_contains: list[str] = field(default_factory=list)
-    wrapper_prefixes: list[str] = field(default_factory=lambda: ["W", "ST", "WST", "B", "R", "CB", "M", "J", "BN"])
-    peg_tolerance: float = 0.03
+    symbols: list[str] = field(default_factory=lambda: list(SYMBOLS))
+    name_contains: list[str] = field(default_factory=lambda: list(NAME_PARTS))
+    wrapper_prefixes: list[str] = field(default_factory=lambda: list(WRAPPER_PREFIXES))
+    peg_tolerance: float = PEG_TOLERANCE
     fiat_tickers: list[str] = field(default_factory=lambda: list(FIAT_TICKERS))
 
 
 def category_reasons(members: DataFrame) -> DataFrame:
-    """(id, category, position) -> one reason per id, the category listed first winning."""
+    """(id, category, position) -> one reason per id, the category listed first winning. `position` is the
+    category's place in the caller's list, CATEGORIES by default."""
     return members.groupBy("id").agg(
         F.concat(F.lit("category:"), F.min_by("category", "position")).alias("category_reason")
     )

@@ -49,13 +49,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about `size` bytes; a longer row comes alone."""
+def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Runs of at most `rows` rows of about `size` bytes; a longer row comes alone."""
     n, i = len(offsets) - 1, 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(n, i + rows, max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1))
+        yield i, j
+        i = j
 
 
 def batches(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,8 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crosstide.llm.common import held_out
 from crosstide.llm.decontaminate import contamination
 from crosstide.llm.exact_dedup import exact_dedup
+from crosstide.llm.language import fit_languages, predict_language
+from crosstide.llm.quality import fit_quality, score_quality
 from crosstide.llm.slots import shard_records
 from crosstide.llm.url_rules import RULES, judge_homepages
 from crosstide.llm.warc import read_archives, write_archives
@@ -40,6 +43,12 @@ def op4_slots(spark: SparkSession, sf: str) -> DataFrame:
     return placed.withColumnRenamed("coin_id", "doc_id").withColumns({"law": F.lit("bytes"), "grown_shard": none})
 
 
+def op5_language(spark: SparkSession, sf: str) -> DataFrame:
+    records = _records(spark, sf, "lang")
+    found = predict_language(records, fit_languages(records)).withColumnRenamed("coin_id", "doc_id")
+    return found.withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
+
+
 def op7_url_rules(spark: SparkSession, sf: str) -> DataFrame:
     coins = _table(spark, sf, "pages").select(F.col("page_id").alias("coin_id"), F.col("url").alias("homepage"))
     return judge_homepages(coins, RULES).withColumnRenamed("coin_id", "page_id")
@@ -53,12 +62,21 @@ def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(_records(spark, sf)).withColumnRenamed("coin_id", "doc_id")
 
 
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    records = _records(spark, sf)
+    labels = _table(spark, sf, "labels").select(F.col("doc_id").alias("coin_id"), "quality")
+    found = score_quality(records, fit_quality(records, labels)).withColumnRenamed("coin_id", "doc_id")
+    return found.withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op4_slots": op4_slots,
+    "op5_language": op5_language,
     "op7_url_rules": op7_url_rules,
     "op8_decontaminate": op8_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_quality": op10_quality,
 }
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"

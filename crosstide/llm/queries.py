@@ -14,12 +14,15 @@ from crosstide.llm.common import held_out
 from crosstide.llm.decontaminate import contamination
 from crosstide.llm.exact_dedup import exact_dedup
 from crosstide.llm.language import fit_languages, predict_language
+from crosstide.llm.pieces import decode_records, encode_records, load_vocabulary
 from crosstide.llm.quality import fit_quality, score_quality
 from crosstide.llm.slots import shard_records
 from crosstide.llm.url_rules import RULES, judge_homepages
 from crosstide.llm.warc import read_archives, write_archives
 from crosstide.session import fresh_path
 
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -49,6 +52,12 @@ def op5_language(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
 
 
+def op6_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = load_vocabulary(PIECES)
+    both = decode_records(encode_records(_records(spark, sf), vocabulary), vocabulary)
+    return both.select(F.col("coin_id").alias("doc_id"), F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", F.sha2("body", 256).alias("decoded_sha256"))
+
+
 def op7_url_rules(spark: SparkSession, sf: str) -> DataFrame:
     coins = _table(spark, sf, "pages").select(F.col("page_id").alias("coin_id"), F.col("url").alias("homepage"))
     return judge_homepages(coins, RULES).withColumnRenamed("coin_id", "page_id")
@@ -73,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op4_slots": op4_slots,
     "op5_language": op5_language,
+    "op6_pieces": op6_pieces,
     "op7_url_rules": op7_url_rules,
     "op8_decontaminate": op8_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,

@@ -15,45 +15,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crosstide.llm.bloom import BITS_PER_ROW, MAX_BITS, filter_bits, probed, word_count
 from crosstide.llm.common import KEY, TEXT, col, packed
 from crosstide.session import settle
 
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def _hash() -> Column:
+    return F.xxhash64("sha")
+
+
 def normalised(text: Column) -> Column:
     """The text without ASCII white space; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def _bit_places(sha: Column, words: int) -> tuple[Column, Column, Column]:
-    h = F.xxhash64(sha)
-    first = F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63))
-    second = (first + 1 + F.pmod(F.shiftrightunsigned(h, 47), F.lit(63))) % 64
-    return F.pmod(h, F.lit(words)), first, second
-
-
-def _filter_words(rows: int, bits_per_row: int, max_filter_bits: int) -> int:
-    return max(16, min(rows * bits_per_row, max_filter_bits) // 64)
-
-
-def _repeated_bits(prints: DataFrame, words: int) -> DataFrame:
-    """word, bits: the filter bits that at least two rows set."""
-    word, first, second = _bit_places(F.col("sha"), words)
-    each = prints.select(F.explode(F.array(word * 64 + first, word * 64 + second)).alias("bit"))
-    twice = each.groupBy("bit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return twice.groupBy((F.col("bit") / 64).cast("bigint").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-
-
-def _probed(rows: DataFrame, bits: DataFrame, words: int) -> DataFrame:
-    """Adds `maybe`: whether the digest in `sha` may occur twice."""
-    word, first, second = _bit_places(F.col("sha"), words)
-    mask = F.expr("shiftleft(1L, cast(_first as int)) | shiftleft(1L, cast(_second as int))")
-    placed = rows.withColumns({"word": word, "_first": first, "_second": second}).withColumn("_mask", mask).drop("_first", "_second")
-    hit = F.coalesce(F.col("bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
-    return placed.join(F.broadcast(bits), "word", "left").withColumn("maybe", hit).drop("word", "bits", "_mask")
-
-
 def _prints(records: DataFrame, key: str, text: str) -> DataFrame:
     body = F.coalesce(col(text), F.lit(""))
     return records.select(
@@ -73,7 +50,7 @@ def _meet(rows: DataFrame, winners: DataFrame) -> DataFrame:
     return rows.select("*", number).join(winners.select("*", number), ["sha", "_j"]).drop("_j")
 
 
-def exact_dedup(records: DataFrame, key: str = KEY, text: str = TEXT, bits_per_row: int = 16, max_filter_bits: int = 1 << 28) -> DataFrame:
+def exact_dedup(records: DataFrame, key: str = KEY, text: str = TEXT, bits_per_row: int = BITS_PER_ROW, max_filter_bits: int = MAX_BITS) -> DataFrame:
     """One row per landed record: `<key>`, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without ASCII white space; null counts as empty, so null, empty and blank texts form
@@ -81,25 +58,25 @@ def exact_dedup(records: DataFrame, key: str = KEY, text: str = TEXT, bits_per_r
     in both, exactly one stays. Other columns are ignored. An empty table gives an empty result.
     """
     prints = settle(_prints(records, key, text), "digests")
-    words = _filter_words(prints.count(), bits_per_row, max_filter_bits)
-    probed = _probed(prints, _repeated_bits(prints, words), words)
-    alone = probed.where(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    repeated = probed.where("maybe")
+    words = word_count(prints.count(), bits_per_row, max_filter_bits)
+    tried = probed(prints.withColumn("h", _hash()), filter_bits(prints.select(_hash().alias("h")), words, 2), words)
+    alone = tried.where(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "sha")
+    repeated = tried.where("maybe")
     copies = _meet(repeated, _winners(repeated)).select(
         "id", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept"), "sha"
     )
     return alone.unionByName(copies).withColumnsRenamed({"id": key, "sha": "text_sha256"})
 
 
-def without_copies(records: DataFrame, key: str = KEY, text: str = TEXT, bits_per_row: int = 16, max_filter_bits: int = 1 << 28) -> DataFrame:
+def without_copies(records: DataFrame, key: str = KEY, text: str = TEXT, bits_per_row: int = BITS_PER_ROW, max_filter_bits: int = MAX_BITS) -> DataFrame:
     """The records that `exact_dedup` keeps, with all their columns. Of rows that tie in length and key one stays."""
     prints = settle(_prints(records, key, text), "digests")
-    words = _filter_words(prints.count(), bits_per_row, max_filter_bits)
-    bits = _repeated_bits(prints, words)
+    words = word_count(prints.count(), bits_per_row, max_filter_bits)
+    bits = filter_bits(prints.select(_hash().alias("h")), words, 2)
     body = F.coalesce(col(text), F.lit(""))
     rows = records.select(packed(records), col(key).alias("id"), F.sha2(normalised(body), 256).alias("sha"), F.char_length(body).alias("len"))
-    probed = _probed(rows, bits, words)
-    best = _winners(_probed(prints, bits, words).where("maybe")).select("sha", -F.col("best.less").alias("top"), F.col("best.id").alias("top_id"))
+    tried = probed(rows.withColumn("h", _hash()), bits, words)
+    best = _winners(probed(prints.withColumn("h", _hash()), bits, words).where("maybe")).select("sha", -F.col("best.less").alias("top"), F.col("best.id").alias("top_id"))
     winner = (F.col("len") == F.col("top")) & F.col("id").eqNullSafe(F.col("top_id"))
-    kept = _meet(probed.where("maybe"), best).where(winner).dropDuplicates(["sha"])
-    return probed.where(~F.col("maybe")).select("_rec.*").unionByName(kept.select("_rec.*"))
+    kept = _meet(tried.where("maybe"), best).where(winner).dropDuplicates(["sha"])
+    return tried.where(~F.col("maybe")).select("_rec.*").unionByName(kept.select("_rec.*"))

@@ -14,6 +14,7 @@ from crosstide.llm.common import held_out
 from crosstide.llm.decontaminate import contamination
 from crosstide.llm.exact_dedup import exact_dedup
 from crosstide.llm.language import fit_languages, predict_language
+from crosstide.llm.near_join import near_join
 from crosstide.llm.pieces import decode_records, encode_records, load_vocabulary
 from crosstide.llm.quality import fit_quality, score_quality
 from crosstide.llm.slots import shard_records
@@ -40,6 +41,10 @@ def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def op3_near_join(spark: SparkSession, sf: str) -> DataFrame:
+    return near_join(_records(spark, sf)).withColumnRenamed("coin_id", "doc_id")
+
+
 def op4_slots(spark: SparkSession, sf: str) -> DataFrame:
     placed = shard_records(_records(spark, sf), fresh_path(spark, "slot-map"), 24)
     none = F.lit(None).cast("int")
@@ -80,6 +85,7 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
+    "op3_near_join": op3_near_join,
     "op4_slots": op4_slots,
     "op5_language": op5_language,
     "op6_pieces": op6_pieces,

@@ -68,6 +68,12 @@ def _runs(flags: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.searchsorted(offsets, starts, side="right") - 1, starts, ends
 
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every word in order; A-Z count as a-z."""
+    owner, starts, ends = _runs(_WORD[data], offsets)
+    return owner, _hashes(_FOLD[data], starts, ends)
+
+
 def _chunk(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n, size = len(offsets) - 1, np.diff(offsets)
     out = np.zeros((n, len(NAMES)), np.float32)

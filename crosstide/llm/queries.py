@@ -17,6 +17,7 @@ from crosstide.llm.language import fit_languages, predict_language
 from crosstide.llm.near_join import near_join
 from crosstide.llm.pieces import decode_records, encode_records, load_vocabulary
 from crosstide.llm.quality import fit_quality, score_quality
+from crosstide.llm.repeats import remove_repeats
 from crosstide.llm.slots import shard_records
 from crosstide.llm.url_rules import RULES, judge_homepages
 from crosstide.llm.warc import read_archives, write_archives
@@ -33,6 +34,12 @@ def _records(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     return _table(spark, sf, "documents").select(F.col("doc_id").alias("coin_id"), F.col("text").alias("body"), *more)
 
 
+def op1_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    left = remove_repeats(_records(spark, sf))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda t, s: t + s["end"] - s["start"])
+    return left.select(F.col("coin_id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "archives")
     write_archives(_table(spark, sf, "pages").select(F.col("page_id").alias("response_id"), "url", F.col("html").alias("body")), path)
@@ -84,6 +91,7 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeats": op1_repeats,
     "op2_warc": op2_warc,
     "op3_near_join": op3_near_join,
     "op4_slots": op4_slots,

@@ -76,7 +76,7 @@ def without_copies(records: DataFrame, key: str = KEY, text: str = TEXT, bits_pe
     body = F.coalesce(col(text), F.lit(""))
     rows = records.select(packed(records), col(key).alias("id"), F.sha2(normalised(body), 256).alias("sha"), F.char_length(body).alias("len"))
     tried = probed(rows.withColumn("h", _hash()), bits, words)
-    best = _winners(probed(prints.withColumn("h", _hash()), bits, words).where("maybe")).select("sha", -F.col("best.less").alias("top"), F.col("best.id").alias("top_id"))
+    best = _winners(probed(prints.withColumn("h", _hash()), bits, words).where("maybe")).select("sha", (-F.col("best.less")).alias("top"), F.col("best.id").alias("top_id"))
     winner = (F.col("len") == F.col("top")) & F.col("id").eqNullSafe(F.col("top_id"))
     kept = _meet(tried.where("maybe"), best).where(winner).dropDuplicates(["sha"])
     return tried.where(~F.col("maybe")).select("_rec.*").unionByName(kept.select("_rec.*"))

@@ -27,8 +27,9 @@ from crosstide.llm.language import _code_points
 from crosstide.llm.rolling import between, codes, running
 
 BLANK = 0x2581
-KEPT_PARTS = 300_000
-KEPT_PAIRS = 2_000_000
+KEPT_PARTS = 200_000
+KEPT_PAIRS = 400_000
+ENCODED_BYTES, DECODED_IDS = 4 << 20, 1 << 18
 GROUP_CELLS = 1 << 20
 
 
@@ -283,7 +284,7 @@ def encode_records(records: DataFrame, vocabulary: Vocabulary, key: str = KEY, t
         encoder = shared_encoder(vocabulary)
         for frame in batches(frames):
             data, offsets = utf8(frame.column(1))
-            for i, j in chunks(offsets, 8 << 20):
+            for i, j in chunks(offsets, ENCODED_BYTES):
                 ids, cut = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 listed = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([frame.column(0).slice(i, j - i), listed, pa.array(np.diff(cut))], names=["id", "token_ids", "n_tokens"])
@@ -307,7 +308,9 @@ def decode_records(tokens: DataFrame, vocabulary: Vocabulary, key: str = KEY, id
             if flat.null_count:
                 raise ValueError("an id is null")
             cut = np.concatenate(([0], np.cumsum(listed.value_lengths().to_numpy(zero_copy_only=False))))
-            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(decoder.decode(flat.to_numpy(), cut), pa.string())], names=["id", "ids", "body"])
+            for i, j in chunks(cut, DECODED_IDS):
+                bodies = pa.array(decoder.decode(flat[cut[i] : cut[j]].to_numpy(), cut[i : j + 1] - cut[i]), pa.string())
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in frame.columns), bodies], names=["id", "ids", "body"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(decode, f"id {kind}, ids array<int>, body string").withColumnsRenamed({"id": key, "ids": ids})

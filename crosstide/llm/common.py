@@ -69,3 +69,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(29))
     x = x * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(32))
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on the keys and a number made from them. No side is partitioned by that number yet, so both are exchanged for
+    this join alone, and adaptive execution may split a key that holds a large share of the left rows."""
+    number = F.xxhash64(*keys).alias("_j")
+    return left.select("*", number).join(right.select("*", number), [*keys, "_j"], how).drop("_j")

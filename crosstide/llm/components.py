@@ -10,14 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crosstide.llm.common import split_join
 from crosstide.session import settle
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
     """Adds `m`: the least of `u` and all its neighbours `v`."""
-    number = F.xxhash64("u").alias("_j")
-    least = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return edges.select("*", number).join(least.select("*", number), ["u", "_j"]).drop("_j")
+    return split_join(edges, edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), ["u"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosstide.llm.bloom import BITS_PER_ROW, MAX_BITS, filter_bits, probed, word_count
-from crosstide.llm.common import KEY, TEXT, col, packed
+from crosstide.llm.common import KEY, TEXT, col, packed, split_join
 from crosstide.session import settle
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -43,13 +43,6 @@ def _winners(repeated: DataFrame) -> DataFrame:
     return repeated.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("len")).alias("less"), "id", "row")).alias("best"))
 
 
-def _meet(rows: DataFrame, winners: DataFrame) -> DataFrame:
-    """Join on the digest and on a number made from it: neither side is partitioned by the pair yet, so both are
-    exchanged for the join alone, and a hot digest can be split."""
-    number = F.xxhash64("sha").alias("_j")
-    return rows.select("*", number).join(winners.select("*", number), ["sha", "_j"]).drop("_j")
-
-
 def exact_dedup(records: DataFrame, key: str = KEY, text: str = TEXT, bits_per_row: int = BITS_PER_ROW, max_filter_bits: int = MAX_BITS) -> DataFrame:
     """One row per landed record: `<key>`, keep_id, group_size, kept, text_sha256.
 
@@ -62,7 +55,7 @@ def exact_dedup(records: DataFrame, key: str = KEY, text: str = TEXT, bits_per_r
     tried = probed(prints.withColumn("h", _hash()), filter_bits(prints.select(_hash().alias("h")), words, 2), words)
     alone = tried.where(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "sha")
     repeated = tried.where("maybe")
-    copies = _meet(repeated, _winners(repeated)).select(
+    copies = split_join(repeated, _winners(repeated), ["sha"]).select(
         "id", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept"), "sha"
     )
     return alone.unionByName(copies).withColumnsRenamed({"id": key, "sha": "text_sha256"})
@@ -78,5 +71,5 @@ def without_copies(records: DataFrame, key: str = KEY, text: str = TEXT, bits_pe
     tried = probed(rows.withColumn("h", _hash()), bits, words)
     best = _winners(probed(prints.withColumn("h", _hash()), bits, words).where("maybe")).select("sha", (-F.col("best.less")).alias("top"), F.col("best.id").alias("top_id"))
     winner = (F.col("len") == F.col("top")) & F.col("id").eqNullSafe(F.col("top_id"))
-    kept = _meet(tried.where("maybe"), best).where(winner).dropDuplicates(["sha"])
+    kept = split_join(tried.where("maybe"), best, ["sha"]).where(winner).dropDuplicates(["sha"])
     return tried.where(~F.col("maybe")).select("_rec.*").unionByName(kept.select("_rec.*"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosstide.llm.bloom import filter_bits, probed, word_count
-from crosstide.llm.common import KEY, TEXT, batches, chunks, col, mix, packed, utf8
+from crosstide.llm.common import KEY, TEXT, batches, chunks, col, mix, packed, split_join, utf8
 from crosstide.llm.components import components
 from crosstide.llm.text_features import word_hashes
 from crosstide.session import settle
@@ -151,7 +151,8 @@ def _trie_edges(signed: DataFrame, trees: int, depth: int, prefix: int) -> DataF
     leaves = signed.select("row", "signature").mapInArrow(cut, "tree int, sign binary, row bigint")
     laid = leaves.repartitionByRange("tree", "sign", "row").sortWithinPartitions("tree", "sign", "row")
     met = settle(laid.mapInArrow(walk, "a bigint, b bigint, node bigint"), "trie")
-    ends = met.where("node is not null").groupBy("node").agg(F.min("a").alias("m")).join(met.where("node is not null"), "node").select("a", F.col("m").alias("b"))
+    ends = met.where("node is not null").groupBy("node").agg(F.min("a").alias("m"))
+    ends = split_join(met.where("node is not null"), ends, ["node"]).select("a", F.col("m").alias("b"))
     return met.where("node is null").select("a", "b").unionByName(ends).where("a != b").distinct()
 
 
@@ -278,7 +279,7 @@ def _classes(
     groups = hung.unionByName(roots).select(F.col("node").alias("row"), F.col("root").alias("grp"))
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
     at = signed.select("row", F.col("id").alias("_id"), F.col("text_hash").alias("_h"))
-    wanted = settle(groups.join(sizes, "grp").join(first, "row").join(at, "row"), "candidates")
+    wanted = settle(split_join(groups, sizes, ["grp"]).join(first, "row").join(at, "row"), "candidates")
     candidates = wanted.count()
     filtered = word_count(candidates)
     texts = records.select(col(key).alias("id"), F.xxhash64(body).alias("h"), body.alias("text"))
@@ -296,7 +297,7 @@ def _classes(
     )
     decided = settle(decided, "decided")
     least = decided.groupBy("class").agg(F.min(F.struct("rep_id", "rep")).alias("best"))
-    named = settle(decided.join(least, "class").select(*names, "n_links", F.col("best.rep_id").alias("class_id"), F.col("best.rep").alias("best")), "classes")
+    named = settle(split_join(decided, least, ["class"]).select(*names, "n_links", F.col("best.rep_id").alias("class_id"), F.col("best.rep").alias("best")), "classes")
     full = signed.where("n > 0").join(named, names)
     columns = ["row", "id", "text_hash", "class_id", "n_links", (F.col("row") == F.col("best")).alias("kept")]
     empty = signed.where("n = 0").select("row", "id", "text_hash", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("kept"))

@@ -184,4 +184,5 @@ def kept_by_quality(records: DataFrame, model: AdditiveModel, text: str = TEXT)
         for frame in batches(frames):
             yield frame.filter(pa.array(model.score(features(*utf8(frame.column(at)))) >= 0.5))
 
-    return records.mapInArrow(keep, records.schema)
+    plain = records.toDF(*[f"c{i}" for i in range(len(records.columns))])
+    return plain.mapInArrow(keep, plain.schema).toDF(*records.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosstide.llm.bloom import filter_bits, probed, word_count
-from crosstide.llm.common import KEY, TEXT, batches, chunks, col, mix, utf8
+from crosstide.llm.common import KEY, TEXT, batches, chunks, col, mix, split_join, utf8
 from crosstide.llm.rolling import between, codes, running
 from crosstide.session import settle
 
@@ -253,25 +253,19 @@ def _contexts(texts: DataFrame, min_bytes: int, gram: int) -> DataFrame:
     return texts.mapInArrow(cut, "name bigint, part int, parts int, doc bigint, place int, before int, after int, left binary, right binary")
 
 
-def _split(keys: list[str], left: DataFrame, right: DataFrame) -> DataFrame:
-    """Join on the keys and a number made from them, so that both sides are exchanged for this join and a hot key can be split."""
-    number = F.xxhash64(*keys).alias("_j")
-    return left.select("*", number).join(right.select("*", number), [*keys, "_j"]).drop("_j")
-
-
 def repeated_spans(records: DataFrame, min_bytes: int, gram: int, key: str, text: str, group_rows: int) -> DataFrame:
     """doc, spans: the maximal runs of repeated bytes of each record that has any, in order. `doc` is `_name(key, text)`."""
     texts = _named(records, key, text).select("doc", "text")
     found = settle(_anchored(texts, min_bytes, gram), "anchors")
     often = found.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    met = settle(_split(["name"], found, often), "met")
+    met = settle(split_join(found, often, ["name"]), "met")
     rep = F.min(F.struct("doc", "place", "before", "after")).alias("rep")
     kinds = settle(met.groupBy("name", "context").agg(F.count(F.lit(1)).alias("n"), rep), "contexts")
-    whole = _split(["name", "context"], met, kinds.where("n > 1").select("name", "context"))
+    whole = split_join(met, kinds.where("n > 1").select("name", "context"), ["name", "context"])
     whole = whole.select("doc", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + gram + F.col("after")).alias("end"))
     mixed = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     parts = F.ceil(F.col("m") / group_rows).cast("int")
-    items = _split(["name"], kinds, mixed).select("rep.*", "name", parts.alias("parts"))
+    items = split_join(kinds, mixed, ["name"]).select("rep.*", "name", parts.alias("parts"))
     items = items.withColumn("part", F.pmod(F.xxhash64("doc", "place"), F.col("parts")).cast("int"))
     listed = settle(items.groupBy("doc").agg(F.collect_list(F.struct("name", "part", "parts", "place", "before", "after")).alias("items")), "items")
     words = word_count(listed.count())

@@ -58,7 +58,7 @@ def _decided(responses: DataFrame, key: str, url: str, body: str, min_revisit_by
     long = rows.where(F.col("bytes") >= min_revisit_bytes).select("id", "digest")
     first = settle(long.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("original")).where("n > 1").drop("n"), "originals")
     met = rows.join(first, "digest", "left").withColumn("original", F.when(F.col("bytes") >= min_revisit_bytes, F.col("original")))
-    return met.withColumn("refers_to", F.when(F.col("original") != F.col("id"), F.col("original"))).drop("original")
+    return met.withColumn("refers_to", F.when(~F.col("original").eqNullSafe(F.col("id")), F.col("original"))).drop("original")
 
 
 def _header(name: str, value: Column) -> Column:
@@ -133,7 +133,9 @@ def parse_record(data: bytes | memoryview, at: int) -> tuple[dict, int]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line without a colon")
-        head[name.strip().lower()] = value.strip().decode("utf-8", "replace")
+        if (name := name.strip().lower()) in head and name != b"warc-concurrent-to":
+            raise Damaged("a header field stands twice")
+        head[name] = value.strip().decode("utf-8", "replace")
     if not head.get(b"content-length", "").isdigit():
         raise Damaged("no length")
     body = close + 4

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosstide.functions.scalar import ratio, wilson
@@ -59,21 +63,23 @@ def moves(labelled: DataFrame, n: int, lo: int, hi: int, tail: int = 15, rise: f
 def cooldown(fired: DataFrame, bars: int) -> DataFrame:
     """Fires at least `bars` after the last kept fire of the same entity and signal.
 
-    Which fire is kept depends on the fire kept before it, so this is a fold over the ordered
-    fires of one (entity, signal): at most one per point of the time axis.
+    Which fire is kept depends on the fire kept before it, so ordered fires pass by one after the other. Each task
+    walks its sorted rows as a stream and remembers one key and one time; nothing is collected per key.
     """
-    order = F.array_sort(F.collect_list("t"))
-    start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("kept"))
+    fires = fired.select("entity", "signal", F.col("t").cast("bigint").alias("t"))
+    key = F.to_json(F.struct("entity", "signal")).alias("_key")
+    laid = fires.select("*", key).repartition("_key").sortWithinPartitions("_key", "t")
 
-    def step(acc: Column, t: Column) -> Column:
-        skip = acc["last"].isNotNull() & (t - acc["last"] < bars)
-        return F.when(skip, acc).otherwise(
-            F.struct(t.alias("last"), F.concat(acc["kept"], F.array(t)).alias("kept"))
-        )
+    def walk(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last = None, 0
+        for frame in frames:
+            kept = np.zeros(frame.num_rows, bool)
+            for i, (name, t) in enumerate(zip(frame.column("_key").to_pylist(), frame.column("t").to_pylist(), strict=True)):
+                if name != last_key or t - last >= bars:
+                    kept[i], last_key, last = True, name, t
+            yield frame.filter(pa.array(kept)).drop_columns(["_key"])
 
-    folded = fired.groupBy("entity", "signal").agg(order.alias("_ts"))
-    kept = F.aggregate("_ts", start, step)["kept"]
-    return folded.select("entity", "signal", F.explode(kept).alias("t"))
+    return laid.mapInArrow(walk, fires.schema).withColumn("t", F.col("t").cast("int"))
 
 
 def base_rate(labelled: DataFrame, lo: int, hi: int) -> DataFrame:
@@ -133,7 +139,7 @@ def study(
     measures = events.select(
         "entity", "t", "signal", F.expr("stack(3, 'lead', lead, 'peak', peak, 'term', term) as (measure, value)")
     )
-    mids = order_statistics(measures, ["signal", "measure"], "value", ["entity", "t"], stored=True)
+    mids = order_statistics(measures, ["signal", "measure"], "value", ["entity", "t"])
     mids = (
         mids.groupBy("signal").pivot("measure", ["lead", "peak", "term"]).agg(F.first("median"))
         .toDF("signal", "median_lead", "median_peak_fwd", "median_term_fwd")
@@ -171,7 +177,7 @@ def study(
 def breadth(fired: DataFrame, signal: str) -> DataFrame:
     """Entities a signal fired on, its fires, and the median number of fires per firing entity."""
     per = settle(fired.where(F.col("signal") == signal).groupBy("entity").agg(F.count(F.lit(1)).cast("double").alias("k")), "breadth")
-    mids = order_statistics(per, [], "k", ["entity"], stored=True)
+    mids = order_statistics(per, [], "k", ["entity"])
     total = per.agg(F.count(F.lit(1)).alias("entities"), F.coalesce(F.sum("k"), F.lit(0.0)).cast("bigint").alias("fires"))
     return total.select("entities", "fires", F.coalesce(mids.select("median").scalar(), F.lit(0.0)).alias("median_fires"))
 
@@ -191,6 +197,6 @@ def regime(panel: DataFrame) -> DataFrame:
     known = panel.where("price is not null")
     ends = known.groupBy("entity").agg(F.min_by("price", "t").alias("a"), F.max_by("price", "t").alias("b"))
     rets = settle(ends.where("a != 0 and b != 0").select("entity", (F.col("b") / F.col("a") - 1.0).alias("ret")), "regime")
-    mid = order_statistics(rets, [], "ret", ["entity"], stored=True)
+    mid = order_statistics(rets, [], "ret", ["entity"])
     total = rets.agg(F.count("ret").alias("entities"), F.avg("ret").alias("mean_ret"), F.avg((F.col("ret") > 0).cast("int")).alias("share_up"))
     return total.withColumn("median_ret", mid.select("median").scalar())

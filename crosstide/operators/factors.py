@@ -138,7 +138,7 @@ def with_carry_inputs(uni: DataFrame, rates: DataFrame, axis: DataFrame, time: s
 def rate_coverage(uni: DataFrame) -> DataFrame:
     """Share of entity-periods with a rate series, covered periods, their upper-middle median and mean.
     `uni` reads from a written table."""
-    mid = order_statistics(uni.select("entity", "t", "rate_sum"), [], "rate_sum", ["entity", "t"], stored=True)
+    mid = order_statistics(uni.select("entity", "t", "rate_sum"), [], "rate_sum", ["entity", "t"])
     return uni.agg(
         F.avg(F.col("has_rate").cast("int")).alias("perp_share"),
         F.count("rate_sum").alias("covered"),
@@ -253,6 +253,7 @@ def series_stats(series: DataFrame, keys: list[str]) -> DataFrame:
         F.avg("x").alias("wk_mean"),
         F.stddev_samp("x").alias("sd"),
         F.max_by("eq", "t").alias("_eq"),
+        F.sum(F.when(F.col("x") > -1, F.log1p("x"))).alias("_logs"),
         F.max("_ruined").alias("_ruined"),
         F.least(F.min("dd"), F.lit(0.0)).alias("mdd"),
         F.avg((F.col("x") > 0).cast("int")).alias("hit"),
@@ -266,6 +267,7 @@ def series_stats(series: DataFrame, keys: list[str]) -> DataFrame:
         "wk_mean",
         "sd",
         (F.when(ruin, F.lit(0.0)).otherwise(F.col("_eq")) - 1.0).alias("cum"),
+        F.when(~ruin, F.col("_logs")).alias("log_cum"),
         ruin.alias("ruin"),
         ann.alias("ann"),
         vol.alias("vol"),

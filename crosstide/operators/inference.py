@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosstide.functions.scalar import net_return, normal_two_sided_p, ratio
@@ -33,15 +33,15 @@ def with_p(edge_rows: DataFrame) -> DataFrame:
     return edge_rows.withColumn("p", normal_two_sided_p("t"))
 
 
-def _pick(draw: Column, slot: Column, days: Column, seed: int) -> Column:
-    """Reproducible slot in [0, days) from integer arithmetic that stays below 2**62, so another
-    engine can draw the same days."""
+def _with_slot(rows: DataFrame, seed: int) -> DataFrame:
+    """Adds a reproducible `slot` in [0, days) from draw and i, by integer arithmetic that stays below 2**62, so
+    another engine can draw the same days."""
     m = F.lit(1 << 31)
-    h = (draw * F.lit(7919) + slot * F.lit(104729) + F.lit(seed * 15485863)) % m
-    for _ in range(3):
-        h = (h * F.lit(1103515245) + F.lit(12345)) % m
-        h = (h + F.floor(h / F.lit(65536)).cast("bigint") * F.lit(2531011)) % m
-    return F.floor(h / F.lit(16)).cast("bigint") % days
+    rows = rows.withColumn("_h", (F.col("draw") * F.lit(7919) + F.col("i") * F.lit(104729) + F.lit(seed * 15485863)) % m)
+    for _ in range(3):  # staged in a column: each round uses the number twice
+        rows = rows.withColumn("_h", (F.col("_h") * F.lit(1103515245) + F.lit(12345)) % m)
+        rows = rows.withColumn("_h", (F.col("_h") + F.floor(F.col("_h") / F.lit(65536)).cast("bigint") * F.lit(2531011)) % m)
+    return rows.withColumn("slot", F.floor(F.col("_h") / F.lit(16)).cast("bigint") % F.col("days"))
 
 
 def block_bootstrap(trades: DataFrame, bars_per_day: int = 24, draws: int = 2000, seed: int = 11, slip: float = 0.01) -> DataFrame:
@@ -71,10 +71,12 @@ def block_bootstrap(trades: DataFrame, bars_per_day: int = 24, draws: int = 2000
     tries = (
         sizes.where("days >= 3")
         .withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws - 1).cast("bigint"))))
+        .repartition("signal", "tier", "draw")  # each draw is redrawn and added up where it lands
         .withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("days") - 1)))
     )
-    picked = tries.select("signal", "tier", "draw", _pick(F.col("draw"), F.col("i"), F.col("days"), seed).alias("slot"))
-    drawn = picked.join(per_day.withColumn("slot", F.col("slot").cast("bigint")), ["signal", "tier", "slot"])
+    picked = _with_slot(tries, seed).select("signal", "tier", "draw", "slot")
+    # one row per signal, tier and day of the calendar: bounded whatever the number of trades
+    drawn = picked.join(F.broadcast(per_day.withColumn("slot", F.col("slot").cast("bigint"))), ["signal", "tier", "slot"])
     edge = drawn.groupBy("signal", "tier", "draw").agg(
         (ratio(F.sum("s"), F.sum("c")) - ratio(F.sum("bs"), F.sum("bc"))).alias("edge")
     ).where("edge is not null")

@@ -1,9 +1,9 @@
 """Exact ranks, positions and order statistics inside groups of any size.
 
-A plain `Window.partitionBy(group).orderBy(value)` sends each group to one task. That is the
-right plan while groups are small, so every function first asks for the size of the largest
-group (one number). Past GROUP_LIMIT rows the group is cut into ordered buckets at sampled
-split points, ranked bucket by bucket, and shifted by the rows that lie in earlier buckets.
+A plain `Window.partitionBy(group).orderBy(value)` sends each group to one task. Here every group is cut into ordered
+buckets of about `per_bucket` rows at split points from a deterministic hash sample, ranked bucket by bucket, and
+shifted by the rows that lie in earlier buckets; a group that fits one bucket simply has no split points. It is the same
+plan for every size, and nothing runs or is written while it is made: callers that hand in a costly plan store it first.
 The split points only balance the work; the result is exact for any choice of them.
 """
 
@@ -12,16 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosstide.session import settle
-
-GROUP_LIMIT = 2_000_000
-ROWS_PER_SPLIT_SAMPLE = 64
-MAX_BUCKETS = 1024
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
+ROWS_PER_BUCKET = 1_000_000
+SAMPLES_PER_BUCKET = 32
 
 
 def _unit_hash(*cols: str) -> Column:
@@ -29,23 +21,18 @@ def _unit_hash(*cols: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
-def _split_points(df: DataFrame, keys: list[str], ordering: Column, hash_cols: list[str], limit: int) -> DataFrame:
-    """One row per group: its size, and an ordered array of split points when it exceeds `limit`."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    buckets = F.least(F.ceil(F.col("_n") / F.lit(limit)), F.lit(MAX_BUCKETS))
-    rate = buckets * F.lit(float(ROWS_PER_SPLIT_SAMPLE)) / F.col("_n")
-    sample = (
-        df.join(sizes, keys)
-        .where((F.col("_n") > limit) & (_unit_hash(*hash_cols) < rate))
-        .groupBy(*keys, buckets.cast("int").alias("_p"))
-        .agg(F.array_sort(F.collect_list(ordering)).alias("_s"))
-    )
-    picks = F.transform(
-        F.sequence(F.lit(1), F.col("_p") - 1),
-        lambda i: F.get("_s", F.floor(i * F.size("_s") / F.col("_p")).cast("int")),
-    )
-    bounds = sample.where(F.col("_p") > 1).select(*keys, F.array_distinct(picks).alias("_bounds"))
-    return sizes.join(bounds, keys, "left")
+def _split_points(df: DataFrame, keys: list[str], ordering: Column, hash_cols: list[str], per_bucket: int) -> DataFrame:
+    """One row per group: its size `_n`, its number of buckets `_p`, and their ordered split points, null for one bucket.
+
+    The sample holds a fixed share of all rows, so its size and the number of buckets follow the size of the group alone.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_p", F.ceil(F.col("_n") / per_bucket).cast("int"))
+    sample = df.where(_unit_hash(*hash_cols) < min(1.0, SAMPLES_PER_BUCKET / per_bucket))
+    sample = sample.groupBy(*keys).agg(F.array_sort(F.collect_list(ordering)).alias("_s"))
+    places = F.sequence(F.lit(1), F.col("_p") - 1)
+    picks = F.transform(places, lambda i: F.get("_s", F.floor(i * F.size("_s") / F.col("_p")).cast("int")))
+    bounds = F.when((F.col("_p") > 1) & F.col("_s").isNotNull(), F.array_distinct(picks))
+    return sizes.join(sample, keys, "left").withColumn("_bounds", bounds).drop("_s")
 
 
 def _count_below(bounds: str, ordering: Column) -> Column:
@@ -69,33 +56,17 @@ def _grouped(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str], list
 
 
 def with_positions(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    ids: list[str],
-    descending: bool = False,
-    limit: int = GROUP_LIMIT,
-    stored: bool = False,
+    df: DataFrame, keys: list[str], order: str, ids: list[str], descending: bool = False, per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Add `pos` (0-based place by `order`, ties by `ids`) and `n` (group size).
 
-    `order` must not be null; `ids` make the order total. `stored` says that `df` already
-    reads from a written table.
+    `order` must not be null; `ids` make the order total.
     """
-    df, keys, extra = _grouped(df if stored else settle(df, "positions"), keys)
-    value = -F.col(order) if descending else F.col(order)
-    df = df.withColumn("_o", value)
-    if largest_group(df, keys) <= limit:
-        by = Window.partitionBy(*keys)
-        out = df.select(
-            "*",
-            (F.row_number().over(by.orderBy("_o", *ids)) - 1).cast("bigint").alias("pos"),
-            F.count(F.lit(1)).over(by).alias("n"),
-        )
-        return out.drop("_o", *extra)
+    df, keys, extra = _grouped(df, keys)
+    df = df.withColumn("_o", -F.col(order) if descending else F.col(order))
     ordering = F.struct("_o", *ids)
-    points = _split_points(df, keys, ordering, [*ids, "_o"], limit)
-    cut = df.join(points, keys).withColumn("_bucket", _count_below("_bounds", ordering)).drop("_bounds")
+    points = _split_points(df, keys, ordering, [*ids, "_o"], per_bucket)
+    cut = df.join(points, keys).withColumn("_bucket", _count_below("_bounds", ordering)).drop("_bounds", "_p")
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_o", *ids)
     out = _with_offsets(cut, keys).select(
         "*", (F.col("_offset") + F.row_number().over(inside) - 1).cast("bigint").alias("pos"), F.col("_n").alias("n")
@@ -103,21 +74,10 @@ def with_positions(
     return out.drop("_o", "_bucket", "_in_bucket", "_offset", "_n", *extra)
 
 
-def with_tie_counts(
-    df: DataFrame, keys: list[str], value: str, ids: list[str], limit: int = GROUP_LIMIT, stored: bool = False
-) -> DataFrame:
+def with_tie_counts(df: DataFrame, keys: list[str], value: str, ids: list[str], per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add `below` (rows with a smaller value), `upto` (rows with a value not larger) and `n`."""
-    df, keys, extra = _grouped(df if stored else settle(df, "ties"), keys)
-    if largest_group(df, keys) <= limit:
-        by = Window.partitionBy(*keys)
-        out = df.select(
-            "*",
-            (F.rank().over(by.orderBy(value)) - 1).cast("bigint").alias("below"),
-            F.count(F.lit(1)).over(by.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)).alias("upto"),
-            F.count(F.lit(1)).over(by).alias("n"),
-        )
-        return out.drop(*extra)
-    points = _split_points(df, keys, F.col(value), [*ids, value], limit)
+    df, keys, extra = _grouped(df, keys)
+    points = _split_points(df, keys, F.col(value), [*ids, value], per_bucket)
     # A value frequent enough to matter is itself a split point and gets a bucket of its own,
     # whose rows all share one answer; they are spread by a salt because no ordering is needed.
     lone = F.coalesce(F.array_contains("_bounds", F.col(value)), F.lit(False))
@@ -125,8 +85,8 @@ def with_tie_counts(
         df.join(points, keys)
         .withColumn("_lone", lone)
         .withColumn("_bucket", 2 * _count_below("_bounds", F.col(value)) + F.col("_lone").cast("int"))
-        .withColumn("_salt", F.when(F.col("_lone"), F.pmod(F.xxhash64(*ids), F.lit(MAX_BUCKETS))).otherwise(0))
-        .drop("_bounds")
+        .withColumn("_salt", F.when(F.col("_lone"), F.pmod(F.xxhash64(*ids), F.col("_p"))).otherwise(0))
+        .drop("_bounds", "_p")
     )
     inside = Window.partitionBy(*keys, "_bucket", "_salt").orderBy(value)
     below = F.when(F.col("_lone"), F.lit(0)).otherwise(F.rank().over(inside) - 1)
@@ -149,27 +109,20 @@ def mean_rank_score() -> Column:
 
 
 def rank_scores(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    ids: list[str],
-    out: str = "rank_score",
-    limit: int = GROUP_LIMIT,
+    df: DataFrame, keys: list[str], value: str, ids: list[str], out: str = "rank_score", per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Percentile rank with mean-rank ties. Null and NaN values stay in the output without a rank."""
-    df = settle(df.withColumn(value, F.when(~F.isnan(value), F.col(value))), "rank")
-    ranked = with_tie_counts(df.where(F.col(value).isNotNull()), keys, value, ids, limit, stored=True)
+    df = df.withColumn(value, F.when(~F.isnan(value), F.col(value)))
+    ranked = with_tie_counts(df.where(F.col(value).isNotNull()), keys, value, ids, per_bucket)
     ranked = ranked.withColumn(out, F.round(mean_rank_score(), 4)).drop("below", "upto", "n")
     blank = df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double"))
     return ranked.unionByName(blank)
 
 
-def order_statistics(
-    df: DataFrame, keys: list[str], value: str, ids: list[str], limit: int = GROUP_LIMIT, stored: bool = False
-) -> DataFrame:
+def order_statistics(df: DataFrame, keys: list[str], value: str, ids: list[str], per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Per group: `n`, `median` (middle two averaged), `upper_median` and `p10` as the order
     statistic at max(0, floor(n/10) - 1). Nothing is interpolated and no group is collected."""
-    placed = with_positions(df.where(F.col(value).isNotNull()), keys, value, ids, limit=limit, stored=stored)
+    placed = with_positions(df.where(F.col(value).isNotNull()), keys, value, ids, per_bucket=per_bucket)
     tenth = F.greatest(F.lit(0), F.floor(F.lit(0.10) * F.col("n")) - 1)
     low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
     pos = F.col("pos")

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosstide.operators.positions import with_positions
+
 # The standing exclusion lists. Categories come first and in this order.
 CATEGORIES = [
     "stablecoins", "yield-bearing-stablecoins", "bridged-tokens", "wrapped-tokens", "binance-peg-tokens",
@@ -99,11 +101,6 @@ def classify(markets: DataFrame, rules: Exclusions, categories: DataFrame | None
     )
 
 
-def over_fetch(limit: int) -> int:
-    """Rows to read so that `limit` survive the rules; at most 1000."""
-    return min(1000, int(limit * 1.6) + 20)
-
-
 def listing(markets: DataFrame, rows: int) -> DataFrame:
     """The `rows` largest by cap with their rank. A top-k, so no task ever holds more than `rows`."""
     top = markets.orderBy(F.col("cap").desc_nulls_last(), "id").limit(rows)
@@ -113,12 +110,12 @@ def listing(markets: DataFrame, rows: int) -> DataFrame:
 
 
 def build(markets: DataFrame, rules: Exclusions, limit: int, categories: DataFrame | None = None) -> DataFrame:
-    """Snapshot: the over-fetched listing classified, the first `limit` survivors included,
-    the rest marked beyond_universe_size unless a rule already took them out."""
-    rows = classify(listing(markets, over_fetch(limit)), rules, categories)
-    running = Window.partitionBy(F.lit(0)).orderBy("cap_rank").rowsBetween(Window.unboundedPreceding, 0)
-    kept = F.col("included") & (F.sum(F.col("included").cast("int")).over(running) <= limit)
+    """Snapshot of the whole listing with `cap_rank`: the first `limit` survivors of the rules included, the rest marked
+    beyond_universe_size unless a rule already took them out. Survivors are a top-k of at most `limit` ids."""
+    rows = classify(markets, rules, categories)
+    first = rows.where("included").orderBy(F.col("cap").desc_nulls_last(), "id").limit(limit).select("id", F.lit(True).alias("_first"))
+    ranked = with_positions(rows.withColumn("_cap", F.coalesce("cap", F.lit(float("-inf")))), [], "_cap", ["id"], descending=True)
+    kept = F.coalesce("_first", F.lit(False))
     reason = F.when(~kept, F.coalesce("exclusion_reason", F.lit("beyond_universe_size")))
-    return rows.select("*", kept.alias("_kept"), reason.alias("_why")).drop("included", "exclusion_reason").withColumnsRenamed(
-        {"_kept": "included", "_why": "exclusion_reason"}
-    )
+    out = ranked.join(F.broadcast(first), "id", "left").withColumns({"cap_rank": F.col("pos") + 1, "_kept": kept, "_why": reason})
+    return out.drop("_cap", "_first", "pos", "n", "included", "exclusion_reason").withColumnsRenamed({"_kept": "included", "_why": "exclusion_reason"})

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from crosstide.functions.scalar import breakeven_slip, impact_slippage, net_return, wilson
+from crosstide.functions.scalar import ERF_A, ERF_P, breakeven_slip, impact_slippage, net_return, wilson
 from crosstide.operators.events import base_rate, breadth, caught_moves, cooldown, labels, moves, regime, study, timeline
 from crosstide.operators.inference import block_bootstrap, edges, with_p
 from crosstide.operators.outcomes import close_only, forward_path, on_bars, resolution_pairs, resolution_summary, summarise
@@ -334,9 +334,21 @@ def edge_query(spark, sf):
     return edges(hourly_trades(hourly_study(spark, sf)))
 
 
-@query("x08b_edge_p_value", "signal:s tier:s n:i t:6 p:6")
+ERF = "0e0"
+for _a in reversed(ERF_A):
+    ERF = f"({ERF} + {_a!r}::DOUBLE) * s"
+
+
+@query(
+    "x08b_edge_p_value",
+    "signal:s tier:s n:i t:6 p:6",
+    (
+        TIERS_H + Q.EDGES + f"px AS (SELECT *, abs(t) / sqrt(2e0) AS x, 1 / (1 + {ERF_P!r}::DOUBLE * (abs(t) / sqrt(2e0))) AS s FROM ed),",
+        f"(SELECT signal, tier, n, t, {ERF} * exp(-x * x) AS p FROM px)",
+    ),
+)
 def edge_p_query(spark, sf):
-    """Two-sided normal p of each edge; the other engine has no erfc."""
+    """Two-sided normal p of each edge, from the same polynomial on both sides."""
     return with_p(edges(hourly_trades(hourly_study(spark, sf))))
 
 

@@ -110,9 +110,9 @@ p2 AS (SELECT *, max((eq <= 0)::INT) OVER w AS ruined, greatest(1e0, max(eq) OVE
 p3 AS (SELECT *, CASE WHEN ruined = 1 THEN -1 ELSE eq / peak - 1 END AS dd FROM p2),
 """
 STATS = PATH + """
-s1 AS (SELECT factor, frac, mode, slip, count(*) AS n, avg(x) AS wk_mean, stddev_samp(x) AS sd, arg_max(eq, t) AS eq, max(ruined) AS ruined,
+s1 AS (SELECT factor, frac, mode, slip, count(*) AS n, avg(x) AS wk_mean, stddev_samp(x) AS sd, sum(CASE WHEN x > -1 THEN ln(1 + x) END) AS logs, max(ruined) AS ruined,
               least(min(dd), 0) AS mdd, avg((x > 0)::INT) AS hit FROM p3 GROUP BY 1, 2, 3, 4),
-sx AS (SELECT *, (ruined = 1)::INT AS ruin, ln(CASE WHEN ruined = 1 THEN NULL ELSE greatest(eq, 1e-6) END) AS log_cum, wk_mean * 52 AS ann, sd * sqrt(52e0) AS vol,
+sx AS (SELECT *, (ruined = 1)::INT AS ruin, CASE WHEN ruined = 0 THEN logs END AS log_cum, wk_mean * 52 AS ann, sd * sqrt(52e0) AS vol,
               wk_mean * 52 / nullif(sd * sqrt(52e0), 0) AS sharpe, wk_mean / nullif(sd / sqrt(n), 0) AS tstat,
               wk_mean - 2.023e0 * (sd / sqrt(n)) AS lo, wk_mean + 2.023e0 * (sd / sqrt(n)) AS hi FROM s1),
 """
@@ -132,10 +132,8 @@ STAT_SPEC = "factor:s frac:2 mode:s slip:4 n:i wk_mean:8 log_cum:6 ruin:i ann:6
 
 
 def _stat_names(df):
-    """The compounded value spans many magnitudes, so it is compared by its logarithm."""
-    ruin = F.col("ruin")
-    cum = F.when(~ruin, F.log(F.greatest(F.col("cum") + 1.0, F.lit(1e-6))))
-    return df.withColumns({"log_cum": cum, "ruin": ruin.cast("int"), "tstat": F.col("t")})
+    """The compounded value spans many magnitudes, so its logarithm is handed out."""
+    return df.withColumns({"ruin": F.col("ruin").cast("int"), "tstat": F.col("t")})
 
 
 @query(

@@ -17,7 +17,8 @@ from crosstide.operators.mapping import (
     veto_duplicates,
 )
 from crosstide.plans import sql as Q
-from crosstide.plans.event_study import hourly_study
+from crosstide.plans.catalog_events import FIRES_H
+from crosstide.plans.event_study import HOURLY, hourly_study
 from crosstide.plans.registry import query
 from crosstide.plans.views import (
     brand_coins,
@@ -464,12 +465,12 @@ def ledger_query(spark, sf):
     return log.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("fetched", "added", "failures")])
 
 
-@query("i07_online_cooldown", "entity:s signal:s t:i")
+@query("i07_online_cooldown", "entity:s signal:s t:i", (FIRES_H + Q.cooldown(HOURLY.cool), "cool"))
 def online_query(spark, sf):
     """Hourly fires as a stream; one batch, ordered per key inside it, equals the batch cooldown (see tests)."""
     fired = hourly_study(spark, sf).fires.select("entity", "signal", F.col("t").cast("bigint").alias("t"))
     src, out = fresh_path(spark, "fires"), fresh_path(spark, "kept")
     fired.write.parquet(src)
     stream = spark.readStream.schema(fired.schema).parquet(src)
-    run_available(online_cooldown(stream, 24), out)
+    run_available(online_cooldown(stream, HOURLY.cool), out)
     return spark.read.parquet(out)

@@ -12,7 +12,6 @@ from crosstide.operators.universe import (
     category_reasons,
     classify,
     listing,
-    over_fetch,
     peg_rule,
     wrapper_matches,
 )
@@ -67,10 +66,10 @@ def members(m: DataFrame) -> DataFrame:
 @query(
     "s01_listing",
     "id:i cap:2 cap_rank:i",
-    (MARKETS, f"(SELECT id, cap, row_number() OVER (ORDER BY cap DESC NULLS LAST, id) AS cap_rank FROM mk ORDER BY cap DESC NULLS LAST, id LIMIT {over_fetch(LIMIT)})"),
+    (MARKETS, f"(SELECT id, cap, row_number() OVER (ORDER BY cap DESC NULLS LAST, id) AS cap_rank FROM mk ORDER BY cap DESC NULLS LAST, id LIMIT {LIMIT})"),
 )
 def listing_query(spark, sf):
-    return listing(markets(spark, sf), over_fetch(LIMIT))
+    return listing(markets(spark, sf), LIMIT)
 
 
 @query("p01_classify", "id:i symbol:s exclusion_reason:s", (classified("mk AS (SELECT * FROM mk0),"), "cls"))
@@ -99,7 +98,7 @@ def peg_query(spark, sf):
     "id:i cap_rank:i included:i exclusion_reason:s",
     (
         classified(
-            f"mk AS (SELECT *, row_number() OVER (ORDER BY cap DESC NULLS LAST, id) AS cap_rank FROM mk0 ORDER BY cap DESC NULLS LAST, id LIMIT {over_fetch(LIMIT)}),"
+            "mk AS (SELECT *, row_number() OVER (ORDER BY cap DESC NULLS LAST, id) AS cap_rank FROM mk0),"
         )
         + f"""
 run_ AS (SELECT *, sum((exclusion_reason IS NULL)::INT) OVER (ORDER BY cap_rank) AS k FROM cls),""",

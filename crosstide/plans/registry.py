@@ -1,9 +1,8 @@
 """Named queries over a folder of test tables, each with the SQL another engine checks it by.
 
 A query declares its output once as `column:kind`, kind being i (integer), s (text), d (date) or the
-number of decimals of a double; Spark and SQL columns are both cut from that line. Doubles are nudged
-by one part in 10**12 before rounding: a value exactly halfway between two decimals would otherwise
-round by each engine's own rule.
+number of decimals of a double; Spark and SQL columns are both cut from that line. Doubles are rounded half up by
+the same arithmetic on both sides, because the engines' own rounding differs halfway between two decimals.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ from pyspark.sql import functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-NUDGE = 1.000000000001
 
 
 def _columns(spec: str) -> list[tuple[str, str]]:
@@ -31,7 +29,8 @@ def shape(df: DataFrame, spec: str) -> DataFrame:
             return F.col(name).cast("string").alias(name)
         if kind == "d":
             return F.col(name).cast("date").alias(name)
-        return (F.round(F.col(name).cast("double") * F.lit(NUDGE), int(kind)) + F.lit(0.0)).alias(name)
+        scale = F.lit(10.0 ** int(kind))
+        return (F.floor(F.col(name).cast("double") * scale + F.lit(0.5)) / scale).alias(name)
 
     return df.select(*[cell(n, k) for n, k in _columns(spec)])
 
@@ -39,7 +38,7 @@ def shape(df: DataFrame, spec: str) -> DataFrame:
 def select_list(spec: str) -> str:
     kinds = {"i": "{0}::BIGINT", "s": "{0}::VARCHAR", "d": "{0}::DATE"}
     return ", ".join(
-        (kinds[k].format(n) if k in kinds else f"round({n}::DOUBLE * {NUDGE!r}::DOUBLE, {k}) + 0e0") + f" AS {n}" for n, k in _columns(spec)
+        (kinds[k].format(n) if k in kinds else f"floor({n}::DOUBLE * 1e{k} + 0.5e0)::BIGINT / 1e{k}") + f" AS {n}" for n, k in _columns(spec)
     )
 
 

@@ -1,4 +1,4 @@
-"""The window route and the bucketed route must give the same, brute-forced answer."""
+"""One bucket or many per group must give the same, brute-forced answer."""
 
 import random
 
@@ -63,7 +63,7 @@ def test_order_statistics(rows, limit):
 
 def test_positions_without_keys(rows):
     data, df = rows
-    out = with_positions(df, [], "v", ["g", "id"], limit=100).agg(F.min("pos"), F.max("pos"), F.countDistinct("pos"), F.max("n")).first()
+    out = with_positions(df, [], "v", ["g", "id"], per_bucket=100).agg(F.min("pos"), F.max("pos"), F.countDistinct("pos"), F.max("n")).first()
     assert tuple(out) == (0, len(data) - 1, len(data), len(data))
 
 
@@ -72,7 +72,7 @@ def test_rank_scores(spark, rows, limit):
     """Mean place of equal values on 0..100; null and NaN keep their row and get no rank."""
     data, df = rows
     odd = spark.createDataFrame([("small", -1, None), ("small", -2, float("nan")), ("void", 0, None)], df.schema)
-    got = {(r.g, r.id): r.rank_score for r in rank_scores(df.unionByName(odd), ["g"], "v", ["id"], limit=limit).collect()}
+    got = {(r.g, r.id): r.rank_score for r in rank_scores(df.unionByName(odd), ["g"], "v", ["id"], per_bucket=limit).collect()}
     groups = brute(data)
     for g, i, v in data:
         values = [x for x, _ in groups[g]]

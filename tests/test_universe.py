@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crosstide.functions.scalar import drop_empty, first_non_empty, json_list, needs_refresh, repo_slugs, text_contains
-from crosstide.operators.universe import Exclusions, build, category_reasons, classify, over_fetch
+from crosstide.operators.universe import Exclusions, build, category_reasons, classify
 from crosstide.operators.venues import best_slug, exchange_count, reputable_share, with_trust
 
 RULES = Exclusions(["Q7"], ["synthetic", "old "], ["K", "KZ", "V"], 0.05, ["EUR", "CHF"])
@@ -51,18 +51,17 @@ def test_rules_in_order(listed):
 
 
 def test_cap_keeps_earlier_reasons(listed):
-    rows, _, first, cats, df = listed
-    assert (over_fetch(3), over_fetch(100), over_fetch(5000)) == (24, 180, 1000)
-    snapshot = rows[:180]  # caps fall with the id
-    symbols = {(r[1] or "").upper() for r in snapshot}
+    rows, symbols, first, cats, df = listed
     kept, want = 0, {}
-    for r in snapshot:
+    for r in rows:  # caps fall with the id
         why = reason(r, symbols, first)
         free = why is None and kept < 60
         kept += free
         want[r[0]] = (free, None if free else why or "beyond_universe_size")
     got = {r.id: (r.included, r.exclusion_reason) for r in build(df, RULES, 60, cats).collect()}
-    assert over_fetch(60) == 116 and got == {k: v for k, v in want.items() if k < 116}
+    assert got == want and sum(free for free, _ in want.values()) == 60
+    ranks = {r.id: r.cap_rank for r in build(df, RULES, 60, cats).collect()}
+    assert sorted(ranks.values()) == list(range(1, len(rows) + 1)) and all(ranks[r[0]] == k for k, r in enumerate(sorted(rows), 1))
 
 
 def test_venue_measures(spark):

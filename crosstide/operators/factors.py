@@ -56,7 +56,7 @@ FACTORS: dict[str, Callable[[], Column]] = {
 }
 
 
-def on_grid(t: Column, n: int, g: Grid) -> Column:
+def on_grid(t: Column, n: int | Column, g: Grid) -> Column:
     """Decision dates: warmed up, one per step, with a whole period ahead."""
     return (t >= g.warmup) & (t < n - g.step) & ((t - g.warmup) % g.step == 0)
 

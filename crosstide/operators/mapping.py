@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from crosstide.functions.scalar import ratio, strip_multiplier
 
 MAP_KEYS = ["symbol", "market"]
+#: Notes that go with a status, as readers of the map expect them.
+NO_COIN = "no coin with this symbol in the universe"
+NO_PRICE = "no pair price to verify against"
+PICKED = ("disambiguated from ", " symbol matches by price")
+DISAGREES = "price disagrees with "
+NO_REFERENCE = " (no reference price)"
+SEVERAL = "several universe coins agree: "
+CLAIMED = " also claimed by "
 
 
 def kept_universe(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
@@ -34,8 +42,8 @@ def three_digits(x: Column) -> Column:
 def resolve(coins: DataFrame, pairs: DataFrame, tolerance: float = 2.0, prefixes: tuple[str, ...] = ("1000000", "1000")) -> DataFrame:
     """symbol, market, base_asset, multiplier, coin_id, status, note, price_ratio.
 
-    `coins` (coin_id, symbol, price) is one run's kept universe, at most 1000 rows, so a symbol's
-    candidates fit in one array; each pair meets its symbol once and is judged inside its row,
+    `coins` (coin_id, symbol, price) is one run's kept universe, cut to a chosen size by `universe.build`, so a
+    symbol's candidates fit in one array; each pair meets its symbol once and is judged inside its row,
     whatever number of candidates share the symbol. `pairs`: symbol, market, base, px.
     """
     cand = F.struct(F.col("coin_id").alias("id"), F.col("price").alias("price"))
@@ -61,16 +69,16 @@ def resolve(coins: DataFrame, pairs: DataFrame, tolerance: float = 2.0, prefixes
     no_cands = F.col("cands").isNull()
     no_price = F.col("px").isNull() | (F.col("px") == 0)
     mapped = ~no_cands & ~no_price & (n_agree == 1)
-    near = F.when(best.isNull(), F.lit(" (no reference price)")).otherwise(
+    near = F.when(best.isNull(), F.lit(NO_REFERENCE)).otherwise(
         F.concat(F.lit(" (ratio "), three_digits(best["r"]), F.lit(")"))
     )
     note = (
-        F.when(no_cands, F.lit("no coin with this symbol in the universe"))
-        .when(no_price, F.lit("no pair price to verify against"))
-        .when(mapped & (n_cands > 1), F.concat(F.lit("disambiguated from "), n_cands.cast("string"), F.lit(" symbol matches by price")))
+        F.when(no_cands, F.lit(NO_COIN))
+        .when(no_price, F.lit(NO_PRICE))
+        .when(mapped & (n_cands > 1), F.concat(F.lit(PICKED[0]), n_cands.cast("string"), F.lit(PICKED[1])))
         .when(mapped, F.lit(None).cast("string"))
-        .when(n_agree == 0, F.concat(F.lit("price disagrees with "), ids, near))
-        .otherwise(F.concat(F.lit("several universe coins agree: "), F.array_join(F.array_sort(F.transform("agree", lambda s: s["id"])), ",")))
+        .when(n_agree == 0, F.concat(F.lit(DISAGREES), ids, near))
+        .otherwise(F.concat(F.lit(SEVERAL), F.array_join(F.array_sort(F.transform("agree", lambda s: s["id"])), ",")))
     )
     return p.select(
         "symbol",
@@ -102,7 +110,7 @@ def veto_duplicates(rows: DataFrame) -> DataFrame:
         "multiplier",
         F.when(~hit, F.col("coin_id")).alias("coin_id"),
         F.when(hit, F.lit("ambiguous")).otherwise(F.col("status")).alias("status"),
-        F.when(hit, F.concat("coin_id", F.lit(" also claimed by "), "_who")).otherwise(F.col("note")).alias("note"),
+        F.when(hit, F.concat("coin_id", F.lit(CLAIMED), "_who")).otherwise(F.col("note")).alias("note"),
         "price_ratio",
     )
 

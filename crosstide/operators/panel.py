@@ -58,14 +58,18 @@ def nan_to_null(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
 
 
-def time_axis(df: DataFrame, time: str) -> tuple[DataFrame, int]:
-    """Distinct times numbered from 0, and how many there are. One row per point of the
-    calendar, so numbering them in one task is bounded by the calendar, not by the data."""
+def time_axis(df: DataFrame, time: str) -> DataFrame:
+    """Distinct times numbered from 0. One row per point of the calendar, so numbering them in
+    one task is bounded by the calendar, not by the data."""
     points = df.select(time).where(F.col(time).isNotNull()).distinct()
-    numbered = points.withColumn(
+    return points.withColumn(
         "t", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(time)) - 1).cast("int")
     )
-    return numbered, points.count()
+
+
+def axis_length(axis: DataFrame) -> int:
+    """Points of an axis; hand in a stored one, as this reads it."""
+    return (axis.agg(F.max("t")).first()[0] or 0) + 1
 
 
 def fill_gaps(df: DataFrame, n: int) -> DataFrame:
@@ -83,14 +87,9 @@ def fill_gaps(df: DataFrame, n: int) -> DataFrame:
     )
 
 
-def aligned(df: DataFrame, time: str, times: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """(panel, axis, axis length) of a frame with `entity`, `time` and measures.
-
-    `times` may hold the same times more cheaply, such as one column of the raw table.
-    """
-    axis, n = time_axis(df if times is None else times, time)
-    indexed = df.join(axis, time).drop(time)
-    return fill_gaps(indexed, n), axis, n
+def aligned(df: DataFrame, time: str, axis: DataFrame, n: int) -> DataFrame:
+    """Panel over a numbered axis of `n` points, of a frame with `entity`, `time` and measures."""
+    return fill_gaps(df.join(axis.select(time, "t"), time).drop(time), n)
 
 
 def long_enough(df: DataFrame, minimum: int = 120) -> DataFrame:

@@ -266,12 +266,18 @@ def latest_firings(
 ) -> DataFrame:
     """Everything that fires on the last day of the benchmark, for entities still trading that day.
 
-    A gap voids the windows that cross it; with `close_gaps` windows run over the days present instead.
+    A gap voids the windows that cross it; with `close_gaps` windows run over the days present instead. Either way only
+    the last rows of an entity, as many as the longest window needs, enter the windows.
     """
     present = panel.where("price is not null")
-    panel = present if close_gaps else panel
     last = present.groupBy("entity").agg(F.max("t").alias("t"))
     day = last.where(F.col("entity") == F.lit(benchmark)).select("t")
+    need = warmup(w) + 1
+    if close_gaps:
+        newest = Window.partitionBy("entity").orderBy(F.col("t").desc())
+        panel = present.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= need).drop("_r")
+    else:
+        panel = panel.where(F.col("t") > day.scalar() - need)
     alive = last.join(day, "t", "left_semi")
     feats = settle(features(panel, w, DAILY_PARTS).join(alive, ["entity", "t"], "left_semi"), "latest")
     top = composite_top(feats, panel, benchmark, w.s0_w)

@@ -49,9 +49,9 @@ from crosstide.plans.scoring_run import (
     scoring_run,
     snapshot_table,
 )
-from crosstide.plans.views import monthly
+from crosstide.plans.views import month_axis, monthly
 from crosstide.session import fresh_path, settle
-from crosstide.sources.tables import append_run
+from crosstide.sources.tables import append_run, read_runs
 
 SCORE_SPEC = "run_id:i entity:i score:4 score_raw:4 score_prev:4 score_change:4 missing:s weight_coverage:4"
 
@@ -257,8 +257,7 @@ def missing_query(spark, sf):
     ),
 )
 def iso_query(spark, sf):
-    panel, axis, n = monthly(spark, sf)
-    return run_table(axis, n).withColumns({"started_at": iso_z("started_at"), "finished_at": iso_z("finished_at")})
+    return run_table(month_axis(spark, sf)).withColumns({"started_at": iso_z("started_at"), "finished_at": iso_z("finished_at")})
 
 
 @query(
@@ -307,8 +306,7 @@ def risers_query(spark, sf):
     ),
 )
 def resolve_query(spark, sf):
-    panel, axis, n = monthly(spark, sf)
-    return resolve_run(run_table(axis, n))
+    return resolve_run(run_table(month_axis(spark, sf)))
 
 
 @query(
@@ -329,7 +327,7 @@ def history_query(spark, sf):
 def metric_history_query(spark, sf):
     panel, axis, n = monthly(spark, sf)
     pairs = metric_pairs(snapshot_table(spark, sf, panel), panel)[0]
-    return pairs.drop("run_date").join(finished(run_table(axis, n)).select("run_id", "run_date"), "run_id").where("current is not null")
+    return pairs.drop("run_date").join(finished(run_table(axis)).select("run_id", "run_date"), "run_id").where("current is not null")
 
 
 @query(
@@ -362,8 +360,7 @@ def public_query(spark, sf):
 
 @query("p08_finished_runs", "run_id:i run_date:d", (Q.RUNS, "(SELECT * FROM runs WHERE finished_at IS NOT NULL)"))
 def finished_query(spark, sf):
-    panel, axis, n = monthly(spark, sf)
-    return finished(run_table(axis, n))
+    return finished(run_table(month_axis(spark, sf)))
 
 
 @query(
@@ -373,7 +370,7 @@ def finished_query(spark, sf):
 )
 def kept_query(spark, sf):
     panel, axis, n = monthly(spark, sf)
-    return kept_universe(snapshot_table(spark, sf, panel), run_table(axis, n))
+    return kept_universe(snapshot_table(spark, sf, panel), run_table(axis))
 
 
 @query(
@@ -396,8 +393,7 @@ def kept_any_query(spark, sf):
 )
 def run_list_query(spark, sf):
     """Runs dated by quarter, so three share a date and the newest id is listed."""
-    panel, axis, n = monthly(spark, sf)
-    return run_list(run_table(axis, n).withColumn("run_date", F.trunc("run_date", "quarter")))
+    return run_list(run_table(month_axis(spark, sf)).withColumn("run_date", F.trunc("run_date", "quarter")))
 
 
 @query(
@@ -411,18 +407,20 @@ def run_list_query(spark, sf):
         "UNION ALL SELECT run_id, 'missing', 'tvl', 0 FROM tot UNION ALL SELECT run_id, 'missing', 'exchange_count', 0 FROM tot "
         "UNION ALL SELECT run_id, 'present', 'volume_reputable', n - mv FROM tot UNION ALL SELECT run_id, 'present', 'rel_btc', n - mr FROM tot "
         "UNION ALL SELECT run_id, 'present', 'tvl', n FROM tot UNION ALL SELECT run_id, 'present', 'exchange_count', n FROM tot "
-        "UNION ALL SELECT run_id, 'scores', 'scored', scored FROM tot UNION ALL SELECT run_id, 'scores', 'changed', changed FROM tot)",
+        "UNION ALL SELECT run_id, 'scores', 'scored', scored FROM tot UNION ALL SELECT run_id, 'scores', 'changed', changed FROM tot "
+        "UNION ALL SELECT run_id, 'errors', 'composite', n - scored FROM tot WHERE n > scored)",
     ),
 )
 def summary_query(spark, sf):
+    """An entity without a score is an error of the composite stage."""
     r = scoring_run(spark, sf)
-    return run_summary(r.metrics, r.scores)
+    errors = r.scores.where("score is null").select("run_id", "entity", F.lit("composite").alias("stage"), F.lit("no score").alias("message"))
+    return run_summary(r.metrics, r.scores, errors)
 
 
 @query("a20_finished_count", "runs:i", (Q.RUNS, "(SELECT count(*) AS runs FROM runs WHERE finished_at IS NOT NULL)"))
 def health_query(spark, sf):
-    panel, axis, n = monthly(spark, sf)
-    return run_table(axis, n).agg(F.count_if(F.col("finished_at").isNotNull()).alias("runs"))
+    return run_table(month_axis(spark, sf)).agg(F.count_if(F.col("finished_at").isNotNull()).alias("runs"))
 
 
 @query(
@@ -437,5 +435,5 @@ def append_query(spark, sf):
     early = F.col("run_date") < F.lit("1999-01-01").cast("date")
     append_run(scores.where(early), path)
     append_run(scores.where(~early), path)
-    stored = spark.read.parquet(path)
+    stored = read_runs(spark, path, scores.schema)
     return stored.groupBy("run_date").agg(F.count(F.lit(1)).alias("entities"), F.count("score").alias("scored"))

@@ -19,6 +19,8 @@ from crosstide.plans.views import (
     chart_payloads,
     daily,
     daily_series,
+    day_axis,
+    hour_axis,
     hourly,
     monthly,
     table,
@@ -280,13 +282,14 @@ def tier_query(spark, sf):
     (Q.M3R, "(SELECT t, (SELECT max(m.t) FROM hax m WHERE m.t <= h.t AND (m.t - 170) % 24 = 0 AND m.t >= 170) AS mark FROM hax h WHERE t >= 170)"),
 )
 def mark_query(spark, sf):
-    axis = hourly(spark, sf)[1]
+    axis = hour_axis(spark, sf)
     return axis.where("t >= 170").select("t", S.mark_of(F.col("t"), 170, 24).alias("mark"))
 
 
 @query("w23_rebalance_grid", "t:i day:d", (Q.M2D, "(SELECT t, day FROM dax WHERE t >= 84 AND t < (SELECT count(*) FROM dax) - 7 AND (t - 84) % 7 = 0)"))
 def grid_query(spark, sf):
-    p, axis, n = daily(spark, sf, M2D)
+    axis = day_axis(spark, sf)
+    n = axis.agg((F.max("t") + 1).alias("n")).scalar()
     return axis.where(on_grid(F.col("t"), n, Grid()))
 
 
@@ -301,8 +304,8 @@ def grid_query(spark, sf):
 )
 def range_query(spark, sf):
     """First and last testable row per window set, on the daily and the hourly axis."""
-    days = daily(spark, sf, M2D)[1].agg(F.max("t").alias("last"))
-    hours = hourly(spark, sf)[1].agg(F.max("t").alias("last"))
+    days = day_axis(spark, sf).agg(F.max("t").alias("last"))
+    hours = hour_axis(spark, sf).agg(F.max("t").alias("last"))
     row = lambda d, name, horizon: d.select(
         F.lit(name).alias("name"), F.lit(S.warmup(S.WINDOW_SETS[name])).alias("lo"), (F.col("last") - horizon).alias("hi")
     )

@@ -34,14 +34,15 @@ class RunTables:
     scores: DataFrame
 
 
-def run_table(axis: DataFrame, n: int) -> DataFrame:
+def run_table(axis: DataFrame) -> DataFrame:
     """run_id, run_date, started_at, finished_at; the newest run has not finished."""
+    newest = axis.agg(F.max("t").alias("t")).scalar()
     iso = F.date_format("run_date", "yyyy-MM-dd")
     return axis.select(
         (F.col("t") + 1).alias("run_id"),
         "run_date",
         F.concat(iso, F.lit("T00:00:00+00:00")).alias("started_at"),
-        F.when(F.col("t") < n - 1, F.concat(iso, F.lit("T01:00:00"))).alias("finished_at"),
+        F.when(F.col("t") < newest, F.concat(iso, F.lit("T01:00:00"))).alias("finished_at"),
     )
 
 
@@ -110,7 +111,7 @@ def metric_pairs(snapshots: DataFrame, panel: DataFrame) -> tuple[DataFrame, Dat
 
 def scoring_run(spark: SparkSession, sf: str, shrink: bool = True) -> RunTables:
     panel, axis, n = monthly(spark, sf)
-    runs = run_table(axis, n)
+    runs = run_table(axis)
     snapshots = snapshot_table(spark, sf, panel)
     pairs, shares = metric_pairs(snapshots, panel)
     metrics = settle(metric_rows(pairs), "metrics")

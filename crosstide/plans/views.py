@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crosstide.functions.scalar import epoch_ms, floor_hour
 from crosstide.operators.ingest import bars_from_ticks
-from crosstide.operators.panel import aligned, fill_gaps, rows, time_axis
+from crosstide.operators.panel import aligned, axis_length, fill_gaps, rows, time_axis
 from crosstide.session import settle
 
 
@@ -44,14 +44,19 @@ def month_start(mno: str = "mno") -> Column:
     return F.make_date(F.floor(F.col(mno) / 12).cast("int"), F.col(mno) % 12 + 1, F.lit(1))
 
 
+def month_axis(spark: SparkSession, sf: str) -> DataFrame:
+    """mno, t, run_date of every month with a ship date."""
+    months = table(spark, sf, "lineitem").select(month_number("l_shipdate").alias("mno"))
+    return time_axis(months, "mno").withColumn("run_date", month_start())
+
+
 def monthly(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
     """(panel, axis, n): entity, t, run_date, cents, qty, gcents, lines, volume, price, cap.
 
     The axis comes from the date column alone, so the cells are aggregated once, straight into the panel.
     """
-    months = table(spark, sf, "lineitem").select(month_number("l_shipdate").alias("mno"))
-    axis, n = time_axis(months, "mno")
-    axis = settle(axis.withColumn("run_date", month_start()), "axis")
+    axis = settle(month_axis(spark, sf), "axis")
+    n = axis_length(axis)
     spine = fill_gaps(monthly_cells(spark, sf).join(axis.select("mno", "t"), "mno").drop("mno"), n)
     panel = spine.withColumns(
         {
@@ -76,10 +81,14 @@ def daily_series(spark: SparkSession, sf: str, entity: str) -> DataFrame:
     return g.select("entity", "day", (F.col("cents") / 100.0 / F.col("qty")).alias("price"), (F.col("cents") / 100.0).alias("volume"))
 
 
+def day_axis(spark: SparkSession, sf: str) -> DataFrame:
+    return time_axis(table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("day")), "day")
+
+
 def daily(spark: SparkSession, sf: str, entity: str) -> tuple[DataFrame, DataFrame, int]:
-    days = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("day"))
-    panel, axis, n = aligned(daily_series(spark, sf, entity), "day", days)
-    return settle(panel, "m2"), axis, n
+    axis = settle(day_axis(spark, sf), "axis")
+    n = axis_length(axis)
+    return settle(aligned(daily_series(spark, sf, entity), "day", axis, n), "m2"), axis, n
 
 
 M2D, M2G = "l_returnflag", "l_linenumber"
@@ -100,11 +109,16 @@ def market_bars(spark: SparkSession, sf: str) -> DataFrame:
     return bars_from_ticks(ticks(spark, sf), ["symbol", "market"])
 
 
+def hour_axis(spark: SparkSession, sf: str) -> DataFrame:
+    return time_axis(table(spark, sf, "events").select(floor_hour(epoch_ms("ts")).alias("open_time")), "open_time")
+
+
 def hourly(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
     """Dense hourly panel over user parity; price = close and volume = quote_volume for the signals."""
     bars = bars_from_ticks(ticks(spark, sf), ["entity"]).drop("trades")
-    hours = table(spark, sf, "events").select(floor_hour(epoch_ms("ts")).alias("open_time"))
-    panel, axis, n = aligned(bars, "open_time", hours)
+    axis = settle(hour_axis(spark, sf), "axis")
+    n = axis_length(axis)
+    panel = aligned(bars, "open_time", axis, n)
     panel = panel.join(axis.select("t", F.col("open_time").alias("ts_ms")), "t")
     panel = panel.withColumns({"price": F.col("close"), "volume": F.col("quote_volume")})
     return settle(panel, "m3"), axis, n

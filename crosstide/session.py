@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: dict[str, str] = {}
+_RUNS: dict[str, str] = {}
 
 
 def local_session(app: str = "crosstide", cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -31,10 +33,11 @@ def local_session(app: str = "crosstide", cores: int | str = "*", partitions: in
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach. Local masters without one get a temporary folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
+    local = spark.sparkContext.master.startswith("local")
+    if root and (local or (":/" in root and not root.startswith("file:"))):
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if not local:
+        raise ValueError("set spark.checkpoint.dir to the address of a store that all executors share, not to a path on one machine")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOT:
         _LOCAL_ROOT[app] = tempfile.mkdtemp(prefix="crosstide-")
@@ -42,7 +45,28 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in this application's own folder, which goes when the program ends or `release` is called."""
+    app = spark.sparkContext.applicationId
+    if app not in _RUNS:
+        _RUNS[app] = f"{shared_root(spark)}/crosstide-{app}"
+        atexit.register(release, spark)
+    return f"{_RUNS[app]}/{label}-{uuid.uuid4().hex}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove everything this application wrote midway. DataFrames that still read it can't be used afterwards."""
+    context = spark.sparkContext
+    if context._jsc is None or context._gateway is None:
+        return
+    folder = _RUNS.pop(context.applicationId, None)
+    if folder:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, label: str = "table") -> DataFrame:

@@ -20,15 +20,16 @@ def daily_from_chart(charts: DataFrame) -> DataFrame:
     """entity + `payload` text -> entity, date, price, volume, cap.
 
     Only samples exactly on a UTC midnight count, which drops the partial last point; a day needs
-    a price. The three arrays meet in one grouped pass instead of joins.
+    a price. A payload is parsed once; its three arrays become one and meet in one grouped pass.
     """
     body = charts.select("entity", F.from_json("payload", CHART_SCHEMA).alias("b"))
-    parts = []
-    for name, field in (("price", "prices"), ("volume", "total_volumes"), ("cap", "market_caps")):
-        pair = F.explode(f"b.{field}").alias("x")
-        one = body.select("entity", pair).select("entity", F.get("x", F.lit(0)).cast("bigint").alias("ts_ms"), F.get("x", F.lit(1)).alias("v"))
-        parts.append(one.select("entity", "ts_ms", F.lit(name).alias("name"), "v"))
-    long = parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.col("ts_ms") % DAY_MS == 0)
+
+    def samples(name: str, field: str) -> Column:
+        pair = lambda x: F.struct(F.lit(name).alias("name"), F.get(x, F.lit(0)).cast("bigint").alias("ts_ms"), F.get(x, F.lit(1)).alias("v"))
+        return F.transform(F.coalesce(f"b.{field}", F.array().cast("array<array<double>>")), pair)
+
+    every = F.concat(samples("price", "prices"), samples("volume", "total_volumes"), samples("cap", "market_caps"))
+    long = body.select("entity", F.inline(every)).where(F.col("ts_ms") % DAY_MS == 0)
     of = lambda n: F.max(F.when(F.col("name") == n, F.col("v"))).alias(n)
     wide = long.groupBy("entity", "ts_ms").agg(of("price"), of("volume"), of("cap")).where("price is not null")
     return wide.select("entity", ms_to_date("ts_ms").alias("date"), "price", "volume", "cap")

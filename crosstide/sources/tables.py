@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from crosstide.session import settle
+from crosstide.session import path_exists, settle
 
 
 def append_run(df: DataFrame, path: str) -> None:
-    """Add one run's rows; runs are never rewritten."""
-    df.write.mode("append").partitionBy("run_date").parquet(path)
+    """Add one run's rows; runs are never rewritten. Rows of a date are gathered first, so a date gets few files."""
+    df.hint("rebalance", "run_date").write.mode("append").partitionBy("run_date").parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str, schema: StructType, run_date: str | None = None) -> DataFrame:
+    """Stored runs, or those of one date; the date is a partition, so only its files are read."""
+    stored = spark.read.schema(schema).parquet(path)
+    return stored if run_date is None else stored.where(F.col("run_date") == F.lit(run_date).cast(schema["run_date"].dataType))
 
 
 def latest_per_key(delta: DataFrame, keys: list[str], revision: str) -> DataFrame:
@@ -31,24 +38,34 @@ def upsert_partitions(spark: SparkSession, path: str, delta: DataFrame, keys: li
     """Upsert into a Parquet table, rewriting only the partitions the delta touches.
 
     Returns how many keys came in and how many were not stored before. Replaying a delta changes nothing.
-    `stored` says that the delta already reads from a written table.
+    `stored` says that the delta already reads from a written table, and its keys differ.
+
+    The partition values of the delta, few by their nature, are put into the scan of the table as constants, so only
+    those partitions are read; old and new rows meet once, and the counts are taken on the way.
     """
     new = delta if stored else settle(delta, "delta")
-    fetched = new.count()
-    if fetched == 0:
+    touched = [r[0] for r in new.select(partition).distinct().collect()]
+    if not touched:
         return {"fetched": 0, "new": 0}
-    touched = new.select(partition).distinct()
-    try:
-        base = spark.read.parquet(path).select(new.columns)
-    except Exception as e:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        base = spark.createDataFrame([], new.schema)
-    old = base.join(touched, partition, "left_semi")
-    added = new.join(old.select(*keys), keys, "left_anti").count()
-    merged = settle(keyed_upsert(old, new, keys), "merged")
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    return {"fetched": fetched, "new": added}
+    old = touched_partitions(spark, path, new, partition, touched)
+    rest = [c for c in new.columns if c not in keys]
+    side = lambda df, name: df.select(*keys, F.struct(*rest).alias(name))
+    both = side(old, "_old").join(side(new, "_new"), keys, "full")
+    seen = Observation("upsert")
+    came, known = F.col("_new").isNotNull(), F.col("_old").isNotNull()
+    both = both.observe(seen, F.count_if(came).alias("fetched"), F.count_if(came & ~known).alias("new"))
+    merged = settle(both.withColumn("_row", F.coalesce("_new", "_old")).select(*keys, "_row.*").select(new.columns), "merged")
+    out = merged.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy(partition).parquet(path)
+    return dict(seen.get)
+
+
+def touched_partitions(spark: SparkSession, path: str, like: DataFrame, partition: str, values: list) -> DataFrame:
+    """The rows of a Parquet table in the given partitions; none where there is no table yet."""
+    if not path_exists(spark, path):  # the first batch finds no table
+        return spark.createDataFrame([], like.schema)
+    base = spark.read.schema(like.schema).parquet(path)
+    return base.select(like.columns).where(F.col(partition).isin(values))
 
 
 def additive_upsert(base: DataFrame, delta: DataFrame, keys: list[str], value: str) -> DataFrame:

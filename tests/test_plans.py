@@ -1,15 +1,20 @@
 """Physical plans that must hold at any scale, and answers under a hot key."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from crosstide.operators import factors as X
+from crosstide.operators.events import cooldown
+from crosstide.operators.inference import block_bootstrap
 from crosstide.operators.ingest import bars_from_ticks
 from crosstide.operators.scoring import window_returns, window_sums
 from crosstide.operators.signals import Windows, features
 from crosstide.plans.catalog import ORACLES, QUERIES
+from crosstide.session import fresh_path
+from crosstide.sources.tables import append_run, read_runs, touched_partitions, upsert_partitions
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -55,6 +60,47 @@ def test_bars_under_a_hot_symbol(spark):
         assert (r.open, r.high, r.low, r.close, r.trades) == (vs[0], max(vs), min(vs), vs[-1], len(vs)) and r.quote_volume == pytest.approx(sum(vs))
 
 
+def test_one_run_reads_one_partition(spark):
+    path = fresh_path(spark, "runs")
+    runs = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02"), (3, "2024-01-02")], "run_id bigint, run_date string")
+    append_run(runs, path)
+    one = read_runs(spark, path, runs.schema, "2024-01-02")
+    assert sorted(r.run_id for r in one.collect()) == [2, 3] and re.search(r"PartitionFilters: \[.*2024-01-02", plan(one))
+
+
+def test_upsert_reads_touched_partitions(spark):
+    path = fresh_path(spark, "bars")
+    frame = lambda *rows: spark.createDataFrame(list(rows), "k bigint, v double, day string")
+    assert upsert_partitions(spark, path, frame((1, 1.0, "a"), (2, 2.0, "b")), ["k"], "day") == {"fetched": 2, "new": 2}
+    late = frame((2, 5.0, "b"), (3, 3.0, "b"))
+    assert upsert_partitions(spark, path, late, ["k"], "day") == {"fetched": 2, "new": 1}
+    assert upsert_partitions(spark, path, late, ["k"], "day") == {"fetched": 2, "new": 0}
+    assert upsert_partitions(spark, path, late.limit(0), ["k"], "day") == {"fetched": 0, "new": 0}
+    stored = spark.read.schema(late.schema).parquet(path)
+    assert sorted(map(tuple, stored.collect())) == [(1, 1.0, "a"), (2, 5.0, "b"), (3, 3.0, "b")]
+    assert re.search(r"PartitionFilters: \[day.* IN \(b\)|PartitionFilters: \[.*\(day.* = b\)", plan(touched_partitions(spark, path, late, "day", ["b"])))
+
+
+def test_redrawn_days_are_not_broadcast(spark):
+    rows = [("s" if i % 2 else "BASELINE_always", "all", i, 0.01 * i) for i in range(200)]
+    trades = spark.createDataFrame(rows, "signal string, tier string, entry_t int, gross double")
+    text = plan(block_bootstrap(trades, draws=50))
+    assert "BuildRight" in text and not re.search(r"BroadcastHashJoin.*BuildLeft", text)
+
+
+def test_run_lists_need_no_panel(spark):
+    """Nothing but the look at the file's schema runs before the action."""
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    before = len(jobs())
+    QUERIES["a20_finished_count"](spark, SMALL)
+    assert len(jobs()) - before <= 1
+
+
+def test_cooldown_of_one_busy_key(spark):
+    fires = spark.range(80_000).select(F.lit("a").alias("entity"), F.lit("s").alias("signal"), F.col("id").cast("int").alias("t"))
+    assert cooldown(fires, 3).count() == 26_667
+
+
 def test_every_query_is_checked():
     assert set(QUERIES) == set(ORACLES)
     assert all(c.split(":")[0].isidentifier() for c in ORACLES)

@@ -55,7 +55,7 @@ TIERS_M = TRADES_M + Q.tiered(LO_M, HI_M, MONTHLY.tier_top, MONTHLY.tier_step)
 TIERS_H = TRADES_H + Q.tiered(LO_H, HI_H, HOURLY.tier_top, HOURLY.tier_step)
 
 TRADE_SPEC = (
-    "signal:s t:i entry_t:i exit_t:i why:s gross:6 gap:6 mdd:6 bars_held:1 adv_in:2 adv_out:2 part:8 slip_in:8 slip_out:8"
+    "signal:s t:i entry_t:i exit_t:i why:s gross:6 gap:6 mdd:6 bars_held:1 adv_in:3 adv_out:3 part:8 slip_in:8 slip_out:8"
 )
 STUDY_SPEC = (
     "signal:s raw_fires:i events:i entities:i precision:6 se:6 ci_low:6 ci_high:6 lift:6 recall:6 "

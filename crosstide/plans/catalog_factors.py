@@ -164,7 +164,7 @@ def rates_query(spark, sf):
     return r.groupBy("entity").agg(F.count(F.lit(1)).alias("events"), F.sum("rate").alias("rate_sum"))
 
 
-@query("j15_rate_interval_sums", "entity:i t:i has_rate:i rate_sum:8", (CARRY, "(SELECT entity, t, has_rate::INT AS has_rate, rate_sum FROM un)"))
+@query("j15_rate_interval_sums", "entity:i t:i has_rate:i rate_sum:9", (CARRY, "(SELECT entity, t, has_rate::INT AS has_rate, rate_sum FROM un)"))
 def interval_query(spark, sf):
     return factor_inputs(spark, sf).universe.withColumn("has_rate", F.col("has_rate").cast("int"))
 

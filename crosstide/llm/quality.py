@@ -154,9 +154,11 @@ def fit_quality(
             listed = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().astype(np.float64)), x.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([listed, frame.column(1)], names=["x", "y"])
 
-    got = rows.mapInArrow(describe, "x array<double>, y int").orderBy("y", "x").toArrow()
+    got = rows.mapInArrow(describe, "x array<double>, y int").toArrow()
     x = np.array(got.column("x").to_pylist(), dtype=np.float32).reshape(-1, len(NAMES))
-    return fit_additive(x, got.column("y").to_numpy().astype(float))
+    y = got.column("y").to_numpy().astype(float)
+    order = np.lexsort((*x.T, y))  # rows arrive in any order; sums must not depend on it
+    return fit_additive(x[order], y[order])
 
 
 def score_quality(records: DataFrame, model: AdditiveModel, key: str = KEY, text: str = TEXT) -> DataFrame:

@@ -114,6 +114,7 @@ def write_archives(
 
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
+PIECE = 1 << 16
 
 
 class Damaged(ValueError):
@@ -181,18 +182,20 @@ def _next_start(data: bytes, at: int) -> int:
 
 def _member(data: bytes, at: int) -> tuple[list[dict], int]:
     """Records of the gzip member at `at`, and its end; a member that is cut or broken fails whole."""
-    opened = zlib.decompressobj(31)
+    opened, parts, end = zlib.decompressobj(31), [], at
     try:
-        text = opened.decompress(memoryview(data)[at:])
+        while not opened.eof and end < len(data):  # in pieces: what follows the member is not copied
+            parts.append(opened.decompress(data[end : end + PIECE]))
+            end = min(len(data), end + PIECE)
     except zlib.error as e:
         raise Damaged("member does not open") from e
     if not opened.eof:
         raise Damaged("member is cut")
-    found, place = [], 0
+    text, found, place = b"".join(parts), [], 0
     while place < len(text):
         record, place = parse_record(text, place)
         found.append(record)
-    return found, len(data) - len(opened.unused_data)
+    return found, end - len(opened.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[dict]:

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crosstide.llm.common import bounded_batches
 from crosstide.llm.decontaminate import without_contaminated
 from crosstide.llm.exact_dedup import without_copies
 from crosstide.llm.near_join import without_near_copies
-from crosstide.llm.pieces import decode_records, encode_records, load_vocabulary
+from crosstide.llm.pieces import encode_records, load_vocabulary
 from crosstide.llm.quality import fit_quality, kept_by_quality
 from crosstide.session import settle
 
@@ -22,30 +23,34 @@ ORACLE_SQL = None  # the classifier, the join and the encoding have no SQL; test
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learned from the labelled ones among them, does not reject."""
+    bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return kept_by_quality(docs, fit_quality(docs, labels, key="doc_id", text="text"), text="text")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each set of equal texts."""
+    bounded_batches(spark)
     return without_copies(docs, key="doc_id", text="text")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
+    bounded_batches(spark)
     return without_near_copies(docs, key="doc_id", text="text")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
+    bounded_batches(spark)
     return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="doc_id", text="text")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids, and the digest of the text that the ids decode to."""
-    vocabulary = load_vocabulary(PIECES)
-    both = decode_records(encode_records(docs, vocabulary, key="doc_id", text="text"), vocabulary, key="doc_id")
-    return both.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", F.sha2("body", 256).alias("decoded_sha256"))
+    bounded_batches(spark)
+    both = encode_records(docs, load_vocabulary(PIECES), key="doc_id", text="text", decoded=True)
+    return both.select("doc_id", "n_tokens", "token_ids", F.sha2("body", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality", quality), ("exact dedup", exact), ("near dedup", near), ("decontamination", decontaminate), ("tokens", tokens)]

@@ -10,11 +10,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY, TEXT = "coin_id", "body"
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+BATCH = "4m"
 
 
 def packed(df: DataFrame) -> Column:
@@ -26,6 +27,11 @@ def col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let texts reach Python in batches of a few MB, whatever the number of rows that is; queries and stages call this."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def held_out(key: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the key as text leaves `part`; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % parts == part
@@ -59,7 +65,9 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES, rows: int = 1 << 30) ->
 
 
 def batches(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in frames if b.num_rows)
+    """The batches with rows; what Arrow holds for batches gone by is given back when they end."""
+    yield from (b for b in frames if b.num_rows)
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

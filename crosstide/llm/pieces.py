@@ -27,9 +27,9 @@ from crosstide.llm.language import _code_points
 from crosstide.llm.rolling import between, codes, running
 
 BLANK = 0x2581
-KEPT_PARTS = 200_000
-KEPT_PAIRS = 400_000
-ENCODED_BYTES, DECODED_IDS = 4 << 20, 1 << 18
+KEPT_PARTS = 120_000
+KEPT_PAIRS = 250_000
+ENCODED_BYTES, DECODED_IDS = 1 << 19, 1 << 18
 GROUP_CELLS = 1 << 20
 
 
@@ -272,25 +272,30 @@ class Decoder:
         return [data[i:j].removeprefix(b" ").decode("utf-8", "replace") for i, j in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def encode_records(records: DataFrame, vocabulary: Vocabulary, key: str = KEY, text: str = TEXT) -> DataFrame:
+def encode_records(records: DataFrame, vocabulary: Vocabulary, key: str = KEY, text: str = TEXT, decoded: bool = False) -> DataFrame:
     """`<key>`, token_ids, n_tokens per landed record: the ids that the vocabulary's own library gives.
 
-    A null or empty text has no ids; a null key is kept; repeated rows are encoded each by itself; other columns are ignored.
+    With `decoded` the ids are decoded where they are made and the text they give comes along as `body`. A null or empty
+    text has no ids and decodes to an empty one; a null key is kept; repeated rows are encoded each by itself; other columns
+    are ignored.
     """
     rows = records.select(col(key).alias("id"), col(text).alias("text"))
     _ = vocabulary.sound  # worked out once, here
+    names = ["id", "token_ids", "n_tokens"] + ["body"] * decoded
 
     def encode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(vocabulary)
+        encoder, decoder = shared_encoder(vocabulary), Decoder(vocabulary)
         for frame in batches(frames):
             data, offsets = utf8(frame.column(1))
             for i, j in chunks(offsets, ENCODED_BYTES):
                 ids, cut = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                listed = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([frame.column(0).slice(i, j - i), listed, pa.array(np.diff(cut))], names=["id", "token_ids", "n_tokens"])
+                columns = [frame.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids)), pa.array(np.diff(cut))]
+                if decoded:
+                    columns.append(pa.array(decoder.decode(ids, cut), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(encode, f"id {kind}, token_ids array<int>, n_tokens bigint").withColumnRenamed("id", key)
+    return rows.mapInArrow(encode, f"id {kind}, token_ids array<int>, n_tokens bigint" + ", body string" * decoded).withColumnRenamed("id", key)
 
 
 def decode_records(tokens: DataFrame, vocabulary: Vocabulary, key: str = KEY, ids: str = "token_ids") -> DataFrame:

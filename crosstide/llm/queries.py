@@ -10,12 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import held_out
+from crosstide.llm.common import bounded_batches, held_out
 from crosstide.llm.decontaminate import contamination
 from crosstide.llm.exact_dedup import exact_dedup
 from crosstide.llm.language import fit_languages, predict_language
 from crosstide.llm.near_join import near_join
-from crosstide.llm.pieces import decode_records, encode_records, load_vocabulary
+from crosstide.llm.pieces import encode_records, load_vocabulary
 from crosstide.llm.quality import fit_quality, score_quality
 from crosstide.llm.repeats import remove_repeats
 from crosstide.llm.slots import shard_records
@@ -27,6 +27,7 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -65,9 +66,8 @@ def op5_language(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    vocabulary = load_vocabulary(PIECES)
-    both = decode_records(encode_records(_records(spark, sf), vocabulary), vocabulary)
-    return both.select(F.col("coin_id").alias("doc_id"), F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", F.sha2("body", 256).alias("decoded_sha256"))
+    both = encode_records(_records(spark, sf), load_vocabulary(PIECES), decoded=True)
+    return both.select(F.col("coin_id").alias("doc_id"), "n_tokens", "token_ids", F.sha2("body", 256).alias("decoded_sha256"))
 
 
 def op7_url_rules(spark: SparkSession, sf: str) -> DataFrame:

@@ -159,6 +159,8 @@ def test_ids_are_the_library_s_and_decode_back(spark, vocabulary):
     want = sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(texts)
     assert [got[i].token_ids for i in range(len(texts))] == want and all(r.n_tokens == len(r.token_ids) for r in got.values())
     assert {r.coin_id: r.body for r in decode_records(tokens, vocabulary).collect()} == dict(enumerate(texts))
+    both = encode_records(df, vocabulary, decoded=True).collect()
+    assert {r.coin_id: (r.token_ids, r.body) for r in both} == {i: (w, t) for i, (w, t) in enumerate(zip(want, texts, strict=True))}
 
 
 def test_pieces_of_awkward_records(spark, vocabulary):

@@ -4,7 +4,8 @@ The writer is Spark's text sink: each row is one record, and the sink's line sep
 closes a WARC record. Files appear only when a task's output is committed, so a lost executor leaves none behind.
 The reader takes whole files (the writer bounds their size) and parses each in Python. A record counts when its version
 line, its length, its closing line ends and its digest are right; after a failed check the reader looks for the next
-version line, or the next gzip member that opens, and logs the bytes it passed over as a gap.
+version line, or the next gzip member that opens, and logs the bytes it passed over as a gap. Inside a member it does the same
+with version lines.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,20 +116,30 @@ def write_archives(
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
 PIECE = 1 << 16
+HOLD = 1 << 26  # bytes of a member kept at hand
+LONGEST = (1 << 31) - 1  # bytes of a row
 
 
 class Damaged(ValueError):
     """A record that fails a check."""
 
 
+class Short(Damaged):
+    """A record that may only want more bytes than are held: `need` of them from its start, or 0 where that is unknown."""
+
+    def __init__(self, why: str, need: int = 0):
+        super().__init__(why)
+        self.need = need
+
+
 def parse_record(data: bytes | memoryview, at: int) -> tuple[dict, int]:
     """(record, end) of the record at `at`; raises Damaged."""
     start = VERSION.match(data, at)
     if not start:
-        raise Damaged("no version line")
+        raise Short("no version line", 10) if len(data) - at < 10 else Damaged("no version line")
     close = data.find(b"\r\n\r\n", start.end() - 2)
     if close < 0:
-        raise Damaged("header does not end")
+        raise Short("header does not end")
     head = {}
     for line in data[start.end() : close].split(b"\r\n"):
         name, colon, value = line.partition(b":")
@@ -137,10 +148,12 @@ def parse_record(data: bytes | memoryview, at: int) -> tuple[dict, int]:
         if (name := name.strip().lower()) in head and name != b"warc-concurrent-to":
             raise Damaged("a header field stands twice")
         head[name] = value.strip().decode("utf-8", "replace")
-    if not head.get(b"content-length", "").isdigit():
+    if not re.fullmatch("[0-9]{1,18}", head.get(b"content-length", "")):
         raise Damaged("no length")
     body = close + 4
     end = body + int(head[b"content-length"])
+    if len(data) < end + 4:
+        raise Short("record does not end where its length says", end + 4 - at)
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("record does not end where its length says")
     block = data[body:end]
@@ -173,54 +186,155 @@ def parse_record(data: bytes | memoryview, at: int) -> tuple[dict, int]:
     }, end + 4
 
 
-def _next_start(data: bytes, at: int) -> int:
-    """The next place where a version line or a gzip member starts; the end if there is none."""
-    line = VERSION.search(data, at)
-    member = data.find(MEMBER, at)
-    return min(line.start() if line else len(data), member if member >= 0 else len(data))
-
-
-def _member(data: bytes, at: int) -> tuple[list[dict], int]:
-    """Records of the gzip member at `at`, and its end; a member that is cut or broken fails whole."""
-    opened, parts, end = zlib.decompressobj(31), [], at
-    try:
-        while not opened.eof and end < len(data):  # in pieces: what follows the member is not copied
-            parts.append(opened.decompress(data[end : end + PIECE]))
-            end = min(len(data), end + PIECE)
-    except zlib.error as e:
-        raise Damaged("member does not open") from e
-    if not opened.eof:
-        raise Damaged("member is cut")
-    text, found, place = b"".join(parts), [], 0
-    while place < len(text):
-        record, place = parse_record(text, place)
-        found.append(record)
-    return found, end - len(opened.unused_data)
-
-
-def salvage(data: bytes) -> Iterator[dict]:
-    """Records of one file in order, each with offset and length, and gaps with the reason in `gap`."""
-    at, lost, why = 0, None, ""
-    while at < len(data):
+class _Tape:
+    """Bytes that come in pieces; only those from the present place on are held."""
+
+    def __init__(self, pieces: Iterable[bytes], size: int = LONGEST):
+        self.pieces, self.size = iter(pieces), size
+        self.held, self.pos, self.base = b"", 0, 0
+
+    @property
+    def at(self) -> int:
+        return self.base + self.pos
+
+    def fill(self, n: int) -> bool:
+        """Hold at least `n` bytes from the present place on; whether there are as many."""
+        have = len(self.held) - self.pos
+        if have < n:
+            parts = [self.held[self.pos :]] if have else []
+            while have < n and (piece := next(self.pieces, None)) is not None:
+                parts.append(piece)
+                have += len(piece)
+            self.base, self.pos, self.held = self.at, 0, parts[0] if len(parts) == 1 else b"".join(parts)
+        return have >= n
+
+    def more(self) -> bool:
+        """Hold about twice as many bytes; whether any came."""
+        have = len(self.held) - self.pos
+        self.fill(max(PIECE, 2 * have))
+        return len(self.held) - self.pos > have
+
+    def peek(self, place: int, n: int) -> bytes:
+        self.fill(place - self.at + n)
+        return self.held[place - self.base : place - self.base + n]
+
+    def to(self, place: int) -> None:
+        if place > self.at:
+            self.fill(place - self.at)
+            self.pos = min(place - self.base, len(self.held))
+
+    def to_start(self, place: int, members: bool) -> None:
+        """Go to the next version line or gzip member from `place` on, or to the end."""
+        self.to(place)
+        while True:
+            line = VERSION.search(self.held, self.pos)
+            member = self.held.find(MEMBER, self.pos) if members else -1
+            starts = [line.start()] if line else []
+            if starts := starts + [member] * (member >= 0):
+                self.pos = min(starts)
+                return
+            self.pos = max(self.pos, len(self.held) - 9)
+            if not self.more():
+                self.pos = len(self.held)
+                return
+
+
+def _plain(tape: _Tape) -> Iterator[dict]:
+    """The record at the tape's place."""
+    at = tape.at
+    while True:
+        try:
+            record, end = parse_record(tape.held, tape.pos)
+            break
+        except Short as e:
+            if e.need > min(tape.size - at, LONGEST) or not (tape.more() if not e.need else tape.fill(e.need)):
+                raise
+    tape.pos = end
+    yield record | {"gap": None, "offset": at, "length": tape.at - at}
+
+
+def _member(tape: _Tape) -> Iterator[dict]:
+    """Records of the gzip member at the tape's place, and gaps inside it; a member that is cut or broken gives those before
+    the damage and raises Damaged, as does one that holds bytes but no record. A member of one record, after which no other
+    begins, fails whole with its checksum."""
+    at, fed, failure, opened, out = tape.at, 0, "", zlib.decompressobj(31), 0
+
+    def text() -> Iterator[bytes]:
+        nonlocal fed, failure, out
+        while not opened.eof:
+            tape.to(at + fed - HOLD)
+            if not (piece := tape.peek(at + fed, PIECE)):
+                failure = "member is cut"
+                return
+            before = opened.copy()
+            try:
+                part = opened.decompress(piece)
+            except zlib.error:
+                failure = "member does not open"
+                for i in range(len(piece)):  # what the piece still holds before the damage
+                    try:
+                        part = before.decompress(piece[i : i + 1])
+                    except zlib.error:
+                        return
+                    fed, out = fed + 1, out + len(part)
+                    yield part
+                return
+            fed, out = fed + len(piece), out + len(part)
+            yield part
+
+    rows, size, found, last, end = [], 0, 0, None, 0
+    for row in _salvage(_Tape(text()), members=False):
+        if row["gap"]:
+            last = row
+            rows.append({"gap": f"{row['gap']}, {row['length']} bytes from {row['offset']} inside the member", "offset": at})
+        else:
+            found, size, end = found + 1, size + len(row["payload"]), row["offset"] + row["length"]
+            rows.append(row | {"offset": at})
+        if found and size > HOLD:
+            yield from (r | {"length": None} for r in rows)
+            rows, size = [], 0
+    alone = found == 1 and failure == "member does not open" and (end == out or rows[0]["gap"] is None and last["gap"] == "no version line")
+    if alone or not found and (failure or out):
+        raise Damaged(failure or last["gap"])
+    whole = fed - len(opened.unused_data)
+    inside = out
+    if failure and last and last["offset"] + last["length"] == out and rows and rows[-1]["gap"]:
+        inside = last["offset"]
+        rows.pop()
+    yield from (r | {"length": whole} for r in rows)
+    if failure:
+        raise Damaged(f"{failure}, from byte {inside} inside the member")
+    tape.to(at + whole)
+
+
+def _salvage(tape: _Tape, members: bool = True) -> Iterator[dict]:
+    lost, why = None, ""
+    while tape.fill(1):
+        at = tape.at
         try:
-            if data[at : at + 3] == MEMBER:
-                found, end = _member(data, at)
-            else:
-                record, end = parse_record(data, at)
-                found = [record]
+            for row in _member(tape) if members and tape.peek(at, 3) == MEMBER else _plain(tape):
+                if lost is not None:
+                    yield {"gap": why, "offset": lost, "length": at - lost}
+                    lost = None
+                yield row
         except Damaged as e:
             if lost is None:
                 lost, why = at, str(e)
-            at = _next_start(data, at + 1)
+            tape.to_start(at + 1, members)
             continue
-        if lost is not None:
+        if lost is not None:  # before an empty member
             yield {"gap": why, "offset": lost, "length": at - lost}
             lost = None
-        for record in found:
-            yield record | {"gap": None, "offset": at, "length": end - at}
-        at = end
     if lost is not None:
-        yield {"gap": why, "offset": lost, "length": len(data) - lost}
+        yield {"gap": why, "offset": lost, "length": tape.at - lost}
+
+
+def salvage(data: bytes) -> Iterator[dict]:
+    """Records of one file in order, each with offset and length, and gaps with the reason in `gap`.
+
+    What stands in a gzip member has the member's offset and length; a gap inside names the bytes of the opened member.
+    """
+    return _salvage(_Tape([data], len(data)))
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
@@ -228,7 +342,9 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
     A row has path, offset and length in the file; a record has record_type, record_id, refers_to, url, payload_digest
     (hex SHA-1, checked), payload_bytes and payload; a gap has its reason in `gap` and null in the rest. A gzip file may
-    hold one member per record. A folder without records gives no rows.
+    hold any number of records per member: what a damaged member gives before the damage is kept, and records after one that
+    fails a check are. Their length is the member's (to the damage; null once over 64 MB of payloads). A folder without
+    records gives no rows.
     """
 
     def parse(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,6 +97,28 @@ def test_a_mixed_file_and_wrong_lengths():
         parse_record(b"WARC/1.1\r\nno colon\r\n\r\n", 0)
 
 
+def test_salvage_goes_on_inside_a_member():
+    bad = PLAIN[2].replace(b"payload 2", b"payload X")
+    one = gzip.compress(b"".join([*PLAIN[:2], bad, *PLAIN[3:]]))
+    assert read(one + gzip.compress(PLAIN[0])) == ([*"01340"], [(0, len(one))])
+    gap = next(r["gap"] for r in salvage(one) if r["gap"])
+    assert gap == f"block digest differs, {len(bad)} bytes from {len(PLAIN[0] + PLAIN[1])} inside the member"
+
+
+def test_records_before_the_damage_of_a_member_are_kept():
+    rng = random.Random(5)
+    many = [record(i, rng.randbytes(300)) for i in range(400)]
+    member, after = gzip.compress(b"".join(many)), gzip.compress(PLAIN[0])
+    for where in (len(member) // 3, len(member) // 2):
+        hurt = member[:where] + b"\xff" * 40 + member[where + 40 :]
+        for data in (hurt + after, member[:where] + after):
+            got, gaps = read(data)
+            assert got[-1] == "0" and got[:-1] == [str(i) for i in range(len(got) - 1)] and len(got) > where / len(member) * 400 - 20
+            assert gaps == [(0, len(data) - len(after))]
+    hurt = b"".join(many[:9]) + many[9][:40]
+    assert len(read(gzip.compress(hurt)[:-9])[0]) == 9
+
+
 def test_damaged_files_are_read_by_spark(spark, tmp_path):
     Path(tmp_path, "a.warc").write_bytes(PLAIN[0] + b"#" * 7 + PLAIN[1])
     rows = read_archives(spark, f"file://{tmp_path}").orderBy("offset").collect()

@@ -43,8 +43,9 @@ def op1_repeats(spark: SparkSession, sf: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "archives")
-    write_archives(_table(spark, sf, "pages").select(F.col("page_id").alias("response_id"), "url", F.col("html").alias("body")), path)
-    number = lambda c: F.col(c).cast("bigint")
+    pages = _table(spark, sf, "pages").select(F.col("page_id").alias("response_id"), "url", F.col("html").alias("body"))
+    write_archives(pages, path, revisit_unnamed=False)
+    number = lambda c: F.nullif(F.col(c), F.lit("")).cast("bigint")  # noqa: E731  # a null key has an empty name
     found = read_archives(spark, path, with_payload=False).where("gap is null")
     return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 

@@ -49,7 +49,7 @@ _SCHEMA = pa.schema(
 # ---- writer
 
 
-def _decided(responses: DataFrame, key: str, url: str, body: str, min_revisit_bytes: int) -> DataFrame:
+def _decided(responses: DataFrame, key: str, url: str, body: str, min_revisit_bytes: int, revisit_unnamed: bool) -> DataFrame:
     """id, url, body, bytes, digest, refers_to. Of equal bodies that are long enough the largest id is the response.
 
     Bodies cross one join on their digest, where adaptive execution can split a digest that many responses share.
@@ -59,7 +59,8 @@ def _decided(responses: DataFrame, key: str, url: str, body: str, min_revisit_by
     long = rows.where(F.col("bytes") >= min_revisit_bytes).select("id", "digest")
     first = settle(long.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("original")).where("n > 1").drop("n"), "originals")
     met = rows.join(first, "digest", "left").withColumn("original", F.when(F.col("bytes") >= min_revisit_bytes, F.col("original")))
-    return met.withColumn("refers_to", F.when(~F.col("original").eqNullSafe(F.col("id")), F.col("original"))).drop("original")
+    again = ~F.col("original").eqNullSafe(F.col("id")) if revisit_unnamed else F.col("original") != F.col("id")
+    return met.withColumn("refers_to", F.when(again, F.col("original"))).drop("original")
 
 
 def _header(name: str, value: Column) -> Column:
@@ -99,15 +100,16 @@ def write_archives(
     date: str = "1970-01-01T00:00:00Z",
     min_revisit_bytes: int = 1000,
     records_per_file: int = 4000,
+    revisit_unnamed: bool = True,
 ) -> None:
     """Write one record per landed response under `path`, a folder that does not exist yet.
 
     Of equal bodies of at least `min_revisit_bytes` bytes, the one with the largest key is a response and the others are
     revisits that refer to it; shorter ones are all responses. A null body is empty; a null key has an empty record name and is
-    never the largest; rows equal in key and body are both responses. Control characters in an address become blanks.
+    never the largest, and without `revisit_unnamed` always a response; rows equal in key and body are both responses. Control characters in an address become blanks.
     An empty table gives a folder without records.
     """
-    decided = _decided(responses, key, url, body, min_revisit_bytes)
+    decided = _decided(responses, key, url, body, min_revisit_bytes, revisit_unnamed)
     decided.select(_record(date)).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
 
 

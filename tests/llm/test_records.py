@@ -12,6 +12,7 @@ from llm_support import SCHEMA, awkward, frame, records, words
 
 from crosstide.llm import slots as S
 from crosstide.llm.decontaminate import contamination, without_contaminated
+from crosstide.llm.queries import ORACLES, QUERIES
 from crosstide.llm.url_rules import RULES, Trie, judge_homepages
 from crosstide.llm.warc import Damaged, parse_record, read_archives, salvage, write_archives
 from crosstide.session import fresh_path
@@ -59,6 +60,17 @@ def test_no_responses_give_no_records(spark):
     assert read_archives(spark, path).collect() == []
 
 
+def test_the_query_takes_null_page_ids(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    pages = [(k, u, b) for k, u, b, _ in responses()] + [(None, None, None), (None, "u", "y" * 2000), (None, "u", "y" * 2000), (None, "u", "short")]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["op2_warc"](spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert sum(r.page_id is None for r in got) == 5
+    assert Counter(map(tuple, got)) == Counter(db.execute(ORACLES["op2_warc"]).fetchall())
+
+
 def record(name, payload):
     block = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
     head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:landed:{name}>\r\nWARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}\r\n"

@@ -2,7 +2,7 @@
 
 The writer is Spark's text sink: each row is one record, and the sink's line separator is the pair of line ends that
 closes a WARC record. Files appear only when a task's output is committed, so a lost executor leaves none behind.
-The reader takes whole files (the writer bounds their size) and parses each in Python. A record counts when its version
+The writer bounds files by bytes. The reader parses each in Python, as a whole or, if it is long, as a stream of its lines. A record counts when its version
 line, its length, its closing line ends and its digest are right; after a failed check the reader looks for the next
 version line, or the next gzip member that opens, and logs the bytes it passed over as a gap. Inside a member it does the same
 with version lines.
@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +26,7 @@ from crosstide.session import settle
 
 END = "\r\n\r\n"
 ID_PREFIX = "urn:landed:"
+FILE_BYTES = 1 << 26
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = (
     "path string, offset bigint, length bigint, gap string, record_type string, record_id string, refers_to string, "
@@ -91,6 +94,25 @@ def _record(date: str) -> Column:
     return F.concat(head, block).alias("value")
 
 
+def _numbers(file_bytes: int) -> Callable[[Column], Column]:
+    """The number, within its task, of the file that a record of so many bytes goes to. Only sizes reach Python."""
+
+    @F.arrow_udf("int")
+    def number(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        file, held = 0, 0
+        for sizes in parts:
+            out = []
+            for size in sizes.to_pylist():
+                size += len(END)
+                if held and held + size > file_bytes:
+                    file, held = file + 1, 0
+                held += size
+                out.append(file)
+            yield pa.array(out, pa.int32())
+
+    return number
+
+
 def write_archives(
     responses: DataFrame,
     path: str,
@@ -101,16 +123,19 @@ def write_archives(
     min_revisit_bytes: int = 1000,
     records_per_file: int = 4000,
     revisit_unnamed: bool = True,
+    file_bytes: int = FILE_BYTES,
 ) -> None:
     """Write one record per landed response under `path`, a folder that does not exist yet.
 
     Of equal bodies of at least `min_revisit_bytes` bytes, the one with the largest key is a response and the others are
     revisits that refer to it; shorter ones are all responses. A null body is empty; a null key has an empty record name and is
     never the largest, and without `revisit_unnamed` always a response; rows equal in key and body are both responses. Control characters in an address become blanks.
-    An empty table gives a folder without records.
+    An empty table gives a folder without records. A file holds at most `records_per_file` records and `file_bytes` bytes; a longer
+    record has one for itself.
     """
     decided = _decided(responses, key, url, body, min_revisit_bytes, revisit_unnamed)
-    decided.select(_record(date)).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    numbered = decided.select(_record(date)).withColumn("file", _numbers(file_bytes)(F.octet_length("value")))
+    numbered.write.partitionBy("file").option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
 
 
 # ---- reader
@@ -118,6 +143,8 @@ def write_archives(
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
 PIECE = 1 << 16
+EOL, BOM = b"\r\n", b"\xef\xbb\xbf"
+BATCH_BYTES = 1 << 22
 HOLD = 1 << 26  # bytes of a member kept at hand
 LONGEST = (1 << 31) - 1  # bytes of a row
 
@@ -339,29 +366,83 @@ def salvage(data: bytes) -> Iterator[dict]:
     return _salvage(_Tape([data], len(data)))
 
 
-def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+def _long_files(spark: SparkSession, files: list[tuple[str, int]]) -> tuple[DataFrame, dict[int, tuple[str, int, bytes, bytes]]]:
+    """(number, start, row, line) of the lines of long files, and per number the path, the size and the bytes that stand before
+    the first and after the last line.
+
+    Lines end in CR LF, are read in byte ranges and hold any bytes. The files are mounted under names without a suffix, as
+    Spark would open compressed ones by their suffix.
+    """
+    name, uri = f"archives-{uuid.uuid4().hex}", lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p).toUri().toString()
+    links = {f"fs.viewfs.mounttable.{name}.link./{i}": uri(path) for i, (path, _) in enumerate(files)}
+    text = spark.read.options(**links).option("lineSep", EOL.decode()).text([f"viewfs://{name}/{i}" for i in range(len(files))])
+    lines = text.select(
+        F.col("_metadata.file_name").cast("int").alias("number"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("line")
+    )
+    told = {r["number"]: r["n"] for r in lines.groupBy("number").agg((F.sum(F.octet_length("line") + F.lit(2).cast("bigint")) - 2).alias("n")).collect()}
+    ends = {}
+    for i, (path, size) in enumerate(files):
+        more = size - told.get(i, 0)  # what the reader of lines drops: a byte order mark and the last line end
+        if more not in (0, 2, 3, 5):
+            raise ValueError(f"{path} can't be read in ranges: {more} bytes are missing")
+        ends[i] = (path, size, BOM if more in (3, 5) else b"", EOL if more in (2, 5) else b"")
+    return lines.repartition(len(files), "number").sortWithinPartitions("number", "start", "row"), ends
+
+
+def _rows(path: str, found: Iterable[dict], with_payload: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of at most 1000 rows and about BATCH_BYTES bytes of payload."""
+    rows, size = [], 0
+    for row in found:
+        row["path"] = path
+        if not with_payload:
+            row["payload"] = None
+        rows.append(row)
+        size += len(row.get("payload") or b"")
+        if len(rows) == 1000 or size > BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+            rows, size = [], 0
+    yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+
+
+def read_archives(spark: SparkSession, path: str, with_payload: bool = True, whole_bytes: int = 2 * FILE_BYTES) -> DataFrame:
     """Records and gaps of the archives under `path`.
 
     A row has path, offset and length in the file; a record has record_type, record_id, refers_to, url, payload_digest
     (hex SHA-1, checked), payload_bytes and payload; a gap has its reason in `gap` and null in the rest. A gzip file may
     hold any number of records per member: what a damaged member gives before the damage is kept, and records after one that
     fails a check are. Their length is the member's (to the damage; null once over 64 MB of payloads). A folder without
-    records gives no rows.
+    records gives no rows. Files of more than `whole_bytes` bytes are read in ranges and parsed as a stream, one task per file, so
+    that a task holds a record at a time; a record of 2 GiB or more is a gap.
     """
 
     def parse(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             for name, content in zip(frame.column("path").to_pylist(), frame.column("content"), strict=True):
-                rows = []
-                for row in salvage(content.as_py()):
-                    row["path"] = name
-                    if not with_payload:
-                        row["payload"] = None
-                    rows.append(row)
-                    if len(rows) == 1000:
-                        yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
-                        rows = []
-                yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(parse, FIELDS)
+                yield from _rows(name, salvage(content.as_py()), with_payload)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    found = files.where(F.col("length") <= whole_bytes).select("path", "content").mapInArrow(parse, FIELDS)
+    long = sorted(map(tuple, files.where(F.col("length") > whole_bytes).select("path", "length").collect()))
+    if not long:
+        return found
+    lines, ends = _long_files(spark, long)
+
+    def stream(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_lines = ((n, x.as_py()) for f in frames for n, x in zip(f.column(0).to_pylist(), f.column(1), strict=True))
+        for n, own in groupby(all_lines, lambda r: r[0]):
+            name, size, before, after = ends[n]
+            yield from _rows(name, _salvage(_Tape(_pieces(before, (x for _, x in own), after), size)), with_payload)
+
+    return found.unionAll(lines.select("number", "line").mapInArrow(stream, FIELDS))
+
+
+def _pieces(before: bytes, lines: Iterable[bytes], after: bytes) -> Iterator[bytes]:
+    """The bytes of a file from its lines, in pieces of about PIECE bytes."""
+    part, size, join = [before], 0, b""
+    for line in lines:
+        part += [join, line]
+        size, join = size + len(line) + 2, EOL
+        if size > PIECE:
+            yield b"".join(part)
+            part, size = [], 0
+    yield b"".join([*part, after])

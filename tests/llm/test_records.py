@@ -14,7 +14,7 @@ from crosstide.llm import slots as S
 from crosstide.llm.decontaminate import contamination, without_contaminated
 from crosstide.llm.queries import ORACLES, QUERIES
 from crosstide.llm.url_rules import RULES, Trie, judge_homepages
-from crosstide.llm.warc import Damaged, parse_record, read_archives, salvage, write_archives
+from crosstide.llm.warc import Damaged, _salvage, _Tape, parse_record, read_archives, salvage, write_archives
 from crosstide.session import fresh_path
 
 # ---- archives
@@ -131,6 +131,47 @@ def test_records_before_the_damage_of_a_member_are_kept():
     assert len(read(gzip.compress(hurt)[:-9])[0]) == 9
 
 
+@pytest.mark.parametrize("piece", [1, 7, 300, 5000])
+def test_salvage_of_a_stream_is_that_of_the_whole(piece):
+    rng = random.Random(piece)
+    parts = [record(i, rng.randbytes(rng.randrange(400))) for i in range(12)]
+    whole = b"".join(gzip.compress(b"".join(parts[i : i + 3])) if i % 2 else b"".join(parts[i : i + 3]) for i in range(0, 12, 3))
+    for _ in range(25):
+        hurt = bytearray(whole)
+        for _ in range(rng.randrange(4)):
+            hurt[rng.randrange(len(hurt))] ^= 0x55
+        hurt = bytes(hurt[: rng.choice([len(hurt), rng.randrange(len(hurt))])])
+        assert list(_salvage(_Tape((hurt[i : i + piece] for i in range(0, len(hurt), piece)), len(hurt)))) == list(salvage(hurt))
+
+
+def test_files_are_bounded_by_bytes(spark):
+    rng, path = random.Random(3), fresh_path(spark, "archives")
+    rows = [(i, "u", rng.randbytes(rng.choice([50, 5000, 12000])).hex(), None) for i in range(200)]
+    write_archives(spark.createDataFrame(rows, RESPONSES).repartition(2), path, file_bytes=20_000)
+    sizes = [r.length for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length").collect()]
+    assert max(sizes) < 25_000 and sum(n > 20_000 for n in sizes) <= sum(len(r[2]) == 24_000 for r in rows) and len(sizes) < 170
+    assert Counter((r.record_id, bytes(r.payload)) for r in read_archives(spark, path).collect()) == Counter((str(k), b.encode()) for k, _, b, _ in rows)
+
+
+def test_long_files_are_read_in_ranges(spark, tmp_path):
+    rng = random.Random(4)
+    parts = [record(i, rng.randbytes(rng.randrange(3000)) + b"\r\n" * rng.randrange(4)) for i in range(60)]
+    bad = b"".join(parts[:20]) + b"#" * 30 + b"".join(parts[20:])
+    files = {"a b.warc": bad, "b.warc.gz": gzip.compress(bad), "c.warc.gz": b"".join(map(gzip.compress, parts)), "d": b"\xef\xbb\xbf" + bad[:-1], "e": PLAIN[0]}
+    for name, data in files.items():
+        Path(tmp_path, name).write_bytes(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "777")
+    try:
+        got = defaultdict(list)
+        for r in read_archives(spark, f"file://{tmp_path}", whole_bytes=2000).collect():
+            got[Path(r.path).name].append((r.offset, r.length, r.gap, r.record_id, r.payload and bytes(r.payload)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, data in files.items():
+        assert got[name] == [(r["offset"], r["length"], r["gap"], r.get("record_id"), r.get("payload") or None) for r in salvage(data)], name
+
+
 def test_damaged_files_are_read_by_spark(spark, tmp_path):
     Path(tmp_path, "a.warc").write_bytes(PLAIN[0] + b"#" * 7 + PLAIN[1])
     rows = read_archives(spark, f"file://{tmp_path}").orderBy("offset").collect()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import KEY, TEXT, batches, chunks, col, held_out, mix, sample_share, utf8
+from crosstide.llm.common import KEY, TEXT, batches, chunks, col, held_out, mix, utf8
 
 DIMENSIONS = 512
 ROWS, DENSE = 256, 1 << 22
@@ -118,17 +118,22 @@ class Profiles:
 
 
 def fit_languages(
-    records: DataFrame, key: str = KEY, text: str = TEXT, lang: str = "lang", parts: int = 4, part: int = 2, max_rows: int = 50_000, dimensions: int = DIMENSIONS
+    records: DataFrame, key: str = KEY, text: str = TEXT, lang: str = "lang", parts: int = 4, part: int = 2, max_rows: int | None = None, dimensions: int = DIMENSIONS
 ) -> Profiles:
     """Prototypes from the records with a language whose crc32 of the key as text, modulo `parts`, is not `part`.
 
-    About `max_rows` of them, chosen by a hash of the key, are used. Sums are made on the executors in whole numbers, so they
+    All of them are used, or with `max_rows` about so many of each language, chosen by a hash of the key. Sums are made on the executors in whole numbers, so they
     do not depend on the order of rows; the driver gets one vector per language.
     """
     usable = records.select(col(key).alias("id"), col(text).alias("text"), col(lang).cast("string").alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id"), parts, part)
     )
-    chosen = usable.where(sample_share(max_rows, usable.count(), F.col("id").cast("string"), F.lit("language")))
+    chosen = usable
+    if max_rows is not None:
+        share = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(max_rows) / F.count(F.lit(1))).alias("share"))
+        grain = 1 << 30
+        at = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language")), F.lit(grain))
+        chosen = usable.join(F.broadcast(share), "lang").where(at < F.col("share") * grain)
 
     def bundle(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

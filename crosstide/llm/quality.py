@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from crosstide.llm.common import KEY, TEXT, batches, col, held_out, sample_share, utf8
 from crosstide.llm.text_features import NAMES, features
+from crosstide.session import settle
 
 BINS, PAIR_BINS = 32, 8
 
@@ -40,9 +41,16 @@ class AdditiveModel:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def _edges(column: np.ndarray, bins: int) -> np.ndarray:
-    """Cuts between bins that hold about equally many rows."""
-    return np.unique(np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1]).astype(np.float32))
+def _edges(column: np.ndarray, bins: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """Cuts between bins that hold about equally many rows, of which each stands for `weight`."""
+    at = np.linspace(0, 1, bins + 1)[1:-1]
+    if weight is None or (weight == 1).all():
+        return np.unique(np.quantile(column, at).astype(np.float32))
+    order = np.argsort(column, kind="stable")
+    upto, place = np.cumsum(weight[order]), at * (weight.sum() - 1)
+    row = lambda i: column[order[np.searchsorted(upto, i, side="right")]].astype(float)
+    low, high = row(np.floor(place)), row(np.ceil(place))
+    return np.unique((low + (high - low) * (place - np.floor(place))).astype(np.float32))
 
 
 def _gains(g: np.ndarray, h: np.ndarray, ridge: float) -> np.ndarray:
@@ -89,20 +97,22 @@ def _pair_tree(g: np.ndarray, h: np.ndarray, ridge: float = 1.0) -> tuple[np.nda
     return step, best
 
 
-def fit_additive(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.15, pairs: int = 6) -> AdditiveModel:
-    """Boost tables for the rows `x` with labels 0 or 1; without both labels only the base is learned."""
-    n, ones = len(y), int(y.sum())
+def fit_additive(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.15, pairs: int = 6, weight: np.ndarray | None = None) -> AdditiveModel:
+    """Boost tables for the rows `x` with labels 0 or 1; without both labels only the base is learned. A row that stands for
+    `weight` rows has the mean of their labels."""
+    weight = np.ones(len(y)) if weight is None else weight
+    n, ones = int(weight.sum()), round(float((weight * y).sum()))
     model = AdditiveModel(float(np.log((ones + 1) / (n - ones + 1))))
     if ones in (0, n):
         return model
     width = x.shape[1]
-    model.edges = [_edges(x[:, j], BINS) for j in range(width)]
-    model.pair_edges = [_edges(x[:, j], PAIR_BINS) for j in range(width)]
+    model.edges = [_edges(x[:, j], BINS, weight) for j in range(width)]
+    model.pair_edges = [_edges(x[:, j], PAIR_BINS, weight) for j in range(width)]
     model.tables = [np.zeros(len(e) + 1) for e in model.edges]
     bins = [np.searchsorted(model.edges[j], x[:, j], side="right") for j in range(width)]
     coarse = [np.searchsorted(model.pair_edges[j], x[:, j], side="right") for j in range(width)]
-    total = np.full(n, model.base)
-    rest = lambda: (y - (p := 1 / (1 + np.exp(-total))), p * (1 - p))
+    total = np.full(len(y), model.base)
+    rest = lambda: (weight * (y - (p := 1 / (1 + np.exp(-total)))), weight * p * (1 - p))
     for _ in range(rounds):
         for j in range(width):
             g, h = rest()
@@ -139,26 +149,32 @@ def fit_quality(
 ) -> AdditiveModel:
     """Learn from the labelled records whose crc32 of the key as text, modulo `parts`, is not `part`.
 
-    `labels` has the key and a label 0 or 1; rows with a null key or label are left out. About `max_rows` labelled rows,
-    chosen by a hash of the key, are used: that bounds the rows sent to the records and the features that reach the driver.
+    `labels` has the key and a label 0 or 1; rows with a null key or label are left out. About `max_rows` labelled keys,
+    chosen by a hash of the key, are used, each with all its labels: that bounds the rows sent to the records. Of the different
+    feature vectors of their records about twice as many at most, chosen by a hash, reach the driver, each with the count
+    of the rows it stands for.
     """
     usable = labels.select(col(key).alias("id"), col(label).cast("int").alias("y")).where(
         F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"), parts, part)
     )
-    chosen = usable.where(sample_share(max_rows, usable.count(), F.col("id").cast("string"), F.lit("quality")))
-    rows = records.select(col(key).alias("id"), col(text).alias("text")).join(F.broadcast(chosen), "id").select("text", "y")
+    keys = usable.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("bigint").alias("ones"))
+    chosen = keys.where(sample_share(max_rows, keys.count(), F.col("id").cast("string"), F.lit("quality")))
+    rows = records.select(col(key).alias("id"), col(text).alias("text")).join(F.broadcast(chosen), "id").select("text", "n", "ones")
 
     def describe(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames):
             x = features(*utf8(frame.column(0)))
             listed = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().astype(np.float64)), x.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([listed, frame.column(1)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([listed, frame.column(1), frame.column(2)], names=["x", "n", "ones"])
 
-    got = rows.mapInArrow(describe, "x array<double>, y int").toArrow()
+    described = rows.mapInArrow(describe, "x array<double>, n bigint, ones bigint")
+    vectors = settle(described.groupBy("x").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")), "vectors")
+    got = vectors.where(sample_share(2 * max_rows, vectors.count(), F.col("x"), F.lit("vectors"))).toArrow()
     x = np.array(got.column("x").to_pylist(), dtype=np.float32).reshape(-1, len(NAMES))
-    y = got.column("y").to_numpy().astype(float)
-    order = np.lexsort((*x.T, y))  # rows arrive in any order; sums must not depend on it
-    return fit_additive(x[order], y[order])
+    weight = got.column("n").to_numpy().astype(float)
+    y = got.column("ones").to_numpy() / weight
+    order = np.lexsort((*x.T, y, weight))  # rows arrive in any order; sums must not depend on it
+    return fit_additive(x[order], y[order], weight=weight[order])
 
 
 def score_quality(records: DataFrame, model: AdditiveModel, key: str = KEY, text: str = TEXT) -> DataFrame:

@@ -9,6 +9,7 @@ from llm_support import LONG, SCHEMA, awkward, frame, records, words
 from pyspark.sql import functions as F
 
 from crosstide.llm.common import utf8
+from crosstide.llm import quality
 from crosstide.llm.language import bundles, fit_languages, letter_vectors, predict_language
 from crosstide.llm.pieces import Encoder, decode_records, encode_records, load_vocabulary, merged
 from crosstide.llm.quality import fit_additive, fit_quality, kept_by_quality, score_quality, shallow_tree
@@ -88,6 +89,29 @@ def test_quality_of_awkward_records(spark):
         assert score_quality(spark.createDataFrame([], SCHEMA), model).collect() == []
 
 
+def test_repeated_labels_weigh_but_are_not_listed(spark, monkeypatch):
+    df, labels = labelled(spark)
+    many = labels.union(spark.range(3000).selectExpr("7L as coin_id", "cast(id % 3 > 0 as int) as quality"))
+    df = df.union(df.where("coin_id = 7").crossJoin(spark.range(20)).drop("id"))
+    seen = {}
+    monkeypatch.setattr(quality, "fit_additive", lambda x, y, weight: seen.update(x=x, y=y, weight=weight) or quality.AdditiveModel(0.0))
+    fit_quality(df, many, max_rows=100_000)
+    assert 200 < len(seen["y"]) <= 600 and seen["weight"].max() >= 21 * 3001
+    fit_quality(df, many, max_rows=60)
+    assert 0 < len(seen["y"]) <= 120
+
+
+def test_weights_stand_for_repeated_rows():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3)).astype(np.float32)
+    weight = rng.integers(1, 5, 300)
+    ones = np.where(x[:, 0] * x[:, 1] > 0, weight, weight // 2)
+    each = np.repeat(np.arange(300), weight)
+    labels = np.concatenate([np.arange(w) < k for w, k in zip(weight, ones, strict=True)]).astype(float)
+    a, b = quality.fit_additive(x[each], labels), quality.fit_additive(x, ones / weight, weight=weight.astype(float))
+    assert np.allclose(a.score(x), b.score(x), atol=1e-6)
+
+
 # ---- language
 
 TONGUES = {"xx": "ba be bi bo bu dabe dobi gubo", "yy": "éra ñolu çira elañ erço irulé", "zz": "日本 語言 本日 語本"}
@@ -113,6 +137,13 @@ def test_held_out_languages_are_not_read(spark):
     assert a.names == b.names == sorted(TONGUES) and np.array_equal(a.vectors, b.vectors)
 
 
+def test_a_rare_language_is_learned(spark):
+    rare = spark.createDataFrame([(i, "ша ше ши шо шу", "ww") for i in range(1000, 1004)], "coin_id bigint, body string, lang string")
+    profiles = fit_languages(spoken(spark).union(rare), max_rows=5)
+    assert "ww" in profiles.names
+    assert fit_languages(spoken(spark).union(rare)).names == ["ww", *sorted(TONGUES)]
+
+
 def test_languages_of_awkward_records(spark):
     profiles = fit_languages(spoken(spark))
     rows = predict_language(frame(spark), profiles).collect()

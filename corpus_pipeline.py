@@ -18,7 +18,7 @@ from crosstide.llm.quality import fit_quality, kept_by_quality
 from crosstide.session import settle
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-ORACLE_SQL = None  # the classifier, the join and the encoding have no SQL; tests hold every stage against brute force
+ORACLE_SQL = None  # the classifier, the join and the encoding have no SQL; tests hold the middle three stages against their rules, not run() as a whole
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

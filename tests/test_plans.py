@@ -114,6 +114,17 @@ def test_p_values(spark):
     assert rows and all(abs(r.p - erfc(abs(r.t) / sqrt(2))) < 1e-5 for r in rows)
 
 
+def test_p_values_stay_near_erfc(spark):
+    from math import erfc, sqrt
+
+    from crosstide.functions.scalar import normal_two_sided_p
+
+    rows = spark.range(801).selectExpr("(id - 400) / 50D AS t").select("t", normal_two_sided_p("t").alias("p")).collect()
+    for top, bound in ((3, 1e-4), (5.4, 0.003), (8, 0.011)):
+        assert all(abs(r.p / erfc(abs(r.t) / sqrt(2)) - 1) < bound for r in rows if abs(r.t) <= top)
+    assert all(abs(r.p - erfc(abs(r.t) / sqrt(2))) < 1.5e-7 for r in rows)
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are not here")
 def test_flagship_runs(spark):
     import __spark_entry__ as entry

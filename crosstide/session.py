@@ -69,13 +69,13 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def settle(df: DataFrame, label: str = "table") -> DataFrame:
+def settle(df: DataFrame, label: str = "table", **options: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     Used in front of operators that read their input several times: the upstream plan runs
     once, every later pass sees the same doubles even after an executor is lost, and the
-    columnar file gives the optimizer real sizes to choose joins by.
+    columnar file gives the optimizer real sizes to choose joins by. `options` are those of the Parquet writer.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crosstide.llm.alignment import align_records, load_tokenizers
 from crosstide.llm.common import bounded_batches, held_out
 from crosstide.llm.decontaminate import contamination
 from crosstide.llm.exact_dedup import exact_dedup
@@ -18,12 +19,15 @@ from crosstide.llm.near_join import near_join
 from crosstide.llm.pieces import encode_records, load_vocabulary
 from crosstide.llm.quality import fit_quality, score_quality
 from crosstide.llm.repeats import remove_repeats
+from crosstide.llm.repetition import repetition_rules
 from crosstide.llm.slots import shard_records
+from crosstide.llm.spellings import spelling_variants
 from crosstide.llm.url_rules import RULES, judge_homepages
 from crosstide.llm.warc import read_archives, write_archives
 from crosstide.session import fresh_path
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+BYTES = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -91,6 +95,20 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
 
 
+def op11_spellings(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_variants(_records(spark, sf), slip_every=31)
+
+
+def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    found = align_records(_records(spark, sf), load_tokenizers(BYTES, PIECES), digests=True)
+    return found.withColumnsRenamed({"coin_id": "doc_id", "groups": "groups_sha256"})
+
+
+def op13_repetition(spark: SparkSession, sf: str) -> DataFrame:
+    found = repetition_rules(_records(spark, sf)).drop("n_repeats", "longest_repeat")  # no SQL finds these two
+    return found.withColumnRenamed("coin_id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op2_warc": op2_warc,
@@ -102,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
+    "op11_spellings": op11_spellings,
+    "op12_alignment": op12_alignment,
+    "op13_repetition": op13_repetition,
 }
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -138,4 +159,35 @@ WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace
 k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY s ORDER BY n DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS keep_id,
   count(*) OVER (PARTITION BY s) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, s AS text_sha256 FROM k""",
+    "op11_spellings": r"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce(list_prepend(k::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS t FROM range(256) r(k)),
+r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7),
+b AS (SELECT w, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''),
+  lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c) - 64] END)) AS bytes FROM r),
+h AS (SELECT w, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM b, tab),
+s AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM h),
+v AS (SELECT word, count(*) AS n FROM s WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+x AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (SELECT a.word, b.word AS near FROM x a JOIN x b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT x.word, v.word FROM x JOIN v ON x.cut = v.word UNION SELECT v.word, x.word FROM x JOIN v ON x.cut = v.word),
+g AS (SELECT e.word, near, v.n AS near_n, count(*) OVER (PARTITION BY e.word) AS n_near, row_number() OVER (PARTITION BY e.word ORDER BY v.n DESC, near) AS k
+  FROM e JOIN v ON e.near = v.word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form, CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n
+  FROM v LEFT JOIN g ON v.word = g.word AND k = 1),
+c AS (SELECT word, word AS root, 0 AS steps FROM f UNION ALL SELECT c.word, f.form, steps + 1 FROM c JOIN f ON c.root = f.word WHERE f.form IS NOT NULL),
+l AS (SELECT word, arg_max(root, steps) AS root FROM c GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN l ON f.word = l.word""",
+    "op13_repetition": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (VALUES (3), (8), (51)) g(k)),
+o AS (SELECT doc_id, k, i, count(*) OVER (PARTITION BY doc_id, k, w[i:i + k - 1]) AS often FROM s),
+c AS (SELECT doc_id, k, count(DISTINCT p) AS n FROM (SELECT doc_id, k, unnest(range(i, i + k)) AS p FROM o WHERE often > 1) GROUP BY doc_id, k),
+q AS (SELECT doc_id, coalesce(max(n) FILTER (k = 3), 0) AS three, coalesce(max(n) FILTER (k = 8), 0) AS eight, coalesce(max(n) FILTER (k = 51), 0) AS long FROM c GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+a AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(three, 0)::BIGINT AS n_repeat_words, coalesce(eight, 0)::BIGINT AS n_covered_words, coalesce(long, 0) AS long
+  FROM d LEFT JOIN q USING (doc_id) LEFT JOIN l USING (doc_id))
+SELECT * EXCLUDE (long), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_covered_words <= 20 * n_words AND long = 0 AS kept FROM a""",
 }

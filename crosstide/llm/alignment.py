@@ -32,6 +32,7 @@ TEXT_BYTES, MERGED_TOKENS = 1 << 19, 1 << 18
 # fixed values: how byte-level vocabularies cut text into words, and the bytes they show as themselves
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_EIGHT = np.arange(8)
 
 
 @dataclass
@@ -105,7 +106,7 @@ def encoded(texts: list[str | None], two: TwoTokenizers) -> tuple[list[np.ndarra
             left.append(none)
             right.append(none)
             continue
-        ids_a = np.array(a.encode_ordinary(whole), np.int32)
+        ids_a = a.encode_to_numpy(whole, disallowed_special=())
         if int(two.sizes_a[ids_a].sum()) != len(whole.encode()):  # its tokens are the bytes given, or some are missing
             ids_a = ids_b = none
         left.append(ids_a)
@@ -173,29 +174,35 @@ def align(ids_a: np.ndarray, ids_b: np.ndarray, two: TwoTokenizers, steps: int =
     return Aligned(ids_a, ids_b, *merge_path(ends_a, ends_b, steps))
 
 
-def group_texts(found: Aligned, cut_a: np.ndarray, cut_b: np.ndarray) -> list[bytes]:
-    """`a1,a2|b1;a3|b2,b3` of each text: decimal ids, groups in order."""
+def decimal_words(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(digits as bytes of one number, how many) of 0 to n - 1."""
+    if n > 10**7:
+        raise ValueError("ids of more than seven digits")
+    left, digits = np.arange(n), np.ones(n, np.int64)
+    for k in range(1, 7):
+        digits += left >= 10**k
+    words = np.zeros(n, "<u8")
+    for k in range(7):
+        there = digits > k
+        words[there] = words[there] << np.uint64(8) | (left[there] % 10 + 48).astype(np.uint64)
+        left //= 10
+    return words, digits
+
+
+def group_texts(found: Aligned, cut_a: np.ndarray, cut_b: np.ndarray, decimals: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+    """`a1,a2|b1;a3|b2,b3` of each text: decimal ids, groups in order. `decimals` are the digits of all ids."""
     n_a, n_b = len(found.a), len(found.b)
+    closes_a, closes_b = np.zeros(n_a, bool), np.zeros(n_b, bool)
+    closes_a[found.close_a], closes_b[found.close_b] = True, True
     end_a, end_b = np.append(found.close_a + 1, n_a), np.append(found.close_b + 1, n_b)
-    group_a = np.searchsorted(found.close_a, np.arange(n_a))
-    group_b = np.searchsorted(found.close_b, np.arange(n_b))
-    at_a = np.arange(n_a) + np.concatenate(([0], end_b))[group_a]
-    at_b = np.arange(n_b) + end_a[group_b]
-    ids, mark = np.zeros(n_a + n_b, np.int64), np.full(n_a + n_b, ord(","), np.uint8)
+    at_a = np.arange(n_a) + np.concatenate(([0], end_b))[np.cumsum(closes_a) - closes_a]
+    at_b = np.arange(n_b) + end_a[np.cumsum(closes_b) - closes_b]
+    ids, mark = np.zeros(n_a + n_b, np.int64), np.full(n_a + n_b, ord(","), np.uint64)
     ids[at_a], ids[at_b] = found.a, found.b
     mark[at_a[found.close_a]], mark[at_b[found.close_b]] = ord("|"), ord(";")
-    digits = np.ones(n_a + n_b, np.int64)
-    for power in (10, 100, 1000, 10_000, 100_000, 1_000_000, 10_000_000, 100_000_000, 1_000_000_000):
-        digits += ids >= power
-    width = int(digits.max(initial=0))
-    cells = np.zeros((n_a + n_b, width + 1), np.uint8)
-    left = ids.copy()
-    for k in range(width):  # the last digit first
-        rows = np.flatnonzero(digits > k)
-        cells[rows, digits[rows] - 1 - k] = left[rows] % 10 + 48
-        left //= 10
-    cells[np.arange(n_a + n_b), digits] = mark
-    flat = cells[np.arange(width + 1) <= digits[:, None]].tobytes()
+    words, digits = decimals[0][ids], decimals[1][ids]
+    words |= mark << (8 * digits).astype(np.uint64)
+    flat = words.view(np.uint8)[(_EIGHT <= digits[:, None]).ravel()].tobytes()
     cut = np.concatenate(([0], np.cumsum(digits + 1)))[cut_a + cut_b].tolist()
     return [flat[i : max(i, j - 1)] for i, j in zip(cut[:-1], cut[1:], strict=True)]
 
@@ -275,6 +282,7 @@ def _aligned(tokens: DataFrame, two: TwoTokenizers, hot: tuple[np.ndarray, np.nd
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, pairs, times, best = held.value
+        decimals = decimal_words(max(len(both.sizes_a), len(both.sizes_b)))
         for frame in batches(frames):
             for i, j in _token_chunks(frame):
                 a, b, cut_a, cut_b = _batch_ids(frame, i, j)
@@ -289,7 +297,7 @@ def _aligned(tokens: DataFrame, two: TwoTokenizers, hot: tuple[np.ndarray, np.nd
                 kinds, often = np.unique(np.stack([owner, named[rest]]), axis=1, return_counts=True) if len(rest) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
                 rare = pa.StructArray.from_arrays([pa.array(kinds[1]), pa.array(often)], names=["pair", "times"])
                 rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(kinds[0], np.arange(j - i + 1)).astype(np.int32)), rare)
-                groups = group_texts(found, cut_a, cut_b)
+                groups = group_texts(found, cut_a, cut_b, decimals)
                 shown = pa.array([g.decode() if texts else sha256(g).hexdigest() if g else "" for g in groups], pa.string())
                 numbers = [np.diff(cut_a), np.diff(cut_b), np.diff(np.searchsorted(found.close_a, cut_a)), np.diff(link), n_best, sums]
                 yield pa.RecordBatch.from_arrays(

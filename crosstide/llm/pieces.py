@@ -28,15 +28,14 @@ from crosstide.llm.rolling import between, codes, running
 
 BLANK = 0x2581
 KEPT_PARTS = 120_000
-KEPT_PAIRS = 250_000
-ENCODED_BYTES, DECODED_IDS = 1 << 19, 1 << 18
+ENCODED_BYTES, DECODED_IDS = 1 << 20, 1 << 18
 GROUP_CELLS = 1 << 20
 
 
-def merged(text: str, score: dict[str, float]) -> list[str]:
-    """The pieces that merging leads to: the best pair of neighbours first, the leftmost of equals."""
+def merged(text: str, score: dict[str, float], least: int = 1) -> list[str]:
+    """The pieces that merging leads to: the best pair of neighbours first, the leftmost of equals. Stops at `least` pieces."""
     parts = list(text)
-    while len(parts) > 1:
+    while len(parts) > least:
         best, at = None, -1
         for i in range(len(parts) - 1):
             s = score.get(parts[i] + parts[i + 1])
@@ -67,6 +66,28 @@ class Vocabulary:
         """Which pieces encode to themselves."""
         return np.array([merged(p, self.score) == [p] for p in self.pieces])
 
+    @cached_property
+    def made(self) -> tuple[np.ndarray, ...]:
+        """How merging makes pieces: (turn of each piece, its left and right part, keys of pairs, turns of what they make).
+
+        A smaller turn is due first; pieces of equal score have equal turns, single characters 0. A key is place of the left part *
+        pieces + place of the right one.
+        """
+        n, at = len(self.pieces), {p: i for i, p in enumerate(self.pieces)}
+        multi = np.array([len(p) > 1 for p in self.pieces])
+        turn = np.zeros(n, np.int64)
+        turn[multi] = np.unique(-self.scores[multi], return_inverse=True)[1] + 1
+        left, right, pairs = np.arange(n), np.arange(n), {}
+        for p, k in at.items():
+            for i in range(1, len(p)):
+                if p[:i] in at and p[i:] in at:
+                    pairs[at[p[:i]] * n + at[p[i:]]] = turn[k]
+            halves = merged(p, self.score, 2)
+            if len(halves) == 2 and halves[0] in at and halves[1] in at:
+                left[k], right[k] = at[halves[0]], at[halves[1]]
+        keys = np.array(sorted(pairs), np.int64)
+        return turn, left, right, keys, np.array([pairs[k] for k in keys.tolist()], np.int64)
+
 
 def load_vocabulary(path: str) -> Vocabulary:
     """Read a SentencePiece BPE model that keeps text as it is (identity rules, blank before the text, byte fallback)."""
@@ -98,8 +119,31 @@ def shared_encoder(vocabulary: Vocabulary) -> Encoder:
 _encoders: dict[int, Encoder] = {}
 
 
+class Kept:
+    """Parts by name, sorted, with their ids."""
+
+    def __init__(self) -> None:
+        self.names, self.start, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def places(self, names: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.names, names), max(len(self.names) - 1, 0))
+
+    def holds(self, names: np.ndarray) -> np.ndarray:
+        return self.names[self.places(names)] == names if len(self.names) else np.zeros(len(names), bool)
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how many, the ids) of the parts at some places, one after the other."""
+        size = self.size[places]
+        return size, self.flat[np.arange(int(size.sum())) + np.repeat(self.start[places] - (np.cumsum(size) - size), size)]
+
+    def add(self, names: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        names, start, size = np.concatenate((self.names, names)), np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size)), np.concatenate((self.size, size))
+        order = np.argsort(names)
+        self.names, self.start, self.size, self.flat = names[order], start[order], size[order], np.concatenate((self.flat, ids))
+
+
 class Encoder:
-    """Encodes texts of one vocabulary; keeps a bounded number of parts and pairs it has met."""
+    """Encodes texts of one vocabulary; keeps parts it has met in two generations of bounded size, so common ones stay."""
 
     def __init__(self, vocabulary: Vocabulary):
         v = self.vocabulary = vocabulary
@@ -121,30 +165,34 @@ class Encoder:
         for p in points:
             c = self.char[p]
             self.joined[c[:-1], c[1:]] = True
-        self.pairs: dict[int, bool] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.new, self.old = Kept(), Kept()
 
     def _fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether two pieces, given by place in the vocabulary, may stand side by side. A character outside it (-1) always may."""
+        """Whether two pieces, given by place in the vocabulary, may stand side by side. A character outside it (-1) always may.
+
+        Merging is followed backwards from the two pieces: the one made last falls apart into its parts, and whatever the parts that
+        touch could make must not have been due before it; of equals the leftmost is due first.
+        """
+        turn, lefts, rights, keys, makes = self.vocabulary.made
         out = np.ones(len(left), bool)
         real = np.flatnonzero((left >= 0) & (right >= 0))
         pairs, back = np.unique(left[real].astype(np.int64) << 32 | right[real], return_inverse=True)
-        p, score, seen = self.vocabulary.pieces, self.vocabulary.score, self.pairs
-        if len(seen) > KEPT_PAIRS:
-            seen.clear()
-        answers = np.zeros(len(pairs), bool)
-        for k, pair in enumerate(pairs.tolist()):
-            fits = seen.get(pair)
-            if fits is None:
-                a, b = p[pair >> 32], p[pair & 0xFFFFFFFF]
-                fits = seen[pair] = merged(a + b, score) == [a, b]
-            answers[k] = fits
-        out[real] = answers[back]
+        a, b = pairs >> 32, pairs & 0xFFFFFFFF
+        fits, rows, due = np.ones(len(pairs), bool), np.arange(len(pairs)), np.full(len(pairs), len(turn) + 1)
+        while len(rows):
+            name = a * len(turn) + b
+            at = np.minimum(np.searchsorted(keys, name), len(keys) - 1)
+            early = (keys[at] == name) & (makes[at] < due)
+            fits[rows[early]] = False
+            a_next, b_next = rights[a], lefts[b]
+            a_whole, b_whole = a_next == a, b_next == b
+            opens_a = np.where(turn[a] > turn[b], ~a_whole, b_whole & ~a_whole)
+            opens_b = ~opens_a & ~b_whole
+            due = np.where(opens_a, turn[a], turn[b] + 1)
+            a, b = np.where(opens_a, a_next, a), np.where(opens_b, b_next, b)
+            going = ~early & (opens_a | opens_b)
+            rows, a, b, due = rows[going], a[going], b[going], due[going]
+        out[real] = fits[back]
         return out
 
     def _search(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,20 +210,11 @@ class Encoder:
             able = (self.keys[at] == hashes) & self.vocabulary.sound[piece]
             piece[~able] = -1
             able[:, -1] = True  # a single character is always a symbol
-            left = able.sum(1)
-            open_rows = rows[left > 1]
-            for k in range(len(starts) - 1):
-                r = open_rows[able[open_rows, k]]
-                if not len(r):
-                    continue
-                if starts[k]:
-                    fits = self._fits(last[r, starts[k]], piece[r, k])
-                    able[r[~fits], k] = False
-                    left[r[~fits]] -= 1
-                    settled = r[fits | (left[r] == 1)]
-                else:
-                    settled = r  # a sound piece that is the whole prefix is its encoding
-                open_rows = np.setdiff1d(open_rows, settled, assume_unique=True)
+            row, k = np.nonzero(able[:, :-1])
+            inner = starts[k] > 0  # a sound piece that is the whole prefix is its encoding
+            row, k = row[inner], k[inner]
+            fits = self._fits(last[row, starts[k]], piece[row, k])
+            able[row[~fits], k[~fits]] = False
             best = able.argmax(1)
             last[:, j] = piece[rows, best]
             back[:, j] = j - starts[best]
@@ -193,29 +232,25 @@ class Encoder:
         size = end - start
         by_size = np.argsort(size, kind="stable")
         cuts = np.flatnonzero(np.diff(size[by_size])) + 1
+        learned = []
         for group in np.split(by_size, cuts):
             n = int(size[group[0]])
             step = max(1, GROUP_CELLS // (n * self.longest))
             for i in range(0, len(group), step):
                 some = group[i : i + step]
                 tokens, count = self._search(points[start[some][:, None] + np.arange(n)])
-                for k, row, c in zip(some.tolist(), tokens, count.tolist(), strict=True):
-                    self._keep(int(names[k]), row[:c][::-1])
-
-    def _keep(self, name: int, tokens: np.ndarray) -> None:
-        if (tokens < 0).any():
-            ids = np.concatenate([self.vocabulary.ids[[t]] if t >= 0 else self.vocabulary.byte_ids[list(chr(-1 - t).encode("utf-8", "replace"))] for t in tokens.tolist()])
-        else:
-            ids = self.vocabulary.ids[tokens]
-        at = len(self.known)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        if at == len(self.start):
-            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[at], self.size[at] = self.used, len(ids)
-        self.used += len(ids)
-        self.known[name] = at
+                at = count[:, None] - 1 - np.arange(n)  # they come last token first
+                tokens = np.take_along_axis(tokens, np.maximum(at, 0), axis=1)[at >= 0]
+                learned.append((names[some], *self._ids(tokens, count)))
+        self.new.add(*(np.concatenate(x) for x in zip(*learned, strict=True)))
+
+    def _ids(self, tokens: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how many ids each part has, the ids); characters outside the vocabulary are given by their bytes."""
+        if not (tokens < 0).any():
+            return count, self.vocabulary.ids[tokens]
+        each = [self.vocabulary.ids[[t]] if t >= 0 else self.vocabulary.byte_ids[list(chr(-1 - t).encode("utf-8", "replace"))] for t in tokens.tolist()]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in each])))
+        return np.diff(ends[np.concatenate(([0], np.cumsum(count)))]), np.concatenate(each)
 
     def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(offsets) - 1
@@ -235,22 +270,24 @@ class Encoder:
         start, end = edges[:-1], edges[1:]
         names = between(running(codes(points)), start, end) ^ (end - start).astype(np.uint64)
         kinds, where, which = np.unique(names, return_index=True, return_inverse=True)
-        if len(self.known) > KEPT_PARTS:
-            self._forget()
-        fresh = np.array([k not in self.known for k in kinds.tolist()])
-        if fresh.any():
-            self._learn(points, start[where[fresh]], end[where[fresh]], kinds[fresh])
-        place = np.array([self.known[k] for k in kinds.tolist()])[which]
-        count = self.size[place]
-        total = int(count.sum())
-        before = np.cumsum(count) - count
-        ids = self.flat[np.arange(total) + np.repeat(self.start[place] - before, count)]
+        if len(self.new.names) > KEPT_PARTS:
+            self.new, self.old = Kept(), self.new
+        fresh = kinds[~self.new.holds(kinds)]
+        again = fresh[self.old.holds(fresh)]
+        if len(again):
+            self.new.add(again, *self.old.ids(self.old.places(again)))
+        at = where[~self.new.holds(kinds)]
+        if len(at):
+            self._learn(points, start[at], end[at], names[at])
+        place = self.new.places(kinds)[which]
+        count = self.new.size[place]
+        ids = self.new.ids(place)[1]
         owner = np.flatnonzero(size > 0)[np.searchsorted(first, start, side="right") - 1]
         return ids, np.bincount(owner, weights=count, minlength=n).astype(np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of texts given as UTF-8 bytes and offsets."""
-        parts = [self._chunk(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets)]
+        parts = [self._chunk(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets, ENCODED_BYTES)]
         ids = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int32)
         return ids, np.concatenate(([0], np.cumsum(np.concatenate([p[1] for p in parts])))) if parts else np.zeros(1, np.int64)
 
@@ -280,7 +317,7 @@ def encode_records(records: DataFrame, vocabulary: Vocabulary, key: str = KEY, t
     are ignored.
     """
     rows = records.select(col(key).alias("id"), col(text).alias("text"))
-    _ = vocabulary.sound  # worked out once, here
+    _ = vocabulary.sound, vocabulary.made  # worked out once, here
     names = ["id", "token_ids", "n_tokens"] + ["body"] * decoded
 
     def encode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

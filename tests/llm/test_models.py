@@ -219,13 +219,25 @@ def test_decoding_is_the_library_s(vocabulary):
     assert sum(a == b for a, b in zip(Decoder(vocabulary).decode(ids, cut), theirs, strict=True)) > 290  # broken UTF-8 may be shown otherwise
 
 
+def test_neighbours_fit_when_merging_leaves_them(vocabulary):
+    rng = random.Random(12)
+    sound = np.flatnonzero(vocabulary.sound)
+    near = [i for i in sound.tolist() if len(vocabulary.pieces[i]) > 1 and set(vocabulary.pieces[i]) <= set("▁thedanions")]
+    blanks = [i for i in sound.tolist() if set(vocabulary.pieces[i]) == {"▁"}]
+    pairs = [(rng.choice(x), rng.choice(y)) for x in (sound, near, blanks) for y in (sound, near, blanks) for _ in range(1500)]
+    left, right = (np.array(x) for x in zip(*pairs, strict=True))
+    got = Encoder(vocabulary)._fits(left, right)
+    p = vocabulary.pieces
+    assert got.tolist() == [merged(p[a] + p[b], vocabulary.score) == [p[a], p[b]] for a, b in pairs]
+    assert 0.1 < got.mean() < 0.9
+
+
 def test_forgetting_parts_changes_nothing(vocabulary, monkeypatch):
     from crosstide.llm import pieces
 
     data = utf8(pa.array(odd_texts(vocabulary)[:300]))
     want = Encoder(vocabulary).encode(*data)
     monkeypatch.setattr(pieces, "KEPT_PARTS", 3)
-    monkeypatch.setattr(pieces, "KEPT_PAIRS", 3)
     monkeypatch.setattr(pieces, "chunks", lambda offsets, size=50: [(i, i + 1) for i in range(len(offsets) - 1)])
     got = Encoder(vocabulary).encode(*data)
     assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))

@@ -29,7 +29,7 @@ from crosstide.session import settle
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET_RECALL = 16, 6, 0.999
-BLOCK = 512
+BLOCK, LEAVES = 512, 100_000
 PAIRWISE = 12
 _STEP = 0xBF58476D1CE4E5B9
 
@@ -111,45 +111,50 @@ def _described(rows: DataFrame, words: int, trees: int, depth: int) -> DataFrame
 # ---- candidates
 
 
-def _trie_edges(signed: DataFrame, trees: int, depth: int, prefix: int) -> DataFrame:
-    """a, b: classes under one prefix, each with the first class met under it. Reads row, signature."""
-    width = 4 * depth
+def _fixed(column: pa.Array, width: int) -> np.ndarray:
+    """The bytes of a binary column without nulls whose values are all `width` long, a row each."""
+    return utf8(column)[0].reshape(len(column), width)
+
+
+def _trie_edges(signed: DataFrame, classes: int, trees: int, depth: int, prefix: int) -> DataFrame:
+    """a, b: classes under one prefix, each with the first class met under it. Reads row, signature.
+
+    Of each tree's part of a signature only the values of the prefix travel; ranges hold about LEAVES leaves each.
+    """
+    width = 4 * prefix
 
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in batches(frames):
-            rows, signs = frame.column(0).to_numpy(), frame.column(1).to_pylist()
-            tree = np.repeat(np.arange(trees, dtype=np.int32), len(rows))
-            parts = [s[t * width : (t + 1) * width] for t in range(trees) for s in signs]
-            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(parts, pa.binary()), pa.array(np.tile(rows, trees))], names=["tree", "sign", "row"])
+            rows = frame.column(0).to_numpy()
+            signs = _fixed(frame.column(1), 4 * depth * trees).reshape(len(rows), trees, 4 * depth)[:, :, :width]
+            flat = np.ascontiguousarray(signs.transpose(1, 0, 2))
+            ends = pa.array(np.arange(len(rows) * trees + 1, dtype=np.int32) * width)
+            parts = pa.Array.from_buffers(pa.binary(), len(rows) * trees, [None, ends.buffers()[1], pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(trees, dtype=np.int32), len(rows))), parts, pa.array(np.tile(rows, trees))], names=["tree", "sign", "row"])
+
+    def name(key: bytes) -> int:
+        return int.from_bytes(blake2b(key, digest_size=8).digest(), "big", signed=True)
 
     def walk(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Edges have a null node; the first and the last prefix of a task also give their head under a node name."""
-        a, b, ends, last, head, started = [], [], [], None, None, False
-
-        def out(final: bool) -> pa.RecordBatch:
-            tail = [(last, head)] if final and last is not None else []
-            names = [int.from_bytes(blake2b(key[1], digest_size=8, salt=b"%d" % key[0]).digest(), "big", signed=True) for key, _ in ends + tail]
-            left, right = a + [h for _, h in ends + tail], b + [h for _, h in ends + tail]
-            nodes = pa.array([None] * len(a) + names, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), nodes], names=["a", "b", "node"])
-
+        ends: list[tuple[bytes, int]] = []
         for frame in batches(frames):
-            for tree, sign, row in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), frame.column(2).to_pylist(), strict=True):
-                key = (tree, sign[: 4 * prefix])
-                if key == last:
-                    a.append(row)
-                    b.append(head)
-                else:
-                    if last is not None and not started:
-                        ends.append((last, head))
-                        started = True
-                    last, head = key, row
-            yield out(False)
-            a, b, ends = [], [], []
-        yield out(True)
+            rows = frame.column(2).to_numpy()
+            keys = np.concatenate((frame.column(0).to_numpy().astype("<i4").view(np.uint8).reshape(-1, 4), _fixed(frame.column(1), width)), axis=1)
+            fresh = np.ones(len(rows), bool)
+            fresh[1:] = (keys[1:] != keys[:-1]).any(1)
+            heads = rows[np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))]
+            if ends and keys[0].tobytes() == ends[-1][0]:  # the prefix goes on from the batch before
+                run = int(np.flatnonzero(np.append(fresh[1:], True))[0]) + 1
+                heads[:run] = ends[-1][1]
+                fresh[0] = False
+            yield pa.RecordBatch.from_arrays([pa.array(rows[~fresh]), pa.array(heads[~fresh]), pa.nulls(int((~fresh).sum()), pa.int64())], names=["a", "b", "node"])
+            ends = [*(ends[:1] or [(keys[0].tobytes(), int(heads[0]))]), (keys[-1].tobytes(), int(heads[-1]))]
+        held = pa.array([h for _, h in ends], pa.int64())
+        yield pa.RecordBatch.from_arrays([held, held, pa.array([name(k) for k, _ in ends], pa.int64())], names=["a", "b", "node"])
 
     leaves = signed.select("row", "signature").mapInArrow(cut, "tree int, sign binary, row bigint")
-    laid = leaves.repartitionByRange("tree", "sign", "row").sortWithinPartitions("tree", "sign", "row")
+    laid = leaves.repartitionByRange(max(1, -(-classes * trees // LEAVES)), "tree", "sign", "row").sortWithinPartitions("tree", "sign", "row")
     met = settle(laid.mapInArrow(walk, "a bigint, b bigint, node bigint"), "trie")
     ends = met.where("node is not null").groupBy("node").agg(F.min("a").alias("m"))
     ends = split_join(met.where("node is not null"), ends, ["node"]).select("a", F.col("m").alias("b"))
@@ -273,7 +278,7 @@ def _classes(
     sets = signed.where("n > 0").groupBy(*names).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "row")).alias("rep"))
     sets = settle(sets.select(*names, "times", F.col("rep.id").alias("rep_id"), F.col("rep.row").alias("rep")), "sets")
     first = sets.select(F.col("rep").alias("row"), "times")
-    edges = _trie_edges(signed.join(first, "row"), trees, depth, prefix_depth(threshold, trees, depth, target))
+    edges = _trie_edges(signed.join(first, "row"), sets.count(), trees, depth, prefix_depth(threshold, trees, depth, target))
     hung = components(edges)
     roots = hung.select(F.col("root").alias("node"), "root").distinct()
     groups = hung.unionByName(roots).select(F.col("node").alias("row"), F.col("root").alias("grp"))

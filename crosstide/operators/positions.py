@@ -26,13 +26,13 @@ def _split_points(df: DataFrame, keys: list[str], ordering: Column, hash_cols: l
 
     The sample holds a fixed share of all rows, so its size and the number of buckets follow the size of the group alone.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_p", F.ceil(F.col("_n") / per_bucket).cast("int"))
-    sample = df.where(_unit_hash(*hash_cols) < min(1.0, SAMPLES_PER_BUCKET / per_bucket))
-    sample = sample.groupBy(*keys).agg(F.array_sort(F.collect_list(ordering)).alias("_s"))
+    chosen = F.when(_unit_hash(*hash_cols) < min(1.0, SAMPLES_PER_BUCKET / per_bucket), ordering)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list(chosen)).alias("_s"))
+    sizes = sizes.withColumn("_p", F.ceil(F.col("_n") / per_bucket).cast("int"))
     places = F.sequence(F.lit(1), F.col("_p") - 1)
     picks = F.transform(places, lambda i: F.get("_s", F.floor(i * F.size("_s") / F.col("_p")).cast("int")))
-    bounds = F.when((F.col("_p") > 1) & F.col("_s").isNotNull(), F.array_distinct(picks))
-    return sizes.join(sample, keys, "left").withColumn("_bounds", bounds).drop("_s")
+    bounds = F.when((F.col("_p") > 1) & (F.size("_s") > 0), F.array_distinct(picks))
+    return sizes.withColumn("_bounds", bounds).drop("_s")
 
 
 def _count_below(bounds: str, ordering: Column) -> Column:

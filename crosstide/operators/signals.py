@@ -192,11 +192,11 @@ def composite_top(feats: DataFrame, panel: DataFrame, benchmark, w: int, top_sha
         .join(bench, "t")
         .select("entity", "t", F.col("vol_mom").alias("vol"), rel.alias("rel"))
     )
-    return top_of_composite(inputs, top_share)
+    return top_of_composite(settle(inputs, "composite"), top_share)
 
 
 def composite_ranks(inputs: DataFrame) -> DataFrame:
-    """entity, t, composite of the per-date percentile ranks of `vol` and `rel`."""
+    """entity, t, composite of the per-date percentile ranks of `vol` and `rel`. Hand in a stored table: ranking reads it several times."""
     pairs = inputs.select("entity", "t", F.expr("stack(2, 'vol', vol, 'rel', rel) as (input, value)"))
     ranked = rank_scores(pairs, ["t", "input"], "value", ["entity"])
     of = lambda name: F.max(F.when(F.col("input") == name, F.col("rank_score")))
@@ -206,7 +206,7 @@ def composite_ranks(inputs: DataFrame) -> DataFrame:
 
 
 def top_of_composite(inputs: DataFrame, top_share: float = TOP_SHARE) -> DataFrame:
-    placed = with_positions(composite_ranks(inputs), ["t"], "composite", ["entity"], descending=True)
+    placed = with_positions(settle(composite_ranks(inputs), "ranks"), ["t"], "composite", ["entity"], descending=True)
     return placed.where(F.col("pos") < half_even_count(F.col("n"), top_share)).select("entity", "t", "composite")
 
 

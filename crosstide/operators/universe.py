@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosstide.operators.positions import with_positions
+from crosstide.session import settle
 
 # The standing exclusion lists. Categories come first and in this order.
 CATEGORIES = [
@@ -112,7 +113,7 @@ def listing(markets: DataFrame, rows: int) -> DataFrame:
 def build(markets: DataFrame, rules: Exclusions, limit: int, categories: DataFrame | None = None) -> DataFrame:
     """Snapshot of the whole listing with `cap_rank`: the first `limit` survivors of the rules included, the rest marked
     beyond_universe_size unless a rule already took them out. Survivors are a top-k of at most `limit` ids."""
-    rows = classify(markets, rules, categories)
+    rows = settle(classify(markets, rules, categories), "classified")
     first = rows.where("included").orderBy(F.col("cap").desc_nulls_last(), "id").limit(limit).select("id", F.lit(True).alias("_first"))
     ranked = with_positions(rows.withColumn("_cap", F.coalesce("cap", F.lit(float("-inf")))), [], "_cap", ["id"], descending=True)
     kept = F.coalesce("_first", F.lit(False))

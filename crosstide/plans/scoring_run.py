@@ -114,6 +114,6 @@ def scoring_run(spark: SparkSession, sf: str, shrink: bool = True) -> RunTables:
     runs = run_table(axis)
     snapshots = snapshot_table(spark, sf, panel)
     pairs, shares = metric_pairs(snapshots, panel)
-    metrics = settle(metric_rows(pairs), "metrics")
+    metrics = settle(metric_rows(settle(pairs, "pairs")), "metrics")
     scores = scores_with_change(composite(metrics, shrink=shrink), runs)
     return RunTables(runs, snapshots, metrics.unionByName(shares, allowMissingColumns=True), scores)

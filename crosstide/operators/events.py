@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosstide.functions.scalar import ratio, wilson
+from crosstide.operators.ordered import lifted_ahead
 from crosstide.operators.panel import by_entity, rows
 from crosstide.operators.positions import order_statistics
 from crosstide.session import settle
@@ -38,48 +35,34 @@ def moves(labelled: DataFrame, n: int, lo: int, hi: int, tail: int = 15, rise: f
     """entity, start, end, liftoff of each run of hits that starts in [lo, hi].
 
     liftoff is the first row from the start up to `tail` rows past the end whose price stands
-    at `rise` times the starting price, else the end. The search rows are spelled out per run,
-    so they meet the prices on (entity, t) instead of in a range join.
+    at `rise` times the starting price, else the end. One pass over the ordered prices finds it, a row per run.
     """
     runs = (
         labelled.where("run_start is not null")
         .groupBy("entity", F.col("run_start").alias("start"))
-        .agg(F.max("t").alias("end"), F.min_by("price", "t").alias("start_price"))
+        .agg(F.max("t").alias("end"))
         .where(F.col("start").between(lo, hi))
     )
-    search = F.sequence(F.col("start"), F.least(F.lit(n - 1), F.col("end") + tail - 1))
-    lifted = (
-        runs.select("entity", "start", "start_price", F.explode(search).alias("t"))
-        .join(labelled.select("entity", "t", "price"), ["entity", "t"])
-        .where(F.col("price") >= rise * F.col("start_price"))
-        .groupBy("entity", "start")
-        .agg(F.min("t").alias("lift"))
-    )
-    return runs.join(lifted, ["entity", "start"], "left").select(
-        "entity", "start", "end", F.coalesce("lift", "end").alias("liftoff")
-    )
+    return lifted_ahead(labelled, runs, n, tail, rise)
 
 
 def cooldown(fired: DataFrame, bars: int) -> DataFrame:
     """Fires at least `bars` after the last kept fire of the same entity and signal.
 
-    Which fire is kept depends on the fire kept before it, so ordered fires pass by one after the other. Each task
-    walks its sorted rows as a stream and remembers one key and one time; nothing is collected per key.
+    Which fire is kept depends on the fire kept before it, but a fire that comes `bars` after the one before it is kept whatever came
+    earlier. Fires are cut into stretches there, and each stretch, at most as long as the axis, is folded by itself.
     """
-    fires = fired.select("entity", "signal", F.col("t").cast("bigint").alias("t"))
-    key = F.to_json(F.struct("entity", "signal")).alias("_key")
-    laid = fires.select("*", key).repartition("_key").sortWithinPartitions("_key", "t")
-
-    def walk(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last = None, 0
-        for frame in frames:
-            kept = np.zeros(frame.num_rows, bool)
-            for i, (name, t) in enumerate(zip(frame.column("_key").to_pylist(), frame.column("t").to_pylist(), strict=True)):
-                if name != last_key or t - last >= bars:
-                    kept[i], last_key, last = True, name, t
-            yield frame.filter(pa.array(kept)).drop_columns(["_key"])
-
-    return laid.mapInArrow(walk, fires.schema).withColumn("t", F.col("t").cast("int"))
+    fires = fired.select("entity", "signal", F.col("t").cast("int").alias("t"))
+    ordered = Window.partitionBy("entity", "signal").orderBy("t")
+    starts = F.when(F.col("t") - F.lag("t").over(ordered) < bars, 0).otherwise(1)
+    cut = fires.withColumn("_start", starts).withColumn("_stretch", F.sum("_start").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    times = cut.groupBy("entity", "signal", "_stretch").agg(F.array_sort(F.collect_list("t")).alias("_t"))
+
+    def keep(kept: Column, t: Column) -> Column:
+        late = F.coalesce(t - F.get(kept, F.size(kept) - 1) >= bars, F.lit(True))
+        return F.when(late, F.concat(kept, F.array(t))).otherwise(kept)
+
+    return times.select("entity", "signal", F.explode(F.aggregate("_t", F.array().cast("array<int>"), keep)).alias("t"))
 
 
 def base_rate(labelled: DataFrame, lo: int, hi: int) -> DataFrame:

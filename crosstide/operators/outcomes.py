@@ -1,7 +1,7 @@
 """First-barrier outcomes of events: stop, target or time, whichever comes first.
 
-Each event meets the bars after it on (entity, t), one row per held bar. Events of one
-(entity, signal) are a cooldown apart, so this grows with the panel and not with its square.
+The outcome of an event depends on where it stands alone, so each (entity, t) that holds events is worked out once, in one pass over
+the ordered bars, and handed to its events: one row per event, whatever the number of bars held.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosstide.functions.scalar import NOTIONAL, breakeven_slip, impact_slippage, net_return, ratio
+from crosstide.operators.ordered import outcomes_ahead
 from crosstide.operators.positions import order_statistics
 from crosstide.session import settle
 
@@ -21,7 +22,7 @@ EVENT = ["entity", "signal", "t"]
 
 
 def forward_path(events: DataFrame, panel: DataFrame, n: int, hold: int, entry: str) -> DataFrame:
-    """Event rows times held bars d = e+1 … min(n-1, e+hold), with `ref` = the entry price at e = t+1."""
+    """The bars an event is held over, listed: event rows times held bars d = e+1 … min(n-1, e+hold), with `ref` = the entry price at e = t+1."""
     enter = panel.where(F.col(entry) > 0).select(
         "entity", F.col("t").alias("e"), F.col(entry).alias("ref"), F.col("adv").alias("adv_in")
     )
@@ -31,46 +32,25 @@ def forward_path(events: DataFrame, panel: DataFrame, n: int, hold: int, entry:
     return opened.select("*", last.alias("last"), F.explode(held).alias("d"))
 
 
-# how a held bar ends an event; numbers keep the aggregate below a hash aggregate
-NONE, STOPPED, REACHED = 0, 1, 2
-
-
-def _finish(touched: DataFrame, price: Column, gap: Column, low: str) -> DataFrame:
-    """Cut each path at its first touch (or its last bar) and price the exit there. `touched` has `why`
-    as one of the codes above; an event's rows share e, ref and adv_in."""
-    per_event = Window.partitionBy(*EVENT)
-    cut = F.coalesce(F.min(F.when(F.col("why") != NONE, F.col("d"))).over(per_event), F.col("last"))
-    walked = touched.withColumn("x", cut).where(F.col("d") <= F.col("x"))
-    at_exit = F.col("d") == F.col("x")
-    pick = lambda c: F.max(F.when(at_exit, c))
-    out = walked.groupBy(*EVENT).agg(
-        F.max("e").alias("e"),
-        F.max("ref").alias("ref"),
-        F.max("adv_in").alias("adv_in"),
-        F.max("x").alias("exit_t"),
-        pick(F.col("why")).alias("why"),
-        pick(price).alias("px"),
-        pick(gap).alias("gap"),
-        pick(F.col("adv")).alias("adv_out"),
-        pick(F.col("both").cast("int")).alias("both"),
-        F.min(low).alias("_low"),
-    )
-    why = F.when(F.col("why") == STOPPED, F.lit("stop")).when(F.col("why") == REACHED, F.lit("tp")).otherwise(F.lit("time"))
-    return out.where("px is not null").select(
+def _priced(events: DataFrame, ahead: DataFrame, price: Column, gap: Column, both: Column) -> DataFrame:
+    """Events with the outcome of their (entity, t); `price` and `gap` read the columns of `outcomes_ahead`."""
+    why = F.when(F.col("stopped"), F.lit("stop")).when(F.col("reached"), F.lit("tp")).otherwise(F.lit("time"))
+    found = ahead.withColumns({"px": price, "why": why}).where("px is not null").withColumn("gap", F.coalesce(gap, F.lit(0.0)))
+    return events.select(*EVENT).join(found, ["entity", "t"]).select(
         *EVENT,
         F.col("e").alias("entry_t"),
         "exit_t",
-        why.alias("why"),
+        "why",
         (ratio("px", "ref") - 1.0).alias("gross"),
-        F.coalesce("gap", F.lit(0.0)).alias("gap"),
-        (F.least(F.col("ref"), F.col("_low")) / F.col("ref") - 1.0).alias("mdd"),
+        "gap",
+        (F.least(F.col("ref"), F.col("lowest")) / F.col("ref") - 1.0).alias("mdd"),
         (F.col("exit_t") - F.col("e")).cast("double").alias("bars_held"),
-        "both",
+        both.cast("int").alias("both"),
         "adv_in",
-        "adv_out",
+        F.col("x_adv").alias("adv_out"),
         F.when(F.col("adv_in") != 0, F.lit(NOTIONAL) / F.col("adv_in")).alias("part"),
         impact_slippage("adv_in").alias("slip_in"),
-        impact_slippage("adv_out").alias("slip_out"),
+        impact_slippage("x_adv").alias("slip_out"),
     )
 
 
@@ -79,14 +59,11 @@ def close_only(events: DataFrame, panel: DataFrame, n: int, hold: int) -> DataFr
 
     `panel`: entity, t, price, adv.
     """
-    bars = panel.select("entity", F.col("t").alias("d"), "price", "adv")
-    path = forward_path(events, panel, n, hold, "price").join(bars, ["entity", "d"])
-    stop, target = F.col("ref") * (1 - STOP), F.col("ref") * (1 + TARGET)
-    p, why = F.col("price"), F.col("why")
-    code = F.when(p <= stop, F.lit(STOPPED)).when(p >= target, F.lit(REACHED)).otherwise(F.lit(NONE))
-    price = F.when(why == REACHED, target).otherwise(p)
-    gap = F.when(why == STOPPED, ratio(stop, p) - 1.0)
-    return _finish(path.withColumns({"why": code, "both": F.lit(0)}), price, gap, "price").drop("both")
+    ahead = outcomes_ahead(panel, events, n, hold, "price", "price", "price", STOP, TARGET, ["price", "adv"])
+    stop, target, p = F.col("ref") * (1 - STOP), F.col("ref") * (1 + TARGET), F.col("x_price")
+    price = F.when(F.col("reached") & ~F.col("stopped"), target).otherwise(p)
+    gap = F.when(F.col("stopped"), ratio(stop, p) - 1.0)
+    return _priced(events, ahead, price, gap, F.lit(0)).drop("both")
 
 
 def on_bars(events: DataFrame, panel: DataFrame, n: int, hold: int) -> DataFrame:
@@ -95,17 +72,14 @@ def on_bars(events: DataFrame, panel: DataFrame, n: int, hold: int) -> DataFrame
 
     `panel`: entity, t, open, high, low, close, adv.
     """
-    bars = panel.select("entity", F.col("t").alias("d"), "open", "high", "low", "close", "adv")
-    path = forward_path(events, panel, n, hold, "open").join(bars, ["entity", "d"])
+    # a bar without a low touches nothing
+    bars = panel.withColumn("high", F.when(F.col("low").isNotNull(), F.col("high")))
+    ahead = outcomes_ahead(bars, events, n, hold, "open", "low", "high", STOP, TARGET, ["open", "close", "adv"])
     stop, target = F.col("ref") * (1 - STOP), F.col("ref") * (1 + TARGET)
-    seen, why = F.col("low").isNotNull(), F.col("why")
-    hit_stop, hit_target = seen & (F.col("low") <= stop), seen & (F.col("high") >= target)
-    code = F.when(hit_stop, F.lit(STOPPED)).when(hit_target, F.lit(REACHED)).otherwise(F.lit(NONE))
-    fill = F.least(F.col("open"), stop)
-    price = F.when(why == STOPPED, fill).when(why == REACHED, F.greatest(F.col("open"), target)).otherwise(F.col("close"))
-    gap = F.when(why == STOPPED, ratio(stop, fill) - 1.0)
-    both = F.coalesce(hit_stop & hit_target, F.lit(False))
-    return _finish(path.withColumns({"why": code, "both": both}), price, gap, "low")
+    fill = F.least(F.col("x_open"), stop)
+    price = F.when(F.col("stopped"), fill).when(F.col("reached"), F.greatest(F.col("x_open"), target)).otherwise(F.col("x_close"))
+    gap = F.when(F.col("stopped"), ratio(stop, fill) - 1.0)
+    return _priced(events, ahead, price, gap, F.col("stopped") & F.col("reached"))
 
 
 def by_tier(trades: DataFrame, tiers: DataFrame, mark: Column) -> DataFrame:

@@ -30,8 +30,8 @@ def complete(fn, column: str, n: int, off: int = 0) -> Column:
 def frame_median(column: str, frame) -> Column:
     """Median of the samples in a frame, the middle two averaged; null without samples.
 
-    The frame is listed and sorted, which is several times faster than the percentile aggregate over
-    a moving frame. The array is bound once: Spark would evaluate a window again for every mention.
+    The frame is listed and sorted for every row, so this is for short frames; `ordered.moving_medians` costs the same for any.
+    The array is bound once: Spark would evaluate a window again for every mention.
     """
 
     def middle(a: Column) -> Column:
@@ -41,11 +41,6 @@ def frame_median(column: str, frame) -> Column:
     return F.get(F.transform(F.array(F.sort_array(F.collect_list(column).over(frame))), middle), F.lit(0))
 
 
-def complete_median(column: str, n: int, off: int = 0) -> Column:
-    frame = rows(-(n + off - 1), -off)
-    return F.when(F.count(column).over(frame) == n, frame_median(column, frame))
-
-
 def back(column: str, k: int) -> Column:
     return F.lag(column, k).over(by_entity()) if k else F.col(column)
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosstide.functions.scalar import half_even_count, ratio
-from crosstide.operators.panel import back, by_entity, complete, complete_median, frame_median, nonzero, rows
+from crosstide.operators.ordered import Trailing, moving_medians
+from crosstide.operators.panel import back, by_entity, complete, frame_median, nonzero, rows
 from crosstide.operators.positions import rank_scores, with_positions
 from crosstide.session import settle
 
@@ -119,7 +120,7 @@ def _s3() -> dict[str, Column]:
 
 
 def _ext_raw(w: Windows, volume: str) -> dict[str, Column]:
-    return {"_p_med": complete_median("price", w.ext_look)}
+    return {}
 
 
 def _ext() -> dict[str, Column]:
@@ -127,7 +128,7 @@ def _ext() -> dict[str, Column]:
 
 
 def _mult_raw(w: Windows, volume: str) -> dict[str, Column]:
-    return {"_v_med": complete_median(volume, w.mult_look, 1), "_v": F.col(volume)}
+    return {"_v": F.col(volume)}
 
 
 def _mult() -> dict[str, Column]:
@@ -142,13 +143,19 @@ PARTS = {
     "ext": (_ext_raw, _ext),
     "mult": (_mult_raw, _mult),
 }
+#: Medians of moving frames come from a pass of their own, before the windows.
+MEDIANS = {
+    "ext": lambda w, volume: {"_p_med": Trailing("price", w.ext_look)},
+    "mult": lambda w, volume: {"_v_med": Trailing(volume, w.mult_look, 1)},
+}
 
 
 def with_features(panel: DataFrame, w: Windows, parts: list[str] | None = None, volume: str = "volume") -> DataFrame:
-    """The panel's columns and the inputs of the named signals. All windows share one exchange and sort."""
+    """The panel's columns and the inputs of the named signals. All windows share one exchange and sort, all moving medians another."""
     chosen = [PARTS[p] for p in parts or PARTS]
     raw = {k: c for make, _ in chosen for k, c in make(w, volume).items()}
-    staged = panel.select("*", *[c.alias(k) for k, c in raw.items()])
+    medians = {k: f for p in parts or PARTS if p in MEDIANS for k, f in MEDIANS[p](w, volume).items()}
+    staged = (moving_medians(panel, medians) if medians else panel).select("*", *[c.alias(k) for k, c in raw.items()])
     return staged.select(*panel.columns, *[c.alias(k) for _, derive in chosen for k, c in derive().items()])
 
 
@@ -157,10 +164,15 @@ def features(panel: DataFrame, w: Windows, parts: list[str] | None = None) -> Da
 
 
 def trailing_median(column: str, look: int = 30) -> Column:
-    """Median of the samples in the last `look` rows; partial windows count."""
+    """Median of the samples in the last `look` rows; partial windows count. Lists every frame: for short ones."""
     return frame_median(column, rows(-(look - 1), 0))
 
 
+def with_adv(panel: DataFrame, column: str = "volume", look: int = 30) -> DataFrame:
+    """Adds `adv`, the median of the samples in the last `look` rows; partial windows count."""
+    return moving_medians(panel, {"adv": Trailing(column, look, partial=True)})
+
+
 def blocked_adv(panel: DataFrame, days: int = 30, block: int = 24, out: str = "adv") -> DataFrame:
     """Median of non-overlapping block sums counted back from each row, complete blocks only."""
     summed = panel.withColumn("_s", complete(F.sum, "quote_volume", block))

@@ -11,7 +11,7 @@ from crosstide.operators.events import base_rate, breadth, caught_moves, cooldow
 from crosstide.operators.inference import block_bootstrap, edges, with_p
 from crosstide.operators.outcomes import close_only, forward_path, on_bars, resolution_pairs, resolution_summary, summarise
 from crosstide.operators.panel import daily_from_hourly
-from crosstide.operators.signals import trailing_median
+from crosstide.operators.signals import with_adv
 from crosstide.plans import sql as Q
 from crosstide.plans.catalog_series import BLOCKED, FEATS_H, TOP_M
 from crosstide.plans.event_study import (
@@ -211,7 +211,7 @@ def close_daily_query(spark, sf):
     """Always-on entries every 14 days on a panel with gaps."""
     p, axis, n = daily(spark, sf, M2G)
     every = p.where(F.col("t").between(97, n - 31)).select("entity", "t", F.lit("BASELINE_always").alias("signal"))
-    return close_only(cooldown(every, 14), settle(p.withColumn("adv", trailing_median("volume")), "adv"), n, 14)
+    return close_only(cooldown(every, 14), settle(with_adv(p), "adv"), n, 14)
 
 
 @query("e02_bar_outcomes", "entity:s both_:i " + TRADE_SPEC, (TRADES_H, "tn"))
@@ -282,7 +282,7 @@ rs AS (SELECT signal, count(*) AS n, avg((why = 'stop')::INT) AS stop_bars, avg(
 def resolution_query(spark, sf):
     s = hourly_study(spark, sf)
     days = daily_from_hourly(s.panel).withColumnRenamed("k", "t")
-    days = settle(days.withColumn("adv", trailing_median("volume")), "days")
+    days = settle(with_adv(days), "days")
     n_days = int(days.agg(F.max("t")).first()[0]) + 1
     bars = settle(hourly_adv(s), "adv")
     return resolution_summary(resolution_pairs(s.cooled, bars, s.n, HOURLY.hold, days, n_days, 2))
@@ -307,7 +307,7 @@ def timeline_query(spark, sf):
     ),
 )
 def slip_query(spark, sf):
-    p = daily(spark, sf, M2G)[0].select("entity", "t", trailing_median("volume").alias("adv"))
+    p = with_adv(daily(spark, sf, M2G)[0]).select("entity", "t", "adv")
     return p.withColumn("slip", impact_slippage("adv"))
 
 

@@ -195,7 +195,7 @@ def multiple_query(spark, sf):
     (Q.M2G, "(SELECT entity, t, median(volume) OVER (PARTITION BY entity ORDER BY t ROWS 29 PRECEDING) AS adv FROM pan)"),
 )
 def adv_query(spark, sf):
-    return daily(spark, sf, M2G)[0].select("entity", "t", S.trailing_median("volume").alias("adv"))
+    return S.with_adv(daily(spark, sf, M2G)[0]).select("entity", "t", "adv")
 
 
 BLOCKED = """
@@ -273,7 +273,7 @@ def fires_hourly_query(spark, sf):
 )
 def tier_query(spark, sf):
     p, axis, n = daily(spark, sf, M2G)
-    return S.liquid_tier(p.withColumn("adv", S.trailing_median("volume")), "adv", 3, 97, n - 31)
+    return S.liquid_tier(S.with_adv(p), "adv", 3, 97, n - 31)
 
 
 @query(

@@ -21,8 +21,8 @@ from crosstide.operators.signals import (
     fires,
     liquid_tier,
     mark_of,
-    trailing_median,
     warmup,
+    with_adv,
 )
 from crosstide.plans.views import hourly, monthly
 from crosstide.session import settle
@@ -113,7 +113,7 @@ def hourly_study(spark: SparkSession, sf: str, spec: Spec = HOURLY) -> Study:
 
 
 def monthly_adv(study: Study) -> DataFrame:
-    return study.tested.withColumn("adv", trailing_median("volume", 6))
+    return with_adv(study.tested, look=6)
 
 
 def hourly_adv(study: Study) -> DataFrame:

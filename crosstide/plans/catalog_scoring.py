@@ -32,7 +32,6 @@ from crosstide.plans.leaderboard import (
     history,
     leaderboard,
     metric_columns,
-    of_run,
     pending_keys,
     public_metrics,
     resolve_run,
@@ -40,6 +39,7 @@ from crosstide.plans.leaderboard import (
     run_list,
 )
 from crosstide.plans.registry import query
+from crosstide.plans.run_store import run_rows, stored_runs
 from crosstide.plans.scoring_run import (
     BENCHMARK,
     WINDOW_DAYS,
@@ -76,7 +76,7 @@ def scoring(spark, sf):
     (Q.METRICS, "metrics"),
 )
 def rank_query(spark, sf):
-    return metric_rows(_pairs(spark, sf))
+    return metric_rows(settle(_pairs(spark, sf), "pairs"))
 
 
 @query("f01_momentum", "run_id:i entity:i metric_key:s momentum:6", (Q.METRICS, "mom"))
@@ -98,7 +98,7 @@ def change_query(spark, sf):
     ),
 )
 def spread_query(spark, sf):
-    m = metric_rows(_pairs(spark, sf))
+    m = metric_rows(settle(_pairs(spark, sf), "pairs"))
     weight = F.coalesce(*[F.when(F.col("metric_key") == k, F.lit(w)) for k, w in WEIGHTS.items()])
     has = F.col("rank_score").isNotNull()
     g = m.groupBy("run_id", "entity").agg(F.sum(F.when(has, weight)).alias("w"), F.sum(F.when(has, weight * weight)).alias("w2"))
@@ -107,7 +107,7 @@ def spread_query(spark, sf):
 
 @query("f04_weighted_score", "run_id:i entity:i score:4 score_raw:4 missing:s weight_coverage:4", (Q.SCORES, "scored"))
 def composite_query(spark, sf):
-    return _text(composite(metric_rows(_pairs(spark, sf))), "missing")
+    return _text(composite(metric_rows(settle(_pairs(spark, sf), "pairs"))), "missing")
 
 
 @query(
@@ -116,7 +116,7 @@ def composite_query(spark, sf):
     (Q.SCORES, "(SELECT run_id, entity, score_raw AS score, score_raw FROM scored)"),
 )
 def unshrunk_query(spark, sf):
-    return composite(metric_rows(_pairs(spark, sf)), shrink=False)
+    return composite(metric_rows(settle(_pairs(spark, sf), "pairs")), shrink=False)
 
 
 @query("f05_score_change", "run_id:i entity:i score:4 score_prev:4 score_change:4", (Q.SCORES, "scores"))
@@ -203,14 +203,14 @@ lastrun AS (SELECT max(run_id) AS run_id FROM runs WHERE finished_at IS NOT NULL
 """
 
 
-def _rows(spark: SparkSession, sf: str):
-    r = scoring_run(spark, sf)
-    return r, entity_rows(r.snapshots, r.scores, r.metrics)
+def _rows(spark: SparkSession, sf: str) -> DataFrame:
+    r = stored_runs(spark, sf).tables()
+    return entity_rows(r.snapshots, r.scores.drop("run_date"), r.metrics.drop("run_date"))
 
 
 @query("j01_entity_rows", ROW_SPEC, (ROWS_SQL, "rws"))
 def rows_query(spark, sf):
-    return _text(_rows(spark, sf)[1], "missing", "pending")
+    return _text(_rows(spark, sf), "missing", "pending")
 
 
 @query(
@@ -228,7 +228,7 @@ def columns_query(spark, sf):
     (ROWS_SQL, "(SELECT run_id, pending, count(*) AS entities FROM rws GROUP BY 1, 2)"),
 )
 def pending_query(spark, sf):
-    rows = _rows(spark, sf)[1]
+    rows = _rows(spark, sf)
     return _text(rows.withColumn("pending", pending_keys()), "pending").groupBy("run_id", "pending").agg(F.count(F.lit(1)).alias("entities"))
 
 
@@ -266,8 +266,7 @@ def iso_query(spark, sf):
     (ROWS_SQL, "(SELECT * FROM rws WHERE run_id = (SELECT run_id FROM lastrun) ORDER BY score DESC NULLS LAST, entity LIMIT 40 OFFSET 5)"),
 )
 def leaderboard_query(spark, sf):
-    r, rows = _rows(spark, sf)
-    return leaderboard(of_run(rows, resolve_run(r.runs)), limit=40, offset=5)[0]
+    return leaderboard(run_rows(stored_runs(spark, sf))[1], limit=40, offset=5)[0]
 
 
 @query(
@@ -280,8 +279,7 @@ def leaderboard_query(spark, sf):
     ),
 )
 def leaderboard_metric_query(spark, sf):
-    r, rows = _rows(spark, sf)
-    page, total = leaderboard(of_run(rows, resolve_run(r.runs)), sort="tvl", order="asc", min_volume=100000.0, q="00")
+    page, total = leaderboard(run_rows(stored_runs(spark, sf))[1], sort="tvl", order="asc", min_volume=100000.0, q="00")
     return page.withColumn("total", total.scalar())
 
 
@@ -291,9 +289,8 @@ def leaderboard_metric_query(spark, sf):
     (ROWS_SQL, "(SELECT * FROM rws WHERE run_id = (SELECT run_id FROM lastrun) AND score_change > 0 ORDER BY score_change DESC, entity LIMIT 10)"),
 )
 def risers_query(spark, sf):
-    r, rows = _rows(spark, sf)
-    run = resolve_run(r.runs)
-    return risers(of_run(rows, run), run)
+    run, rows = run_rows(stored_runs(spark, sf))
+    return risers(rows, run)
 
 
 @query(
@@ -315,8 +312,9 @@ def resolve_query(spark, sf):
     (ROWS_SQL, "(SELECT rws.* FROM rws JOIN runs USING (run_id, run_date) WHERE entity = 5 AND finished_at IS NOT NULL AND run_date <= DATE '2000-06-01')"),
 )
 def history_query(spark, sf):
-    r = scoring_run(spark, sf)
-    return history(r.scores, r.runs, r.metrics, 5, "2000-06-01")
+    until = "2000-06-01"
+    r = stored_runs(spark, sf).tables(F.col("run_date") <= F.lit(until).cast("date"))
+    return history(r.scores, r.runs, r.metrics, 5, until)
 
 
 @query(

@@ -119,3 +119,25 @@ def test_history_and_detail(spark, stored):
     about, latest, past = L.entity_detail(dim, runs, rows, scores, metrics, "n03", "2024-03-02")
     assert (about.first().categories, about.first().github_repos) == (["x", "y"], [])
     assert [r.run_id for r in latest.collect()] in ([3], []) and past.count() == len([i for i in ids("n03") if i <= 3])
+
+
+def test_reading_a_run_scans_its_date_only(spark, tmp_path):
+    from datetime import date
+
+    from crosstide.functions.scalar import METRIC_KEYS
+    from crosstide.plans.run_store import run_rows, store_runs
+    from crosstide.plans.scoring_run import RunTables
+
+    days = [date(2024, 1, d) for d in (1, 2, 3)]
+    runs = spark.createDataFrame([(i + 1, d, "s", None if i == 2 else "f") for i, d in enumerate(days)], "run_id int, run_date date, started_at string, finished_at string")
+    snaps = spark.createDataFrame([(i + 1, d, e, True, 1.0 * e) for i, d in enumerate(days) for e in range(4)], "run_id int, run_date date, entity int, included boolean, volume double")
+    metrics = spark.createDataFrame([(i, e, k, 1.0, 2.0, 3.0, 4.0) for i in (1, 2, 3) for e in range(4) for k in METRIC_KEYS], "run_id int, entity int, metric_key string, current double, prior double, change_pct double, rank_score double")
+    scores = spark.createDataFrame([(i, e, 10.0 * i + e, 0.0, 0.0, 0.0) for i in (1, 2, 3) for e in range(4)], "run_id int, entity int, score double, score_raw double, score_prev double, score_change double").selectExpr("*", "cast(null as array<string>) as missing")
+    store = store_runs(RunTables(runs, snaps, metrics, scores), str(tmp_path / "store"))
+    for wanted, run_id in ((None, 2), ("2024-01-01", 1)):
+        run, rows = run_rows(store, wanted)
+        assert run.first().run_id == run_id and sorted((r.run_id, r.entity, r.score) for r in rows.collect()) == [(run_id, e, 10.0 * run_id + e) for e in range(4)]
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.splitlines() if "FileScan" in line and any(f" {c}#" in line or f",{c}#" in line for c in ("volume", "metric_key", "score_raw"))]
+        assert len(scans) >= 3 and all("run_date" in line.split("PartitionFilters:")[1].split("PushedFilters")[0] for line in scans)
+    assert run_rows(store, "2024-01-03")[1].count() == 0

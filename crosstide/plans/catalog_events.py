@@ -13,9 +13,10 @@ from crosstide.operators.outcomes import close_only, forward_path, on_bars, reso
 from crosstide.operators.panel import daily_from_hourly
 from crosstide.operators.signals import with_adv
 from crosstide.plans import sql as Q
-from crosstide.plans.catalog_series import BLOCKED, FEATS_H, TOP_M
+from crosstide.plans.catalog_series import BLOCKED, FEATS_H, FIRES_HS, TOP_M
 from crosstide.plans.event_study import (
     HOURLY,
+    HOURLY_S0,
     MONTHLY,
     hourly_adv,
     hourly_study,
@@ -154,6 +155,22 @@ def study_hourly_query(spark, sf):
     return study(s.labels, s.moves, s.fires, HOURLY.signals, HOURLY.cool, s.lo, s.hi, HOURLY.before, HOURLY.after)
 
 
+STUDY_HS = (
+    FIRES_HS
+    + f"pant AS (SELECT * FROM pan WHERE entity <> '{HOURLY_S0.benchmark}'),"
+    + Q.labels("pant", HOURLY_S0.thresh, HOURLY_S0.horizon)
+    + Q.moves(LO_H, HI_H, HOURLY_S0.tail)
+    + Q.cooldown(HOURLY_S0.cool)
+    + Q.study(HOURLY_S0.signals, LO_H, HI_H, HOURLY_S0.before, HOURLY_S0.after)
+)
+
+
+@query("a11c_event_study_hourly_with_composite", STUDY_SPEC, (STUDY_HS, "st"))
+def study_hourly_composite_query(spark, sf):
+    s, spec = hourly_study(spark, sf, HOURLY_S0), HOURLY_S0
+    return study(s.labels, s.moves, s.fires, spec.signals, spec.cool, s.lo, s.hi, spec.before, spec.after)
+
+
 @query("x07_wilson_interval", "signal:s events:i hits:i ci_low:8 ci_high:8", (STUDY_M, "(SELECT * FROM st WHERE events > 0)"))
 def wilson_query(spark, sf):
     s = monthly_study(spark, sf)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from crosstide.functions.scalar import bonferroni_t
 from crosstide.operators import factors as X
+from crosstide.operators.lookahead import lookahead_differences
 from crosstide.plans import sql as Q
 from crosstide.plans.catalog_events import STUDY_M
 from crosstide.plans.event_study import monthly_study
@@ -158,6 +159,17 @@ def factor_values_query(spark, sf):
     return X.candidates(p, n, GRID)
 
 
+@query(
+    "x10d_no_lookahead_factors",
+    "cut:i rows:i differences:i",
+    (CAND, "(SELECT cut, count(*) AS rows, 0 AS differences FROM el, (VALUES (20), (45), (70)) c(cut) WHERE t <= cut GROUP BY cut)"),
+)
+def factor_reach_query(spark, sf):
+    """Which entities are candidates, and their factor values, with every later sample replaced."""
+    p, axis, n = monthly(spark, sf)
+    return lookahead_differences(p, lambda x: X.candidates(x, n, GRID).drop("ret"), [20, 45, 70], ["price", "cap"])
+
+
 @query("s10_mapped_rates", "entity:i events:i rate_sum:6", (CAND + RATES, "(SELECT entity, count(*) AS events, sum(rate) AS rate_sum FROM rt GROUP BY 1)"))
 def rates_query(spark, sf):
     r = mapped_rates(rates(spark, sf), rate_map(spark, sf))

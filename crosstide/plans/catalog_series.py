@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from crosstide.functions.scalar import epoch_ms, floor_hour, month_key, ms_to_date, next_month_start, ratio
 from crosstide.operators import signals as S
+from crosstide.operators.events import labels
 from crosstide.operators.factors import Grid, on_grid
+from crosstide.operators.lookahead import lookahead_differences
 from crosstide.operators.panel import back, complete, fill_gaps, fresh, long_enough, nan_to_null, nonzero
 from crosstide.operators.scoring import window_means, window_returns, window_sums
 from crosstide.plans import sql as Q
-from crosstide.plans.event_study import HOURLY, MONTHLY, hourly_study, monthly_study
+from crosstide.plans.event_study import HOURLY, HOURLY_S0, MONTHLY, hourly_study, monthly_study
 from crosstide.plans.registry import query
 from crosstide.plans.views import (
     M2D,
@@ -237,6 +239,15 @@ def top_query(spark, sf):
     return S.composite_top(S.features(p, MONTHLY.windows, ["s0"]), p, 0, MONTHLY.windows.s0_w)
 
 
+TOP_H = FEATS_H + Q.top_composite("pan", f"'{HOURLY_S0.benchmark}'", HOURLY_S0.windows.s0_w)
+
+
+@query("w16b_composite_top_share_hourly", "entity:s t:i composite:6", (TOP_H, "top"))
+def top_hourly_query(spark, sf):
+    p = hourly(spark, sf)[0]
+    return S.composite_top(S.features(p, HOURLY_S0.windows, ["s0"]), p, HOURLY_S0.benchmark, HOURLY_S0.windows.s0_w)
+
+
 def _range_sql(panel: str, spec) -> tuple[str, str]:
     return str(S.warmup(spec.windows)), f"(SELECT max(t) FROM {panel}) - {spec.horizon}"
 
@@ -262,6 +273,14 @@ def fires_hourly_query(spark, sf):
     return hourly_study(spark, sf).fires
 
 
+FIRES_HS = TOP_H + Q.fires(HOURLY_S0.thresholds, HOURLY_S0.signals, *_range_sql("pan", HOURLY_S0), f"feats.entity <> '{HOURLY_S0.benchmark}'")
+
+
+@query("p12c_fires_hourly_with_composite", "entity:s t:i signal:s", (FIRES_HS, "fires"))
+def fires_hourly_composite_query(spark, sf):
+    return hourly_study(spark, sf, HOURLY_S0).fires
+
+
 @query(
     "w17_liquid_tier",
     "entity:s mark:i",
@@ -407,6 +426,28 @@ def lookahead_query(spark, sf):
     return cut.agg(F.count(F.lit(1)).alias("rows")).withColumn("differences", gone.agg(F.count("d").alias("d")).scalar())
 
 
+CUTS = [20, 45, 70]
+
+
+def _cut_sql(rows: str, reach: int = 0) -> str:
+    """Rows known at each cut; none of them may change."""
+    at = ", ".join(f"({c})" for c in CUTS)
+    return f"(SELECT cut, count(*) AS rows, 0 AS differences FROM {rows}, (VALUES {at}) c(cut) WHERE t <= cut - {reach} GROUP BY cut)"
+
+
+@query("x10b_labels_look_no_further", "cut:i rows:i differences:i", (Q.M1, _cut_sql("m1", MONTHLY.horizon)))
+def label_reach_query(spark, sf):
+    """Labels look their horizon ahead and no row further."""
+    p, axis, n = monthly(spark, sf)
+    return lookahead_differences(p, lambda x: labels(x, n, MONTHLY.thresh, MONTHLY.horizon), CUTS, ["price", "volume"], MONTHLY.horizon)
+
+
+@query("x10c_no_lookahead_hourly", "cut:i rows:i differences:i", (Q.M3R, _cut_sql("pan")))
+def hourly_reach_query(spark, sf):
+    p = hourly(spark, sf)[0]
+    return lookahead_differences(p, lambda x: S.features(x, HOURLY.windows), CUTS, ["price", "volume"])
+
+
 @query(
     "j19b_nan_to_null",
     "entity:s rows:i priced:i",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +49,8 @@ MONTHLY = Spec(Windows(2, 6, 1, 12, 1, 1, 6, 6, 6), Thresholds(), DAILY_SIGNALS,
 HOURLY = Spec(
     Windows(), Thresholds(z=1.0, mult=2.0), [s for s in HOURLY_SIGNALS if s != "S0_prod"], None, 0.50, 48, 48, 24, 168, 72, 360, 1, 24
 )
+# with the composite of all but a benchmark, the way the monthly study has it
+HOURLY_S0 = replace(HOURLY, signals=HOURLY_SIGNALS, benchmark="0")
 
 
 @dataclass
@@ -108,7 +110,11 @@ def hourly_study(spark: SparkSession, sf: str, spec: Spec = HOURLY) -> Study:
     panel, axis, n = hourly(spark, sf)
     lo, hi = valid_range(n, spec.windows, spec.horizon)
     feats = settle(features(panel, spec.windows), "features")
-    fired = settle(fires(feats, None, spec.signals, spec.thresholds, lo, hi), "fires")
+    top, tested = None, feats
+    if spec.benchmark is not None:
+        top = composite_top(feats, panel, spec.benchmark, spec.windows.s0_w)
+        tested = feats.where(F.col("entity") != F.lit(spec.benchmark))
+    fired = settle(fires(tested, top, spec.signals, spec.thresholds, lo, hi), "fires")
     return Study(spec, panel, axis, n, feats, fired, lo, hi)
 
 

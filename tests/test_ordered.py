@@ -140,3 +140,20 @@ def test_cooldown_of_many_fires_of_one_key(spark, bars):
     assert out.where("entity = 'f'").count() == 2
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Arrow" not in plan and "Python" not in plan
+
+
+def test_lookahead_is_seen(spark):
+    from pyspark.sql import Window
+
+    from crosstide.operators.lookahead import lookahead_differences
+
+    df = panel(spark, {f"e{k}": prices(40 + k, 30) for k in range(4)})
+    w = Window.partitionBy("entity").orderBy("t")
+
+    def shifted(k):
+        return lambda x: x.select("entity", "t", (F.lead("price", k) if k > 0 else F.lag("price", -k)).over(w).alias("v"))
+
+    found = lambda k, reach=0: {r.cut: (r.rows, r.differences) for r in lookahead_differences(df, shifted(k), [5, 20], ["price"], reach).collect()}
+    assert found(-1) == {5: (24, 0), 20: (84, 0)}
+    assert found(1) == {5: (24, 4), 20: (84, 4)} and found(3) == {5: (24, 12), 20: (84, 12)}
+    assert found(3, 3) == {5: (12, 0), 20: (72, 0)}

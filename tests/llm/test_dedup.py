@@ -220,3 +220,30 @@ def test_backward_extension_of_one_group():
     assert got[0].tolist() == [False, False, True, True, False]  # 2 back + 2 on, 3 back + 1 on
     assert got[1].tolist() == [False, False, True, True, False]
     assert not got[2].any()
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(SMALL), reason="test tables are not here")
+def test_repeats_query_against_every_window_of_the_table(spark):
+    """The query on a whole table: all windows of 400 bytes of all texts are counted."""
+    from crosstide.llm.queries import QUERIES
+
+    docs = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    often = Counter(t[i : i + 400] for _, t in docs for i in range(len(t) - 399))
+    got = {r.doc_id: r for r in QUERIES["op1_repeats"](spark, SMALL).collect()}
+    assert len(got) == len(docs)
+    hit = 0
+    for k, t in docs:
+        gone = np.zeros(len(t) + 401, bool)
+        for i in range(len(t) - 399):
+            if often[t[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        gone = gone[: len(t)]
+        spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(t) else 0
+        left = hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()
+        r = got[k]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), int(gone.sum()), spans, left)
+        hit += gone.any()
+    assert 0 < hit < len(docs)

@@ -45,8 +45,8 @@ def _with_rows_before(frames: Iterator[pa.RecordBatch], need: int) -> Iterator[t
         held = table.slice(max(first, table.num_rows - need))
 
 
-def _each_batch(df: DataFrame, need: int, work: Callable[[pa.Table, int], pa.Table], schema, newest_first: bool = False) -> DataFrame:
-    laid = df.repartition("entity").sortWithinPartitions("entity", F.desc("t") if newest_first else "t")
+def _each_batch(df: DataFrame, need: int, work: Callable[[pa.Table, int], pa.Table], schema, newest_first: bool = False, laid: bool = False) -> DataFrame:
+    laid = (df if laid else df.repartition("entity")).sortWithinPartitions("entity", F.desc("t") if newest_first else "t")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, before in _with_rows_before(frames, need):
@@ -115,8 +115,11 @@ def sliding_median(values: np.ndarray, start: np.ndarray, n: int, off: int, part
     return out
 
 
-def moving_medians(panel: DataFrame, wanted: dict[str, Trailing]) -> DataFrame:
-    """The panel with one more double column per wanted median. Rows of an entity differ in `t` and are its order."""
+def moving_medians(panel: DataFrame, wanted: dict[str, Trailing], laid: bool = False) -> DataFrame:
+    """The panel with one more double column per wanted median. Rows of an entity differ in `t` and are its order.
+
+    `laid` says that the panel comes right out of a window over the entities, which has gathered and sorted them already.
+    """
 
     def work(table: pa.Table, before: int) -> pa.Table:
         fresh = _changes(table.column("entity"))
@@ -128,7 +131,7 @@ def moving_medians(panel: DataFrame, wanted: dict[str, Trailing]) -> DataFrame:
         return out
 
     schema = StructType([*panel.schema.fields, *(StructField(name, DoubleType()) for name in wanted)])
-    return _each_batch(panel, max(f.n + f.off for f in wanted.values()), work, schema)
+    return _each_batch(panel, max(f.n + f.off for f in wanted.values()), work, schema, laid=laid)
 
 
 # ---- first touches ahead

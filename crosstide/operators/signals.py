@@ -151,11 +151,13 @@ MEDIANS = {
 
 
 def with_features(panel: DataFrame, w: Windows, parts: list[str] | None = None, volume: str = "volume") -> DataFrame:
-    """The panel's columns and the inputs of the named signals. All windows share one exchange and sort, all moving medians another."""
+    """The panel's columns and the inputs of the named signals. All windows and moving medians share one exchange and sort."""
     chosen = [PARTS[p] for p in parts or PARTS]
     raw = {k: c for make, _ in chosen for k, c in make(w, volume).items()}
     medians = {k: f for p in parts or PARTS if p in MEDIANS for k, f in MEDIANS[p](w, volume).items()}
-    staged = (moving_medians(panel, medians) if medians else panel).select("*", *[c.alias(k) for k, c in raw.items()])
+    staged = panel.select("*", *[c.alias(k) for k, c in raw.items()])
+    if medians:
+        staged = moving_medians(staged, medians, laid=any(p not in MEDIANS for p in parts or PARTS))
     return staged.select(*panel.columns, *[c.alias(k) for _, derive in chosen for k, c in derive().items()])
 
 

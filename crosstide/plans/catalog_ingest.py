@@ -465,6 +465,48 @@ def ledger_query(spark, sf):
     return log.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("fetched", "added", "failures")])
 
 
+RATE_KEYS = ["symbol", "ts_ms"]
+RATE_ROWS = """
+rr AS (SELECT o_custkey % 200 AS symbol, epoch_ms(o_orderdate) AS ts_ms, o_orderkey AS key, CASE WHEN o_orderstatus <> 'P' THEN (o_totalprice - 250000) / 1e7 END AS rate FROM orders),
+rl AS (SELECT symbol, ts_ms, arg_max(rate, key) AS rate FROM rr WHERE rate IS NOT NULL GROUP BY 1, 2),
+rb AS (SELECT symbol, count(*) AS bad FROM rr WHERE rate IS NULL GROUP BY 1),
+rf AS (SELECT symbol, count(*) AS got FROM rl GROUP BY 1),
+"""
+
+
+def _rates_ingested(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """Rates of orders through the upserting stream, twice from scratch; an order that is still pending has no rate yet."""
+    stored, ledger = fresh_path(spark, "rates"), fresh_path(spark, "ledger")
+    o = spark.readStream.schema(table(spark, sf, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
+    rate = F.when(F.col("o_orderstatus") != "P", (F.col("o_totalprice") - 250000.0) / 1e7)
+    rows = o.select((F.col("o_custkey") % 200).alias("symbol"), epoch_ms("o_orderdate").alias("ts_ms"), F.col("o_orderkey").alias("key"), rate.alias("rate"))
+    for kind in ("backfill", "replay"):
+        options = {"keys": RATE_KEYS, "time": "ts_ms", "needed": ("rate",), "revision": "key", "grain": "yyyy-MM"}
+        ingest_stream(rows, stored, ledger, kind, fresh_path(spark, "stream"), **options).awaitTermination()
+    return stored, ledger
+
+
+@query("s13b_rate_upsert", "symbol:i ts_ms:i rate:9", (RATE_ROWS, "rl"))
+def rate_upsert_query(spark, sf):
+    """Rates by (symbol, time), the latest order winning."""
+    return spark.read.parquet(_rates_ingested(spark, sf)[0])
+
+
+@query(
+    "i06b_rate_ledger",
+    "kind:s symbol:s fetched:i added:i failures:i",
+    (
+        RATE_ROWS,
+        "(SELECT kind, symbol::VARCHAR AS symbol, coalesce(got, 0) AS fetched, CASE WHEN kind = 'backfill' THEN coalesce(got, 0) ELSE 0 END AS added, coalesce(bad, 0) AS failures "
+        "FROM rf FULL JOIN rb USING (symbol), (VALUES ('backfill'), ('replay')) k(kind))",
+    ),
+)
+def rate_ledger_query(spark, sf):
+    """Per symbol: what came, what was new and what failed, of the first pass and of its replay."""
+    log = spark.read.parquet(_rates_ingested(spark, sf)[1])
+    return log.groupBy("kind", "symbol").agg(*[F.sum(c).alias(c) for c in ("fetched", "added", "failures")])
+
+
 @query("i07_online_cooldown", "entity:s signal:s t:i", (FIRES_H + Q.cooldown(HOURLY.cool), "cool"))
 def online_query(spark, sf):
     """Hourly fires as a stream; one batch, ordered per key inside it, equals the batch cooldown (see tests)."""

@@ -39,6 +39,14 @@ def upsert_partitions(spark: SparkSession, path: str, delta: DataFrame, keys: li
 
     Returns how many keys came in and how many were not stored before. Replaying a delta changes nothing.
     `stored` says that the delta already reads from a written table, and its keys differ.
+    """
+    return upsert_rows(spark, path, delta, keys, partition, stored)[0]
+
+
+def upsert_rows(
+    spark: SparkSession, path: str, delta: DataFrame, keys: list[str], partition: str, stored: bool = False, keep: tuple[str, ...] = ()
+) -> tuple[dict[str, int], DataFrame]:
+    """`upsert_partitions`; also hands back the rows of the delta's keys as they now stand. Of a key that was stored, `keep` columns stay.
 
     The partition values of the delta, few by their nature, are put into the scan of the table as constants, so only
     those partitions are read; old and new rows meet once, and the counts are taken on the way.
@@ -46,7 +54,7 @@ def upsert_partitions(spark: SparkSession, path: str, delta: DataFrame, keys: li
     new = delta if stored else settle(delta, "delta")
     touched = [r[0] for r in new.select(partition).distinct().collect()]
     if not touched:
-        return {"fetched": 0, "new": 0}
+        return {"fetched": 0, "new": 0}, new
     old = touched_partitions(spark, path, new, partition, touched)
     rest = [c for c in new.columns if c not in keys]
     side = lambda df, name: df.select(*keys, F.struct(*rest).alias(name))
@@ -54,10 +62,12 @@ def upsert_partitions(spark: SparkSession, path: str, delta: DataFrame, keys: li
     seen = Observation("upsert")
     came, known = F.col("_new").isNotNull(), F.col("_old").isNotNull()
     both = both.observe(seen, F.count_if(came).alias("fetched"), F.count_if(came & ~known).alias("new"))
-    merged = settle(both.withColumn("_row", F.coalesce("_new", "_old")).select(*keys, "_row.*").select(new.columns), "merged")
-    out = merged.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    cell = lambda c: F.when(known if c in keep else ~came, F.col("_old")[c]).otherwise(F.col("_new")[c]).alias(c)
+    merged = settle(both.select(*keys, *[cell(c) for c in rest], came.alias("_came")), "merged")
+    rows = merged.select(new.columns)
+    out = rows.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     out.partitionBy(partition).parquet(path)
-    return dict(seen.get)
+    return dict(seen.get), merged.where("_came").select(new.columns)
 
 
 def touched_partitions(spark: SparkSession, path: str, like: DataFrame, partition: str, values: list) -> DataFrame:

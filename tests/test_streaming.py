@@ -63,3 +63,19 @@ def test_online_cooldown_equals_batch(spark):
         query.awaitTermination()
     batch = cooldown(spark.createDataFrame(fires, schema).withColumn("t", F.col("t").cast("int")), 9)
     assert {tuple(r) for r in spark.read.parquet(out).collect()} == {tuple(r) for r in batch.collect()}
+
+
+def test_a_batch_that_runs_twice_counts_once(spark, tmp_path):
+    from crosstide.streaming.bars import upsert_batch
+
+    table, ledger = str(tmp_path / "rates"), str(tmp_path / "ledger")
+    rows = lambda *r: spark.createDataFrame(list(r), "symbol string, ts_ms bigint, key int, rate double")
+    write = upsert_batch(spark, table, ledger, "hourly", ["symbol", "ts_ms"], "ts_ms", ("rate",), "key")
+    first = rows(("a", 1, 1, 0.1), ("a", 2, 2, 0.2), ("a", 2, 5, 0.25), ("b", 1, 3, None), ("c", 9, 4, 0.9))
+    late = rows(("a", 2, 9, 0.3), ("a", 3, 7, 0.4), ("c", 9, 8, None))
+    for batch, number in ((first, 0), (first, 0), (late, 1), (late, 1)):
+        write(batch, number)
+    log = {(r.batch_id, r.symbol): (r.fetched, r.added, r.failures) for r in spark.read.parquet(ledger).collect()}
+    assert log == {(0, "a"): (2, 2, 0), (0, "b"): (0, 0, 1), (0, "c"): (1, 1, 0), (1, "a"): (2, 1, 0), (1, "c"): (0, 0, 1)}
+    got = {(r.symbol, r.ts_ms): (r.rate, r.added_by) for r in spark.read.parquet(table).collect()}
+    assert got == {("a", 1): (0.1, "hourly:0"), ("a", 2): (0.3, "hourly:0"), ("a", 3): (0.4, "hourly:1"), ("c", 9): (0.9, "hourly:0")}

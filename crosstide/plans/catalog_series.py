@@ -368,12 +368,16 @@ def latest_closed_query(spark, sf):
     return out.withColumn("signals", F.array_join(F.array_sort("signals"), ","))
 
 
-@query("s16_firing_log", "as_of:d entity:i price:6 signals:s", latest_sql("m1"))
+@query(
+    "s16_firing_log",
+    "logged_at:s as_of:d entity:i price:6 signals:s z:2 ext:3",
+    (latest_sql("m1")[0], "(SELECT *, '2024-02-01T03:04:05+00:00' AS logged_at FROM lf)"),
+)
 def log_query(spark, sf):
-    """Appended as JSON lines and read back."""
+    """Appended as JSON lines at a given time and read back."""
     path = fresh_path(spark, "log")
-    append_log(_latest(spark, sf), path)
-    back_ = spark.read.schema("as_of date, entity bigint, price double, signals array<string>, z double, ext double").json(path)
+    append_log(_latest(spark, sf), path, F.timestamp_seconds(F.lit(1_706_756_645)))
+    back_ = spark.read.schema("logged_at string, as_of date, entity bigint, price double, signals array<string>, z double, ext double").json(path)
     return back_.withColumn("signals", F.array_join(F.array_sort("signals"), ","))
 
 

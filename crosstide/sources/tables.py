@@ -97,9 +97,11 @@ def dimension_upsert(base: DataFrame, new: DataFrame, key: str, columns: list[st
     return both.select(*[F.col(c) if c == key else cell(c) for c in base.columns])
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    """Append rows as JSON lines."""
-    df.write.mode("append").json(path)
+def append_log(df: DataFrame, path: str, logged_at: Column | None = None) -> None:
+    """Append rows as JSON lines, each with the time it is logged at (now, if none is given), in UTC to the second."""
+    at = F.current_timestamp() if logged_at is None else logged_at
+    utc = F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
+    df.select(F.concat(utc, F.lit("+00:00")).alias("logged_at"), "*").write.mode("append").json(path)
 
 
 def bar_coverage(bars: DataFrame) -> DataFrame:

@@ -157,3 +157,14 @@ def test_lookahead_is_seen(spark):
     assert found(-1) == {5: (24, 0), 20: (84, 0)}
     assert found(1) == {5: (24, 4), 20: (84, 4)} and found(3) == {5: (24, 12), 20: (84, 12)}
     assert found(3, 3) == {5: (12, 0), 20: (72, 0)}
+
+
+def test_log_rows_carry_their_time(spark, tmp_path):
+    from crosstide.sources.tables import append_log
+
+    path = str(tmp_path / "log")
+    append_log(spark.createDataFrame([("a", None)], "entity string, z double"), path, F.timestamp_seconds(F.lit(61)))
+    append_log(spark.createDataFrame([("b", 2.5)], "entity string, z double"), path)
+    got = {r.entity: r for r in spark.read.schema("logged_at string, entity string, z double").json(path).collect()}
+    assert got["a"].logged_at == "1970-01-01T00:01:01+00:00" and got["a"].z is None
+    assert got["b"].logged_at.endswith("+00:00") and len(got["b"].logged_at) == 25 and got["b"].z == 2.5

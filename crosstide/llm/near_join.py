@@ -2,8 +2,8 @@
 
 A text is the set of its shingles of five words. Texts with the same set are one class and travel as one. The signature
 of a class is cut into trees; in each tree all signatures are sorted across the cluster, which lays out a prefix trie:
-neighbours in order share the longest prefixes. Prefixes are shortened, value by value, until a pair at the threshold
-shares one in some tree with the target probability; classes under one prefix are hung onto its first class. No
+neighbours in order share the longest prefixes. The depth of prefixes is set beforehand: it is shortened, value by value, until a pair
+at the threshold shares one in some tree with the target probability. Classes under one prefix are hung onto its first class. No
 prefix is held by one task, because sorting splits it, and the ends of tasks are tied together afterwards.
 
 Classes that hang together, directly or not, are candidates and are verified against each other on their shingles. Groups

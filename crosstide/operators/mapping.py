@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosstide.functions.scalar import ratio, strip_multiplier
+from crosstide.functions.scalar import strip_multiplier
+from crosstide.operators.positions import ROWS_PER_BUCKET, marked_before, with_positions
+from crosstide.session import settle
 
 MAP_KEYS = ["symbol", "market"]
 #: Notes that go with a status, as readers of the map expect them.
@@ -16,6 +18,8 @@ DISAGREES = "price disagrees with "
 NO_REFERENCE = " (no reference price)"
 SEVERAL = "several universe coins agree: "
 CLAIMED = " also claimed by "
+#: Names a note holds, and what stands for the others.
+NAMES, MORE = 20, " and %d more"
 
 
 def kept_universe(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
@@ -39,35 +43,71 @@ def three_digits(x: Column) -> Column:
     return F.when((x >= 1e-4) & (x < 999.5), plain).otherwise(science)
 
 
-def resolve(coins: DataFrame, pairs: DataFrame, tolerance: float = 2.0, prefixes: tuple[str, ...] = ("1000000", "1000")) -> DataFrame:
+def _listed(names: Column, n: Column, most: int) -> Column:
+    """Names joined by commas; past `most` of them, how many more there are."""
+    more = F.when(n > most, F.format_string(MORE, n - most)).otherwise(F.lit(""))
+    return F.concat(F.array_join(F.array_sort(names), ","), more)
+
+
+def _symbols(listed: DataFrame, names: int) -> DataFrame:
+    """_sym, n_cands, first: how many coins have a symbol, and the first of their ids."""
+    first = F.row_number().over(Window.partitionBy("_sym").orderBy("id")) <= names
+    heads = listed.select("_sym", "id").where(F.col("_sym").isNotNull()).withColumn("_head", first).where("_head")
+    heads = heads.groupBy("_sym").agg(F.collect_list("id").alias("first"))
+    return listed.groupBy("_sym").agg(F.count(F.lit(1)).alias("n_cands")).join(heads, "_sym")
+
+
+def _judged(listed: DataFrame, units: DataFrame, tolerance: float, names: int, per_bucket: int) -> DataFrame:
+    """_sym, unit, n_agree, agree (id, price), best: the coins of a symbol beside one price asked for.
+
+    Coins in order of price lie beside the prices asked for: the place of unit / tolerance, unit and unit * tolerance among the coins gives
+    the number that agree, and where to find those coins and the nearest two. No coin meets a price it is not handed out with.
+    """
+    coins = listed.where("price > 0").select("_sym", F.col("price").alias("x"), F.lit(1).alias("kind"), "id", F.lit(None).cast("double").alias("unit"))
+    unit, none = F.col("unit"), F.lit(None).cast(listed.schema["id"].dataType)
+    bounds = F.explode(F.array(*[F.struct(x.alias("x"), F.lit(k).alias("kind"), none.alias("id")) for x, k in ((unit / tolerance, -1), (unit, 0), (unit * tolerance, 2))]))
+    asked = units.select("_sym", "unit", bounds.alias("b")).select("_sym", "b.x", "b.kind", "b.id", "unit")
+    both = coins.unionByName(asked).withColumn("is_coin", (F.col("kind") == 1).cast("bigint"))
+    placed = settle(marked_before(both, ["_sym"], "x", ["kind", "id", "unit"], "is_coin", "place", per_bucket), "places")
+    at = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("place")))
+    spans = placed.where("kind <> 1").groupBy("_sym", "unit").agg(at(-1).alias("lo"), at(0).alias("mid"), at(2).alias("hi"))
+    spans = spans.withColumn("n_agree", F.col("hi") - F.col("lo"))
+    inside = F.sequence("lo", F.least(F.col("hi"), F.col("lo") + names) - 1)
+    wanted = spans.withColumn("place", F.explode(F.when(F.col("n_agree") > 0, inside).otherwise(F.array(F.col("mid") - 1, F.col("mid")))))
+    found = wanted.join(placed.where("kind = 1").select("_sym", "place", "id", F.col("x").alias("price")), ["_sym", "place"])
+    r = unit / F.col("price")
+    return found.groupBy("_sym", "unit").agg(
+        F.max("n_agree").alias("n_agree"),
+        F.collect_list(F.when(F.col("n_agree") > 0, F.struct("id", "price"))).alias("agree"),
+        F.min(F.when(F.col("n_agree") == 0, F.struct(F.abs(1 - r).alias("off"), "id", r.alias("r")))).alias("best"),
+    )
+
+
+def resolve(
+    coins: DataFrame,
+    pairs: DataFrame,
+    tolerance: float = 2.0,
+    prefixes: tuple[str, ...] = ("1000000", "1000"),
+    names: int = NAMES,
+    per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
     """symbol, market, base_asset, multiplier, coin_id, status, note, price_ratio.
 
-    `coins` (coin_id, symbol, price) is one run's kept universe, cut to a chosen size by `universe.build`, so a
-    symbol's candidates fit in one array; each pair meets its symbol once and is judged inside its row,
-    whatever number of candidates share the symbol. `pairs`: symbol, market, base, px.
+    `coins` (coin_id, symbol, price) is one run's kept universe; `pairs`: symbol, market, base, px. A price counts when it is above 0.
+    Any number of coins and pairs may share a symbol: what decides are places in the order of prices (`_judged`), a few rows per
+    pair. A note names up to `names` coins, the first ids of the symbol or the lowest priced of those that agree, and counts the others.
     """
-    cand = F.struct(F.col("coin_id").alias("id"), F.col("price").alias("price"))
-    by_symbol = (
-        coins.where("symbol is not null and symbol != ''")
-        .groupBy(F.upper("symbol").alias("_sym"))
-        .agg(F.array_sort(F.collect_list(cand)).alias("cands"))
+    listed = settle(
+        coins.where("symbol is not null and symbol != ''").select(F.upper("symbol").alias("_sym"), F.col("coin_id").alias("id"), F.col("price").cast("double").alias("price")), "listed"
     )
     sym, lot = strip_multiplier(F.upper("base"), prefixes)
-    p = pairs.select("symbol", "market", F.upper("base").alias("base_asset"), "px", sym.alias("_sym"), lot.alias("multiplier"))
-    p = p.join(by_symbol, "_sym", "left")
-    unit = F.col("px") / F.col("multiplier")
-    scored = F.transform(
-        F.filter("cands", lambda c: (c["price"] != 0)),
-        lambda c: F.struct(F.abs(1 - unit / c["price"]).alias("off"), c["id"].alias("id"), (unit / c["price"]).alias("r")),
-    )
-    p = p.withColumn("scored", F.when(F.col("px") != 0, scored))
-    p = p.withColumn("agree", F.filter("scored", lambda s: s["r"].between(1 / tolerance, tolerance)))
-    ids = F.array_join(F.transform("cands", lambda c: c["id"]), ",")
-    best = F.array_min("scored")
-    n_cands, n_agree = F.size("cands"), F.size("agree")
+    p = pairs.select("symbol", "market", F.upper("base").alias("base_asset"), sym.alias("_sym"), lot.alias("multiplier"), F.when(F.col("px") > 0, F.col("px")).alias("px"))
+    p = settle(p.withColumn("unit", (F.col("px") / F.col("multiplier")).cast("double")), "asked")
+    judged = _judged(listed, p.where("unit is not null").select("_sym", "unit").distinct(), tolerance, names, per_bucket)
+    p = p.join(_symbols(listed, names), "_sym", "left").join(judged, ["_sym", "unit"], "left")
+    n_agree, best = F.coalesce("n_agree", F.lit(0)), F.col("best")
     one = F.get("agree", F.lit(0))
-    no_cands = F.col("cands").isNull()
-    no_price = F.col("px").isNull() | (F.col("px") == 0)
+    no_cands, no_price = F.col("n_cands").isNull(), F.col("unit").isNull()
     mapped = ~no_cands & ~no_price & (n_agree == 1)
     near = F.when(best.isNull(), F.lit(NO_REFERENCE)).otherwise(
         F.concat(F.lit(" (ratio "), three_digits(best["r"]), F.lit(")"))
@@ -75,10 +115,10 @@ def resolve(coins: DataFrame, pairs: DataFrame, tolerance: float = 2.0, prefixes
     note = (
         F.when(no_cands, F.lit(NO_COIN))
         .when(no_price, F.lit(NO_PRICE))
-        .when(mapped & (n_cands > 1), F.concat(F.lit(PICKED[0]), n_cands.cast("string"), F.lit(PICKED[1])))
+        .when(mapped & (F.col("n_cands") > 1), F.concat(F.lit(PICKED[0]), F.col("n_cands").cast("string"), F.lit(PICKED[1])))
         .when(mapped, F.lit(None).cast("string"))
-        .when(n_agree == 0, F.concat(F.lit(DISAGREES), ids, near))
-        .otherwise(F.concat(F.lit(SEVERAL), F.array_join(F.array_sort(F.transform("agree", lambda s: s["id"])), ",")))
+        .when(n_agree == 0, F.concat(F.lit(DISAGREES), _listed(F.col("first"), F.col("n_cands"), names), near))
+        .otherwise(F.concat(F.lit(SEVERAL), _listed(F.transform("agree", lambda c: c["id"]), n_agree, names)))
     )
     return p.select(
         "symbol",
@@ -88,22 +128,25 @@ def resolve(coins: DataFrame, pairs: DataFrame, tolerance: float = 2.0, prefixes
         F.when(mapped, one["id"]).alias("coin_id"),
         F.when(no_cands, F.lit("unmapped")).when(mapped, F.lit("mapped")).otherwise(F.lit("ambiguous")).alias("status"),
         note.alias("note"),
-        F.when(mapped, F.round(one["r"], 4)).when(~no_cands & ~no_price & (n_agree == 0), F.round(best["r"], 4)).alias("price_ratio"),
+        F.when(mapped, F.round(F.col("unit") / one["price"], 4)).when(~no_cands & ~no_price & (n_agree == 0), F.round(best["r"], 4)).alias("price_ratio"),
     )
 
 
-def veto_duplicates(rows: DataFrame) -> DataFrame:
-    """Pairs of one market that claim the same coin all become ambiguous."""
-    claims = (
-        rows.where("status = 'mapped'")
-        .groupBy("market", "coin_id")
-        .agg(F.count(F.lit(1)).alias("_n"), F.array_join(F.array_sort(F.collect_list("symbol")), ",").alias("_who"))
-        .where("_n > 1")
-        .drop("_n")
-    )
-    both = rows.join(claims, ["market", "coin_id"], "left")
+def claims(rows: DataFrame, per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """market, coin_id, symbol, place (from 0, by symbol), n: every mapped pair whose coin several pairs of the market claim."""
+    mapped = rows.where("status = 'mapped'").select("market", "coin_id", "symbol")
+    several = mapped.groupBy("market", "coin_id").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+    disputed = mapped.join(several, ["market", "coin_id"], "left_semi")
+    return with_positions(disputed, ["market", "coin_id"], "symbol", ["symbol"], per_bucket=per_bucket).withColumnRenamed("pos", "place")
+
+
+def veto_duplicates(rows: DataFrame, names: int = NAMES, per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Pairs of one market that claim the same coin all become ambiguous. A note has the first `names` claimants and the number of the
+    others; all of them are in `claims`. `rows` is read several times and should be stored."""
+    heads = claims(rows, per_bucket).where(F.col("place") < names)
+    who = heads.groupBy("market", "coin_id").agg(_listed(F.collect_list("symbol"), F.max("n"), names).alias("_who"))
     hit = F.col("_who").isNotNull()
-    return both.select(
+    judged = rows.where("status = 'mapped'").join(who, ["market", "coin_id"], "left").select(
         "symbol",
         "market",
         "base_asset",
@@ -113,6 +156,7 @@ def veto_duplicates(rows: DataFrame) -> DataFrame:
         F.when(hit, F.concat("coin_id", F.lit(CLAIMED), "_who")).otherwise(F.col("note")).alias("note"),
         "price_ratio",
     )
+    return judged.unionByName(rows.where("status <> 'mapped'").select(judged.columns))
 
 
 def store_map(existing: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -44,8 +44,9 @@ def _count_below(bounds: str, ordering: Column) -> Column:
     return F.when(F.col(bounds).isNull(), F.lit(0)).otherwise(start + F.size(fine))
 
 
-def _with_offsets(df: DataFrame, keys: list[str]) -> DataFrame:
-    totals = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_in_bucket"))
+def _with_offsets(df: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    totals = df.groupBy(*keys, "_bucket").agg(size.alias("_in_bucket"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_offset", F.coalesce(F.sum("_in_bucket").over(before), F.lit(0)))
     return df.join(totals, [*keys, "_bucket"])
@@ -74,6 +75,21 @@ def with_positions(
     return out.drop("_o", "_bucket", "_in_bucket", "_offset", "_n", *extra)
 
 
+def marked_before(
+    df: DataFrame, keys: list[str], order: str, ids: list[str], mark: str, out: str, per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """Add `out`: how many rows of the group that come earlier, by `order` and then `ids`, have `mark` 1 and not 0.
+
+    Rows with mark 0 thus learn their place among those with mark 1, however many of either share a group.
+    """
+    ordering = F.struct(order, *ids)
+    points = _split_points(df, keys, ordering, [*ids, order], per_bucket)
+    cut = df.join(points, keys).withColumn("_bucket", _count_below("_bounds", ordering)).drop("_bounds", "_p", "_n")
+    earlier = Window.partitionBy(*keys, "_bucket").orderBy(order, *ids).rowsBetween(Window.unboundedPreceding, -1)
+    placed = _with_offsets(cut, keys, mark).withColumn(out, (F.col("_offset") + F.coalesce(F.sum(mark).over(earlier), F.lit(0))).cast("bigint"))
+    return placed.drop("_bucket", "_in_bucket", "_offset")
+
+
 def with_tie_counts(df: DataFrame, keys: list[str], value: str, ids: list[str], per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add `below` (rows with a smaller value), `upto` (rows with a value not larger) and `n`."""
     df, keys, extra = _grouped(df, keys)

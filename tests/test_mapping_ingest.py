@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from crosstide.operators.ingest import due_bars, due_rates, missing_bars
-from crosstide.operators.mapping import ambiguous, map_summary, preferred_venue, resolve, store_map, three_digits, tracked, veto_duplicates
+from crosstide.operators.mapping import ambiguous, claims, map_summary, preferred_venue, resolve, store_map, three_digits, tracked, veto_duplicates
 from crosstide.session import fresh_path
 from crosstide.sources.landed import parse_bars, parse_rates, tradable_pairs
 from crosstide.sources.tables import additive_upsert, dimension_upsert, keyed_upsert, upsert_partitions
@@ -152,3 +154,54 @@ def test_table_operators(spark):
     new = spark.createDataFrame([("a", None, "z"), ("c", "C", "w")], "id string, name string, home string")
     assert {tuple(r) for r in dimension_upsert(dim, new, "id", ["name", "home"]).collect()} == {("a", None, "z"), ("b", "B", "y"), ("c", "C", "w")}
     assert {tuple(r) for r in dimension_upsert(dim, new, "id", ["name"]).collect()} == {("a", None, "x"), ("b", "B", "y"), ("c", "C", None)}
+
+
+def test_one_symbol_of_many_coins(spark):
+    """A hundred thousand coins of one symbol, a thousand pairs of it, in small buckets, against a search in the sorted prices."""
+    n, tol = 100_000, 1.00001
+    rng = np.random.default_rng(3)
+    price = np.round(rng.lognormal(0, 3, n), 9) + 1e-9
+    coins = spark.createDataFrame(pa.table({"coin_id": [f"c{i:06d}" for i in range(n)], "symbol": ["hot"] * n, "price": price}))
+    px = np.concatenate((rng.lognormal(0, 3, 900), price[:100] * 1.000001, [1e9, 1e-12]))
+    pairs = spark.createDataFrame(pa.table({"symbol": [f"p{i}" for i in range(len(px))], "market": ["spot"] * len(px), "base": ["HOT"] * len(px), "px": px}))
+    resolved = resolve(coins, pairs, tol, per_bucket=5_000)
+    assert all(word not in resolved._jdf.queryExecution().optimizedPlan().toString() for word in ("Cross", "CartesianProduct"))
+    rows = {r.symbol: r for r in resolved.collect()}
+    order = np.lexsort((np.arange(n), price))
+    lo, hi = np.searchsorted(price[order], px / tol), np.searchsorted(price[order], px * tol, side="right")
+    seen = {"mapped": 0, "none": 0, "several": 0, "many": 0}
+    for i, x in enumerate(px):
+        r, agree = rows[f"p{i}"], order[lo[i] : hi[i]]
+        if len(agree) == 1:
+            seen["mapped"] += 1
+            assert (r.coin_id, r.status, r.note) == (f"c{agree[0]:06d}", "mapped", f"disambiguated from {n} symbol matches by price")
+        elif len(agree):
+            seen["several" if len(agree) <= 20 else "many"] += 1
+            more = f" and {len(agree) - 20} more" if len(agree) > 20 else ""
+            assert r.coin_id is None and r.note == "several universe coins agree: " + ",".join(sorted(f"c{k:06d}" for k in agree[:20])) + more
+        else:
+            seen["none"] += 1
+            best = (x / price)[np.argmin(np.abs(1 - x / price))]
+            assert r.coin_id is None and r.price_ratio == pytest.approx(round(best, 4), rel=1e-6, abs=1e-4)
+            assert r.note.startswith(f"price disagrees with {','.join(f'c{k:06d}' for k in range(20))} and {n - 20} more (ratio ")
+    assert min(seen["mapped"], seen["none"], seen["several"]) > 20
+    wide = {r.symbol: r for r in resolve(coins, pairs, 2.0, per_bucket=5_000).collect()}["p0"]
+    assert wide.note.endswith(f" and {int(((px[0] / price >= 0.5) & (px[0] / price <= 2)).sum()) - 20} more")
+
+
+def test_one_coin_of_many_claimants(spark):
+    """Notes stay short however many pairs claim a coin; the claims have them all."""
+    n = 5_000
+    row = lambda i, coin, market: (f"s{i:05d}", market, "B", 1, coin, "mapped", None, 1.0)
+    rows = [row(i, "hot", "spot") for i in range(n)] + [row(1, "hot", "perp"), row(2, "two", "perp"), row(3, "two", "perp"), ("none", "spot", "N", 1, None, "unmapped", "no coin", None)]
+    df = spark.createDataFrame(rows, MAP.replace(", tracked boolean, manual boolean", "")).cache()
+    got = veto_duplicates(df, per_bucket=700).collect()
+    assert len(got) == len(rows)
+    notes = {(r.symbol, r.market): (r.coin_id, r.status, r.note) for r in got}
+    hot = "hot also claimed by " + ",".join(f"s{i:05d}" for i in range(20)) + f" and {n - 20} more"
+    assert all(notes[f"s{i:05d}", "spot"] == (None, "ambiguous", hot) for i in range(n))
+    assert notes["s00001", "perp"] == ("hot", "mapped", None) and notes["s00002", "perp"][2] == "two also claimed by s00002,s00003"
+    assert notes["none", "spot"] == (None, "unmapped", "no coin")
+    told = claims(df, per_bucket=700).collect()
+    assert sorted((r.coin_id, r.market, r.place, r.symbol, r.n) for r in told) == sorted(
+        [("hot", "spot", i, f"s{i:05d}", n) for i in range(n)] + [("two", "perp", i, f"s{i + 2:05d}", 2) for i in range(2)])

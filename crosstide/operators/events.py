@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosstide.functions.scalar import ratio, wilson
-from crosstide.operators.ordered import lifted_ahead
+from crosstide.operators.ordered import lifted_ahead, prices_ahead
 from crosstide.operators.panel import by_entity, rows
 from crosstide.operators.positions import order_statistics
 from crosstide.session import settle
@@ -31,6 +31,39 @@ def labels(panel: DataFrame, n: int, thresh: float, horizon: int) -> DataFrame:
     return out.withColumn("run_start", F.when(is_hit, run)).drop("_start")
 
 
+def target_labels(panel: DataFrame, n: int, targets: dict[str, tuple[float, int]]) -> DataFrame:
+    """`labels` for several targets, name to (rise, horizon), with the column `target` in front: one ordered pass over the prices, then a row per target."""
+    ahead = prices_ahead(panel, sorted({h for _, h in targets.values()}))
+    cells = {}
+    for i, (rise, h) in enumerate(targets.values()):
+        peak = F.when(F.col("t") + h < n, ratio(F.col(f"max_{h}"), F.col("price")) - 1.0)
+        cells |= {f"peak{i}": peak, f"term{i}": ratio(F.col(f"at_{h}"), F.col("price")) - 1.0, f"hit{i}": peak >= rise}
+    wide = ahead.select("entity", "t", "price", *[c.alias(k) for k, c in cells.items()])
+    is_hit = lambda i: F.coalesce(F.col(f"hit{i}"), F.lit(False))
+    first = {f"first{i}": F.when(is_hit(i) & ~F.coalesce(F.lag(f"hit{i}").over(by_entity()), F.lit(False)), F.col("t")) for i in range(len(targets))}
+    upto = by_entity().rowsBetween(Window.unboundedPreceding, 0)
+    runs = {f"run{i}": F.when(is_hit(i), F.max(f"first{i}").over(upto)) for i in range(len(targets))}
+    each = [
+        F.struct(F.lit(name).alias("target"), *[F.col(f"{c}{i}").alias(to) for c, to in (("peak", "peak"), ("term", "term"), ("hit", "hit"), ("run", "run_start"))])
+        for i, name in enumerate(targets)
+    ]
+    rows_ = wide.withColumns(first).withColumns(runs).select("entity", "t", "price", F.explode(F.array(*each)).alias("_l"))
+    return rows_.select("_l.target", "entity", "t", "price", "_l.peak", "_l.term", "_l.hit", "_l.run_start")
+
+
+def target_moves(labelled: DataFrame, n: int, lo: int, hi: int, tail: int = 15, rise: float = 1.10) -> DataFrame:
+    """`moves` of several targets' labels: target, entity, start, end, liftoff, found in one pass over the prices."""
+    runs = (
+        labelled.where("run_start is not null")
+        .groupBy("target", "entity", F.col("run_start").alias("start"))
+        .agg(F.max("t").cast("int").alias("end"))
+        .where(F.col("start").between(lo, hi))
+    )
+    runs = settle(runs.withColumn("start", F.col("start").cast("int")), "runs")
+    one = labelled.where(F.col("target") == labelled.agg(F.min("target")).scalar())
+    return runs.join(lifted_ahead(one, runs, n, tail, rise), ["entity", "start", "end"]).select("target", "entity", "start", "end", "liftoff")
+
+
 def moves(labelled: DataFrame, n: int, lo: int, hi: int, tail: int = 15, rise: float = 1.10) -> DataFrame:
     """entity, start, end, liftoff of each run of hits that starts in [lo, hi].
 
@@ -65,26 +98,26 @@ def cooldown(fired: DataFrame, bars: int) -> DataFrame:
     return times.select("entity", "signal", F.explode(F.aggregate("_t", F.array().cast("array<int>"), keep)).alias("t"))
 
 
-def base_rate(labelled: DataFrame, lo: int, hi: int) -> DataFrame:
+def base_rate(labelled: DataFrame, lo: int, hi: int, by: tuple[str, ...] = ()) -> DataFrame:
     tested = labelled.where(F.col("t").between(lo, hi) & F.col("hit").isNotNull())
-    return tested.agg(
+    return tested.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.avg(F.col("hit").cast("int")), F.lit(0.0)).alias("base_rate"),
     )
 
 
-def caught_moves(fired: DataFrame, moved: DataFrame, names: list[str], before: int, after: int) -> DataFrame:
-    """signal, moves, caught: a move is caught when any raw fire lies in [start-before, start+after].
+def caught_moves(fired: DataFrame, moved: DataFrame, names: list[str], before: int, after: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """[by,] signal, moves, caught: a move is caught when any raw fire lies in [start-before, start+after].
 
     Moves and fires of one (entity, signal) share a window ordered by t, so no pair of the two is built.
     """
     probes = moved.select(
-        "entity", F.explode(F.array(*[F.lit(n) for n in names])).alias("signal"), F.col("start").alias("t"), F.lit(0).alias("fire")
+        *by, "entity", F.explode(F.array(*[F.lit(n) for n in names])).alias("signal"), F.col("start").alias("t"), F.lit(0).alias("fire")
     )
-    both = probes.unionByName(fired.select("entity", "signal", "t", F.lit(1).alias("fire")))
+    both = probes.unionByName(fired.select("entity", "signal", "t", F.lit(1).alias("fire")), allowMissingColumns=True)
     near = Window.partitionBy("entity", "signal").orderBy("t").rangeBetween(-before, after)
     seen = both.withColumn("_hit", F.max("fire").over(near)).where("fire = 0")
-    return seen.groupBy("signal").agg(F.count(F.lit(1)).alias("moves"), F.sum("_hit").alias("caught"))
+    return seen.groupBy(*by, "signal").agg(F.count(F.lit(1)).alias("moves"), F.sum("_hit").alias("caught"))
 
 
 def study(
@@ -97,50 +130,58 @@ def study(
     hi: int,
     before: int = 7,
     after: int = 3,
+    targets: list[str] | None = None,
 ) -> DataFrame:
     """One row per signal: fires, precision over cooled-down fires, lift, recall over raw fires,
-    lead time and forward returns."""
+    lead time and forward returns. With `targets`, the labels and moves of several targets, one row per target and signal; fires are shared."""
     spark = labelled.sparkSession
+    by = ("target",) if targets else ()
+    keys = [*by, "signal"]
     cooled = cooldown(fired, cool)
     events = (
         cooled.join(labelled, ["entity", "t"])
         .join(
-            moved.select("entity", F.col("start").alias("run_start"), "liftoff"), ["entity", "run_start"], "left"
+            moved.select(*by, "entity", F.col("start").alias("run_start"), "liftoff"), [*by, "entity", "run_start"], "left"
         )
         .withColumn("lead", F.when(F.col("hit"), (F.col("liftoff") - F.col("t")).cast("double")))
     )
-    events = settle(events.select("entity", "t", "signal", "hit", "peak", "term", "lead"), "events")
+    events = settle(events.select(*by, "entity", "t", "signal", "hit", "peak", "term", "lead"), "events")
     counts = fired.groupBy("signal").agg(
         F.count(F.lit(1)).alias("raw_fires"), F.countDistinct("entity").alias("entities")
     )
     lead = F.col("lead")
-    dedup = events.groupBy("signal").agg(
+    dedup = events.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("events"),
         F.count_if(F.col("hit")).alias("hits"),
         ratio(F.count_if(lead >= 0).cast("double"), F.count(lead)).alias("pct_lead_ge0"),
     )
     measures = events.select(
-        "entity", "t", "signal", F.expr("stack(3, 'lead', lead, 'peak', peak, 'term', term) as (measure, value)")
+        *by, "entity", "t", "signal", F.expr("stack(3, 'lead', lead, 'peak', peak, 'term', term) as (measure, value)")
     )
-    mids = order_statistics(measures, ["signal", "measure"], "value", ["entity", "t"])
+    mids = order_statistics(measures, [*keys, "measure"], "value", ["entity", "t"])
     mids = (
-        mids.groupBy("signal").pivot("measure", ["lead", "peak", "term"]).agg(F.first("median"))
-        .toDF("signal", "median_lead", "median_peak_fwd", "median_term_fwd")
+        mids.groupBy(*keys).pivot("measure", ["lead", "peak", "term"]).agg(F.first("median"))
+        .toDF(*keys, "median_lead", "median_peak_fwd", "median_term_fwd")
     )
-    rate = base_rate(labelled, lo, hi).select("base_rate").scalar()
     all_names = spark.createDataFrame([(n,) for n in names], "signal string")
+    if targets:
+        rates = base_rate(labelled, lo, hi, by).select(*by, "base_rate")
+        rows_ = spark.createDataFrame([(m, n) for m in targets for n in names], "target string, signal string")
+        all_names, rate = rows_.join(rates, [*by], "left"), F.coalesce("base_rate", F.lit(0.0))
+    else:
+        rate = base_rate(labelled, lo, hi).select("base_rate").scalar()
     out = (
         all_names.join(counts, "signal", "left")
-        .join(dedup, "signal", "left")
-        .join(caught_moves(fired, moved, names, before, after), "signal", "left")
-        .join(mids, "signal", "left")
+        .join(dedup, keys, "left")
+        .join(caught_moves(fired, moved, names, before, after, by), keys, "left")
+        .join(mids, keys, "left")
         .fillna(0, ["raw_fires", "entities", "events", "hits"])
     )
     precision = ratio(F.col("hits").cast("double"), F.col("events"))
     out = out.withColumn("precision", precision).withColumn("base_rate", rate)
     low, high = wilson("hits", "events")
     return out.select(
-        "signal",
+        *keys,
         "raw_fires",
         "events",
         "entities",

@@ -222,17 +222,41 @@ def outcomes_ahead(panel: DataFrame, marks: DataFrame, n: int, hold: int, entry:
     return _each_batch(flagged, hold + 3, work, schema + "".join(f", x_{c} double" for c in carried), newest_first=True)
 
 
+def prices_ahead(panel: DataFrame, horizons: list[int]) -> DataFrame:
+    """entity, t, price, and per horizon h `max_<h>`, the highest price of the next h rows of the entity, and `at_<h>`, the price h rows ahead.
+
+    All horizons share one pass and one set of block maxima; null where nothing is there.
+    """
+
+    def work(table: pa.Table, before: int) -> pa.Table:
+        rows, _, base, own = _oldest_first(table, before, 1)
+        price, at = _floats(rows.column("price")), np.arange(own)
+        end, levels = np.searchsorted(base, base[:own], side="right"), Levels(price, max(horizons), False)
+        out = rows.slice(0, own)
+        for h in horizons:
+            there = at + h < end
+            best, last = levels.of(at + 1, np.minimum(at + 1 + h, end)), np.where(there, price[np.minimum(at + h, len(price) - 1)], np.nan)
+            out = out.append_column(f"max_{h}", pa.array(best, mask=np.isnan(best))).append_column(f"at_{h}", pa.array(last, mask=np.isnan(last)))
+        return out
+
+    flat = panel.select("entity", "t", F.col("price").cast("double").alias("price"))
+    extra = [StructField(f"{kind}_{h}", DoubleType()) for h in horizons for kind in ("max", "at")]
+    return _each_batch(flat, max(horizons), work, StructType([*flat.schema.fields, *extra]), newest_first=True)
+
+
 def lifted_ahead(panel: DataFrame, runs: DataFrame, n: int, tail: int, rise: float) -> DataFrame:
     """entity, start, end, liftoff per run (entity, start, end): the first row from `start` to min(n - 1, end + tail - 1) whose price is at least
-    `rise` times that of the start, else `end`. A run may be as long as the axis, so a task holds one entity's prices."""
-    flagged = panel.select("entity", "t", "price").join(runs.select("entity", F.col("start").alias("t"), F.col("end").alias("_end")), ["entity", "t"], "left")
+    `rise` times that of the start, else `end`. A run may be as long as the axis, so a task holds one entity's prices. Runs of one
+    start may end at different rows, one for each target that is looked at."""
+    ends = runs.groupBy("entity", F.col("start").alias("t")).agg(F.collect_set(F.col("end").cast("int")).alias("_ends"))
+    flagged = panel.select("entity", "t", "price").join(ends, ["entity", "t"], "left")
     width = 4 * (n + tail + 2)
 
     def work(table: pa.Table, before: int) -> pa.Table:
         rows, place, base, own = _oldest_first(table, before, width)
-        price, ends = _floats(rows.column("price")), _floats(rows.column("_end"))
-        i = np.flatnonzero(~np.isnan(ends[:own]))
-        last = ends[i].astype(np.int64)
+        price, ends = _floats(rows.column("price")), rows.column("_ends").slice(0, own).combine_chunks()
+        i = pc.list_parent_indices(ends).to_numpy(zero_copy_only=False).astype(np.int64)
+        last = pc.list_flatten(ends).to_numpy(zero_copy_only=False).astype(np.int64)
         stop = np.searchsorted(place, base[i] + np.minimum(n - 1, last + tail - 1), side="right")
         x = first_touch(i, stop, None, (Levels(price, n, False), np.where(np.isnan(price[i]), np.inf, rise * price[i])))
         t = rows.column("t").to_numpy().astype(np.int64)

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from crosstide.functions.scalar import ERF_A, ERF_P, breakeven_slip, impact_slippage, net_return, wilson
-from crosstide.operators.events import base_rate, breadth, caught_moves, cooldown, labels, moves, regime, study, timeline
+from crosstide.operators.events import base_rate, breadth, caught_moves, cooldown, labels, moves, regime, study, target_labels, target_moves, timeline
 from crosstide.operators.inference import block_bootstrap, edges, with_p
 from crosstide.operators.outcomes import close_only, forward_path, on_bars, resolution_pairs, resolution_summary, summarise
 from crosstide.operators.panel import daily_from_hourly
@@ -17,13 +17,17 @@ from crosstide.plans.catalog_series import BLOCKED, FEATS_H, FIRES_HS, TOP_M
 from crosstide.plans.event_study import (
     HOURLY,
     HOURLY_S0,
+    HOURLY_TARGETS,
     MONTHLY,
+    MONTHLY_TARGETS,
     hourly_adv,
     hourly_study,
     hourly_trades,
     monthly_adv,
     monthly_study,
     monthly_trades,
+    targets_study,
+    with_targets,
 )
 from crosstide.plans.registry import query
 from crosstide.plans.views import M2D, M2G, daily, hourly, monthly
@@ -171,6 +175,63 @@ def study_hourly_composite_query(spark, sf):
     return study(s.labels, s.moves, s.fires, spec.signals, spec.cool, s.lo, s.hi, spec.before, spec.after)
 
 
+def _per_target(panel: str, targets: dict, tail: int, cool: int, signals: list[str], lo: str, hi: str, before: int, after: int) -> str:
+    """One whole study per target, each with labels of its own over the same fires."""
+    each = [
+        f"SELECT '{name}' AS target, * FROM (WITH RECURSIVE {body.strip().rstrip(',')} SELECT * FROM st)"
+        for name, (rise, h) in targets.items()
+        for body in [Q.labels(panel, rise, h) + Q.moves(lo, hi, tail) + Q.cooldown(cool) + Q.study(signals, lo, hi, before, after)]
+    ]
+    return "(" + " UNION ALL ".join(each) + ")"
+
+
+HI_MT, HI_HT = "(SELECT max(t) FROM m1) - 6", "(SELECT max(t) FROM pan) - 96"
+FIRES_MT = TOP_M + Q.fires(MONTHLY.thresholds, MONTHLY.signals, LO_M, HI_MT, "feats.entity <> 0") + "m1t AS (SELECT * FROM m1 WHERE entity <> 0),\n"
+FIRES_HT = FEATS_H + "top AS (SELECT NULL::VARCHAR AS entity, NULL::INT AS t),\n" + Q.fires(HOURLY.thresholds, HOURLY.signals, LO_H, HI_HT)
+
+
+@query(
+    "a11d_event_study_targets",
+    "target:s " + STUDY_SPEC,
+    (FIRES_MT, _per_target("m1t", MONTHLY_TARGETS, MONTHLY.tail, MONTHLY.cool, MONTHLY.signals, LO_M, HI_MT, MONTHLY.before, MONTHLY.after)),
+)
+def study_targets_query(spark, sf):
+    return targets_study(monthly_study(spark, sf, with_targets(MONTHLY, MONTHLY_TARGETS)), MONTHLY_TARGETS)
+
+
+@query(
+    "a11e_event_study_targets_hourly",
+    "target:s " + STUDY_SPEC,
+    (FIRES_HT, _per_target("pan", HOURLY_TARGETS, HOURLY.tail, HOURLY.cool, HOURLY.signals, LO_H, HI_HT, HOURLY.before, HOURLY.after)),
+)
+def study_targets_hourly_query(spark, sf):
+    return targets_study(hourly_study(spark, sf, with_targets(HOURLY, HOURLY_TARGETS)), HOURLY_TARGETS)
+
+
+DAILY_TARGETS = {"T1_50pct_14d": (0.50, 14), "T2_30pct_30d": (0.30, 30)}
+
+
+def _each_daily(tail: str, select: str) -> tuple[str, str]:
+    each = [
+        f"SELECT '{name}' AS target, {select} FROM (WITH {(Q.labels('pan', *target) + tail).strip().rstrip(',')} SELECT * FROM {'mv' if tail else 'lab'})"
+        for name, target in DAILY_TARGETS.items()
+    ]
+    return Q.M2G, "(" + " UNION ALL ".join(each) + ")"
+
+
+@query("w13c_labels_of_targets", "target:s entity:s t:i peak:6 term:6 hit:i run_start:i", _each_daily("", "entity, t, peak, term, hit::INT AS hit, run_start"))
+def target_labels_query(spark, sf):
+    p, axis, n = daily(spark, sf, M2G)
+    return target_labels(p, n, DAILY_TARGETS).withColumn("hit", F.col("hit").cast("int"))
+
+
+@query("w15c_moves_of_targets", "target:s entity:s start:i fin:i liftoff:i", _each_daily(Q.moves("97", "(SELECT max(t) FROM pan) - 30"), "*"))
+def target_moves_query(spark, sf):
+    p, axis, n = daily(spark, sf, M2G)
+    lab = settle(target_labels(p, n, DAILY_TARGETS), "labels")
+    return target_moves(lab, n, 97, n - 1 - 30).withColumnRenamed("end", "fin")
+
+
 @query("x07_wilson_interval", "signal:s events:i hits:i ci_low:8 ci_high:8", (STUDY_M, "(SELECT * FROM st WHERE events > 0)"))
 def wilson_query(spark, sf):
     s = monthly_study(spark, sf)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstide.operators.events import cooldown, labels, moves
+from crosstide.operators.events import cooldown, labels, moves, study, target_labels, target_moves
 from crosstide.operators.outcomes import by_tier, close_only, on_bars
 from crosstide.operators.signals import (
     DAILY_PARTS,
@@ -53,6 +53,11 @@ HOURLY = Spec(
 HOURLY_S0 = replace(HOURLY, signals=HOURLY_SIGNALS, benchmark="0")
 
 
+# target: rise within a horizon; fires are tested as far as the longest horizon reaches
+MONTHLY_TARGETS = {"T1_50pct_3m": (0.50, 3), "T2_30pct_6m": (0.30, 6)}
+HOURLY_TARGETS = {"T1_50pct_48h": (0.50, 48), "T2_30pct_96h": (0.30, 96)}
+
+
 @dataclass
 class Study:
     """Inputs of a study, written once: several outcomes read the same fires and labels."""
@@ -140,3 +145,16 @@ def monthly_trades(study: Study) -> DataFrame:
 def hourly_trades(study: Study) -> DataFrame:
     panel = settle(hourly_adv(study), "adv")
     return tiered(study, on_bars(study.cooled, panel, study.n, study.spec.hold), panel)
+
+
+def with_targets(spec: Spec, targets: dict[str, tuple[float, int]]) -> Spec:
+    """The spec with a horizon that all targets fit in."""
+    return replace(spec, horizon=max(h for _, h in targets.values()))
+
+
+def targets_study(study_: Study, targets: dict[str, tuple[float, int]]) -> DataFrame:
+    """The event study of several targets over the same fires: labels and moves of all of them from one pass each."""
+    s = study_.spec
+    labelled = settle(target_labels(study_.tested, study_.n, targets), "labels")
+    moved = settle(target_moves(labelled, study_.n, study_.lo, study_.hi, s.tail), "moves")
+    return study(labelled, moved, study_.fires, s.signals, s.cool, study_.lo, study_.hi, s.before, s.after, list(targets))

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crosstide.operators.events import cooldown
-from crosstide.operators.ordered import Levels, Ranges, Trailing, first_touch, lifted_ahead, moving_medians, outcomes_ahead, sliding_median
+from crosstide.operators.events import cooldown, labels, moves, target_labels, target_moves
+from crosstide.operators.ordered import Levels, Ranges, Trailing, first_touch, lifted_ahead, moving_medians, outcomes_ahead, prices_ahead, sliding_median
 from crosstide.operators.outcomes import close_only
 from crosstide.operators.signals import Windows, with_features
 
@@ -117,6 +117,35 @@ def test_liftoff(spark, small_batches):
     assert got == sorted((e, a, b, lift(e, a, b)) for e, a, b in runs)
 
 
+def test_prices_ahead(spark, small_batches):
+    """Horizons from one row to more than an entity has, over batches of seven rows."""
+    cols = {f"e{k}": prices(k, n, 0.3) for k, n in enumerate((40, 1, 13, 0, 70))}
+    got = {(r.entity, r.t): r for r in prices_ahead(panel(spark, cols), [1, 6, 20]).collect()}
+    assert len(got) == sum(map(len, cols.values()))
+    for e, s in cols.items():
+        for t in range(len(s)):
+            for h in (1, 6, 20):
+                ahead = [x for x in s[t + 1 : t + 1 + h] if x is not None]
+                assert got[e, t][f"max_{h}"] == (max(ahead) if ahead else None)
+                assert got[e, t][f"at_{h}"] == (s[t + h] if t + h < len(s) else None)
+
+
+def test_labels_and_moves_of_several_targets_equal_those_of_each(spark, small_batches):
+    """Two targets share a horizon and two a rise, so runs start together and end apart."""
+    cols = {f"e{k}": prices(k, 60) for k in range(4)}
+    df = panel(spark, cols)
+    targets = {"a": (0.2, 5), "b": (0.5, 5), "c": (0.2, 12)}
+    long = target_labels(df, 60, targets).cache()
+    moved = target_moves(long, 60, 2, 45, 6).cache()
+    for name, (rise, h) in targets.items():
+        one = labels(df, 60, rise, h).cache()
+        cells = ["entity", "t", "price", "peak", "term", "hit", "run_start"]
+        key = lambda r: (r[0], r[1])
+        assert sorted(map(tuple, long.where(F.col("target") == name).select(cells).collect()), key=key) == sorted(map(tuple, one.select(cells).collect()), key=key)
+        want = sorted(map(tuple, moves(one, 60, 2, 45, 6).collect()))
+        assert want and sorted(map(tuple, moved.where(F.col("target") == name).drop("target").collect())) == want
+
+
 def test_features_with_medians_stay_null_without_samples(spark):
     df = spark.createDataFrame([("x", t, None if t == 3 else 1.0 + t, 0.0) for t in range(9)], "entity string, t int, price double, volume double")
     got = [r.ext for r in with_features(df, Windows(ext_look=3), ["ext"]).orderBy("t").collect()]

@@ -8,8 +8,9 @@ from crosstide.functions.scalar import bonferroni_t
 from crosstide.operators import factors as X
 from crosstide.operators.lookahead import lookahead_differences
 from crosstide.plans import sql as Q
-from crosstide.plans.catalog_events import STUDY_M
-from crosstide.plans.event_study import monthly_study
+from crosstide.plans.catalog_events import FIRES_MT, HI_MT, LO_M, STUDY_M
+from crosstide.operators.events import target_labels
+from crosstide.plans.event_study import MONTHLY, MONTHLY_TARGETS, monthly_study, with_targets
 from crosstide.plans.factor_study import (
     GRID,
     TEST_SIZE,
@@ -20,6 +21,7 @@ from crosstide.plans.factor_study import (
     largest_at,
     survivorship,
     test_universes,
+    universe_base_rates,
 )
 from crosstide.plans.registry import query
 from crosstide.plans.views import monthly, rate_map, rates
@@ -342,6 +344,30 @@ def survivorship_query(spark, sf):
     return survivorship(s.cooled, s.labels, *test_universes(s.panel, s.n, s.lo))
 
 
+def _survivors(name: str, rise: float, horizon: int) -> str:
+    body = Q.labels("m1t", rise, horizon) + Q.cooldown(MONTHLY.cool)
+    of = lambda u: f"FILTER (entity IN (SELECT entity FROM {u}))"
+    base = lambda u: f"(SELECT coalesce(avg(hit::INT), 0) FROM lab WHERE hit IS NOT NULL AND t BETWEEN {LO_M} AND {HI_MT} AND entity IN (SELECT entity FROM {u}))"
+    hit = "avg(coalesce(hit, false)::INT)"
+    return (
+        f"SELECT '{name}' AS target, * FROM (WITH RECURSIVE {body.strip().rstrip(',')} SELECT signal, {hit} {of('ua')} AS precision_a, {hit} {of('ub')} AS precision_b, "
+        f"{hit} {of('ua')} - {hit} {of('ub')} AS delta, {base('ua')} AS base_a, {base('ub')} AS base_b FROM cool JOIN lab USING (entity, t) "
+        "WHERE entity IN (SELECT entity FROM ua UNION SELECT entity FROM ub) GROUP BY 1)"
+    )
+
+
+@query(
+    "u05c_survivorship_of_targets",
+    "target:s signal:s precision_a:6 precision_b:6 delta:6 base_a:6 base_b:6",
+    (FIRES_MT + AB.replace(Q.M1, ""), "(" + " UNION ALL ".join(_survivors(name, *t) for name, t in MONTHLY_TARGETS.items()) + ")"),
+)
+def survivorship_targets_query(spark, sf):
+    s = monthly_study(spark, sf, with_targets(MONTHLY, MONTHLY_TARGETS))
+    lab = settle(target_labels(s.tested, s.n, MONTHLY_TARGETS), "labels")
+    a, b = test_universes(s.panel, s.n, s.lo)
+    return survivorship(s.cooled, lab, a, b, ("target",)).join(universe_base_rates(lab, a, b, s.lo, s.hi, ("target",)), "target")
+
+
 @query(
     "u05b_grown_entities",
     "grown:i share:6",

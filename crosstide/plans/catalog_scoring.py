@@ -410,10 +410,18 @@ def run_list_query(spark, sf):
     ),
 )
 def summary_query(spark, sf):
-    """An entity without a score is an error of the composite stage."""
-    r = scoring_run(spark, sf)
-    errors = r.scores.where("score is null").select("run_id", "entity", F.lit("composite").alias("stage"), F.lit("no score").alias("message"))
-    return run_summary(r.metrics, r.scores, errors)
+    """Summaries of the stored runs and of the errors stored beside them; an entity without a score is an error of the composite stage."""
+    r = stored_runs(spark, sf).tables()
+    return run_summary(r.metrics, r.scores, r.errors)
+
+
+@query(
+    "a08b_run_errors",
+    "run_date:d stage:s message:s rows:i",
+    (Q.SCORES, "(SELECT run_date, 'composite' AS stage, 'no score' AS message, count(*) AS rows FROM scores WHERE score IS NULL GROUP BY 1)"),
+)
+def errors_query(spark, sf):
+    return stored_runs(spark, sf).read("errors").groupBy("run_date", "stage", "message").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("a20_finished_count", "runs:i", (Q.RUNS, "(SELECT count(*) AS runs FROM runs WHERE finished_at IS NOT NULL)"))

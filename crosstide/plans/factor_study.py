@@ -58,15 +58,23 @@ def test_universes(panel: DataFrame, n: int, lo: int, size: int = TEST_SIZE) ->
     return largest_at(panel, n - 1, size).select("entity"), largest_at(panel, lo, size).select("entity")
 
 
-def survivorship(cooled: DataFrame, labelled: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """Precision of each signal under both universes, from one pass over the labelled fires."""
+def survivorship(cooled: DataFrame, labelled: DataFrame, a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Precision of each signal under both universes, from one pass over the labelled fires; `by` may name the column of the target."""
     side = a.select("entity", F.lit("A").alias("universe")).unionByName(b.select("entity", F.lit("B").alias("universe")))
-    hits = cooled.join(labelled.select("entity", "t", "hit"), ["entity", "t"]).join(side, "entity")
+    hits = cooled.join(labelled.select(*by, "entity", "t", "hit"), ["entity", "t"]).join(side, "entity")
     of = lambda u: ratio(F.count_if((F.col("universe") == u) & F.col("hit")).cast("double"), F.count_if(F.col("universe") == u))
-    both = hits.groupBy("signal").agg(of("A").alias("precision_a"), of("B").alias("precision_b"))
+    both = hits.groupBy(*by, "signal").agg(of("A").alias("precision_a"), of("B").alias("precision_b"))
     return both.withColumn("delta", F.col("precision_a") - F.col("precision_b"))
 
 
+def universe_base_rates(labelled: DataFrame, a: DataFrame, b: DataFrame, lo: int, hi: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """[by,] base_a, base_b: share of tested rows whose label hits, under both universes."""
+    marks = a.select("entity", F.lit(True).alias("_a")).join(b.select("entity", F.lit(True).alias("_b")), "entity", "full")
+    tested = labelled.where(F.col("t").between(lo, hi) & F.col("hit").isNotNull()).join(marks, "entity")
+    of = lambda m: F.coalesce(F.avg(F.when(F.col(m), F.col("hit").cast("int"))), F.lit(0.0))
+    return tested.groupBy(*by).agg(of("_a").alias("base_a"), of("_b").alias("base_b"))
+
+
 def grown(panel: DataFrame, a: DataFrame, lo: int, hi: int, times: float = 3.0) -> DataFrame:
     """Entities of A whose cap grew more than `times` over the test, and their share."""
     caps = panel.where(F.col("t").isin(lo, hi)).join(a, "entity", "left_semi").groupBy("entity").agg(

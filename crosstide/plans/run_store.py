@@ -17,7 +17,7 @@ from crosstide.plans.scoring_run import RunTables, scoring_run
 from crosstide.session import fresh_path
 from crosstide.sources.tables import append_run, read_runs
 
-DATED = ("snapshots", "metrics", "scores")
+DATED = ("snapshots", "metrics", "scores", "errors")
 _STORED: dict[tuple[str, str], RunStore] = {}
 
 
@@ -33,12 +33,12 @@ class RunStore:
         return read_runs(self.spark, f"{self.path}/runs", self.schemas["runs"])
 
     def read(self, name: str, dates: Column | None = None) -> DataFrame:
-        """Rows of `snapshots`, `metrics` or `scores`, those where `dates` holds if given; it reads `run_date` alone."""
+        """Rows of `snapshots`, `metrics`, `scores` or `errors`, those where `dates` holds if given; it reads `run_date` alone."""
         stored = read_runs(self.spark, f"{self.path}/{name}", self.schemas[name])
         return stored if dates is None else stored.where(dates)
 
     def tables(self, dates: Column | None = None) -> RunTables:
-        return RunTables(self.runs(), *(self.read(name, dates) for name in DATED))
+        return RunTables(self.runs(), *(self.read(name, dates) for name in DATED if name in self.schemas))
 
 
 def store_runs(tables: RunTables, path: str) -> RunStore:
@@ -47,6 +47,8 @@ def store_runs(tables: RunTables, path: str) -> RunStore:
     schemas = {}
     for name in ("runs", *DATED):
         rows = getattr(tables, name)
+        if rows is None:
+            continue
         rows = rows if name in ("runs", "snapshots") else rows.drop("run_date").join(dates, "run_id")
         rows = rows.select(*[c for c in rows.columns if c != "run_date"], "run_date")
         append_run(rows, f"{path}/{name}")
@@ -62,6 +64,13 @@ def stored_runs(spark: SparkSession, sf: str) -> RunStore:
     return _STORED[key]
 
 
+def run_errors(store: RunStore, date: str | None = None) -> DataFrame:
+    """stage, message, rows: what went wrong in the resolved run. Only files of the run's date are read."""
+    run = resolve_run(store.runs(), date)
+    mine = (F.col("run_date") == run.select("run_date").scalar()) & (F.col("run_id") == run.select("run_id").scalar())
+    return store.read("errors", mine).groupBy("stage", "message").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def run_rows(store: RunStore, date: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(the resolved run, its entity rows). Only files of the run's date are read."""
     run = resolve_run(store.runs(), date)

@@ -32,6 +32,7 @@ class RunTables:
     snapshots: DataFrame
     metrics: DataFrame
     scores: DataFrame
+    errors: DataFrame | None = None  # run_id, entity, stage, message
 
 
 def run_table(axis: DataFrame) -> DataFrame:
@@ -116,4 +117,5 @@ def scoring_run(spark: SparkSession, sf: str, shrink: bool = True) -> RunTables:
     pairs, shares = metric_pairs(snapshots, panel)
     metrics = settle(metric_rows(settle(pairs, "pairs")), "metrics")
     scores = scores_with_change(composite(metrics, shrink=shrink), runs)
-    return RunTables(runs, snapshots, metrics.unionByName(shares, allowMissingColumns=True), scores)
+    errors = scores.where("score is null").select("run_id", "entity", F.lit("composite").alias("stage"), F.lit("no score").alias("message"))
+    return RunTables(runs, snapshots, metrics.unionByName(shares, allowMissingColumns=True), scores, errors)

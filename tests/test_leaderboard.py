@@ -141,3 +141,26 @@ def test_reading_a_run_scans_its_date_only(spark, tmp_path):
         scans = [line for line in plan.splitlines() if "FileScan" in line and any(f" {c}#" in line or f",{c}#" in line for c in ("volume", "metric_key", "score_raw"))]
         assert len(scans) >= 3 and all("run_date" in line.split("PartitionFilters:")[1].split("PushedFilters")[0] for line in scans)
     assert run_rows(store, "2024-01-03")[1].count() == 0
+    assert store.tables().errors is None
+
+
+def test_errors_are_stored_beside_their_run(spark, tmp_path):
+    from datetime import date
+
+    from crosstide.operators.scoring import run_summary
+    from crosstide.plans.run_store import run_errors, store_runs
+    from crosstide.plans.scoring_run import RunTables
+
+    runs = spark.createDataFrame([(i, date(2024, 1, i), "s", None if i == 3 else "f") for i in (1, 2, 3)], "run_id int, run_date date, started_at string, finished_at string")
+    some = spark.createDataFrame([(1, date(2024, 1, 1), 7)], "run_id int, run_date date, entity int")
+    scores = spark.createDataFrame([(i, 7, 1.0, None, []) for i in (1, 2)], "run_id int, entity int, score double, score_change double, missing array<string>")
+    bad = spark.createDataFrame([(1, 7, "tickers", "timeout"), (2, 7, "tickers", "timeout"), (2, 8, "tickers", "timeout"), (2, 8, "chart", "empty")], "run_id int, entity int, stage string, message string")
+    store = store_runs(RunTables(runs, some, some.drop("run_date"), scores, bad), str(tmp_path / "store"))
+    found = run_errors(store)
+    assert sorted(map(tuple, found.collect())) == [("chart", "empty", 1), ("tickers", "timeout", 2)]
+    assert sorted(map(tuple, run_errors(store, "2024-01-01").collect())) == [("tickers", "timeout", 1)] and run_errors(store, "2024-01-03").count() == 0
+    scans = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line and "message#" in line]
+    assert scans and all("run_date" in line.split("PartitionFilters:")[1].split("PushedFilters")[0] for line in scans)
+    t = store.tables()
+    told = {(r.run_id, r.name): r.value for r in run_summary(t.metrics, t.scores, t.errors).where("kind = 'errors'").collect()}
+    assert told == {(1, "tickers"): 1, (2, "tickers"): 2, (2, "chart"): 1}

@@ -6,7 +6,7 @@ from crosstide.operators.events import cooldown
 from crosstide.operators.ingest import bars_from_ticks
 from crosstide.session import fresh_path
 from crosstide.streaming.bars import closed_bars, ingest_stream, run_available
-from crosstide.streaming.cooldown import online_cooldown
+from crosstide.streaming.cooldown import cooldown_batch, kept_fires, online_cooldown
 
 SCHEMA = "event_id bigint, ts timestamp, value double, symbol string"
 
@@ -57,12 +57,23 @@ def test_online_cooldown_equals_batch(spark):
     for part in (fires[:90], fires[90:200], fires[200:]):
         spark.createDataFrame(part, schema).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
-        query = (
-            online_cooldown(stream, 9).writeStream.format("parquet").option("checkpointLocation", out + "-ck").trigger(availableNow=True).start(out)
-        )
-        query.awaitTermination()
+        online_cooldown(stream, 9, out, out + "-ck").awaitTermination()
     batch = cooldown(spark.createDataFrame(fires, schema).withColumn("t", F.col("t").cast("int")), 9)
-    assert {tuple(r) for r in spark.read.parquet(out).collect()} == {tuple(r) for r in batch.collect()}
+    got = kept_fires(spark, out, batch).collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == {tuple(r) for r in batch.collect()}
+
+
+def test_a_cooldown_batch_that_runs_twice_keeps_the_same(spark):
+    """Late rows, repeated rows, a key that comes in once more and one that stays away."""
+    out, schema = fresh_path(spark, "kept"), "entity string, signal string, t bigint"
+    write = cooldown_batch(spark, out, 5)
+    parts = [[("a", 0), ("a", 4), ("a", 6), ("b", 2), ("b", 2)], [("a", 3), ("a", 10), ("a", 11), ("a", 12)], [("b", 6), ("b", 7), ("a", 11), ("c", 1)], []]
+    for i, part in enumerate(parts):
+        df = spark.createDataFrame([(e, "s", t) for e, t in part], schema)
+        for _ in range(1 + i % 2):
+            write(df, i)
+    got = sorted((r.entity, r.t) for r in kept_fires(spark, out, df).collect())
+    assert got == [("a", 0), ("a", 6), ("a", 11), ("b", 2), ("b", 7), ("c", 1)]
 
 
 def test_a_batch_that_runs_twice_counts_once(spark, tmp_path):

@@ -51,4 +51,4 @@ def online_cooldown(fires: DataFrame, bars: int, path: str, checkpoint: str) ->
 def kept_fires(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """entity, signal, t of all batches so far; `like` has the types of entity and signal."""
     schema = like.select(*KEYS, F.col("t").cast("int").alias("t")).schema
-    return spark.read.schema(schema).parquet(f"{path}/kept")
+    return spark.read.schema(schema).parquet(f"{path}/kept").select(schema.names)

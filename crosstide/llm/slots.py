@@ -18,17 +18,29 @@ from crosstide.session import settle
 
 SLOTS = 4096
 OVERHEAD = 8
+RUN = 10_000  # equal rows that one step spells out
 
 
 def slotted(records: DataFrame, key: str = KEY, text: str = TEXT, slots: int = SLOTS) -> DataFrame:
     """id, size, text_crc32, virtual_slot per record; the text itself is left behind.
 
     Size is the UTF-8 bytes of the text (null: none) plus 8. The slot hashes the key with the text's checksum and size,
-    so rows that share a key, or have none, still spread.
+    so rows that share a key, or have none, still spread. Rows equal in all three are numbered and their number is hashed
+    too: which row has which number does not matter, as they are equal, so they are counted in groups, not sorted.
     """
     body = F.coalesce(col(text), F.lit(""))
+    same = ["id", "size", "text_crc32"]
     narrow = records.select(col(key).alias("id"), (F.octet_length(body) + OVERHEAD).cast("bigint").alias("size"), F.crc32(body).alias("text_crc32"))
-    return narrow.withColumn("virtual_slot", F.pmod(F.xxhash64("id", "text_crc32", "size"), F.lit(slots)).cast("int"))
+    groups = narrow.groupBy(*same).agg(F.count(F.lit(1)).alias("copies"))
+    # a group's numbers are spelled out in two steps, runs of RUN and then the numbers of a run, which are spread in between
+    runs = groups.select(*same, "copies", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / RUN))).alias("run"))
+    lone = runs.where("copies <= 1").select(*same, F.lit(0).cast("bigint").alias("copy"))
+    many = runs.where("copies > 1").repartition(*same, "run")
+    first = F.col("run") * RUN
+    each = many.select(*same, F.explode(F.sequence(first, F.least(first + RUN, F.col("copies")) - 1)).alias("copy"))
+    rows = lone.unionByName(each)
+    hashed = F.when(F.col("copy") == 0, F.xxhash64("id", "text_crc32", "size")).otherwise(F.xxhash64("id", "text_crc32", "size", "copy"))
+    return rows.select("id", "size", "text_crc32", F.pmod(hashed, F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
 def slot_sizes(placed: DataFrame) -> list[tuple[int, int, int]]:
@@ -106,8 +118,8 @@ def shard_records(records: DataFrame, path: str, shards: int, key: str = KEY, te
     The sizes of the shards are near equal: they differ by about the lightest slots, or by one record where a record is
     heavier than a shard's part. `slot` is the record's place in its shard, gapless from 0: places of a virtual slot follow
     those of lower slots of the same shard, and inside it rows are numbered by key, checksum and size. So no task holds
-    more than one virtual slot. A null text weighs 8 bytes, a null key is smallest, equal rows get neighbouring places, other
-    columns are ignored, an empty table gives an empty result.
+    more than one virtual slot. A null text weighs 8 bytes, a null key is smallest, equal rows are spread over the slots like
+    others, other columns are ignored, an empty table gives an empty result.
     """
     spark = records.sparkSession
     placed = settle(slotted(records, key, text, slots), "slots")

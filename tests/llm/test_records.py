@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import zlib
 import re
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -200,6 +201,25 @@ def test_shards_are_near_equal_and_slots_gapless(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
 
 
+def test_equal_rows_are_spread(spark):
+    """A third of all rows are equal in key and text, some have neither; the law holds, and runs of numbers meet."""
+    rng = random.Random(5)
+    rows = [(7, "the same row again")] * 3000 + [(None, None)] * 900 + [(i, "y" * rng.randrange(300)) for i in range(6000)]
+    df = spark.createDataFrame([(k, t) for k, t in rows], "coin_id bigint, body string")
+    before, S.RUN = S.RUN, 700
+    try:
+        got = S.shard_records(df, fresh_path(spark, "map"), 24, slots=1024).collect()
+    finally:
+        S.RUN = before
+    assert Counter((r.coin_id, r.size, r.text_crc32) for r in got) == Counter((k, len(t or "") + 8, zlib.crc32((t or "").encode())) for k, t in rows)
+    sizes, places, slots = Counter(), defaultdict(list), Counter(r.virtual_slot for r in got if r.coin_id == 7)
+    for r in got:
+        sizes[r.shard] += r.size
+        places[r.shard].append(r.slot)
+    assert len(sizes) == 24 and max(sizes.values()) - min(sizes.values()) < 0.05 * max(sizes.values())
+    assert all(sorted(p) == list(range(len(p))) for p in places.values()) and max(slots.values()) < 20
+
+
 def test_awkward_records_get_places(spark):
     rows = S.shard_records(frame(spark), fresh_path(spark, "map"), 3, slots=64).collect()
     assert len(rows) == len(awkward()) and {r.size for r in rows if r.coin_id in (4, 5)} == {8}

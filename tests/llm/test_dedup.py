@@ -247,3 +247,17 @@ def test_repeats_query_against_every_window_of_the_table(spark):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), int(gone.sum()), spans, left)
         hit += gone.any()
     assert 0 < hit < len(docs)
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(SMALL), reason="test tables are not here")
+def test_query_op3_finds_the_links_of_a_whole_table(spark):
+    """Links and classes of every document against all others, and the recall of links over documents with an id divisible by 20."""
+    from crosstide.llm.queries import QUERIES
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    want = brute_links(rows)
+    got = {r.doc_id: r for r in QUERIES["op3_near_join"](spark, SMALL).collect()}
+    assert set(got) == set(want) and sum(n for _, n in want.values()) > 0
+    asked = [k for k in want if k % 20 == 0]
+    assert sum(got[k].n_links for k in asked) >= 0.9 * sum(want[k][1] for k in asked)
+    assert {k: (r.class_id, r.n_links) for k, r in got.items()} == want
